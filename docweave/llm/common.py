@@ -95,7 +95,7 @@ def words(raw: np.ndarray, bounds: np.ndarray, word_bytes: np.ndarray) -> tuple[
     return hashes, start, end, np.searchsorted(start, bounds)
 
 
-_ORDER = _U(0x9E3779B97F4A7C15)
+_ORDER = 0x9E3779B97F4A7C15
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -103,10 +103,9 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, _U)
-    total, power = np.zeros(n, _U), _U(1)
+    total = np.zeros(n, _U)
     for k in range(size):
-        total += hashes[k : k + n] * power
-        power *= _ORDER
+        total += hashes[k : k + n] * _U(pow(_ORDER, k, 1 << 64))
     return mix64(total + _U(size))
 
 
