@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, decontamination, ngram_join, token_counts
+from docweave.llm import bpe, decontamination, language_model, ngram_join, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.bpe_decode(bpe.bpe_encode(_table(spark, sf_dir, "documents")))
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
@@ -36,7 +40,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op3_bpe, op4_decontamination, op5_token_counts)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_bpe, op4_decontamination, op5_token_counts)}
 
 
 OP1_SQL = r"""
