@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, decontamination, language_model, ngram_join, quality, token_counts, toxicity
+from docweave.llm import bpe, decontamination, html_extraction, language_model, ngram_join, quality, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +43,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_bpe, op4_decontamination, op5_token_counts, op6_toxicity, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_bpe, op4_decontamination, op5_token_counts, op6_toxicity, op7_html_extraction, op8_quality_classifier)}
 
 
 OP1_SQL = r"""
