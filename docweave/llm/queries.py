@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, decontamination, html_extraction, language_model, ngram_join, quality, token_counts, toxicity
+from docweave.llm import bpe, decontamination, hamming_search, html_extraction, language_model, ngram_join, quality, sharding, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,21 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+SHARDS = [f"shard-{k:03d}" for k in range(256)]
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
+
+
+def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming_search.sign_code(F.col("embedding")).alias("code"))
+    found = hamming_search.top_k(rows, rows.where("id % 20 = 0"), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_bpe, op4_decontamination, op5_token_counts, op6_toxicity, op7_html_extraction, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_bpe, op4_decontamination, op5_token_counts, op6_toxicity, op7_html_extraction, op8_quality_classifier, op9_sharding, op10_top_k_search)}
 
 
 OP1_SQL = r"""
@@ -84,5 +97,13 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+OP10_SQL = """
+WITH c AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS code FROM embeddings),
+r AS (SELECT q.vec_id AS query_id, c.vec_id, bit_count(xor(q.code, c.code)) AS distance FROM c AS q, c WHERE q.vec_id % 20 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM r)
+SELECT query_id, rank, vec_id, CAST(distance AS BIGINT) AS distance FROM k WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op4_decontamination": OP4_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op4_decontamination": OP4_SQL, "op10_top_k_search": OP10_SQL}
