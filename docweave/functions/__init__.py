@@ -1 +1 @@
-
+"""Column expressions: text, embeddings, similarity and identifiers."""
