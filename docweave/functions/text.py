@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CHUNK_SIZE, CHUNK_OVERLAP = 800, 120
 #: Keywords that route a question, and what they route to.
@@ -104,12 +105,12 @@ def approximate_tokens(text: Column) -> Column:
     return cjk + F.size(F.filter(F.split(text, r"(?U)\s+"), lambda x: x != ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 

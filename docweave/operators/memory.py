@@ -59,9 +59,9 @@ def tfidf(memories: DataFrame, queries: DataFrame) -> DataFrame:
     words = memories.select("memory_id", X.working_tokens(F.col("content")).alias("t")).select("memory_id", F.size("t").alias("n"), F.explode("t").alias("token"))
     tf = words.groupBy("memory_id", "n", "token").agg(F.count("*").alias("c"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    total = memories.agg(F.count("*").alias("N"))
+    total = memories.agg(F.count("*").alias("_total"))
     asked = queries.select("query_id", X.working_tokens(F.col("query")).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("token")).groupBy("query_id", "n", "token").agg(F.count("*").alias("c"))
-    idf = F.log((F.col("N") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    idf = F.log((F.col("_total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     total = F.broadcast(total)  # one row
     have = tf.join(df, "token").join(total).select("memory_id", "token", (F.col("c") / F.col("n") * idf).alias("w"))
     want = asked.join(df, "token", "left").join(total).select("query_id", "token", (F.col("c") / F.col("n") * idf).alias("q"))

@@ -1 +1 @@
-
+"""Registered queries over the driver's tables, and the same results as SQL."""
