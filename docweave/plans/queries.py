@@ -205,7 +205,7 @@ def document_search(spark, d):
     rows = C.chunk_documents(_t(spark, d, "documents")).withColumn("vector", V.hash_embedding(F.col("content"))).withColumn("page_number", F.lit(None).cast("string"))
     rows = rows.withColumn("seq", F.col("document_id").cast("long") * 100_000 + F.col("chunk_index"))
     asked = _asked(spark, d).withColumn("query_vector", V.hash_embedding(F.col("query")))
-    return R.search(rows, asked, 5).select("query_id", "rank", F.col("id").alias("chunk_id"), F.round("score", DIGITS).alias("score"), "citation_id")
+    return R.search(rows, asked, 5, digits=DIGITS).select("query_id", "rank", F.col("id").alias("chunk_id"), "score", "citation_id")
 
 
 @query

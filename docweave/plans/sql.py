@@ -228,6 +228,13 @@ _SQL["mmr_select"] = f"""WITH RECURSIVE {_POOL}, c AS (SELECT query_id, id, scor
       SELECT query_id, k + 1, list_append(ids, pick) FROM (SELECT s.query_id, s.k, s.ids, min_by(c.id, [-round(0.75 * c.score - 0.25 * coalesce((SELECT max(j) FROM sim WHERE sim.query_id = s.query_id AND sim.x = c.id AND list_contains(s.ids, sim.y)), 0), 9), c.id]) AS pick
         FROM s JOIN c ON c.query_id = s.query_id WHERE s.k < 5 AND NOT list_contains(s.ids, c.id) GROUP BY s.query_id, s.k, s.ids))
     SELECT query_id, unnest(range(1, 6)) AS rank, unnest(ids) AS id FROM s WHERE k = 5"""
+_SQL["document_search"] = f"""WITH {_P}, pt AS (SELECT document_id || '_' || chunk_index AS key, content AS text FROM p UNION ALL SELECT 'q' || item_id, text FROM benchmark WHERE item_id < 10), {_embedding("key", "pt")},
+    unit AS (SELECT key, idx, x / n AS x FROM raw JOIN nrm USING (key)),
+    sc AS (SELECT q.key AS q, c.key AS id, round(sum(q.x * c.x), 6) AS score FROM unit q JOIN unit c ON q.idx = c.idx WHERE q.key[1] = 'q' AND c.key[1] <> 'q' GROUP BY ALL),
+    pool AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(split_part(id, '_', 1) AS BIGINT), CAST(split_part(id, '_', 2) AS BIGINT)) AS r FROM sc QUALIFY r <= 15),
+    full_ AS (SELECT q, r, id, score, document_id, {_DIGEST.format("content")} AS digest FROM pool JOIN p ON id = document_id || '_' || chunk_index),
+    one AS (SELECT * FROM full_ QUALIFY row_number() OVER (PARTITION BY q, document_id, digest ORDER BY r) = 1)
+    SELECT CAST(substr(q, 2) AS BIGINT) AS query_id, row_number() OVER (PARTITION BY q ORDER BY r) AS rank, id AS chunk_id, score, 'S-' || substr(sha256(document_id || '||' || digest), 1, 12) AS citation_id FROM one QUALIFY rank <= 5"""
 
 
 def oracle_sql() -> dict[str, str]:
