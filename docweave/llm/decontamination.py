@@ -114,8 +114,8 @@ def _open(row: pa.RecordBatch, i: int, window: int) -> tuple[np.ndarray, Segment
     return np.frombuffer(raw["doc_ids"], np.int64), Segment(n, base, np.frombuffer(raw["terms"], np.uint64), starts, np.frombuffer(raw["positions"], np.int64 if wide else np.int32))
 
 
-def _windows(items: pa.Table, window: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """Item ids, all word hashes, and each distinct window's first word and item; a window is min(window, words) long."""
+def _windows(items: pa.Table, window: int) -> tuple[list, np.ndarray, np.ndarray]:
+    """Item ids, all word hashes, and the windows: first word, item number and size of each."""
     hashes, _, _, bounds = words(*text_bytes(items.column(1).combine_chunks() if items.num_rows else pa.array([], pa.string())), ALPHANUMERIC)
     first, item, size = [], [], []
     for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
