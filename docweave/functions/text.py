@@ -215,3 +215,61 @@ def tool_calls(text: Column) -> Column:
     """The [TOOL_CALL:name:arguments] marks of a text: an array of (name, arguments)."""
     whole = r"(\[TOOL_CALL:[^:\]]+:[^\]]+\])"
     return F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(1)), lambda c: F.struct(F.regexp_extract(c, r"^\[TOOL_CALL:([^:\]]+):", 1).alias("name"), F.regexp_extract(c, r"^\[TOOL_CALL:[^:\]]+:([^\]]+)\]$", 1).alias("arguments")))
+
+
+def label_id(label: Column) -> Column:
+    """The id behind the last pipe of 'name | id'; a label without one is the id."""
+    return strip(F.when(F.contains(label, F.lit("|")), F.regexp_extract(label, r"\|([^|]*)$", 1)).otherwise(label))
+
+
+def tool_arguments(arguments: Column, default: str = "input") -> Column:
+    """'a=1,b=2' as a map; text without '=' is the value of ``default``."""
+    pairs = F.transform_keys(F.transform_values(F.str_to_map(arguments, F.lit(","), F.lit("=")), lambda _, v: strip(v)), lambda k, _: strip(k))
+    return F.when(F.contains(arguments, F.lit("=")), pairs).otherwise(F.create_map(F.lit(default), strip(arguments)))
+
+
+def redacted_url(url: Column) -> Column:
+    """An address without user info; values of secret keys in its query masked."""
+    bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"^([a-zA-Z][\w+.-]*://)[^/@?#]*@", "$1")
+    keys = "|".join(sorted(SECRET_KEYS, key=len, reverse=True))
+    return F.regexp_replace(bare, rf"(?i)([?&](?:{keys})=)[^&#]*", "$1***")
+
+
+#: States of a remote store that pass by themselves, and words that say so.
+TRANSIENT_STATUS = (408, 425, 429)
+TRANSIENT_WORDS = ("timeout", "timed out", "temporarily", "connection", "unavailable", "rate limit")
+
+
+def transient(status: Column, message: Column) -> Column:
+    """Whether a failure may pass: by its status if there is one, else by its words."""
+    return F.when(status.isNotNull(), status.isin(*TRANSIENT_STATUS) | (status >= 500)).otherwise(F.lower(F.coalesce(message, F.lit(""))).rlike("|".join(TRANSIENT_WORDS)))
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The version 5 UUID of a name in a namespace (a UUID)."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 2), 16, 10).cast("int").bitwiseAND(63).bitwiseOR(128)))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 19, 2)), F.substring(h, 21, 12))
+
+
+def headed_paragraphs(text: Column) -> Column:
+    """Markdown as an array of (content, heading_path, level): runs of lines under their headings, 'A > B' for the path."""
+    empty = F.array().cast("array<string>")
+    item = "array<struct<content:string,heading_path:string,level:int>>"
+    start = F.struct(empty.alias("stack"), empty.alias("held"), F.array().cast(item).alias("out"))
+
+    def flushed(a: Column) -> Column:
+        one = F.struct(F.array_join(a["held"], "\n").alias("content"), F.array_join(a["stack"], " > ").alias("heading_path"), F.size(a["stack"]).alias("level"))
+        return F.when(F.size(a["held"]) > 0, F.concat(a["out"], F.array(one))).otherwise(a["out"])
+
+    def step(a: Column, line: Column) -> Column:
+        marks = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
+        title = strip(F.regexp_replace(line, r"^#{1,6}\s+", ""))
+        kept = F.slice(a["stack"], F.lit(1), F.least(marks - 1, F.size(a["stack"])))
+        return (
+            F.when(marks > 0, F.struct(F.concat(kept, F.array(title)).alias("stack"), empty.alias("held"), flushed(a).alias("out")))
+            .when(strip(line) == "", F.struct(a["stack"].alias("stack"), empty.alias("held"), flushed(a).alias("out")))
+            .otherwise(F.struct(a["stack"].alias("stack"), F.concat(a["held"], F.array(strip(line))).alias("held"), a["out"].alias("out")))
+        )
+
+    return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), start, step, flushed)

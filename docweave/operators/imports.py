@@ -102,3 +102,33 @@ def monotone_progress(events: DataFrame) -> DataFrame:
     """``events`` (task_id, position, stage, completed, total) with ``progress``, which never falls and is 10 at first."""
     so_far = Window.partitionBy("task_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     return events.withColumn("progress", F.greatest(F.lit(10), F.max(stage_percent(F.col("stage"), F.col("completed"), F.col("total"))).over(so_far)))
+
+
+def transition(tasks: DataFrame, wanted: Column, expected: Column, **changes: Column) -> tuple[DataFrame, DataFrame]:
+    """A guarded update: ``changes`` where ``wanted`` and ``expected`` hold; also the wanted tasks that weren't as expected."""
+    hit = F.coalesce(wanted & expected, F.lit(False))
+    after = tasks.withColumns({name: F.when(hit, value).otherwise(F.col(name)) for name, value in changes.items()})
+    return after, tasks.where(wanted & ~F.coalesce(expected, F.lit(False))).select("task_id", "status")
+
+
+def begin_committing(tasks: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
+    """The last point where a task can be cancelled: running, not committing yet, no cancel asked for."""
+    return transition(tasks, wanted, (F.col("status") == "running") & (F.col("stage") != "committing") & F.col("cancel_requested_at").isNull(), stage=F.lit("committing"))
+
+
+def mark_succeeded(tasks: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
+    none = F.lit(None).cast("string")
+    return transition(tasks, wanted, F.col("status") == "running", status=F.lit("succeeded"), error_code=none, error_summary=none)
+
+
+def mark_cancelled(tasks: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
+    return transition(tasks, wanted, (F.col("status") == "running") & F.col("cancel_requested_at").isNotNull(), status=F.lit("cancelled"), stage=F.lit("cancelled"))
+
+
+def release_claim(tasks: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame]:
+    return transition(tasks, wanted, F.col("status") == "running", status=F.lit("queued"), auto_retry_count=F.greatest(F.lit(0), F.col("auto_retry_count") - 1))
+
+
+def active(tasks: DataFrame) -> DataFrame:
+    """Users with tasks that are queued, running or waiting."""
+    return tasks.where(F.col("status").isin(*ACTIVE)).select("user_id").distinct()
