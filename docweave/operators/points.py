@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import datetime
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from docweave.functions import text as X
-from docweave.functions import vectors as V
 
 #: A query table is broadcast only up to this many rows; more are answered block by block.
 QUERY_BLOCK = 2_000
@@ -92,21 +94,52 @@ def _broadcast(queries: DataFrame) -> DataFrame:
 def nearest(points: DataFrame, queries: DataFrame, limit: int, filters: Mapping[str, Any] | None = None, threshold: float | None = None, digits: int | None = None) -> DataFrame:
     """Each query's ``limit`` nearest points by cosine: query_id, rank, id, score.
 
-    ``queries`` (query_id, query_vector) is a stated, bounded set; every point meets it once, next to the
-    scan. Scores below ``threshold`` fall out before the cut; ties go by ``seq``. With ``digits`` scores are
-    rounded first.
+    ``queries`` (query_id, query_vector) is a stated set of at most QUERY_BLOCK rows. It is broadcast as one
+    matrix; each Arrow batch of points is one matrix product and leaves its own best ``limit`` of each
+    query, so what is shuffled is a small multiple of the result. Zero vectors score 0, null vectors are
+    passed over, other sizes than the queries' are an error. Scores are rounded to ``digits`` (else 12)
+    before anything is compared; those below ``threshold`` fall out; ties go by ``seq``.
     """
-    length = V.norm(F.col("vector"))
-    lean = points.where(predicate(filters)).select("id", "seq", "vector", length.alias("_norm"))
-    asked = queries.select("query_id", "query_vector", V.norm(F.col("query_vector")).alias("_qnorm"))
-    both = lean.join(_broadcast(asked), F.lit(True))
-    lengths = F.col("_norm") * F.col("_qnorm")
-    score = F.when(lengths > 0, V.dot(F.col("vector"), F.col("query_vector")) / lengths).otherwise(0.0)
-    rows = both.select("query_id", "id", "seq", (F.round(score, digits) if digits is not None else score).alias("score"))
-    if threshold is not None:
-        rows = rows.where(F.col("score") >= threshold)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
-    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
+    asked = queries.select("query_id", "query_vector").where("query_vector IS NOT NULL").limit(QUERY_BLOCK + 1).collect()
+    if len(asked) > QUERY_BLOCK:
+        raise ValueError(f"more than {QUERY_BLOCK} queries; pass blocks of at most {QUERY_BLOCK}")
+    spark = points.sparkSession
+    lean = points.where(predicate(filters)).select("id", "seq", "vector").where("vector IS NOT NULL")
+    kinds = {c: lean.schema[c].dataType.simpleString() for c in ("id", "seq")}
+    ids = queries.select("query_id").schema.add("_q", IntegerType())
+    numbered = spark.createDataFrame([(r.query_id, k) for k, r in enumerate(asked)], ids)
+    matrix = np.array([list(r.query_vector) for r in asked], float).reshape(len(asked), -1)
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    shared = spark.sparkContext.broadcast(np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0))
+    places = 12 if digits is None else digits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            n = batch.num_rows
+            if not n or not len(wanted):
+                continue
+            vectors = batch.column("vector")
+            sizes = np.diff(vectors.offsets.to_numpy())
+            if (sizes != wanted.shape[1]).any():
+                raise ValueError(f"vector size isn't {wanted.shape[1]}: {sizes[sizes != wanted.shape[1]][0]}")
+            rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+            norm = np.linalg.norm(rows, axis=1)
+            dots = (wanted @ rows.T) / np.where(norm > 0, norm, 1)
+            score = np.round(np.where(norm > 0, dots, 0.0), places) + 0.0
+            order = batch.column("seq").to_numpy(zero_copy_only=False)
+            cut = np.partition(score, n - limit, axis=1)[:, n - limit] if n > limit else np.full(len(wanted), -np.inf)
+            q, k = np.nonzero(score >= np.maximum(cut, -np.inf if threshold is None else threshold)[:, None])
+            best = np.lexsort((order[k], -score[q, k], q))
+            q, k = q[best], k[best]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < limit
+            q, k = q[keep], k[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), batch.column("id").take(pa.array(k)), batch.column("seq").take(pa.array(k)), pa.array(score[q, k])], ["_q", "id", "seq", "score"])
+
+    found = lean.mapInArrow(run, f"_q int, id {kinds['id']}, seq {kinds['seq']}, score double")
+    best = Window.partitionBy("_q").orderBy(F.desc("score"), "seq")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    return ranked.join(F.broadcast(numbered), "_q").select("query_id", "rank", "id", "score")
 
 
 def lexical_overlap(contents: DataFrame, queries: DataFrame, digits: int | None = None) -> DataFrame:
