@@ -23,7 +23,7 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.bpe_decode(bpe.bpe_encode(_table(spark, sf_dir, "documents")))
+    coded = bpe.bpe_encode(_table(spark, sf_dir, "documents"), decoded=True)
     ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
