@@ -124,14 +124,15 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iter
         i = j
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str | None = None) -> DataFrame:
-    """mapInArrow of a function of one batch; with ``text``, of batches bounded by the bytes of that column."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str | None = None, most: int = 4 << 20) -> DataFrame:
+    """mapInArrow of a function of one batch; with ``text``, of batches of about ``most`` bytes in that column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, text) if text else (whole,):
+            for batch in text_slices(whole, text, most) if text else (whole,):
                 if batch.num_rows and (out := function(batch)) is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()  # workers live on between stages
 
     return df.mapInArrow(run, schema)
 

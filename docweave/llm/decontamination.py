@@ -15,12 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm.common import ALPHANUMERIC, as_long, map_batches, text_bytes, words
 
 WINDOW = 10
+#: Bytes of text in one segment; a longer document is a segment by itself.
+SEGMENT_BYTES = 2 << 20
 #: Words of benchmark text in one broadcast block: about 16 MB of hashes and windows.
 BLOCK_WORDS = 1 << 20
 SEGMENT_SCHEMA = "doc_ids binary, n_words binary, terms binary, starts binary, positions binary"
@@ -85,12 +88,16 @@ def _segment(batch: pa.RecordBatch, window: int) -> Segment:
     return Segment(n_words, base, terms, np.append(starts, len(hashes)), positions[order])
 
 
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
+
+
 def _pack(x: np.ndarray, kind: type) -> pa.Array:
     return pa.array([x.astype(kind).tobytes()], pa.binary())
 
 
 def index_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Index segments of the documents, each over about 4 MB of text; a longer document is a segment by itself.
+    """Index segments of the documents, each over about SEGMENT_BYTES of text; a longer document is a segment by itself.
 
     Null and empty texts are in the index with no words. Ids must be whole numbers; null ids are kept as
     the smallest long. Empty tables give no segments.
@@ -98,11 +105,10 @@ def index_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = _segment(batch, window)
-        ids = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-        arrays = [_pack(ids, np.int64), _pack(s.n_words, np.int64), _pack(s.terms, np.uint64), _pack(s.starts, np.int64), _pack(s.positions, np.int32 if len(s.positions) < 1 << 30 else np.int64)]
+        arrays = [_pack(_ids(batch), np.int64), _pack(s.n_words, np.int64), _pack(s.terms, np.uint64), _pack(s.starts, np.int64), _pack(s.positions, np.int32 if len(s.positions) < 1 << 30 else np.int64)]
         return pa.RecordBatch.from_arrays(arrays, ["doc_ids", "n_words", "terms", "starts", "positions"])
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), build, SEGMENT_SCHEMA, "text")
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), build, SEGMENT_SCHEMA, "text", SEGMENT_BYTES)
 
 
 def _open(row: pa.RecordBatch, i: int, window: int) -> tuple[np.ndarray, Segment]:
@@ -173,6 +179,29 @@ def _merged(spans: list[tuple]) -> list[tuple]:
 RESULT_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<item:string,first:int,end:int>>"
 
 
+def _shared(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> list[Broadcast]:
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
+    return [spark.sparkContext.broadcast(_windows(block, window)) for block in _blocks(items, block_words)]
+
+
+def _matches(doc_ids: np.ndarray, segment: Segment, shared: list[Broadcast]) -> pa.RecordBatch:
+    """A row for each document of the segment: what all benchmark blocks match in it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("item", pa.string()), ("first", pa.int32()), ("end", pa.int32())])))])
+    found: dict[int, list] = {}
+    for block in shared:
+        names = block.value[0]
+        for doc, spans in _search(segment, block.value).items():
+            found.setdefault(doc, []).extend((names[item], a, b) for item, a, b in spans)
+    n = len(doc_ids)
+    hit, items_of, spans_of = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
+    for doc, spans in found.items():
+        hit[doc] = sum(b - a for _, a, b in _merged([("", a, b) for _, a, b in spans]))
+        runs = _merged(spans)
+        items_of[doc] = sorted({x[0] for x in runs})
+        spans_of[doc] = [{"item": x, "first": a, "end": b} for x, a, b in runs]
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(segment.n_words), pa.array(hit), pa.array(items_of, schema.field("items").type), pa.array(spans_of, schema.field("spans").type)], schema=schema)
+
+
 def search_segments(segments: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each indexed document with the benchmark windows that stand in it word for word.
 
@@ -182,28 +211,12 @@ def search_segments(segments: DataFrame, benchmark: DataFrame, id_col: str = "it
     an id count as one item. Null item ids and texts match nothing. Documents without a match, and all
     documents if the benchmark is empty, have n_hit 0 and empty lists.
     """
-    spark = segments.sparkSession
-    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
-    shared = [spark.sparkContext.broadcast(_windows(block, window)) for block in _blocks(items, block_words)]
+    shared = _shared(segments.sparkSession, benchmark, id_col, text_col, window, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("item", pa.string()), ("first", pa.int32()), ("end", pa.int32())])))])
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_ids, segment = _open(batch, i, window)
-                found: dict[int, list] = {}
-                for block in shared:
-                    names = block.value[0]
-                    for doc, spans in _search(segment, block.value).items():
-                        found.setdefault(doc, []).extend((names[item], a, b) for item, a, b in spans)
-                n = len(doc_ids)
-                hit, items_of, spans_of = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
-                for doc, spans in found.items():
-                    hit[doc] = sum(b - a for _, a, b in _merged([("", a, b) for _, a, b in spans]))
-                    runs = _merged(spans)
-                    items_of[doc] = sorted({x[0] for x in runs})
-                    spans_of[doc] = [{"item": x, "first": a, "end": b} for x, a, b in runs]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(segment.n_words), pa.array(hit), pa.array(items_of, schema.field("items").type), pa.array(spans_of, schema.field("spans").type)], schema=schema)
+                yield _matches(*_open(batch, i, window), shared)
 
     return segments.mapInArrow(run, RESULT_SCHEMA)
 
@@ -224,6 +237,11 @@ def near_matches(segments: DataFrame, terms: list[str], slop: int, window: int =
     return segments.mapInArrow(run, "doc_id long, word long")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``search_segments`` over ``index_segments``: one row for each document, in one pass without a shuffle."""
-    return search_segments(index_segments(docs, id_col, text_col, window), benchmark, window=window)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``search_segments`` over ``index_segments`` in one worker: segments are built, searched and dropped, no shuffle."""
+    shared = _shared(docs.sparkSession, benchmark, "item_id", "text", window, block_words)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _matches(_ids(batch), _segment(batch, window), shared)
+
+    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, RESULT_SCHEMA, "text", SEGMENT_BYTES)
