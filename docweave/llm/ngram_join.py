@@ -256,7 +256,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = staged(_described(docs, size))
     classes = described.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
-    signed = _signed(docs, size, percent)
+    signed = _signed(docs.where("doc_id IS NOT NULL"), size, percent)
     roots = signed.groupBy("sign").agg(F.min("mark").alias("root"), F.max("mark").alias("top")).where("root < top").select("sign", "root")
     members = staged(signed.join(roots, "sign").select("root", "mark").distinct())
     need = members.groupBy("mark").agg(F.collect_set("root").alias("roots")).join(classes, "mark")

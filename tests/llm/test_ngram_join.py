@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docweave.llm import ngram_join as J
@@ -112,3 +113,14 @@ def test_signatures_of_linked_sets_meet():
             b = np.unique(np.concatenate([a[r.permutation(len(a))[drop:]], r.integers(0, 1 << 60, int(r.integers(0, apart - drop + 1)), dtype=np.uint64)]))
             if len(b) and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)):
                 assert np.intersect1d(J.signatures(a), J.signatures(b)).size
+
+
+def test_large_group_whose_smallest_mark_has_only_null_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*words[:99], f"x{k}"]) for k in range(12)]
+    marks = [np.uint64(J._print(next(J.shingle_sets(pa.array([t]), 4)))).view(np.int64) for t in texts]
+    texts = [texts[k] for k in np.argsort(marks)]
+    rows = [(None, texts[0]), *((10 + k, t) for k, t in enumerate(texts[1:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in J.jaccard_components(docs, group_shingles=150).collect() if x.doc_id is not None}
+    assert got == {10 + k: 10 for k in range(11)}
