@@ -10,11 +10,16 @@ subtree as soon as the remaining lengths can't reach the threshold.
 Exact copies are one set from the start. A group too large for one task first compares each member with
 the group's leader; members linked to it need no comparison with each other, and by the triangle
 inequality of the Jaccard distance only the others (and what may reach them) are joined, in blocks.
+
+Components need only links that connect (``jaccard_components``). ``jaccard_links`` verifies every pair: the
+walk adds up each set's partners by their copies, a pair counts in the first group that it shares, and large
+groups are joined block by block without the leader's shortcut. Pairs are never written out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -74,20 +79,32 @@ def signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out)
 
 
-def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+@dataclass
+class Count:
+    """What a walk that counts is given for each set (then probe), and ``partners``, to which it adds."""
+
+    copies: np.ndarray
+    #: Ascending smaller roots of the set: a pair that shares one counts in that root's group.
+    earlier: list[np.ndarray]
+    partners: np.ndarray
+
+
+def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, percent: int = PERCENT, count: Count | None = None, within: bool = False) -> list[tuple[int, int]]:
     """Links that connect what the pairs with 100 * |a & b| >= percent * |a | b| connect.
 
-    ``sets`` are joined with themselves, or with ``probes``, whose numbers then start at len(sets). The
-    sets in lexicographic order and their common beginnings are the prefix tree: a node is a range of
-    sets and a depth. Pairs that earlier links connect are passed over.
+    ``sets`` are joined with themselves, or with ``probes``, whose numbers then start at len(sets), or
+    ``within`` with both. The sets in lexicographic order and their common beginnings are the prefix tree:
+    a node is a range of sets and a depth. Pairs that earlier links connect are passed over, unless
+    ``count`` is given: then every pair is verified and adds to the partners of both.
     """
     whole = sets if probes is None else sets + probes
-    offset = 0 if probes is None else len(sets)
+    offset = 0 if probes is None or within else len(sets)
     seek = whole[offset:]
+    have = _places(count.earlier[offset:]) if count else {}
     sizes = np.array([len(x) for x in whole])
-    tokens, inverse, count = np.unique(np.concatenate(whole), return_inverse=True, return_counts=True)
+    tokens, inverse, times = np.unique(np.concatenate(whole), return_inverse=True, return_counts=True)
     rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((tokens, -count))] = np.arange(len(tokens))
+    rank[np.lexsort((tokens, -times))] = np.arange(len(tokens))
     ranks = rank[inverse]
     cut = np.cumsum(sizes)[:-1]
     rows = [np.sort(x) for x in np.split(ranks, cut)]
@@ -111,9 +128,10 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
     stack = [(0, len(tree), 0, np.arange(len(seek)), np.zeros(len(seek), np.int64))]
     while stack:
         lo, hi, depth, active, overlap = stack.pop()
-        members = label[np.array(tree[lo:hi])]
-        if (members == members[0]).all() and (label[offset + active] == members[0]).all():
-            continue
+        if count is None:
+            members = label[np.array(tree[lo:hi])]
+            if (members == members[0]).all() and (label[offset + active] == members[0]).all():
+                continue
         end = int(length[lo]) if hi - lo == 1 else int(min(length[lo], shared[lo + 1 : hi].min()))
         run = rows[tree[lo]][depth:end]
         if len(run):
@@ -132,6 +150,15 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
         while done < hi and length[done] == end and (done == lo or shared[done] == end):
             me = tree[done]
             linked = active[overlap * (100 + percent) >= percent * (size_of[active] + end)] + offset
+            if count is not None:
+                linked = linked[linked != me]
+                if len(linked) and len(count.earlier[me]):
+                    met = np.zeros(len(seek), bool)
+                    for r in count.earlier[me].tolist():
+                        met[have.get(r, [])] = True
+                    linked = linked[~met[linked - offset]]
+                count.partners[me] += count.copies[linked].sum()
+                np.add.at(count.partners, linked[linked >= len(sets)], count.copies[me])  # pairs of two sets are met from either side
             for other in np.unique(label[linked], return_index=True)[1]:
                 j = int(linked[other])
                 if label[j] != label[me]:
@@ -144,6 +171,40 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
     return out
 
 
+def _places(lists: list[np.ndarray]) -> dict[int, np.ndarray]:
+    """For each number in ``lists``, the places of the lists that hold it."""
+    values = np.concatenate([np.zeros(0, np.int64), *lists])
+    order = np.argsort(values, kind="stable")
+    place = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[order]
+    kinds, start = np.unique(values[order], return_index=True)
+    return dict(zip(kinds.tolist(), np.split(place, start[1:]), strict=True)) if len(kinds) else {}
+
+
+def count_links(sets: list[np.ndarray], probes: list[np.ndarray] | None, percent: int, count: Count) -> list[tuple[int, int]]:
+    """trie_links with ``count``, less the pairs that share the most frequent earlier root: they count there."""
+    n = len(sets)
+    places = _places(count.earlier)
+    known = np.zeros(len(count.earlier), bool)
+    if places:
+        known[max(places.values(), key=len)] = True
+    whole = sets + (probes or [])
+    new, old = np.flatnonzero(~known[:n]), np.flatnonzero(known[:n])
+    if probes is None:
+        walks = [(new, old, True)]
+    else:
+        others, met = n + np.flatnonzero(~known[n:]), n + np.flatnonzero(known[n:])
+        walks = [(new, np.concatenate([others, met]), False), (others, old, False)]
+    out = []
+    for a, b, within in walks:
+        if len(a) and (len(b) or within and len(a) > 1):
+            both = np.concatenate([a, b])
+            part = Count(count.copies[both], [count.earlier[k] for k in both], np.zeros(len(both), np.int64))
+            found = trie_links([whole[k] for k in a], [whole[k] for k in b], percent, part, within)
+            count.partners[both] += part.partners
+            out += [(int(both[i]), int(both[j])) for i, j in found]
+    return out
+
+
 def _described(docs: DataFrame, size: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, mark = [], []
@@ -168,46 +229,69 @@ def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return map_batches(docs, run, "sign long, mark long", "text")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(root, mark, n, shingles) of documents with the roots of their groups; rows of another text under the same id fall out."""
+def _sets(docs: DataFrame, size: int, every: bool) -> DataFrame:
+    """(root, mark, n, shingles, copies, earlier) of documents with the roots of their groups; rows of another text under the same id fall out."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        root, mark, n, packed = [], [], [], []
-        for want, roots, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
+        root, mark, n, packed, copies, earlier = [], [], [], [], [], []
+        for want, roots, same, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
             if np.uint64(_print(s)).view(np.int64) == want:
                 blob = s.tobytes()
-                for r in roots:
+                ordered = np.sort(np.array(roots, np.int64))
+                for k, r in enumerate(ordered.tolist()):
                     root.append(r)
                     mark.append(want)
                     n.append(len(s))
                     packed.append(blob)
-        return pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(mark, pa.int64()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], ["root", "mark", "n", "shingles"])
+                    copies.append(same)
+                    earlier.append(ordered[:k].tobytes() if every else b"")
+        numbers = [pa.array(x, pa.int64()) for x in (root, mark, n)]
+        return pa.RecordBatch.from_arrays([*numbers, pa.array(packed, pa.binary()), pa.array(copies, pa.int64()), pa.array(earlier, pa.binary())], ["root", "mark", "n", "shingles", "copies", "earlier"])
 
-    return map_batches(docs, run, "root long, mark long, n long, shingles binary", "text")
+    return map_batches(docs, run, "root long, mark long, n long, shingles binary, copies long, earlier binary", "text")
 
 
-def _joined(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (u, v) of marks within each group of ``keys``; where ``probe`` is set, between the two sides."""
+def _joined(rows: DataFrame, keys: list[str], percent: int, every: bool = False) -> DataFrame:
+    """Links (u, v) of marks within each group of ``keys``; where ``probe`` is set, between the two sides.
+
+    With ``every``, also ``partners``: links that connect have 0, and a row (mark, mark) has a set's rows
+    linked within the group.
+    """
+    names = ["u", "v", "partners"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, v = [], []
+        u, v, c = [], [], []
         for group in row_groups(batches, keys):
             sides: tuple[dict, dict] = ({}, {})
-            for mark, packed, probe in zip(group["mark"].to_pylist(), group["shingles"].to_pylist(), group["probe"].to_pylist(), strict=True):
-                sides[probe].setdefault(mark, np.frombuffer(packed, _U))
+            for mark, packed, probe, *more in zip(*(group[x].to_pylist() for x in carried), strict=True):
+                sides[probe].setdefault(mark, (np.frombuffer(packed, _U), *more))
             marks = [*sides[0], *sides[1]]
             two = group["two"][0].as_py()
             if len(sides[0]) and (len(sides[1]) if two else len(sides[0]) > 1):
-                for i, j in trie_links(list(sides[0].values()), list(sides[1].values()) if two else None, percent):
+                own, probes = ([x[0] for x in side.values()] for side in sides)
+                if every:
+                    extra = [*sides[0].values(), *sides[1].values()]
+                    count = Count(np.array([x[1] for x in extra]), [np.frombuffer(x[2], np.int64) for x in extra], np.zeros(len(extra), np.int64))
+                    links = count_links(own, probes if two else None, percent, count)
+                    some = np.flatnonzero(count.partners).tolist()
+                    u += [marks[k] for k in some]
+                    v += [marks[k] for k in some]
+                    c += count.partners[some].tolist()
+                else:
+                    links = trie_links(own, probes if two else None, percent)
+                for i, j in links:
                     u.append(marks[i])
                     v.append(marks[j])
+                    c.append(0)
             if len(u) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-                u, v = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, c)], names)
+                u, v, c = [], [], []
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, c)], names)
 
+    carried = ["mark", "shingles", "probe", *(["copies", "earlier"] if every else [])]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.select(*keys, "mark", "shingles", "probe", "two").mapInArrow(run, "u long, v long")
+    found = dealt.select(*keys, *carried, "two").mapInArrow(run, "u long, v long, partners long")
+    return found if every else found.select("u", "v")
 
 
 def _distances(rows: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -243,6 +327,24 @@ def _large_links(rows: DataFrame, most: int, percent: int) -> DataFrame:
     return near.where("linked and mark <> root").select(F.col("root").alias("u"), F.col("mark").alias("v")).union(_joined(blocks, ["root", "i", "j", "k"], percent))
 
 
+def _all_blocks(rows: DataFrame, most: int, percent: int) -> DataFrame:
+    """_joined with ``every`` in groups larger than a task: each block with itself and with every other, each pair once."""
+    size = rows.groupBy("root").agg(F.ceil(F.sum("n") / most).alias("b"))
+    dealt = rows.join(size, "root").withColumn("i", F.pmod(F.xxhash64("mark", F.lit(1)), "b"))
+    pairs = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
+    probe = (F.col("i") > F.col("j")).cast("int").alias("probe")
+    blocks = pairs.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "mark", "shingles", "copies", "earlier", probe, (F.col("i") != F.col("j")).alias("two"))
+    return _joined(blocks, ["root", "i", "j"], percent, True)
+
+
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """jaccard_components with ``n_links``: the other rows with an id that the row links with, copies included.
+
+    Every linked pair of different texts is verified and counted once. Rows with a null id have a null n_links.
+    """
+    return _linked(docs, id_col, text_col, size, percent, group_shingles, True)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """Each row of ``docs`` with the component of its links: doc_id, n_shingles, component_id.
 
@@ -253,22 +355,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nobody. Other columns are not read. Shingles count as equal if their 64-bit hashes are, sets if size and
     64-bit fingerprint are.
     """
+    return _linked(docs, id_col, text_col, size, percent, group_shingles, False)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, group_shingles: int, every: bool) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = staged(_described(docs, size))
-    classes = described.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
+    classes = described.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("copies"))
     signed = _signed(docs.where("doc_id IS NOT NULL"), size, percent)
     roots = signed.groupBy("sign").agg(F.min("mark").alias("root"), F.max("mark").alias("top")).where("root < top").select("sign", "root")
     members = staged(signed.join(roots, "sign").select("root", "mark").distinct())
     need = members.groupBy("mark").agg(F.collect_set("root").alias("roots")).join(classes, "mark")
-    sets = staged(_sets(docs.join(need, "doc_id").select("doc_id", "text", "mark", "roots"), size))
+    sets = staged(_sets(docs.join(need, "doc_id").select("doc_id", "text", "mark", "roots", "copies"), size, every))
     weight = sets.groupBy("root").agg(F.sum("n").alias("weight"))
-    small = sets.join(weight.where(F.col("weight") <= group_shingles), "root").select("root", "mark", "shingles", F.lit(0).alias("probe"), F.lit(False).alias("two"))
-    links = _joined(small, ["root"], percent)
+    small = sets.join(weight.where(F.col("weight") <= group_shingles), "root").select("root", "mark", "shingles", "copies", "earlier", F.lit(0).alias("probe"), F.lit(False).alias("two"))
+    links = _joined(small, ["root"], percent, every)
     heavy = weight.where(F.col("weight") > group_shingles).select("root")
     if not heavy.isEmpty():
-        links = links.union(_large_links(sets.join(heavy, "root"), group_shingles, percent))
+        large = sets.join(heavy, "root")
+        links = links.union(_all_blocks(large, group_shingles, percent) if every else _large_links(large.drop("copies", "earlier"), group_shingles, percent))
+    if every:
+        links = staged(links)
     groups = connected_components(links)
     named = classes.join(groups.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "doc_id", F.coalesce("component", "mark").alias("component"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = named.join(least, "component").select("mark", "component_id")
-    return described.join(of, "mark", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    if not every:
+        return described.join(of, "mark", "left").select("doc_id", "n_shingles", component)
+    partners = links.where("partners > 0").groupBy(F.col("u").alias("mark")).agg(F.sum("partners").alias("partners"))
+    of = of.join(classes.select("mark", "copies"), "mark").join(partners, "mark", "left")
+    n = F.when(F.col("n_shingles") > 0, F.col("copies") - 1 + F.coalesce("partners", F.lit(0))).otherwise(F.lit(0).cast("long"))
+    return described.join(of, "mark", "left").select("doc_id", "n_shingles", component, F.when(F.col("doc_id").isNotNull(), n).alias("n_links"))

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_links(_table(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
