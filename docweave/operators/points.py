@@ -6,11 +6,12 @@ import datetime
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -86,23 +87,26 @@ def delete(points: DataFrame, filters: Mapping[str, Any] | None = None) -> DataF
 
 
 def _broadcast(queries: DataFrame) -> DataFrame:
-    if (n := queries.limit(QUERY_BLOCK + 1).count()) > QUERY_BLOCK:
-        raise ValueError(f"{n} or more queries; pass blocks of at most {QUERY_BLOCK}")
-    return F.broadcast(queries)
+    return queries if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK else F.broadcast(queries)
 
 
 def nearest(points: DataFrame, queries: DataFrame, limit: int, filters: Mapping[str, Any] | None = None, threshold: float | None = None, digits: int | None = None) -> DataFrame:
     """Each query's ``limit`` nearest points by cosine: query_id, rank, id, score.
 
-    ``queries`` (query_id, query_vector) is a stated set of at most QUERY_BLOCK rows. It is broadcast as one
-    matrix; each Arrow batch of points is one matrix product and leaves its own best ``limit`` of each
-    query, so what is shuffled is a small multiple of the result. Zero vectors score 0, null vectors are
+    ``queries`` (query_id, query_vector) is a stated set, answered in blocks of QUERY_BLOCK rows. A block is
+    broadcast as one matrix; each Arrow batch of points is one matrix product and leaves its own best
+    ``limit`` of each query, so what is shuffled is a small multiple of the result. The points are read once
+    for each block, and the driver holds one block at a time. Zero vectors score 0, null vectors are
     passed over, other sizes than the queries' are an error. Scores are rounded to ``digits`` (else 12)
     before anything is compared; those below ``threshold`` fall out; ties go by ``seq``.
     """
-    asked = queries.select("query_id", "query_vector").where("query_vector IS NOT NULL").limit(QUERY_BLOCK + 1).collect()
-    if len(asked) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries; pass blocks of at most {QUERY_BLOCK}")
+    rows = queries.select("query_id", "query_vector").where("query_vector IS NOT NULL").toLocalIterator()
+    found = [_nearest_of(points, queries, asked, limit, filters, threshold, digits) for asked in iter(lambda: list(islice(rows, QUERY_BLOCK)), [])]
+    return reduce(DataFrame.unionAll, found) if found else _nearest_of(points, queries, [], limit, filters, threshold, digits)
+
+
+def _nearest_of(points: DataFrame, queries: DataFrame, asked: list[Row], limit: int, filters: Mapping[str, Any] | None, threshold: float | None, digits: int | None) -> DataFrame:
+    """``nearest`` of one block of the rows of ``queries``."""
     spark = points.sparkSession
     lean = points.where(predicate(filters)).select("id", "seq", "vector").where("vector IS NOT NULL")
     kinds = {c: lean.schema[c].dataType.simpleString() for c in ("id", "seq")}

@@ -1,0 +1,13 @@
+from pyspark.sql import functions as F
+
+from docweave.operators import points as P
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    points = spark.range(60).select("id", F.col("id").alias("seq"), F.array(F.sin("id"), F.cos(F.col("id") * 3), F.lit(0.5)).alias("vector"))
+    asked = points.where("id < 8").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    want = sorted(map(tuple, P.nearest(points, asked, 4).collect()))
+    assert len(want) == 32
+    monkeypatch.setattr(P, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, P.nearest(points, asked, 4).collect())) == want
+    assert P._broadcast(asked).count() == 8
