@@ -37,8 +37,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies, and one of equal rows."""
-    groups = ngram_join.jaccard_components(docs)
+    """The document with the smallest id of each group of near copies (5-word shingles, similarity 0.8), and one of equal rows."""
+    groups = ngram_join.jaccard_components(docs, size=5, percent=80)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     stay = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))))
     return stay.where("_n = 1").select(docs.columns).union(docs.where("doc_id is null"))

@@ -72,3 +72,12 @@ def test_edge_rows(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
         got = corpus_pipeline.run(spark, str(d)).collect()
         assert sorted(x.doc_id or 0 for x in got) == ([0, 1, 2, 3, 4] if part else [])
+
+
+def test_near_copies_of_a_changed_end_are_one_group(spark):
+    same = [f"w{i}" for i in range(120)]
+    rows = [(k, " ".join(same + [f"{k}x{i}" for i in range(12)])) for k in range(3)] + [(9, "some other text of a few words")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [i for i, n, c in brute_groups(rows, 5, 80) if c == i]
+    assert want == [0, 9] and [i for i, n, c in brute_groups(rows) if c == i] == [0, 1, 2, 9]
+    assert ids(corpus_pipeline.jaccard_stage(spark, docs, "").collect()) == want
