@@ -25,11 +25,9 @@ BITS = 21
 BUCKETS = 1 << BITS
 #: Lengths in bytes of the beginnings of words that are features beside the words.
 BEGINNINGS = (3, 4, 5, 6, 7)
-#: Bound of the sample that the classifier is fitted on: texts of each kind, and distinct features of a text there.
-#: All texts are scored whole.
+#: Bound of the sample that the classifier is fitted on: texts of each kind. They are learnt and all texts scored whole.
 MOST_POSITIVE = 2_000
 MOST_UNLABELLED = 6_000
-MOST_WORDS = 16_384
 STEPS = 400
 SIGNIFICANT = 4.0
 RELAXED = 0.1
@@ -148,7 +146,7 @@ def _sample(rows: DataFrame, most: int, share: float = 1.0) -> list[np.ndarray]:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, bounds = word_buckets(batch.column(1))
-        packed = [at[a:b][:MOST_WORDS].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        packed = [at[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "words"])
 
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
