@@ -148,6 +148,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def buckets(spark: SparkSession) -> int:
+    """Buckets for packed keys: four for each shuffle partition, so that a bucket is a bounded part of the data where partitions are."""
+    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def staged(df: DataFrame) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
