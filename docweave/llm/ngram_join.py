@@ -7,6 +7,11 @@ of a meeting group put their globally ordered sets (shingles common in the group
 one walk counts overlaps for all probes at once, sharing the counts of common beginnings and leaving a
 subtree as soon as the remaining lengths can't reach the threshold.
 
+One pass over the texts describes and signs them. A worker sends a signature once for each of its chunks of
+text, with the least of the sets that have it there; the chunk's other such sets follow that one into its
+groups. So a signature that a third of all rows share is one entry a chunk. Signatures travel packed, and
+meeting sets as compressed texts, which are smaller than their shingles.
+
 Exact copies are one set from the start. A group too large for one task first compares each member with
 the group's leader; members linked to it need no comparison with each other, and by the triangle
 inequality of the Jaccard distance only the others (and what may reach them) are joined, in blocks.
@@ -26,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import SPACED, as_long, map_batches, mix64, row_groups, shingles, staged, text_bytes, words
+from docweave.llm.common import SPACED, as_long, buckets, map_batches, mix64, row_groups, shingles, staged, text_bytes, text_slices, words
 from docweave.llm.components import connected_components
 
 SHINGLE = 4
 PERCENT = 85
 #: Shingles that a task holds of one group; larger groups are joined in blocks.
 GROUP_SHINGLES = 1 << 20
+#: Sets that a task holds of one group, or of one block.
+GROUP_SETS = 1 << 10
+#: Bytes of text whose signatures are dealt out together.
+CHUNK_BYTES = 32 << 20
 
 _U = np.uint64
 
@@ -114,7 +123,7 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
     order = np.argsort(ranks[first:], kind="stable")
     holders = owner[order]
     held = np.searchsorted(ranks[first:][order], np.arange(len(tokens) + 1))
-    tree = sorted(range(len(sets)), key=lambda i: rows[i].astype(">i8").tobytes())
+    tree = np.array(sorted(range(len(sets)), key=lambda i: rows[i].astype(">i8").tobytes()))
     shared = np.zeros(len(tree) + 1, np.int64)
     for i in range(1, len(tree)):
         a, b = rows[tree[i - 1]], rows[tree[i]]
@@ -124,12 +133,13 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
     length = sizes[tree]
     size_of = sizes[offset:]
     label = np.arange(len(whole))
+    found = np.zeros(len(seek), np.int64)
     out: list[tuple[int, int]] = []
     stack = [(0, len(tree), 0, np.arange(len(seek)), np.zeros(len(seek), np.int64))]
     while stack:
         lo, hi, depth, active, overlap = stack.pop()
         if count is None:
-            members = label[np.array(tree[lo:hi])]
+            members = label[tree[lo:hi]]
             if (members == members[0]).all() and (label[offset + active] == members[0]).all():
                 continue
         end = int(length[lo]) if hi - lo == 1 else int(min(length[lo], shared[lo + 1 : hi].min()))
@@ -138,8 +148,13 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
             a, b = held[run], held[run + 1]
             n = b - a
             if total := int(n.sum()):
-                at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(total)
-                overlap = overlap + np.bincount(holders[at], minlength=len(seek))[active]
+                of = holders[np.repeat(a - np.cumsum(n) + n, n) + np.arange(total)]
+                if total > len(seek):
+                    overlap = overlap + np.bincount(of, minlength=len(seek))[active]
+                else:  # few probes hold the run: count those alone
+                    np.add.at(found, of, 1)
+                    overlap = overlap + found[active]
+                    found[of] = 0
         shortest, longest = int(length[lo:hi].min()), int(length[lo:hi].max())
         most = overlap + np.minimum(size_of[active] - overlap, longest - end)
         keep = most * (100 + percent) >= percent * (size_of[active] + shortest)
@@ -148,7 +163,7 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
             continue
         done = lo
         while done < hi and length[done] == end and (done == lo or shared[done] == end):
-            me = tree[done]
+            me = int(tree[done])
             linked = active[overlap * (100 + percent) >= percent * (size_of[active] + end)] + offset
             if count is not None:
                 linked = linked[linked != me]
@@ -205,53 +220,161 @@ def count_links(sets: list[np.ndarray], probes: list[np.ndarray] | None, percent
     return out
 
 
-def _described(docs: DataFrame, size: int) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, mark = [], []
-        for s in shingle_sets(batch.column(1), size):
-            n.append(len(s))
-            mark.append(_print(s))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), as_long(np.array(mark, _U))], ["doc_id", "n_shingles", "mark"])
+def _packed(signs: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct signatures with the least mark that has each, and the pairs (that mark, another mark) of one signature."""
+    order = np.lexsort((marks, signs))
+    s, m = signs[order], marks[order]
+    start = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    least = m[start]
+    of = np.repeat(least, np.diff(np.append(start, len(s))))
+    return s[start], least, *_pairs(of[of != m], m[of != m])
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, mark long", "text")
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+    return a[new], b[new]
 
-def _signed(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        signs, marks, seen = [np.zeros(0, _U)], [np.zeros(0, _U)], set()
-        for s in shingle_sets(batch.column(1), size):
-            if len(s) and (mark := _print(s)) not in seen:
-                seen.add(mark)
-                signs.append(signatures(s, percent))
-                marks.append(np.full(len(signs[-1]), mark, _U))
-        return pa.RecordBatch.from_arrays([as_long(np.concatenate(signs)), as_long(np.concatenate(marks))], ["sign", "mark"])
 
-    return map_batches(docs, run, "sign long, mark long", "text")
+def _meet(signs: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, mark) of signatures that several marks have; the root is the least of them."""
+    order = np.lexsort((marks, signs))
+    s, m = signs[order], marks[order]
+    start = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+    size = np.diff(np.append(start, len(s)))
+    root = np.repeat(m[start], size)
+    several = np.repeat(m[start] != m[start + size - 1], size) if len(start) else np.zeros(0, bool)
+    return _pairs(root[several], m[several])
 
 
-def _sets(docs: DataFrame, size: int, every: bool) -> DataFrame:
-    """(root, mark, n, shingles, copies, earlier) of documents with the roots of their groups; rows of another text under the same id fall out."""
+DOCUMENT, FOLLOWS, MEETS = 0, 1, 2
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        root, mark, n, packed, copies, earlier = [], [], [], [], [], []
-        for want, roots, same, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), shingle_sets(batch.column(1), size), strict=True):
-            if np.uint64(_print(s)).view(np.int64) == want:
-                blob = s.tobytes()
-                ordered = np.sort(np.array(roots, np.int64))
-                for k, r in enumerate(ordered.tolist()):
-                    root.append(r)
-                    mark.append(want)
+
+def _described(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One pass over ``docs`` (doc_id, text, key): rows (what, a, b, c, d) of three kinds.
+
+    DOCUMENT doc_id, set size, mark, key; FOLLOWS a mark and one that shares a signature with it in a chunk;
+    MEETS a root and a mark of its group.
+    """
+    n_buckets = buckets(docs.sparkSession)
+    wire = ["bucket", "what", "x", "y", "z", "w"]
+
+    def chunk(ids: list[pa.Array], keys: list[pa.Array], n: list[int], mark: list[int], signs: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
+        none = np.zeros(0, _U)
+        sign, least, leader, follower = _packed(np.concatenate([none, *signs]), np.concatenate([none, *marks]))
+        to = (sign % _U(n_buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        there, start = np.unique(to[order], return_index=True)
+        parts = np.split(order, start[1:]) if len(there) else []
+        doc_id = pa.concat_arrays(ids)
+        known = doc_id.is_valid().to_numpy(zero_copy_only=False)
+        number = np.array(mark, _U)
+        home = int(mix64(np.array([len(number)], _U) + number[:1].sum())[0] % _U(n_buckets))
+        rows = [(home, DOCUMENT, doc_id.fill_null(0).to_numpy().tobytes(), np.array(n, np.int64).tobytes(), number.tobytes(), pa.concat_arrays(keys).to_numpy().tobytes() + known.tobytes()), (home, FOLLOWS, leader.tobytes(), follower.tobytes(), b"", b"")]
+        rows += [(int(k), MEETS, sign[p].tobytes(), least[p].tobytes(), b"", b"") for k, p in zip(there, parts, strict=True)]
+        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], wire)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = ([], [], [], [], [], [])
+        seen: set[int] = set()
+        total = 0
+        for whole in batches:
+            for batch in text_slices(whole, "text"):
+                ids, keys, n, mark, signs, marks = held
+                for s in shingle_sets(batch["text"], size):
                     n.append(len(s))
-                    packed.append(blob)
-                    copies.append(same)
-                    earlier.append(ordered[:k].tobytes() if every else b"")
-        numbers = [pa.array(x, pa.int64()) for x in (root, mark, n)]
-        return pa.RecordBatch.from_arrays([*numbers, pa.array(packed, pa.binary()), pa.array(copies, pa.int64()), pa.array(earlier, pa.binary())], ["root", "mark", "n", "shingles", "copies", "earlier"])
+                    mark.append(_print(s))
+                    if len(s) and mark[-1] not in seen:
+                        seen.add(mark[-1])
+                        signs.append(signatures(s, percent))
+                        marks.append(np.full(len(signs[-1]), mark[-1], _U))
+                ids.append(batch["doc_id"])
+                keys.append(batch["key"])
+                total += batch["text"].nbytes
+                if total >= CHUNK_BYTES:
+                    yield chunk(*held)
+                    held, total = ([], [], [], [], [], []), 0
+                    seen.clear()
+        if held[0]:
+            yield chunk(*held)
+        pa.default_memory_pool().release_unused()
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(what: int, a: pa.Array, *rest: np.ndarray) -> pa.RecordBatch:
+            columns = [as_long(x) for x in rest] + [pa.nulls(len(a), pa.int64())] * (3 - len(rest))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), what), pa.int32()), a, *columns], ["what", "a", "b", "c", "d"])
+
+        for rows in row_groups(batches, ["bucket"]):
+            signs, marks = [np.zeros(0, _U)], [np.zeros(0, _U)]
+            for what, x, y, z, w in zip(*(rows[c].to_pylist() for c in wire[1:]), strict=True):
+                if what == MEETS:
+                    signs.append(np.frombuffer(x, _U))
+                    marks.append(np.frombuffer(y, _U))
+                elif what == FOLLOWS:
+                    yield out(FOLLOWS, as_long(np.frombuffer(x, _U)), np.frombuffer(y, _U))
+                else:
+                    m = len(x) // 8
+                    ids = pa.array(np.frombuffer(x, np.int64), mask=~np.frombuffer(w[8 * m :], bool))
+                    yield out(DOCUMENT, ids, np.frombuffer(y, np.int64), np.frombuffer(z, _U), np.frombuffer(w[: 8 * m], np.int64))
+            root, mark = _meet(np.concatenate(signs), np.concatenate(marks))
+            yield out(MEETS, as_long(root), mark)
+
+    sent = docs.select("doc_id", "text", "key").mapInArrow(send, "bucket long, what int, x binary, y binary, z binary, w binary")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(receive, "what int, a long, b long, c long, d long")
+
+
+def _members(described: DataFrame) -> DataFrame:
+    """(root, mark) of all meeting groups: marks that follow one are in its groups, or in one of its own if it has none."""
+    meets = described.where(F.col("what") == MEETS).select(F.col("a").alias("root"), F.col("b").alias("lead")).distinct()
+    follows = described.where(F.col("what") == FOLLOWS).select(F.col("a").alias("lead"), F.col("b").alias("mark")).distinct()
+    alone = follows.select("lead").distinct().join(meets, "lead", "left_anti")
+    groups = meets.union(alone.select("lead", "lead"))
+    return groups.select("root", F.col("lead").alias("mark")).union(groups.join(follows, "lead").select("root", "mark")).distinct()
+
 
-    return map_batches(docs, run, "root long, mark long, n long, shingles binary, copies long, earlier binary", "text")
+_ZSTD = "zstd"
 
 
-def _joined(rows: DataFrame, keys: list[str], percent: int, every: bool = False) -> DataFrame:
+def _folded(text: bytes) -> bytes:
+    return len(text).to_bytes(8, "little") + pa.compress(text, _ZSTD, asbytes=True)
+
+
+def _opened(packed: list[bytes], size: int) -> list[np.ndarray]:
+    texts = [pa.decompress(x[8:], int.from_bytes(x[:8], "little"), _ZSTD, asbytes=True) for x in packed]
+    return list(shingle_sets(pa.array(texts, pa.large_binary()), size))
+
+
+def _sets(docs: DataFrame, size: int, every: bool) -> DataFrame:
+    """(root, b, mark, n, packed, copies, earlier) of one document for each set and group."""
+    names = ["root", "b", "mark", "n", "packed", "copies", "earlier"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in batches:
+            for batch in text_slices(whole, "text"):
+                out: list[list] = [[] for _ in names]
+                texts = batch["text"].cast(pa.large_binary())
+                for k, (want, n, same, roots) in enumerate(zip(*(batch[c].to_pylist() for c in ("mark", "n", "copies", "roots")), strict=True)):
+                    if want in seen:
+                        continue
+                    seen.add(want)
+                    packed = _folded(texts[k].as_py())
+                    ordered = sorted((r["root"], r["b"]) for r in roots)
+                    numbers = np.array([r for r, _ in ordered], np.int64)
+                    for i, (root, b) in enumerate(ordered):
+                        for column, x in zip(out, (root, b, want, n, packed, same, numbers[:i].tobytes() if every else b""), strict=True):
+                            column.append(x)
+                kinds = [pa.int64()] * 4 + [pa.binary(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names)
+        pa.default_memory_pool().release_unused()
+
+    return docs.select("text", "mark", "n", "copies", "roots").mapInArrow(run, "root long, b long, mark long, n long, packed binary, copies long, earlier binary")
+
+
+def _joined(rows: DataFrame, keys: list[str], size: int, percent: int, every: bool = False) -> DataFrame:
     """Links (u, v) of marks within each group of ``keys``; where ``probe`` is set, between the two sides.
 
     With ``every``, also ``partners``: links that connect have 0, and a row (mark, mark) has a set's rows
@@ -264,11 +387,11 @@ def _joined(rows: DataFrame, keys: list[str], percent: int, every: bool = False)
         for group in row_groups(batches, keys):
             sides: tuple[dict, dict] = ({}, {})
             for mark, packed, probe, *more in zip(*(group[x].to_pylist() for x in carried), strict=True):
-                sides[probe].setdefault(mark, (np.frombuffer(packed, _U), *more))
+                sides[probe].setdefault(mark, (packed, *more))
             marks = [*sides[0], *sides[1]]
             two = group["two"][0].as_py()
             if len(sides[0]) and (len(sides[1]) if two else len(sides[0]) > 1):
-                own, probes = ([x[0] for x in side.values()] for side in sides)
+                own, probes = (_opened([x[0] for x in side.values()], size) for side in sides)
                 if every:
                     extra = [*sides[0].values(), *sides[1].values()]
                     count = Count(np.array([x[1] for x in extra]), [np.frombuffer(x[2], np.int64) for x in extra], np.zeros(len(extra), np.int64))
@@ -288,53 +411,63 @@ def _joined(rows: DataFrame, keys: list[str], percent: int, every: bool = False)
                 u, v, c = [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (u, v, c)], names)
 
-    carried = ["mark", "shingles", "probe", *(["copies", "earlier"] if every else [])]
+    carried = ["mark", "packed", "probe", *(["copies", "earlier"] if every else [])]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
     found = dealt.select(*keys, *carried, "two").mapInArrow(run, "u long, v long, partners long")
     return found if every else found.select("u", "v")
 
 
-def _distances(rows: DataFrame, leaders: DataFrame) -> DataFrame:
-    """Members of large groups with ``d``, their Jaccard distance from the leader, and ``linked``."""
+def _distances(rows: DataFrame, size: int) -> DataFrame:
+    """Members of large groups with ``d``, their Jaccard distance from the leader, and ``linked``; a group's rows are dealt into its b parts."""
+    names = ["root", "b", "mark", "n", "packed", "common", "leader_n"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        common = [len(np.intersect1d(np.frombuffer(a, _U), np.frombuffer(b, _U), assume_unique=True)) for a, b in zip(batch["shingles"].to_pylist(), batch["leader"].to_pylist(), strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(common, pa.int64()), batch["leader_n"]], ["root", "mark", "n", "shingles", "common", "leader_n"])
-
-    both = rows.join(leaders, "root").select("root", "mark", "n", "shingles", "leader", "leader_n")
-    out = map_batches(both, run, "root long, mark long, n long, shingles binary, common long, leader_n long", "shingles")
+        leaders: dict[int, np.ndarray] = {}
+        common = []
+        for root, s, leader in zip(batch["root"].to_pylist(), _opened(batch["packed"].to_pylist(), size), batch["leader"].to_pylist(), strict=True):
+            if root not in leaders:
+                leaders[root] = _opened([leader], size)[0]
+            common.append(len(np.intersect1d(s, leaders[root], assume_unique=True)))
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in names[:5]), pa.array(common, pa.int64()), batch["leader_n"]], names)
+
+    leaders = rows.where("mark = root").groupBy("root").agg(F.first("packed").alias("leader"), F.first("n").alias("leader_n"), F.first("b").alias("b"))
+    leaders = leaders.select("root", "leader", "leader_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("i"))
+    both = rows.withColumn("i", F.pmod(F.xxhash64("mark", F.lit(3)), "b")).join(leaders, ["root", "i"]).select("root", "b", "mark", "n", "packed", "leader", "leader_n")
+    out = map_batches(both, run, "root long, b long, mark long, n long, packed binary, common long, leader_n long", "packed")
     return out.withColumn("d", 1 - F.col("common") / (F.col("n") + F.col("leader_n") - F.col("common")))
 
 
-def _large_links(rows: DataFrame, most: int, percent: int) -> DataFrame:
+def _parts(most: int, most_sets: int):
+    return F.greatest(F.lit(1), F.ceil(F.sum("n") / most), F.ceil(F.count("*") / most_sets)).cast("long")
+
+
+def _large_links(rows: DataFrame, size: int, percent: int, most: int, most_sets: int) -> DataFrame:
     """Links in groups larger than a task: leader first, then the rest in blocks."""
-    leaders = rows.where("mark = root").groupBy("root").agg(F.first("shingles").alias("leader"), F.first("n").alias("leader_n"))
-    near = staged(_distances(rows, leaders).withColumn("linked", F.expr(f"{100 + percent} * common >= {percent} * (n + leader_n)")))
+    near = staged(_distances(rows, size).withColumn("linked", F.expr(f"{100 + percent} * common >= {percent} * (n + leader_n)")).drop("b"))
     far = 1 - percent / 100
     rest = near.where("not linked")
-    size = rest.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / most)).alias("b"), F.min("d").alias("nearest"))
-    rest = rest.join(size, "root").withColumn("i", F.pmod(F.xxhash64("mark", F.lit(1)), "b"))
+    blocks_of = rest.groupBy("root").agg(_parts(most, most_sets).alias("b"), F.min("d").alias("nearest"))
+    rest = rest.join(blocks_of, "root").withColumn("i", F.pmod(F.xxhash64("mark", F.lit(1)), "b"))
     every = F.sequence(F.lit(0).cast("long"), F.col("b") - 1)
     # block against block of the rest, itself included; then the rest against what is linked and within reach
-    pairs = rest.select("root", "mark", "shingles", "b", "i", F.explode(every).alias("j"))
-    within = pairs.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.lit(0).alias("k"), "mark", "shingles", (F.col("i") > F.col("j")).cast("int").alias("probe"), (F.col("i") != F.col("j")).alias("two"))
-    reach = near.where("linked").join(size, "root").where(F.col("d") >= F.col("nearest") - far - 1e-9)
-    n = near.where("linked").groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / most)).alias("c"))
+    pairs = rest.select("root", "mark", "packed", "b", "i", F.explode(every).alias("j"))
+    within = pairs.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.lit(0).cast("long").alias("k"), "mark", "packed", (F.col("i") > F.col("j")).cast("int").alias("probe"), (F.col("i") != F.col("j")).alias("two"))
+    reach = near.where("linked").join(blocks_of, "root").where(F.col("d") >= F.col("nearest") - far - 1e-9)
+    n = near.where("linked").groupBy("root").agg(_parts(most, most_sets).alias("c"))
     reach = reach.join(n, "root").withColumn("k", 1 + F.pmod(F.xxhash64("mark", F.lit(2)), "c"))
-    a = reach.select("root", F.explode(every).alias("i"), F.lit(0).cast("long").alias("j"), "k", "mark", "shingles", F.lit(1).alias("probe"), F.lit(True).alias("two"))
-    r = rest.where(F.col("d") <= 2 * far + 1e-9).join(n, "root").select("root", "i", F.lit(0).cast("long").alias("j"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k"), "mark", "shingles", F.lit(0).alias("probe"), F.lit(True).alias("two"))
-    blocks = within.withColumn("k", F.col("k").cast("long")).unionByName(a).unionByName(r)
-    return near.where("linked and mark <> root").select(F.col("root").alias("u"), F.col("mark").alias("v")).union(_joined(blocks, ["root", "i", "j", "k"], percent))
+    a = reach.select("root", F.explode(every).alias("i"), F.lit(0).cast("long").alias("j"), "k", "mark", "packed", F.lit(1).alias("probe"), F.lit(True).alias("two"))
+    r = rest.where(F.col("d") <= 2 * far + 1e-9).join(n, "root").select("root", "i", F.lit(0).cast("long").alias("j"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"))).alias("k"), "mark", "packed", F.lit(0).alias("probe"), F.lit(True).alias("two"))
+    blocks = within.unionByName(a).unionByName(r)
+    return near.where("linked and mark <> root").select(F.col("root").alias("u"), F.col("mark").alias("v")).union(_joined(blocks, ["root", "i", "j", "k"], size, percent))
 
 
-def _all_blocks(rows: DataFrame, most: int, percent: int) -> DataFrame:
-    """_joined with ``every`` in groups larger than a task: each block with itself and with every other, each pair once."""
-    size = rows.groupBy("root").agg(F.ceil(F.sum("n") / most).alias("b"))
-    dealt = rows.join(size, "root").withColumn("i", F.pmod(F.xxhash64("mark", F.lit(1)), "b"))
+def _all_blocks(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """_joined with ``every``: each block of a group with itself and with every other, each pair once."""
+    dealt = rows.withColumn("i", F.pmod(F.xxhash64("mark", F.lit(1)), "b"))
     pairs = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)))
     probe = (F.col("i") > F.col("j")).cast("int").alias("probe")
-    blocks = pairs.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "mark", "shingles", "copies", "earlier", probe, (F.col("i") != F.col("j")).alias("two"))
-    return _joined(blocks, ["root", "i", "j"], percent, True)
+    blocks = pairs.select("root", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "mark", "packed", "copies", "earlier", probe, (F.col("i") != F.col("j")).alias("two"))
+    return _joined(blocks, ["root", "i", "j"], size, percent, True)
 
 
 def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -351,29 +484,37 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Words are runs of bytes other than space and \\t-\\r, A-Z as a-z. A set is a text's distinct shingles of
     ``size`` words; a text of fewer words is one shingle. Two rows link if 100 * |a & b| >= percent * |a | b|;
     component_id is the smallest id that a row reaches, itself included. Null and blank texts have empty
-    sets, n_shingles 0, and link with nothing. Equal texts link. Rows with a null id keep it and lend it to
-    nobody. Other columns are not read. Shingles count as equal if their 64-bit hashes are, sets if size and
+    sets, n_shingles 0, and link with nothing. Equal texts link. Rows with a null id link as all others do, but
+    have no id to lend: among such rows alone component_id is null. Other columns are not read. Very long texts
+    are whole sets; an empty table gives an empty table. Shingles count as equal if their 64-bit hashes are, sets if size and
     64-bit fingerprint are.
     """
     return _linked(docs, id_col, text_col, size, percent, group_shingles, False)
 
 
-def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, group_shingles: int, every: bool) -> DataFrame:
+def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, group_shingles: int, every: bool, group_sets: int = GROUP_SETS) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = staged(_described(docs, size))
-    classes = described.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("copies"))
-    signed = _signed(docs.where("doc_id IS NOT NULL"), size, percent)
-    roots = signed.groupBy("sign").agg(F.min("mark").alias("root"), F.max("mark").alias("top")).where("root < top").select("sign", "root")
-    members = staged(signed.join(roots, "sign").select("root", "mark").distinct())
-    need = members.groupBy("mark").agg(F.collect_set("root").alias("roots")).join(classes, "mark")
-    sets = staged(_sets(docs.join(need, "doc_id").select("doc_id", "text", "mark", "roots", "copies"), size, every))
-    weight = sets.groupBy("root").agg(F.sum("n").alias("weight"))
-    small = sets.join(weight.where(F.col("weight") <= group_shingles), "root").select("root", "mark", "shingles", "copies", "earlier", F.lit(0).alias("probe"), F.lit(False).alias("two"))
-    links = _joined(small, ["root"], percent, every)
-    heavy = weight.where(F.col("weight") > group_shingles).select("root")
-    if not heavy.isEmpty():
-        large = sets.join(heavy, "root")
-        links = links.union(_all_blocks(large, group_shingles, percent) if every else _large_links(large.drop("copies", "earlier"), group_shingles, percent))
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))  # names a row that has no id
+    passed = staged(_described(docs, size, percent))
+    described = passed.where(F.col("what") == DOCUMENT).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("mark"), F.col("d").alias("key"))
+    first = F.min_by("key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("key")
+    classes = described.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("copies"), F.max("n_shingles").alias("n"), first)
+    members = staged(_members(passed))
+    sized = members.join(classes.select("mark", "n"), "mark")
+    weight = sized.groupBy("root").agg(_parts(group_shingles, group_sets).alias("b"))
+
+    def sets(weight: DataFrame) -> DataFrame:
+        roots = members.join(weight, "root").groupBy("mark").agg(F.collect_list(F.struct("root", "b")).alias("roots"))
+        return _sets(docs.select("text", "key").join(roots.join(classes, "mark").drop("doc_id"), "key"), size, every)
+
+    if every:
+        links = _all_blocks(sets(weight), size, percent)
+    else:
+        small = sets(weight.where("b = 1")).select("root", "mark", "packed", F.lit(0).alias("probe"), F.lit(False).alias("two"))
+        links = _joined(small, ["root"], size, percent)
+        large = weight.where("b > 1")
+        if not large.isEmpty():
+            links = links.union(_large_links(sets(large).drop("copies", "earlier"), size, percent, group_shingles, group_sets))
     if every:
         links = staged(links)
     groups = connected_components(links)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -126,6 +127,50 @@ def test_large_group_whose_smallest_mark_has_only_null_ids(spark):
     assert got == {10 + k: 10 for k in range(11)}
 
 
+@pytest.mark.parametrize("most", [J.GROUP_SHINGLES, 150])
+def test_rows_without_an_id_link_others(spark, most):
+    """1 and 3 link only with a row that has no id; so do its copies, and they reach 1 as well."""
+    words = [f"w{k}" for k in range(100)]
+    change = lambda k: " ".join(words[k:] + [f"x{i}" for i in range(k)])
+    rows = [(3, change(0)), (None, change(5)), (1, change(10)), (None, change(5)), (None, "quite another"), (None, None), (8, "quite another")]
+    assert [tuple(x[2] for x in brute([(9 + k, t) for k, (_, t) in enumerate(part)])) for part in (rows[:3], [rows[0], rows[2]])] == [(9, 9, 9), (9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for f in (J.jaccard_components, J.jaccard_links):
+        got = sorted((x.doc_id or 0, x.component_id or 0) for x in f(docs, group_shingles=most).collect())
+        assert got == [(0, 0), (0, 1), (0, 1), (0, 8), (1, 1), (3, 1), (8, 8)]
+
+
+def test_marks_that_share_a_signature_share_a_group():
+    """Whatever chunks the marks come from: each pair is in the group of a root that chunks or buckets name."""
+    r = np.random.default_rng(11)
+    for _ in range(50):
+        signs = {m: r.integers(0, 30, 4).astype(np.uint64) for m in range(25)}
+        chunks = [[m for m in signs if r.random() < 0.4] for _ in range(4)]
+        sent = [J._packed(np.concatenate([signs[m] for m in c] or [np.zeros(0, np.uint64)]), np.repeat(np.array(c, np.uint64), 4)) for c in chunks]
+        root, lead = J._meet(*(np.concatenate([x[i] for x in sent]) for i in (0, 1)))
+        groups = {}
+        for a, b in zip(root.tolist(), lead.tolist(), strict=True):
+            groups.setdefault(b, set()).add(a)
+        of = {m: set(groups.get(m, ())) for c in chunks for m in c}
+        for x in sent:
+            for a, b in zip(x[2].tolist(), x[3].tolist(), strict=True):
+                of[a] |= groups.get(a, {a})
+                of[b] |= groups.get(a, {a})
+        for a in of:
+            for b in of:
+                if a != b and np.intersect1d(signs[a], signs[b]).size:
+                    assert of[a] & of[b]
+
+
+def test_many_half_alike_sets_are_walked_fast():
+    r = np.random.default_rng(13)
+    base = r.integers(0, 1 << 60, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(100) < 0.5], r.integers(0, 1 << 60, 50, dtype=np.uint64)])) for _ in range(J.GROUP_SETS)]
+    began = time.process_time()
+    assert J.trie_links(sets) == []
+    assert time.process_time() - began < 2
+
+
 def brute_counts(rows):
     """Each row's id with the number of other rows that it links with."""
     sets = [next(J.shingle_sets(pa.array([t or ""]), 4)) for _, t in rows]
