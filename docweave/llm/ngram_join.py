@@ -116,7 +116,11 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
     rank[np.lexsort((tokens, -times))] = np.arange(len(tokens))
     ranks = rank[inverse]
     cut = np.cumsum(sizes)[:-1]
-    rows = [np.sort(x) for x in np.split(ranks, cut)]
+    # a shingle of one set alone (they come last in the order) overlaps with nothing: the tree is built without
+    shared_by = np.sort(times)[::-1]
+    lone = int(np.searchsorted(-shared_by, -1, "left"))
+    rows = [np.sort(x[x < lone]) for x in np.split(ranks, cut)]
+    most_of = np.array([len(x) for x in rows])
     # the probes that hold each shingle
     first = sizes[:offset].sum()
     owner = np.repeat(np.arange(len(seek)), sizes[offset:])
@@ -130,8 +134,8 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
         m = min(len(a), len(b))
         differ = a[:m] != b[:m]
         shared[i] = int(differ.argmax()) if differ.any() else m
-    length = sizes[tree]
-    size_of = sizes[offset:]
+    length, whole_length = most_of[tree], sizes[tree]
+    size_of, most_of = sizes[offset:], most_of[offset:]
     label = np.arange(len(whole))
     found = np.zeros(len(seek), np.int64)
     out: list[tuple[int, int]] = []
@@ -149,14 +153,14 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
             n = b - a
             if total := int(n.sum()):
                 of = holders[np.repeat(a - np.cumsum(n) + n, n) + np.arange(total)]
-                if total > len(seek):
+                if len(run) > 1:
                     overlap = overlap + np.bincount(of, minlength=len(seek))[active]
-                else:  # few probes hold the run: count those alone
-                    np.add.at(found, of, 1)
+                else:
+                    found[of] = 1
                     overlap = overlap + found[active]
                     found[of] = 0
-        shortest, longest = int(length[lo:hi].min()), int(length[lo:hi].max())
-        most = overlap + np.minimum(size_of[active] - overlap, longest - end)
+        shortest, longest = int(whole_length[lo:hi].min()), int(length[lo:hi].max())
+        most = overlap + np.minimum(most_of[active] - overlap, longest - end)
         keep = most * (100 + percent) >= percent * (size_of[active] + shortest)
         active, overlap = active[keep], overlap[keep]
         if not len(active):
@@ -164,7 +168,7 @@ def trie_links(sets: list[np.ndarray], probes: list[np.ndarray] | None = None, p
         done = lo
         while done < hi and length[done] == end and (done == lo or shared[done] == end):
             me = int(tree[done])
-            linked = active[overlap * (100 + percent) >= percent * (size_of[active] + end)] + offset
+            linked = active[overlap * (100 + percent) >= percent * (size_of[active] + int(whole_length[done]))] + offset
             if count is not None:
                 linked = linked[linked != me]
                 if len(linked) and len(count.earlier[me]):
