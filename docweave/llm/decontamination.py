@@ -2,10 +2,13 @@
 
 ``index_segments`` turns the training documents into index segments: one row holds the postings of a
 bounded batch of documents (for each term the ascending positions where it stands, on one axis with gaps
-between documents). ``search_segments`` intersects, in each segment, the offset-adjusted postings of a
-phrase's terms, from the term that is rarest in that segment. Segments need no shuffle, are a few MB each,
-and can be stored and searched again. The benchmark is read in blocks of a bounded number of words, each
-broadcast once, so any size works.
+between documents). Segments need no shuffle, are a few MB each, and are stored. ``search_segments`` reads
+them and intersects, in each segment, the offset-adjusted postings of a phrase's terms, from the term that is
+rarest in that segment; ``near_matches`` does so within a distance. ``decontaminate`` stores the index of its
+documents in the shared folder and searches it.
+
+The benchmark is read in blocks of a bounded number of words. One block at a time is broadcast, searched for
+in all segments, and let go; what blocks find is brought together by document.
 """
 
 from __future__ import annotations
@@ -15,18 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import ALPHANUMERIC, as_long, map_batches, text_bytes, words
+from docweave.llm.common import ALPHANUMERIC, as_long, map_batches, staged, text_bytes, text_slices, words
 
 WINDOW = 10
 #: Bytes of text in one segment; a longer document is a segment by itself.
 SEGMENT_BYTES = 2 << 20
 #: Words of benchmark text in one broadcast block: about 16 MB of hashes and windows.
 BLOCK_WORDS = 1 << 20
-SEGMENT_SCHEMA = "doc_ids binary, n_words binary, terms binary, starts binary, positions binary"
+SEGMENT_SCHEMA = "seg long, doc_ids binary, n_words binary, terms binary, starts binary, positions binary"
 
 
 @dataclass
@@ -100,19 +103,25 @@ def index_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Index segments of the documents, each over about SEGMENT_BYTES of text; a longer document is a segment by itself.
 
     Null and empty texts are in the index with no words. Ids must be whole numbers; null ids are kept as
-    the smallest long. Empty tables give no segments.
+    the smallest long. Empty tables give no segments. ``seg`` numbers the segments of one table.
     """
 
-    def build(batch: pa.RecordBatch) -> pa.RecordBatch:
-        s = _segment(batch, window)
-        arrays = [_pack(_ids(batch), np.int64), _pack(s.n_words, np.int64), _pack(s.terms, np.uint64), _pack(s.starts, np.int64), _pack(s.positions, np.int32 if len(s.positions) < 1 << 30 else np.int64)]
-        return pa.RecordBatch.from_arrays(arrays, ["doc_ids", "n_words", "terms", "starts", "positions"])
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for batch in text_slices(whole, "text", SEGMENT_BYTES):
+                if batch.num_rows:
+                    s = _segment(batch, window)
+                    arrays = [_pack(_ids(batch), np.int64), _pack(s.n_words, np.int64), _pack(s.terms, np.uint64), _pack(s.starts, np.int64), _pack(s.positions, np.int32 if len(s.positions) < 1 << 30 else np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array([seg]), *arrays], ["seg", "doc_ids", "n_words", "terms", "starts", "positions"])
+                    seg += 1
+            pa.default_memory_pool().release_unused()
 
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), build, SEGMENT_SCHEMA, "text", SEGMENT_BYTES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(build, SEGMENT_SCHEMA)
 
 
 def _open(row: pa.RecordBatch, i: int, window: int) -> tuple[np.ndarray, Segment]:
-    raw = {name: row.column(name)[i].as_buffer() for name in row.schema.names}
+    raw = {name: row.column(name)[i].as_buffer() for name in row.schema.names if name != "seg"}
     n = np.frombuffer(raw["n_words"], np.int64)
     starts = np.frombuffer(raw["starts"], np.int64)
     wide = len(raw["positions"]) > 4 * starts[-1]
@@ -136,13 +145,14 @@ def _windows(items: pa.Table, window: int) -> tuple[list, np.ndarray, np.ndarray
     return items.column(0).to_pylist(), hashes, np.stack([cat(first), cat(item), cat(size)])
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[pa.Table]:
-    """The items in blocks of about ``block_words`` words, read one after the other; a block fits in a broadcast."""
-    sized = benchmark.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)) / 2 + 1)
+def _blocks(items: DataFrame, block_words: int, window: int) -> Iterator[tuple]:
+    """The windows of the items in blocks of about ``block_words`` words, read one after the other; an item is never split."""
+    sized = items.withColumn("_size", F.octet_length("text") / 2 + 1)
     total = sized.agg(F.sum("_size")).first()[0] or 0
     n = max(1, int(np.ceil(total / block_words)))
     for k in range(n):
-        yield sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").toArrow()
+        block = sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else sized
+        yield _windows(block.select("item_id", "text").toArrow(), window)
 
 
 def _search(segment: Segment, block: tuple) -> dict[int, list[tuple[int, int, int]]]:
@@ -179,27 +189,42 @@ def _merged(spans: list[tuple]) -> list[tuple]:
 RESULT_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<item:string,first:int,end:int>>"
 
 
-def _shared(spark: SparkSession, benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> list[Broadcast]:
-    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
-    return [spark.sparkContext.broadcast(_windows(block, window)) for block in _blocks(items, block_words)]
+FOUND_SCHEMA = "seg long, doc int, item string, first int, end int"
 
 
-def _matches(doc_ids: np.ndarray, segment: Segment, shared: list[Broadcast]) -> pa.RecordBatch:
-    """A row for each document of the segment: what all benchmark blocks match in it."""
+def _results(doc_ids: np.ndarray, n_words: np.ndarray, spans_of: dict[int, list[tuple]]) -> pa.RecordBatch:
+    """A row for each document; ``spans_of`` has the matches of some."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("item", pa.string()), ("first", pa.int32()), ("end", pa.int32())])))])
-    found: dict[int, list] = {}
-    for block in shared:
-        names = block.value[0]
-        for doc, spans in _search(segment, block.value).items():
-            found.setdefault(doc, []).extend((names[item], a, b) for item, a, b in spans)
     n = len(doc_ids)
-    hit, items_of, spans_of = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
-    for doc, spans in found.items():
+    hit, items, runs_of = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
+    for doc, spans in spans_of.items():
         hit[doc] = sum(b - a for _, a, b in _merged([("", a, b) for _, a, b in spans]))
         runs = _merged(spans)
-        items_of[doc] = sorted({x[0] for x in runs})
-        spans_of[doc] = [{"item": x, "first": a, "end": b} for x, a, b in runs]
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(segment.n_words), pa.array(hit), pa.array(items_of, schema.field("items").type), pa.array(spans_of, schema.field("spans").type)], schema=schema)
+        items[doc] = sorted({x[0] for x in runs})
+        runs_of[doc] = [{"item": x, "first": a, "end": b} for x, a, b in runs]
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(n_words), pa.array(hit), pa.array(items, schema.field("items").type), pa.array(runs_of, schema.field("spans").type)], schema=schema)
+
+
+def _segments_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int, np.ndarray, Segment]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch["seg"][i].as_py(), *_open(batch, i, window)
+
+
+def _found(segment: Segment, block: tuple) -> dict[int, list[tuple]]:
+    return {doc: [(block[0][item], a, b) for item, a, b in spans] for doc, spans in _search(segment, block).items()}
+
+
+def _search_block(segments: DataFrame, shared: Broadcast, window: int) -> DataFrame:
+    """What one block of the benchmark finds in the index, stored: the spans of each item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, _, segment in _segments_of(batches, window):
+            rows = [(seg, doc, *span) for doc, spans in _found(segment, shared.value).items() for span in _merged(spans)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["seg", "doc", "item", "first", "end"])
+
+    return staged(segments.mapInArrow(run, FOUND_SCHEMA))
 
 
 def search_segments(segments: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -209,16 +234,47 @@ def search_segments(segments: DataFrame, benchmark: DataFrame, id_col: str = "it
     Columns: doc_id, n_words, n_hit (words inside any occurrence), items (their ids as text, sorted, each
     once), spans (for each item the runs of words covered: first and end, counted from 0). Items that share
     an id count as one item. Null item ids and texts match nothing. Documents without a match, and all
-    documents if the benchmark is empty, have n_hit 0 and empty lists.
+    documents if the benchmark is empty, have n_hit 0 and empty lists. Equal documents have equal rows; very
+    long ones are segments by themselves. Other columns are not read. A benchmark of one block is searched in
+    the pass that gives the result; of several, each is a pass over the index, and the result another.
     """
-    shared = _shared(segments.sparkSession, benchmark, id_col, text_col, window, block_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = segments.sparkSession
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
+    parts: list[DataFrame] = []
+    before = None
+    for block in _blocks(items, block_words, window):
+        if before is not None:
+            parts.append(_search_block(segments, before, window))
+            before.unpersist()
+        before = spark.sparkContext.broadcast(block)
+    if not parts:
+        shared = before
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, doc_ids, segment in _segments_of(batches, window):
+                yield _results(doc_ids, segment.n_words, _found(segment, shared.value))
+
+        return segments.mapInArrow(run, RESULT_SCHEMA)
+    parts.append(_search_block(segments, before, window))
+    before.unpersist()
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                yield _matches(*_open(batch, i, window), shared)
+            for seg, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                doc_ids, n_words = (np.frombuffer(x, np.int64) for x in packed)
+                n = len(doc_ids)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seg)), pa.array(np.arange(n, dtype=np.int32)), pa.array(doc_ids), pa.array(n_words)], ["seg", "doc", "doc_id", "n_words"])
+
+    def brought(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans = {k: [(x["item"], x["first"], x["end"]) for x in s] for k, s in enumerate(batch["spans"].to_pylist()) if s}
+        return _results(batch["doc_id"].to_numpy(), batch["n_words"].to_numpy(), spans)
 
-    return segments.mapInArrow(run, RESULT_SCHEMA)
+    spans = found.groupBy("seg", "doc").agg(F.collect_list(F.struct("item", "first", "end")).alias("spans"))
+    rows = segments.select("seg", "doc_ids", "n_words").mapInArrow(listed, "seg long, doc int, doc_id long, n_words long").join(spans, ["seg", "doc"], "left")
+    return map_batches(rows.select("doc_id", "n_words", "spans"), brought, RESULT_SCHEMA)
 
 
 def near_matches(segments: DataFrame, terms: list[str], slop: int, window: int = WINDOW) -> DataFrame:
@@ -227,21 +283,15 @@ def near_matches(segments: DataFrame, terms: list[str], slop: int, window: int =
     wanted, _, _, _ = words(raw, bounds, ALPHANUMERIC)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                doc_ids, segment = _open(batch, i, window)
-                at = segment.near(wanted, slop)
-                d = segment.document(at)
+        for _, doc_ids, segment in _segments_of(batches, window):
+            at = segment.near(wanted, slop)
+            d = segment.document(at)
+            if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids[d]), as_long(at - segment.base[d])], ["doc_id", "word"])
 
     return segments.mapInArrow(run, "doc_id long, word long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``search_segments`` over ``index_segments`` in one worker: segments are built, searched and dropped, no shuffle."""
-    shared = _shared(docs.sparkSession, benchmark, "item_id", "text", window, block_words)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return _matches(_ids(batch), _segment(batch, window), shared)
-
-    return map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, RESULT_SCHEMA, "text", SEGMENT_BYTES)
+    """``search_segments`` over the index of ``docs``, stored in the shared folder."""
+    return search_segments(staged(index_segments(docs, id_col, text_col, window)), benchmark, window=window, block_words=block_words)
