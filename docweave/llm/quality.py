@@ -203,7 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, most:
 
 
 def score(docs: DataFrame, network: ByteNetwork) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: good likelier) from the whole text; null counts as empty."""
+    """``docs`` with ``score`` (0 to 1, higher: good likelier) from the whole text, however long; null counts as empty.
+
+    A column ``score`` of ``docs`` is replaced; all others stay.
+    """
     network.first = network.second = {}
     shared = docs.sparkSession.sparkContext.broadcast(network)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score") + ", score double"

@@ -12,6 +12,8 @@ the toxic texts among the unlabelled away by overfitting.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,17 +143,32 @@ def nn_pu_fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
     return Toxicity(weights, float(b))
 
 
-def _sample(rows: DataFrame, most: int, share: float = 1.0) -> list[np.ndarray]:
-    """The word buckets of at most ``most`` rows, those whose ids hash lowest."""
+def nn_risk(score_p: np.ndarray, score_u: np.ndarray, prior: float) -> float:
+    """The non-negative risk of scores of the positives and of the unlabelled."""
+    at_least = lambda x: np.log(np.maximum(x, 1e-12))
+    return float(-prior * at_least(score_p).mean() + max(0.0, -at_least(1 - score_u).mean() + prior * at_least(1 - score_p).mean()))
+
+
+def hash_bound(share: float) -> int:
+    """The signed 64-bit number that a ``share`` of all hashes don't exceed."""
+    return min(int(share * (1 << 64)), (1 << 64) - 1) - (1 << 63)
+
+
+def _share(n: int, most: int) -> float:
+    """The share of ``n`` rows that surely holds the ``most`` lowest hashes: half as many again and some."""
+    return min(1.0, (1.5 * most + 100) / max(n, 1))
+
+
+def _sample(rows: DataFrame, most: int, share: float = 1.0) -> DataFrame:
+    """The word buckets (``words``, packed) of at most ``most`` rows, those whose ids hash lowest."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, bounds = word_buckets(batch.column(1))
         packed = [at[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["doc_id", "words"])
 
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    got = map_batches(picked.select("doc_id", "text"), run, "doc_id long, words binary", "text").orderBy(F.xxhash64("doc_id", F.lit(11)), "words").limit(most)
-    return [np.frombuffer(r.words, np.int32).astype(np.int64) for r in got.select("words").collect()]
+    picked = rows.where(F.xxhash64("doc_id") <= F.lit(hash_bound(share)))
+    return map_batches(picked.select("doc_id", "text"), run, "doc_id long, words binary", "text").orderBy(F.xxhash64("doc_id"), "words").limit(most).select("words")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, prior: float | None = None) -> Toxicity:
@@ -159,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, prior:
 
     Positives are texts labelled 1; unlabelled ones are drawn from all texts of ids in ``train``, whatever
     their label. ``prior``, the toxic share of all texts, is by default the labels' own share (0.05 without
-    labels). The fit uses at most MOST_POSITIVE and MOST_UNLABELLED texts, chosen by a hash of their ids.
+    labels). The fit uses at most MOST_POSITIVE and MOST_UNLABELLED texts, those whose ids hash lowest, in one
+    task; only the model comes to the driver.
     """
     train = F.lit(True) if train is None else train
     known = labels.where(train & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -167,13 +185,37 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, prior:
     if prior is None:
         prior = float(counts[1] or 0) / counts[0] if counts[0] else 0.05
     docs = docs.where(train & F.col("doc_id").isNotNull())
-    share = lambda n, most: min(1.0, 1.5 * most / max(n, 1) + 100 / max(n, 1))
     positive = docs.join(known.where("toxic = 1"), "doc_id", "left_semi")
-    return nn_pu_fit(_sample(positive, MOST_POSITIVE, share(counts[1] or 0, MOST_POSITIVE)), _sample(docs, MOST_UNLABELLED, share(docs.count(), MOST_UNLABELLED)), prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides: tuple[list, list] = ([], [])
+        for batch in batches:
+            for side, packed in zip(batch["side"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                sides[side].append(np.frombuffer(packed, np.int32).astype(np.int64))
+        model = nn_pu_fit(*sides, prior)
+        at = np.flatnonzero(model.weights)
+        lean = pickle.dumps((at, model.weights[at], model.bias))
+        yield pa.RecordBatch.from_arrays([pa.array([lean], pa.binary()), pa.array([len(sides[1])])], ["model", "n"])
+
+    n = docs.count()
+    for share in (_share(n, MOST_UNLABELLED), 1.0):
+        p = _sample(positive, MOST_POSITIVE, _share(counts[1] or 0, MOST_POSITIVE) if share < 1 else 1.0)
+        u = _sample(docs, MOST_UNLABELLED, share)
+        both = p.select(F.lit(0).alias("side"), "words").union(u.select(F.lit(1).alias("side"), "words"))
+        made = both.coalesce(1).mapInArrow(run, "model binary, n long").first()
+        if made.n >= min(n, MOST_UNLABELLED) or share == 1.0:  # few ids with very many rows can miss the share: then all rows are looked at
+            break
+    at, weights, bias = pickle.loads(made.model)
+    model = Toxicity(np.zeros(BUCKETS), bias)
+    model.weights[at] = weights
+    return model
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: toxic likelier) from the whole text; null counts as empty."""
+    """``docs`` with ``score`` (0 to 1, higher: toxic likelier) from the whole text, however long; null counts as empty.
+
+    A column ``score`` of ``docs`` is replaced; all others stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score") + ", score double"
 

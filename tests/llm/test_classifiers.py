@@ -98,5 +98,67 @@ def test_long_texts_are_learnt_whole(spark):
     text = " ".join(f"{k * 7919:x}" for k in range(30000))
     want = toxicity.word_buckets(pa.array([text]))[0]
     assert len(want) > 20000
-    (got,) = toxicity._sample(spark.createDataFrame([(1, text)], "doc_id long, text string"), 10)
-    assert got.tolist() == want.tolist()
+    (got,) = toxicity._sample(spark.createDataFrame([(1, text)], "doc_id long, text string"), 10).collect()
+    assert np.frombuffer(got.words, np.int32).tolist() == want.tolist()
+
+
+def test_samples_of_huge_tables():
+    """With 5e10 rows the share is tiny but the hashes below its bound are still that share, never none."""
+    for n in (1, 10**6, 10**9, 5 * 10**10, 10**13):
+        share = toxicity._share(n, toxicity.MOST_UNLABELLED)
+        below = toxicity.hash_bound(share) + (1 << 63)
+        assert 0 < below < 1 << 64 and abs(below / 2**64 - share) <= 1e-6 * share
+        assert share == 1 or share * n >= 1.5 * toxicity.MOST_UNLABELLED
+
+
+def test_one_id_with_most_rows_is_still_sampled(spark):
+    docs = spark.range(40_000).selectExpr("if(id < 100, id, 7777) AS doc_id", "concat('word', id % 50, ' some text') AS text")
+    model = toxicity.fit(docs, spark.createDataFrame([(k, int(k < 5)) for k in range(100)], "doc_id long, toxic int"))
+    assert np.isfinite(model.bias) and 0 < model.score(pa.array(["word1"]))[0] < 1
+
+
+def test_risk_and_scores_against_plain_versions():
+    r = np.random.default_rng(4)
+    sp, su = r.random(30), r.random(70)
+    for prior in (0.05, 0.4, 0.9):
+        positive = sum(-np.log(x) for x in sp) / 30
+        as_negative = sum(-np.log(1 - x) for x in sp) / 30
+        unlabelled = sum(-np.log(1 - x) for x in su) / 70
+        assert np.isclose(toxicity.nn_risk(sp, su, prior), prior * positive + max(0, unlabelled - prior * as_negative))
+    bad, mixed = [f"w{k % 7} awful thing{k}" for k in range(40)], [f"w{k % 7} {'awful' if k < 40 else 'plain'} thing{k}" for k in range(400)]
+    rows = lambda x: [toxicity.word_buckets(pa.array([t]))[0] for t in x]
+    model = toxicity.nn_pu_fit(rows(bad), rows(mixed), 0.1)
+
+    def plain(text):
+        z = model.bias
+        found = set()
+        for w in text.split():
+            found |= set(toxicity.word_buckets(pa.array([w]))[0].tolist())
+        return 1 / (1 + np.exp(-(z + sum(model.weights[b] for b in found))))
+
+    texts = [*bad[:5], *mixed[:60:7], "", "AWFUL awful"]
+    assert np.allclose(model.score(pa.array(texts)), [plain(t.lower()) for t in texts])
+    risk = lambda m: toxicity.nn_risk(m.score(pa.array(bad)), m.score(pa.array(mixed)), 0.1)
+    assert risk(model) < 0.7 * risk(toxicity.Toxicity(np.zeros(toxicity.BUCKETS), np.log(0.1 / 0.9)))
+
+
+def test_network_scores_against_a_naive_forward_pass():
+    """Filters, chunks and pools written out in loops, one text at a time."""
+    network = quality.ByteNetwork(7)
+    p, width, cell = network.p, quality.WIDTH, quality.CELL
+
+    def naive(text):
+        raw = text.encode()
+        n, padded = len(raw), raw + bytes(width)
+        z = [sum(p["embedding"][padded[i + j]] @ p["filters"][j * quality.EMBEDDED : (j + 1) * quality.EMBEDDED] for j in range(width)) for i in range(n)]
+        cells = -(-(n + width - 1) // cell)
+        top = [np.max(z[c * cell : (c + 1) * cell], axis=0) + p["shift"] if z[c * cell :] else np.full(quality.FILTERS, -1e9) for c in range(cells)]
+        chunks = [np.maximum(0, np.max(top[k * quality.STEP : k * quality.STEP + quality.CELLS], axis=0)) for k in range(max(1, -(-(cells - quality.CELLS) // quality.STEP) + 1))]
+        size = [np.log1p(n) / 4, min(n, cell * quality.CELLS) / (cell * quality.CELLS) * 2]
+        whole = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0), np.min(chunks, axis=0), size])
+        hidden = np.tanh(whole @ p["hidden"] + p["hidden_shift"])
+        return 1 / (1 + np.exp(-(hidden @ p["out"] + p["out_shift"][0])))
+
+    texts = ["", "a", "Some words of a text. " * 9, "é ### " * 40, "x" * 63, "yz" * 700]
+    got = network.score(pa.array(texts))
+    assert np.allclose(got, [naive(t) for t in texts], atol=1e-4) and len({round(float(x), 6) for x in got}) == len(texts)
