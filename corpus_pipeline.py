@@ -1,7 +1,8 @@
 """Five operators in a row over a corpus: documents in, digests of encoded clean documents out.
 
 Each stage takes all rows that its predecessor kept; all but the last return the columns of documents.
-Rows without an id can't be named by a decision on ids: the Jaccard stage keeps them.
+Decisions are on rows, not ids: rows without an id, or with the id of another text, are judged as all others,
+and columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -37,18 +38,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (5-word shingles, similarity 0.8), and one of equal rows."""
-    groups = ngram_join.jaccard_components(docs, size=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))))
-    return stay.where("_n = 1").select(docs.columns).union(docs.where("doc_id is null"))
+    """One row of each group of near copies (5-word shingles, similarity 0.8): the one with the smallest id, rows without an id last.
+
+    Equal rows count as one, also if they have no words; other rows without words are groups by themselves.
+    """
+    names = docs.columns
+    key = F.xxhash64(*names, *(F.col(c).isNull() for c in names)).alias("key")
+    rows = docs.select(F.struct(*names).alias("row"), "doc_id", "text", key)
+    groups = ngram_join.jaccard_components(rows, id_col="key", size=5, percent=80).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    least = groups.join(rows.select("key", "doc_id").distinct(), "key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    one = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    return rows.withColumn("n", one).where("n = 1").join(least.select("least.key"), "key", "left_semi").select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item stands."""
-    found = decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark"))
-    hit = found.where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, F.coalesce(docs.doc_id, F.lit(-(1 << 63))) == hit["_hit"], "left_anti")
+    """Documents in whose text no window of a benchmark item stands."""
+    text = F.xxhash64(docs["text"])
+    found = decontamination.decontaminate(docs.select(text.alias("key"), "text"), _table(spark, sf_dir, "benchmark"), id_col="key")
+    hit = staged(found.where("n_hit > 0").select(F.col("doc_id").alias("hit")).distinct())
+    return docs.join(hit, text == hit["hit"], "left_anti")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
