@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,29 +18,40 @@ SUMMARY_WORDS = ("总结", "概括", "综述", "主要内容", "核心内容", "
 QA_MODES = ("auto", "joint", "compare", "summary")
 
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space (Unicode) at the ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space (Unicode) at the ends; looks at the ends only."""
+    return F.btrim(c, F.lit(WHITE))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it stands in the expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def windows(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Overlapping windows of a text: an array of stripped pieces, the last one ending with the text; blanks fall out."""
-    t = strip(text)
-    n = F.when(F.length(t) <= size, 1).otherwise(F.ceil((F.length(t) - size) / F.lit(size - overlap)) + 1).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: strip(F.substring(t, i * (size - overlap) + 1, F.lit(size))))
-    return F.filter(F.when(F.length(t) > 0, cut).otherwise(F.array().cast("array<string>")), lambda x: F.length(x) > 0)
+
+    def cut(t: Column) -> Column:
+        n = F.when(F.length(t) <= size, 1).otherwise(F.ceil((F.length(t) - size) / F.lit(size - overlap)) + 1).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: strip(F.substring(t, i * (size - overlap) + 1, F.lit(size))))
+        return F.filter(F.when(F.length(t) > 0, pieces).otherwise(F.array().cast("array<string>")), lambda x: F.length(x) > 0)
+
+    return let(strip(text), cut)
 
 
 def paragraphs(text: Column) -> Column:
     """Stripped parts between blank lines; where there is but one, stripped lines."""
     some = lambda parts: F.filter(F.transform(parts, strip), lambda x: F.length(x) > 0)
-    blocks = some(F.split(F.replace(strip(text), F.lit("\r\n"), F.lit("\n")), "\n\n"))
-    return F.when(F.size(blocks) > 1, blocks).otherwise(some(F.split(strip(text), "\n")))
+    blocks = lambda t: some(F.split(F.replace(t, F.lit("\r\n"), F.lit("\n")), "\n\n"))
+    return let(strip(text), lambda t: let(blocks(t), lambda b: F.when(F.size(b) > 1, b).otherwise(some(F.split(t, "\n")))))
 
 
 def packed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Paragraphs packed greedily, joined by a blank line, up to ``size``; longer ones in windows."""
-    t = strip(text)
     start = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("done"))
 
     def step(a: Column, p: Column) -> Column:
@@ -49,9 +62,12 @@ def packed_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
             .otherwise(F.struct(p.alias("now"), F.concat(a["done"], F.array(a["now"])).alias("done")))
         )
 
-    packs = F.aggregate(paragraphs(t), start, step, lambda a: F.concat(a["done"], F.array(a["now"])))
-    many = F.flatten(F.transform(packs, lambda p: windows(p, size, overlap)))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= size, F.array(t)).otherwise(many)
+    def chunks(t: Column) -> Column:
+        packs = F.aggregate(paragraphs(t), start, step, lambda a: F.concat(a["done"], F.array(a["now"])))
+        many = F.flatten(F.transform(packs, lambda p: windows(p, size, overlap)))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.length(t) <= size, F.array(t)).otherwise(many)
+
+    return let(strip(text), chunks)
 
 
 def disjoint_windows(text: Column, size: int) -> Column:
@@ -96,6 +112,7 @@ def preview(text: Column, most: int = 220) -> Column:
     return F.when(F.length(one) > most, F.concat(F.substring(one, 1, most), F.lit("..."))).otherwise(one)
 
 
+#: The blocks of CJK characters.
 _CJK = "\\u4e00-\\u9fff\\u3400-\\u4dbf\\x{20000}-\\x{2a6df}\\x{2a700}-\\x{2b73f}\\x{2b740}-\\x{2b81f}\\x{2b820}-\\x{2ceaf}\\uf900-\\ufaff"
 
 
@@ -115,10 +132,16 @@ def casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 
 
+def _beyond_ascii(text: Column, plain: Column, full: Callable[[Column], Column]) -> Column:
+    """``plain`` of ASCII texts and ``full`` of others; Python, which Spark runs before the choice, gets null for ASCII."""
+    ascii_only = text.rlike("^[\\x00-\\x7f]*$")
+    return F.coalesce(F.when(ascii_only, plain), full(F.when(~ascii_only, text)))
+
+
 def digest(content: Column) -> Column:
     """sha256 of the content: NFKC where it isn't ASCII, newlines \\n, ends stripped."""
     c = F.coalesce(content, F.lit(""))
-    c = F.when(c.rlike("^[\\x00-\\x7f]*$"), c).otherwise(nfkc(c))
+    c = _beyond_ascii(c, c, nfkc)
     return F.sha2(strip(F.regexp_replace(c, "\r\n?", "\n")), 256)
 
 
@@ -130,7 +153,7 @@ def page_number(page: Column) -> Column:
 def normal_name(name: Column) -> Column:
     """Stripped, case-folded, inner white space single. Folding beyond lower case runs only where it can differ."""
     n = F.coalesce(name, F.lit(""))
-    n = F.when(n.rlike("^[\\x00-\\x7f]*$"), F.lower(n)).otherwise(casefold(n))
+    n = _beyond_ascii(n, F.lower(n), casefold)
     return strip(F.regexp_replace(n, r"(?U)\s+", " "))
 
 
@@ -180,12 +203,38 @@ def redacted(message: Column, secrets: tuple[str, ...] = ()) -> Column:
     return m
 
 
+#: What stands for a graph store's address and for a secret, and the schemes of such addresses.
+GRAPH_ADDRESS, GRAPH_SECRET = "[REDACTED_NEO4J_URI]", "[REDACTED_SECRET]"
+GRAPH_SCHEMES = ("bolt", "bolt+s", "bolt+ssc", "neo4j", "neo4j+s", "neo4j+ssc")
+
+
 def graph_redacted(message: Column, most: int = 500) -> Column:
-    """Like ``redacted`` for graph-store errors: addresses and secrets by name, white space single, cut with an ellipsis."""
-    m = F.regexp_replace(F.coalesce(message, F.lit("")), r"(?i)\b(?:neo4j|bolt)(?:\+s|\+ssc)?://\S+", "[REDACTED_NEO4J_URI]")
-    m = F.regexp_replace(m, r"(?i)\b(?:password|token|api[_-]?key)\s*[:=]\s*\S+", "[REDACTED_SECRET]")
-    m = strip(F.regexp_replace(m, r"(?U)\s+", " "))
-    return F.when(F.length(m) > most, F.concat(F.substring(m, 1, most - 1), F.lit("…"))).otherwise(m)
+    """A graph store's message on one line, word by word: its addresses and the values of SECRET_KEYS masked, cut with an ellipsis.
+
+    A key and its value may be one word (key=value), or the sign and the value may be words of their own.
+    """
+    key = rf"(?i)^[^\w]*(?:{'|'.join(sorted(SECRET_KEYS, key=len, reverse=True))})"
+    address = rf"(?i)^\W*(?:{'|'.join(re.escape(s) for s in GRAPH_SCHEMES)})://"
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("wait"))
+
+    def word(a: Column, w: Column) -> Column:
+        def then(shown: Column, wait: str) -> Column:
+            return F.struct(shown.alias("out"), F.lit(wait).alias("wait"))
+
+        masked = F.concat(a["out"], F.array(F.lit(GRAPH_SECRET)))
+        return (
+            F.when((a["wait"] == "value") | (a["wait"] == "sign") & w.rlike(r"^[:=]\S"), then(masked, ""))
+            .when((a["wait"] == "sign") & w.isin(":", "="), then(a["out"], "value"))
+            .when(w.rlike(address), then(F.concat(a["out"], F.array(F.lit(GRAPH_ADDRESS))), ""))
+            .when(w.rlike(key + r"[\"']?[:=]\S"), then(masked, ""))
+            .when(w.rlike(key + r"[\"']?[:=]$"), then(a["out"], "value"))
+            .when(w.rlike(key + r"[\"']?$"), then(F.concat(a["out"], F.array(w)), "sign"))
+            .otherwise(then(F.concat(a["out"], F.array(w)), ""))
+        )
+
+    words = F.filter(F.split(strip(F.regexp_replace(F.coalesce(message, F.lit("")), r"(?U)\s+", " ")), " "), lambda w: w != "")
+    line = F.array_join(F.aggregate(words, start, word, lambda a: a["out"]), " ")
+    return let(line, lambda m: F.when(F.length(m) > most, F.concat(F.substring(m, 1, most - 1), F.lit("…"))).otherwise(m))
 
 
 #: File name endings by modality.

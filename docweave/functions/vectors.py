@@ -13,14 +13,17 @@ DIMENSION = 384
 
 
 def embed_batch(texts: list[str | None], dimension: int = DIMENSION) -> np.ndarray:
-    """Characters add by place, words by their md5; then unit length. No text: zeros."""
+    """Characters add by place, words by their md5 (once for each word of the batch); then unit length. No text: zeros."""
     out = np.zeros((len(texts), dimension))
+    place: dict[str, int] = {}
     for k, text in enumerate(texts):
         if text:
             points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
             out[k] = np.bincount(np.arange(len(points)) % dimension, (points % 997) / 997.0, dimension)
-            places = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimension for w in text.split()]
-            out[k] += np.bincount(np.array(places, np.int64), minlength=dimension)
+            words = text.split()
+            for w in set(words).difference(place):
+                place[w] = int.from_bytes(hashlib.md5(w.encode("utf-8", "surrogatepass")).digest()[:4], "big") % dimension
+            out[k] += np.bincount(np.array([place[w] for w in words], np.int64), minlength=dimension)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=out, where=norm > 0)
 

@@ -51,24 +51,31 @@ def term_score(query: Column, content: Column) -> Column:
     return F.when(part > 0, part).when(F.contains(content, query), 1.0).otherwise(0.0)
 
 
-def tfidf(memories: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, memory_id, tfidf): cosine of tf * (ln((N + 1) / (df + 1)) + 1); only pairs with a shared token.
+def _matches(memories: DataFrame, queries: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of queries and memories that share a token: tfidf, and shared, asked and held, their numbers of distinct tokens.
 
-    Queries (query_id, query) meet memories by their tokens; document frequencies and lengths are aggregates.
+    Memories are read once: their token counts give the document frequencies, the lengths and, for the
+    queries' tokens alone, the products. ``carry`` names columns of the memories that pairs keep.
     """
-    words = memories.select("memory_id", X.working_tokens(F.col("content")).alias("t")).select("memory_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    tf = words.groupBy("memory_id", "n", "token").agg(F.count("*").alias("c"))
+    keys = ["memory_id", *carry]
+    words = memories.select(*keys, X.working_tokens(F.col("content")).alias("t")).select(*keys, F.size("t").alias("n"), F.explode("t").alias("token"))
+    tf = words.groupBy(*keys, "n", "token").agg(F.count("*").alias("c"))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    total = memories.agg(F.count("*").alias("_total"))
-    asked = queries.select("query_id", X.working_tokens(F.col("query")).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("token")).groupBy("query_id", "n", "token").agg(F.count("*").alias("c"))
+    total = F.broadcast(memories.agg(F.count("*").alias("_total")))  # one row
     idf = F.log((F.col("_total") + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    total = F.broadcast(total)  # one row
-    have = tf.join(df, "token").join(total).select("memory_id", "token", (F.col("c") / F.col("n") * idf).alias("w"))
-    want = asked.join(df, "token", "left").join(total).select("query_id", "token", (F.col("c") / F.col("n") * idf).alias("q"))
-    length = have.groupBy("memory_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("wn"))
-    asked_length = want.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
-    pairs = have.join(want, "token").groupBy("query_id", "memory_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    return pairs.join(length, "memory_id").join(asked_length, "query_id").select("query_id", "memory_id", (F.col("dot") / (F.col("wn") * F.col("qn"))).alias("tfidf"))
+    asked = queries.select("query_id", X.working_tokens(F.col("query")).alias("t")).select("query_id", F.size("t").alias("n"), F.explode("t").alias("token")).groupBy("query_id", "n", "token").agg(F.count("*").alias("c"))
+    want = asked.join(df, "token", "left").join(total).select("query_id", "token", idf.alias("idf"), (F.col("c") / F.col("n") * idf).alias("q"))
+    share = F.col("c") / F.col("n")
+    length = tf.join(df, "token").join(total).groupBy("memory_id").agg(F.sqrt(F.sum((share * idf) * (share * idf))).alias("wn"), F.count("*").alias("held"))
+    asked_length = want.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"), F.count("*").alias("asked"))
+    pairs = tf.join(want, "token").groupBy("query_id", *keys).agg(F.sum(share * F.col("idf") * F.col("q")).alias("dot"), F.count("*").alias("shared"))
+    both = pairs.join(length, "memory_id").join(asked_length, "query_id")
+    return both.select("query_id", *keys, (F.col("dot") / (F.col("wn") * F.col("qn"))).alias("tfidf"), "shared", "asked", "held")
+
+
+def tfidf(memories: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, memory_id, tfidf): cosine of tf * (ln((N + 1) / (df + 1)) + 1); only pairs with a shared token."""
+    return _matches(memories, queries).select("query_id", "memory_id", "tfidf")
 
 
 def _top(scored: DataFrame, limit: int, digits: int | None) -> DataFrame:
@@ -80,10 +87,8 @@ def _top(scored: DataFrame, limit: int, digits: int | None) -> DataFrame:
 
 def working_retrieve(memories: DataFrame, queries: DataFrame, as_of: str, limit: int = 5, ttl: float = TTL_MINUTES, min_importance: float = 0.0, digits: int | None = None) -> DataFrame:
     """Live memories by (0.7 tf-idf + 0.3 keywords, or keywords alone) * decay * weight: query_id, rank, memory_id, score."""
-    alive = live(memories, as_of, ttl)
-    pairs = tfidf(alive, queries)
-    rows = pairs.join(alive.where(F.col("importance") >= min_importance), "memory_id").join(queries, "query_id")
-    words = keyword_score(F.col("query"), F.col("content"))
+    rows = _matches(live(memories, as_of, ttl), queries, ("importance", "ts")).where(F.col("importance") >= min_importance)
+    words = F.col("shared") / F.col("asked") * 0.8 + F.col("shared") / F.col("held") * 0.2
     base = F.when(F.col("tfidf") > 0, 0.7 * F.col("tfidf") + 0.3 * words).otherwise(words)
     return _top(rows.select("query_id", "memory_id", (base * decay(as_of, ttl) * weight()).alias("score")), limit, digits)
 

@@ -90,8 +90,8 @@ def _broadcast(queries: DataFrame) -> DataFrame:
     return queries if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK else F.broadcast(queries)
 
 
-def nearest(points: DataFrame, queries: DataFrame, limit: int, filters: Mapping[str, Any] | None = None, threshold: float | None = None, digits: int | None = None) -> DataFrame:
-    """Each query's ``limit`` nearest points by cosine: query_id, rank, id, score.
+def nearest(points: DataFrame, queries: DataFrame, limit: int, filters: Mapping[str, Any] | None = None, threshold: float | None = None, digits: int | None = None, payload: Sequence[str] = ()) -> DataFrame:
+    """Each query's ``limit`` nearest points by cosine: query_id, rank, id, score, and the ``payload`` columns.
 
     ``queries`` (query_id, query_vector) is a stated set, answered in blocks of QUERY_BLOCK rows. A block is
     broadcast as one matrix; each Arrow batch of points is one matrix product and leaves its own best
@@ -101,15 +101,16 @@ def nearest(points: DataFrame, queries: DataFrame, limit: int, filters: Mapping[
     before anything is compared; those below ``threshold`` fall out; ties go by ``seq``.
     """
     rows = queries.select("query_id", "query_vector").where("query_vector IS NOT NULL").toLocalIterator()
-    found = [_nearest_of(points, queries, asked, limit, filters, threshold, digits) for asked in iter(lambda: list(islice(rows, QUERY_BLOCK)), [])]
-    return reduce(DataFrame.unionAll, found) if found else _nearest_of(points, queries, [], limit, filters, threshold, digits)
+    found = [_nearest_of(points, queries, asked, limit, filters, threshold, digits, payload) for asked in iter(lambda: list(islice(rows, QUERY_BLOCK)), [])]
+    return reduce(DataFrame.unionAll, found) if found else _nearest_of(points, queries, [], limit, filters, threshold, digits, payload)
 
 
-def _nearest_of(points: DataFrame, queries: DataFrame, asked: list[Row], limit: int, filters: Mapping[str, Any] | None, threshold: float | None, digits: int | None) -> DataFrame:
+def _nearest_of(points: DataFrame, queries: DataFrame, asked: list[Row], limit: int, filters: Mapping[str, Any] | None, threshold: float | None, digits: int | None, payload: Sequence[str]) -> DataFrame:
     """``nearest`` of one block of the rows of ``queries``."""
     spark = points.sparkSession
-    lean = points.where(predicate(filters)).select("id", "seq", "vector").where("vector IS NOT NULL")
-    kinds = {c: lean.schema[c].dataType.simpleString() for c in ("id", "seq")}
+    carried = ["id", "seq", *payload]
+    lean = points.where(predicate(filters)).select(*carried, "vector").where("vector IS NOT NULL")
+    kinds = ", ".join(f"`{c}` {lean.schema[c].dataType.simpleString()}" for c in carried)
     ids = queries.select("query_id").schema.add("_q", IntegerType())
     numbered = spark.createDataFrame([(r.query_id, k) for k, r in enumerate(asked)], ids)
     matrix = np.array([list(r.query_vector) for r in asked], float).reshape(len(asked), -1)
@@ -138,12 +139,12 @@ def _nearest_of(points: DataFrame, queries: DataFrame, asked: list[Row], limit:
             q, k = q[best], k[best]
             keep = np.arange(len(q)) - np.searchsorted(q, q) < limit
             q, k = q[keep], k[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), batch.column("id").take(pa.array(k)), batch.column("seq").take(pa.array(k)), pa.array(score[q, k])], ["_q", "id", "seq", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), *(batch.column(c).take(pa.array(k)) for c in carried), pa.array(score[q, k])], ["_q", *carried, "score"])
 
-    found = lean.mapInArrow(run, f"_q int, id {kinds['id']}, seq {kinds['seq']}, score double")
+    found = lean.mapInArrow(run, f"_q int, {kinds}, score double")
     best = Window.partitionBy("_q").orderBy(F.desc("score"), "seq")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
-    return ranked.join(F.broadcast(numbered), "_q").select("query_id", "rank", "id", "score")
+    return ranked.join(F.broadcast(numbered), "_q").select("query_id", "rank", "id", "score", *payload)
 
 
 def lexical_overlap(contents: DataFrame, queries: DataFrame, digits: int | None = None) -> DataFrame:

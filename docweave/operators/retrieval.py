@@ -74,10 +74,10 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, mode: str = "v
         raise ValueError(f"unknown mode {mode!r}")
     within = chunks.where(P.in_scope(documents)).withColumn("id", F.col("chunk_id"))
     threshold = None if profile == "json" and min_score <= 0 else min_score
-    pool = P.nearest(within.select("id", "seq", "vector"), queries, 3 * limit, threshold=threshold, digits=digits)
+    told = ["document_id", "page_number", "content"]
+    full = P.nearest(within.select("id", "seq", "vector", *told), queries, 3 * limit, threshold=threshold, digits=digits, payload=told)
     if mode == "hybrid":
-        pool = hybrid_rank(pool, within.select("id", "content"), queries, 3 * limit, weight, digits)
-    full = pool.join(within.select("id", "document_id", "page_number", "content"), "id")
+        full = hybrid_rank(full, within.select("id", "content"), queries, 3 * limit, weight, digits).join(within.select("id", *told), "id")
     unique = dedupe_sources(full, 3 * limit)
     if diverse if diverse is not None else mode == "hybrid":
         picked = mmr(unique, limit, tradeoff).drop("score")
