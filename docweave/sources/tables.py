@@ -1,10 +1,22 @@
-"""Versioned parquet tables: a new version is a new folder, and a pointer file names the current one."""
+"""Versioned parquet tables: a version is written whole, and numbered pointer files say which is the current one."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of at most this size are dealt out anew if they lie in few files.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that lies in fewer files than there are cores, dealt out to all of them; any other as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+    return df.repartition(n) if small and len(df.inputFiles()) < n else df
 
 
 def _file(spark: SparkSession, path: str):
@@ -12,45 +24,105 @@ def _file(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def current(spark: SparkSession, path: str) -> str | None:
-    """The folder of the current version, or None."""
-    place, fs = _file(spark, f"{path}/CURRENT")
+def _pointers(spark: SparkSession, path: str) -> list[str]:
+    """The names of the pointer files, ascending; a pointer is never removed while it is the highest."""
+    place, fs = _file(spark, path)
     if not fs.exists(place):
-        return None
-    return f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}"
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(place)]
+    return sorted(n for n in names if n.startswith("CURRENT-"))
+
+
+def _pointed(spark: SparkSession, path: str, name: str) -> dict:
+    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/{name}").collect()))
+
+
+def _point(spark: SparkSession, path: str, after: str | None, to: dict) -> None:
+    """Make ``to`` current if ``after`` still is; the new pointer appears whole, by a rename, or not at all."""
+    number = int(after.rpartition("-")[2]) + 1 if after else 1
+    pointer, fs = _file(spark, f"{path}/CURRENT-{number:012d}")
+    fresh, _ = _file(spark, f"{path}/.fresh-{uuid.uuid4().hex}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(json.dumps(to).encode()))
+    out.close()
+    if fs.exists(pointer) or not fs.rename(fresh, pointer):
+        fs.delete(fresh, False)
+        raise OSError(f"another writer has changed {path}")
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[str | None, dict]:
+    names = _pointers(spark, path)
+    return (names[-1], _pointed(spark, path, names[-1])) if names else (None, {})
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The name of the current version's folder (the last one written), or None."""
+    return _latest(spark, path)[1].get("version")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    folder = current(spark, path)
-    if folder is None:
+    """The rows of the current version."""
+    name, to = _latest(spark, path)
+    if name is None:
         raise FileNotFoundError(path)
-    return spark.read.parquet(folder)
+    folders = sorted(set(to["parts"].values())) if "parts" in to else [to["version"]]
+    return spark.read.parquet(*(f"{path}/{f}" for f in folders))
 
 
 def write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:
-    """Write a version and point to it last, so readers see the old rows or the new ones, never a mixture.
+    """Write a version and point to it last, so readers see the old rows or the new ones, never a mixture or nothing.
 
-    The rows may come from the table's current version. Old versions stay until ``vacuum``.
+    The rows may come from the table's current version. Old versions stay until ``vacuum``. A crash at any
+    point leaves the table as it was; of two writers at once one gets an error.
     """
     spark = df.sparkSession
+    after = (_pointers(spark, path) or [None])[-1]
     name = f"v-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(f"{path}/{name}")
-    pointer, fs = _file(spark, f"{path}/CURRENT")
-    fresh, _ = _file(spark, f"{path}/.CURRENT-{name}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(name.encode()))
-    out.close()
-    fs.delete(pointer, False)
-    if not fs.rename(fresh, pointer):
-        raise OSError(f"can't point {path} to {name}")
+    _point(spark, path, after, {"version": name})
+    return name
+
+
+def _part(key: str, parts: int):
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def parts_of(keys: DataFrame, key: str, parts: int) -> list[int]:
+    """Which of ``parts`` parts the keys lie in; at most that many numbers."""
+    return sorted(r[0] for r in keys.select(_part(key, parts).alias("p")).distinct().collect())
+
+
+def read_parts(spark: SparkSession, path: str, touched: list[int]) -> DataFrame | None:
+    """The rows of the touched parts alone; None if there are none."""
+    _, to = _latest(spark, path)
+    folders = [f"{path}/{f}" for f in (to.get("parts", {}).get(str(p)) for p in touched) if f]
+    return spark.read.parquet(*folders) if folders else None
+
+
+def write_parts(df: DataFrame, path: str, key: str, parts: int, touched: list[int]) -> str:
+    """A version in which the ``touched`` parts (by a hash of ``key``) hold ``df``'s rows and all others are as before."""
+    spark = df.sparkSession
+    after, to = _latest(spark, path)
+    name = f"v-{uuid.uuid4().hex}"
+    df.withColumn("part_", _part(key, parts)).repartition(F.col("part_")).write.partitionBy("part_").parquet(f"{path}/{name}")
+    place, fs = _file(spark, f"{path}/{name}")
+    filled = {s.getPath().getName().removeprefix("part_=") for s in fs.listStatus(place) if s.getPath().getName().startswith("part_=")}
+    kept = {p: f for p, f in to.get("parts", {}).items() if int(p) not in touched}
+    _point(spark, path, after, {"version": name, "parts": kept | {p: f"{name}/part_={p}" for p in filled}})
     return name
 
 
 def vacuum(spark: SparkSession, path: str) -> int:
-    """Remove versions that aren't current; how many."""
-    keep = (current(spark, path) or "").rpartition("/")[2]
+    """Remove what the current version doesn't need (old versions, pointers, a crashed writer's files); how many versions."""
+    name, to = _latest(spark, path)
+    keep = {to.get("version"), *(f.partition("/")[0] for f in to.get("parts", {}).values())}
     place, fs = _file(spark, path)
-    old = [s.getPath() for s in fs.listStatus(place) if s.getPath().getName().startswith("v-") and s.getPath().getName() != keep]
-    for p in old:
-        fs.delete(p, True)
-    return len(old)
+    gone = 0
+    for status in fs.listStatus(place):
+        found = status.getPath().getName()
+        if found.startswith("v-") and found not in keep:
+            gone += 1
+            fs.delete(status.getPath(), True)
+        elif found.startswith(".fresh-") or found.startswith("CURRENT-") and found != name:
+            fs.delete(status.getPath(), False)
+    return gone

@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import vectors as V
 from docweave.operators.chunks import chunk_documents, replace_documents
 from docweave.sources import tables
 
+#: Parts of a chunk table; a micro-batch rewrites those that its documents lie in.
+PARTS = 64
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, as_of: str, embed: bool = True):
+
+def last_arrivals(batch: DataFrame, order: str | None = None) -> DataFrame:
+    """One row of each doc_id: the one with the greatest ``order``; of equals (or without it) the greatest text, so repeats agree."""
+    by = [F.desc("text")] if order is None else [F.desc(order), F.desc("text")]
+    return batch.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(*by))).where("_k = 1").drop("_k")
+
+
+def ingest(stream: DataFrame, path: str, checkpoint: str, as_of: str, embed: bool = True, order: str | None = None, parts: int = PARTS):
     """Start a query that replaces each arriving document (doc_id, text) in the chunk table at ``path``.
 
-    Each micro-batch writes one version. A batch that is repeated after a crash replaces its documents by the
-    same chunks; the batch number in the table's rows keeps it from counting versions twice.
+    Of a document that arrives twice in one micro-batch the last by the column ``order`` counts. Each
+    micro-batch writes one version, in which only the parts that its documents lie in are rewritten. A batch
+    that is repeated after a crash replaces its documents by the same chunks; the batch number in the table's
+    rows keeps it from counting versions twice.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = chunk_documents(batch.dropDuplicates(["doc_id"])).withColumn("batch", F.lit(number).cast("long"))
+        fresh = chunk_documents(last_arrivals(batch, order)).withColumn("batch", F.lit(number).cast("long"))
         if embed:
             fresh = fresh.withColumn("vector", V.hash_embedding(F.col("content")))
-        if tables.current(spark, path) is None:
+        touched = tables.parts_of(batch.select(F.col("doc_id").cast("string").alias("document_id")), "document_id", parts)
+        if not touched:
+            return
+        old = tables.read_parts(spark, path, touched)
+        if old is None:
             stamp = F.lit(as_of).cast("timestamp_ntz")
-            tables.write(fresh.select("*", stamp.alias("created_at"), stamp.alias("updated_at"), F.lit(1).alias("document_version")), path)
+            rows = fresh.select("*", stamp.alias("created_at"), stamp.alias("updated_at"), F.lit(1).alias("document_version"))
+        elif old.where(F.col("batch") == number).isEmpty():
+            rows = replace_documents(old, fresh, as_of)
+        else:
             return
-        old = tables.read(spark, path)
-        if old.where(F.col("batch") == number).isEmpty():
-            tables.write(replace_documents(old, fresh, as_of), path)
+        tables.write_parts(rows, path, "document_id", parts, touched)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
