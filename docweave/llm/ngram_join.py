@@ -7,9 +7,9 @@ of a meeting group put their globally ordered sets (shingles common in the group
 one walk counts overlaps for all probes at once, sharing the counts of common beginnings and leaving a
 subtree as soon as the remaining lengths can't reach the threshold.
 
-One pass over the texts describes and signs them. A worker sends a signature once for each of its chunks of
-text, with the least of the sets that have it there; the chunk's other such sets follow that one into its
-groups. So a signature that a third of all rows share is one entry a chunk. Signatures travel packed, and
+One pass over the texts describes and signs them. A worker sends a signature at most FEW times for each of its
+chunks of text; where more sets have it there, only the least is sent, and the others follow that one into its
+groups. So a signature that a third of all rows share is a few entries a chunk. Signatures travel packed, and
 meeting sets as compressed texts, which are smaller than their shingles.
 
 Exact copies are one set from the start. A group too large for one task first compares each member with
@@ -40,6 +40,10 @@ PERCENT = 85
 GROUP_SHINGLES = 1 << 20
 #: Sets that a task holds of one group, or of one block.
 GROUP_SETS = 1 << 10
+#: Marks of one signature that a chunk sends; of more it sends one, and the others follow it.
+FEW = 16
+#: Members of large groups that are looked up by broadcast, some 100 bytes each; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: Bytes of text whose signatures are dealt out together.
 CHUNK_BYTES = 32 << 20
 
@@ -225,13 +229,19 @@ def count_links(sets: list[np.ndarray], probes: list[np.ndarray] | None, percent
 
 
 def _packed(signs: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures with the least mark that has each, and the pairs (that mark, another mark) of one signature."""
+    """What a chunk sends: its signatures with the marks that have each, and pairs (a mark, another that follows it).
+
+    Of a signature that more than FEW marks of the chunk have only the least is sent; the others follow it.
+    """
     order = np.lexsort((marks, signs))
     s, m = signs[order], marks[order]
     start = np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
-    least = m[start]
-    of = np.repeat(least, np.diff(np.append(start, len(s))))
-    return s[start], least, *_pairs(of[of != m], m[of != m])
+    size = np.diff(np.append(start, len(s)))
+    first = np.zeros(len(s), bool)
+    first[start] = True
+    many = np.repeat(size > FEW, size)
+    follow = many & ~first
+    return s[~follow], m[~follow], *_pairs(np.repeat(m[start], size)[follow], m[follow])
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,6 +349,21 @@ def _members(described: DataFrame) -> DataFrame:
     return groups.select("root", F.col("lead").alias("mark")).union(groups.join(follows, "lead").select("root", "mark")).distinct()
 
 
+def _without_subsets(members: DataFrame) -> DataFrame:
+    """``members`` without groups whose marks all stand in one other group: in the largest one that their root is in.
+
+    Of groups with equal marks the one with the smallest root stays; so what a dropped group held together, a
+    larger one that stays holds.
+    """
+    size = members.groupBy("root").agg(F.count("*").alias("size"))
+    order = F.struct("size", (-F.col("root")).alias("root"))
+    best = members.join(size, "root").groupBy("mark").agg(F.max(order).alias("best"))
+    over = best.select(F.col("mark").alias("root"), (-F.col("best.root")).alias("over")).where("root <> over")
+    there = members.select(F.col("root").alias("over"), "mark", F.lit(1).alias("there"))
+    held = members.join(over, "root").join(there, ["over", "mark"], "left").groupBy("root").agg(F.count("*").alias("all"), F.count("there").alias("held"))
+    return members.join(held.where("all = held").select("root"), "root", "left_anti")
+
+
 _ZSTD = "zstd"
 
 
@@ -503,13 +528,14 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
     described = passed.where(F.col("what") == DOCUMENT).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("mark"), F.col("d").alias("key"))
     first = F.min_by("key", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("key")
     classes = described.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("copies"), F.max("n_shingles").alias("n"), first)
-    members = staged(_members(passed))
+    members = staged(_without_subsets(staged(_members(passed))))
     sized = members.join(classes.select("mark", "n"), "mark")
     weight = sized.groupBy("root").agg(_parts(group_shingles, group_sets).alias("b"))
 
-    def sets(weight: DataFrame) -> DataFrame:
+    def sets(weight: DataFrame, few: bool = False) -> DataFrame:
         roots = members.join(weight, "root").groupBy("mark").agg(F.collect_list(F.struct("root", "b")).alias("roots"))
-        return _sets(docs.select("text", "key").join(roots.join(classes, "mark").drop("doc_id"), "key"), size, every)
+        need = roots.join(classes, "mark").drop("doc_id")
+        return _sets(docs.select("text", "key").join(F.broadcast(need) if few else need, "key"), size, every)
 
     if every:
         links = _all_blocks(sets(weight), size, percent)
@@ -518,7 +544,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int
         links = _joined(small, ["root"], size, percent)
         large = weight.where("b > 1")
         if not large.isEmpty():
-            links = links.union(_large_links(sets(large).drop("copies", "earlier"), size, percent, group_shingles, group_sets))
+            few = members.join(large, "root").limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+            links = links.union(_large_links(sets(large, few).drop("copies", "earlier"), size, percent, group_shingles, group_sets))
     if every:
         links = staged(links)
     groups = connected_components(links)
