@@ -144,7 +144,7 @@ def test_marks_that_share_a_signature_share_a_group():
     """Whatever chunks the marks come from: each pair is in the group of a root that chunks or buckets name."""
     r = np.random.default_rng(11)
     for _ in range(50):
-        signs = {m: np.unique(r.integers(0, 9, 3)).astype(np.uint64) for m in range(90)}
+        signs = {m: np.unique(np.where([True, True, r.random() < 0.3], r.integers(1, 30, 3), 0)).astype(np.uint64) for m in range(90)}
         chunks = [[m for m in signs if r.random() < 0.4] for _ in range(4)]
         sent = [J._packed(np.concatenate([signs[m] for m in c] or [np.zeros(0, np.uint64)]), np.repeat(np.array(c, np.uint64), [len(signs[m]) for m in c])) for c in chunks]
         assert any(len(x[2]) for x in sent) or not chunks
