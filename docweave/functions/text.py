@@ -221,12 +221,14 @@ def graph_redacted(message: Column, most: int = 500) -> Column:
         def then(shown: Column, wait: str) -> Column:
             return F.struct(shown.alias("out"), F.lit(wait).alias("wait"))
 
-        masked = F.concat(a["out"], F.array(F.lit(GRAPH_SECRET)))
+        mask = F.array(F.lit(GRAPH_SECRET))
+        before = F.slice(a["out"], 1, F.greatest(F.lit(0), F.size(a["out"]) - 1))  # without the key that waits for its sign
         return (
-            F.when((a["wait"] == "value") | (a["wait"] == "sign") & w.rlike(r"^[:=]\S"), then(masked, ""))
-            .when((a["wait"] == "sign") & w.isin(":", "="), then(a["out"], "value"))
+            F.when(a["wait"] == "value", then(F.concat(a["out"], mask), ""))
+            .when((a["wait"] == "sign") & w.rlike(r"^[:=]\S"), then(F.concat(before, mask), ""))
+            .when((a["wait"] == "sign") & w.isin(":", "="), then(before, "value"))
             .when(w.rlike(address), then(F.concat(a["out"], F.array(F.lit(GRAPH_ADDRESS))), ""))
-            .when(w.rlike(key + r"[\"']?[:=]\S"), then(masked, ""))
+            .when(w.rlike(key + r"[\"']?[:=]\S"), then(F.concat(a["out"], mask), ""))
             .when(w.rlike(key + r"[\"']?[:=]$"), then(a["out"], "value"))
             .when(w.rlike(key + r"[\"']?$"), then(F.concat(a["out"], F.array(w)), "sign"))
             .otherwise(then(F.concat(a["out"], F.array(w)), ""))

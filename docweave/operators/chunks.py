@@ -93,3 +93,22 @@ def batches(windows: DataFrame, most_rows: int = 5, most_chars: int = 4000) -> D
         return F.struct(b.alias("b"), F.when(full, 1).otherwise(a["rows"] + 1).alias("rows"), F.when(full, x["n"]).otherwise(a["chars"] + x["n"]).alias("chars"), F.concat(a["out"], F.array(F.struct(x["position"].cast("int").alias("position"), b.alias("batch")))).alias("out"))
 
     return per.select("document_id", F.explode(F.aggregate("w", start, step, lambda a: a["out"])).alias("x")).select("document_id", "x.position", "x.batch")
+
+
+def document_ids(chunks: DataFrame, namespace: str | None = None) -> DataFrame:
+    """The distinct ids of a collection (or of one namespace of it), stripped, without blanks, in order."""
+    rows = chunks if namespace is None else chunks.where(F.col("namespace") == namespace)
+    return rows.select(X.strip(F.col("document_id").cast("string")).alias("document_id")).where("document_id <> ''").distinct().orderBy("document_id")
+
+
+def ordered_chunks(chunks: DataFrame, document_id: str | None = None, namespace: str | None = None) -> DataFrame:
+    """A document's chunks (without an id: all documents') by index, then id."""
+    rows = chunks if namespace is None else chunks.where(F.col("namespace") == namespace)
+    rows = rows if document_id is None else rows.where(F.col("document_id") == document_id.strip())
+    return rows.orderBy("document_id", F.coalesce("chunk_index", F.lit(0)), "chunk_id")
+
+
+def points_of_arrays(rows: DataFrame) -> DataFrame:
+    """(ids, vectors, metadata) arrays of one length as points; a missing id is the place in the array, a missing payload empty."""
+    zipped = F.posexplode(F.arrays_zip("ids", "vectors", "metadata")).alias("place", "x")
+    return rows.select(zipped).select(F.coalesce("x.ids", F.col("place").cast("string")).alias("id"), F.col("x.vectors").alias("vector"), F.col("x.metadata").alias("metadata"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW_TOKENS, OUTPUT_TOKENS, SAFETY_TOKENS, LEAST_CHARS = 8192, 1024, 512, 200
@@ -116,3 +116,38 @@ def generate(prompts: DataFrame, generator, prompt_col: str = "prompt", out_col:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema) + f", `{out_col}` string"
     return prompts.mapInPandas(run, schema)
+
+
+#: Headings and marks of a rendered comparison and of an answer.
+COMPARISON_HEADS = ("## 共同点", "## 差异点", "## 逐文档依据", "## 信息缺失")
+NOTHING_YET, NOTHING_MISSING, NO_SOURCE = "- 暂无", "- 无", "暂无明确来源信息"
+ANSWER_HEAD, COUNT_HEAD, SOURCE_HEAD, GRAPH_HEAD, CUT_NOTE = "🤖 RAG回答:", "📚 参考知识条数: ", "📌 参考来源:", "图谱参考：", "⚠️ 上下文已截断。"
+
+
+def comparison_markdown(c: Column) -> Column:
+    """A valid comparison as Markdown: four sections, each entry with its citations in brackets; empty ones say so."""
+    marks = lambda x: F.when(F.size(x["citations"]) > 0, F.concat(F.lit(" ["), F.array_join(x["citations"], ", "), F.lit("]"))).otherwise("")
+    of = lambda x, text: F.concat(F.lit("`"), x["document_id"], F.lit("`: "), text)
+    points = F.transform(c["common_points"], lambda x: F.concat(F.lit("- "), x["text"], marks(x)))
+    differences = F.flatten(F.transform(c["differences"], lambda d: F.concat(F.array(F.concat(F.lit("- **"), d["topic"], F.lit("**"))), F.transform(d["documents"], lambda y: F.concat(F.lit("  - "), of(y, y["text"]), marks(y))))))
+    evidence = F.transform(c["per_document_evidence"], lambda x: F.concat(F.lit("- "), of(x, x["summary"]), marks(x)))
+    missing = F.transform(c["missing_information"], lambda x: F.concat(F.lit("- "), of(x, x["note"])))
+    lines = [F.array_join(F.concat(F.array(F.lit(head)), F.when(F.size(part) > 0, part).otherwise(F.array(F.lit(none)))), "\n") for head, part, none in zip(COMPARISON_HEADS, (points, differences, evidence, missing), (NOTHING_YET,) * 3 + (NOTHING_MISSING,), strict=True)]
+    return F.concat_ws("\n\n", *lines)
+
+
+def graph_source_lines(sources: Column) -> Column:
+    """[citation] document | kind: name for each graph source under one heading; no source: an empty text."""
+    line = lambda s: F.concat(F.lit("["), s["citation_id"], F.lit("] 文档 "), s["document_id"], F.lit(" | "), s["kind"], F.lit(": "), s["name"])
+    return F.when(F.size(sources) > 0, F.array_join(F.concat(F.array(F.lit(GRAPH_HEAD)), F.transform(sources, line)), "\n")).otherwise("")
+
+
+def answer_text(answer: Column, sources: Column, truncated: Column, graph_sources: Column | None = None) -> Column:
+    """An answer with its sources (citation_id, shown), each once in order, their number, and a note if the context was cut."""
+    ids = F.transform(sources, lambda s: s["citation_id"])
+    once = F.filter(sources, lambda s, i: F.array_position(ids, s["citation_id"]) == i + 1)
+    shown = F.transform(F.filter(once, lambda s: s["shown"] != ""), lambda s: F.concat(F.lit("["), s["citation_id"], F.lit("] "), s["shown"]))
+    listed = F.when(F.size(shown) > 0, F.array_join(shown, "\n")).otherwise(F.lit(NO_SOURCE))
+    graph = F.lit("") if graph_sources is None else graph_source_lines(graph_sources)
+    note = F.when(truncated, F.lit("\n" + CUT_NOTE)).otherwise("")
+    return F.concat(F.lit(ANSWER_HEAD + "\n"), answer, F.lit("\n\n" + COUNT_HEAD), F.size(once).cast("string"), note, F.lit("\n" + SOURCE_HEAD + "\n"), listed, F.when(graph != "", F.concat(F.lit("\n"), graph)).otherwise(""))

@@ -151,3 +151,53 @@ def recovered(state: DataFrame, builds: DataFrame) -> DataFrame:
     ok = F.col("_stored") == F.col("build_id")
     new = F.when(F.col("status") != "building", F.col("status")).when(ok, "ready").otherwise("failed")
     return state.join(b, "document_id", "left").withColumn("status", new).drop("_stored")
+
+
+def normalized_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks fit for extraction (document_id, chunk_id, chunk_index, content), and what is wrong with others.
+
+    ``chunks`` (document_id, chunk_id, content, owner, chunk_index): blank ids and contents fall out; a chunk
+    whose ``owner`` is another document, or whose id stands twice in one, is a problem.
+    """
+    rows = chunks.withColumn("chunk_id", X.strip(F.coalesce("chunk_id", F.lit("")))).where((F.col("chunk_id") != "") & (X.strip(F.coalesce("content", F.lit(""))) != ""))
+    often = rows.groupBy("document_id", "chunk_id").agg(F.count("*").alias("_n"))
+    why = F.when(F.coalesce(F.col("owner") != F.col("document_id"), F.lit(False)), "belongs to another document").when(F.col("_n") > 1, "duplicate chunk_id")
+    marked = rows.join(often, ["document_id", "chunk_id"]).withColumn("problem", why)
+    good = marked.where("problem IS NULL").select("document_id", "chunk_id", F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), "content")
+    return good, marked.where("problem IS NOT NULL").select("document_id", "chunk_id", "problem").distinct()
+
+
+def replace_graph(nodes: DataFrame, edges: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, documents: DataFrame, namespace: str = "default") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges after the graphs of ``documents`` (document_id) are replaced; canonical entities after it; those that no node names any more.
+
+    Only edges with both ends among the document's new nodes are written. A document in ``documents`` without
+    new nodes loses its graph. Canonical entities are what the nodes that are left name.
+    """
+    ends = new_nodes.select("document_id", "graph_id")
+    closed = new_edges.join(ends.withColumnRenamed("graph_id", "source_id"), ["document_id", "source_id"], "left_semi").join(ends.withColumnRenamed("graph_id", "target_id"), ["document_id", "target_id"], "left_semi")
+    after = nodes.join(documents, "document_id", "left_anti").unionByName(new_nodes.join(documents, "document_id", "left_semi"), allowMissingColumns=True)
+    linked = edges.join(documents, "document_id", "left_anti").unionByName(closed.join(documents, "document_id", "left_semi"), allowMissingColumns=True)
+    key = X.canonical_id(F.col("label"), F.col("normalized_name"), namespace).alias("canonical_id")
+    canonical = after.groupBy("label", "normalized_name").agg(F.countDistinct("document_id").alias("documents")).select(key, "label", "normalized_name", "documents")
+    orphans = nodes.select(key, "label", "normalized_name").distinct().join(canonical.select("canonical_id"), "canonical_id", "left_anti")
+    return after, linked, canonical, orphans
+
+
+def status(documents: DataFrame, state: DataFrame) -> DataFrame:
+    """Each document's build: its state ('pending' if none is known), counters from 0, and success unless it failed or waits for a cleanup."""
+    s = state.select("document_id", "status", "build_id", "attempt_count", "llm_attempt_count")
+    now = F.coalesce("status", F.lit("pending"))
+    counters = [F.coalesce(c, F.lit(0)).alias(c) for c in ("attempt_count", "llm_attempt_count")]
+    return documents.select("document_id").join(s, "document_id", "left").select("document_id", now.alias("status"), (~now.isin("failed", "cleanup_pending")).alias("success"), "build_id", *counters)
+
+
+def by_status(state: DataFrame, wanted: str) -> DataFrame:
+    return state.where(F.col("status") == wanted).orderBy("document_id")
+
+
+def deleted(state: DataFrame, documents: DataFrame, failed: DataFrame) -> DataFrame:
+    """States after the graphs of ``documents`` were to go: 'deleted', or 'cleanup_pending' for those in ``failed``."""
+    d = documents.select("document_id", F.lit(True).alias("_d")).distinct()
+    f = failed.select("document_id", F.lit(True).alias("_f")).distinct()
+    new = F.when(F.col("_f"), "cleanup_pending").when(F.col("_d"), "deleted").otherwise(F.col("status"))
+    return state.join(d, "document_id", "left").join(f, "document_id", "left").withColumn("status", F.when(F.col("_d"), new).otherwise(F.col("status"))).drop("_d", "_f")

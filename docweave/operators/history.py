@@ -56,3 +56,43 @@ def upsert(records: DataFrame, new: DataFrame) -> DataFrame:
 def expired(sessions: DataFrame, as_of: str, hours: int = 12) -> DataFrame:
     """Sessions (last_access) idle for ``hours`` or more."""
     return sessions.where(F.col("last_access") <= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours} HOURS"))
+
+
+def cleared(**tables: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The named tables emptied, and how many records of each went (kind, removed)."""
+    counts = None
+    for name, table in tables.items():
+        one = table.agg(F.count("*").alias("removed")).select(F.lit(name).alias("kind"), "removed")
+        counts = one if counts is None else counts.union(one)
+    return {name: table.limit(0) for name, table in tables.items()}, counts
+
+
+def with_note(memories: DataFrame, notes: DataFrame, new: DataFrame, importance: float = 0.85) -> tuple[DataFrame, DataFrame]:
+    """Notes (user_id, position, ts, note, concept) as semantic memories, 'concept: note' where there is a concept, and as history."""
+    some = F.length(F.coalesce("concept", F.lit(""))) > 0
+    content = F.when(some, F.concat("concept", F.lit(": "), "note")).otherwise(F.col("note"))
+    memory = new.select(F.concat(F.lit("note-"), "user_id", F.lit("-"), "position").alias("memory_id"), "user_id", F.lit("semantic").alias("memory_type"), content.alias("content"), F.lit(importance).alias("importance"), "ts")
+    return memories.unionByName(memory, allowMissingColumns=True), notes.unionByName(new, allowMissingColumns=True)
+
+
+def learning_stats(documents: DataFrame, questions: DataFrame, notes: DataFrame) -> DataFrame:
+    """Each user's numbers of loaded documents, questions and notes; 0 where there is none."""
+    rows = None
+    for name, table in (("documents", documents), ("questions", questions), ("notes", notes)):
+        one = table.select("user_id", *[F.lit(int(name == k)).alias(k) for k in ("documents", "questions", "notes")])
+        rows = one if rows is None else rows.union(one)
+    return rows.groupBy("user_id").agg(*[F.sum(k).alias(k) for k in ("documents", "questions", "notes")])
+
+
+LISTS = ("documents", "questions", "notes")
+
+
+def load(raw: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Histories from JSON texts (user_id, value): the lengths of their lists, a missing one empty; and users whose text is corrupt."""
+    kinds = [F.coalesce(F.get_json_object(column, f"$.{name}"), F.lit("[]")).alias(name) for name in LISTS]
+    rows = raw.select("user_id", F.try_parse_json(column).isNotNull().alias("_json"), F.coalesce(F.col(column).rlike(r"^\s*\{"), F.lit(False)).alias("_object"), *kinds)
+    ok = F.col("_json") & F.col("_object")
+    for name in LISTS:
+        ok = ok & F.col(name).rlike(r"^\s*\[")
+    good = rows.where(ok).select("user_id", *[F.coalesce(F.json_array_length(name), F.lit(0)).alias(name) for name in LISTS])
+    return good, rows.where(~ok).select("user_id")

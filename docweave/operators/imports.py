@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: States of a task, those in which it isn't over, and endings of files that can be imported.
 STATUSES = ("queued", "running", "retry_wait", "succeeded", "failed", "cancelled")
 ACTIVE = ("queued", "running", "retry_wait")
+SUFFIXES = (".txt", ".md", ".pdf", ".docx")
 #: Percent of progress at a stage's start and end, and seconds before each retry.
 STAGE_RANGES = {"parsing": (10, 25), "chunking": (25, 40), "embedding": (40, 80), "persisting": (80, 92), "committing": (92, 99)}
 RETRY_SECONDS = (2, 10, 30)
 MOST_FILES, MOST_FILE_BYTES, MOST_BATCH_BYTES = 20, 100 << 20, 500 << 20
-SUFFIXES = (".txt", ".md", ".pdf", ".docx")
 
 
 def batch_problems(files: DataFrame) -> DataFrame:

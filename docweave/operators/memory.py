@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as X
+from docweave.functions import vectors as V
+from docweave.operators import graph as G
+from docweave.operators import points as P
 
 TTL_MINUTES, CAPACITY = 60, 50
 
@@ -167,3 +170,78 @@ def stats(memories: DataFrame) -> DataFrame:
 def insert_once(old: DataFrame, new: DataFrame, key: str = "memory_id") -> DataFrame:
     """Rows of ``new`` whose key isn't there yet join ``old``."""
     return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def keyword_search(memories: DataFrame, queries: DataFrame, limit: int, min_importance: float = 0.0, digits: int | None = None) -> DataFrame:
+    """Each query's best memories by ``term_score``: query_id, rank, memory_id, importance, score.
+
+    ``queries`` (query_id, query) is a stated set. Shared words meet by an equi-join; that a whole query stands
+    in a content is tried for the broadcast set, where no word is shared.
+    """
+    rows = memories.where(F.coalesce("importance", F.lit(0.5)) >= min_importance).select("memory_id", "importance", "content")
+    asked = queries.select("query_id", "query", X.terms(F.col("query")).alias("t")).where("query <> ''")
+    have = rows.select("memory_id", "importance", F.explode(X.terms(F.col("content"))).alias("term"))
+    shared = have.join(asked.select("query_id", F.size("t").alias("n"), F.explode("t").alias("term")), "term")
+    part = shared.groupBy("query_id", "n", "memory_id", "importance").agg(F.count("*").alias("c")).select("query_id", "memory_id", "importance", (F.col("c") / F.col("n")).alias("score"))
+    inside = rows.join(P._broadcast(asked), F.contains("content", F.col("query"))).where(term_score(F.col("query"), F.col("content")) == 1.0)
+    whole = inside.select("query_id", "memory_id", "importance", F.lit(1.0).alias("score"))
+    return _top(part.union(whole).groupBy("query_id", "memory_id", "importance").agg(F.max("score").alias("score")), limit, digits)
+
+
+def semantic_retrieve(memories: DataFrame, queries: DataFrame, limit: int = 5, user: str | int | None = None, min_importance: float = 0.0, digits: int | None = None) -> DataFrame:
+    """Semantic memories by vectors and by words, fused: query_id, rank, memory_id, score, backend.
+
+    ``memories`` (memory_id, seq, vector, content, importance), ``queries`` (query_id, query, query_vector).
+    Twice ``limit`` rows come from either side. Importance counts after the vectors' cut; a query for which
+    nothing is left of it takes the words' rows as its vector side (backend 'fallback_keyword').
+    """
+    rows = memories.where("memory_type = 'semantic'") if "memory_type" in memories.columns else memories
+    rows = rows if user is None else rows.where(F.col("user_id") == F.lit(user))
+    points = rows.select(F.col("memory_id").alias("id"), "seq", "vector", F.coalesce("importance", F.lit(0.5)).alias("importance"))
+    near = P.nearest(points, queries, 2 * limit, digits=digits, payload=["importance"]).where(F.col("importance") >= min_importance)
+    near = near.select("query_id", F.col("id").alias("memory_id"), "importance", F.col("score").alias("vector_score"), F.lit("vector").alias("backend"))
+    words = keyword_search(rows, queries, 2 * limit, min_importance, digits).select("query_id", "memory_id", "importance", F.col("score").alias("graph_score"))
+    fallback = words.join(near.select("query_id").distinct(), "query_id", "left_anti").select("query_id", "memory_id", "importance", F.col("graph_score").alias("vector_score"), F.lit("fallback_keyword").alias("backend"))
+    return semantic_fuse(near.union(fallback), words, limit, digits).select("query_id", "rank", "memory_id", "score", F.coalesce("backend", F.lit("keyword")).alias("backend"))
+
+
+def semantic_add(new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New semantic memories (memory_id, content, ...) as points with vector, entities and their counts; the entities; the relations."""
+    key = new.select(F.col("memory_id").alias("doc_id"), F.col("content").alias("text"))
+    entities = G.rule_entities(key).withColumnRenamed("document_id", "memory_id")
+    relations = G.rule_relations(entities.withColumnRenamed("memory_id", "document_id")).withColumnRenamed("document_id", "memory_id")
+    named = entities.groupBy("memory_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "name"))), lambda x: x["name"]).alias("entities"))
+    points = new.withColumn("_key", F.col("memory_id").cast("string")).join(named.withColumnRenamed("memory_id", "_key"), "_key", "left").drop("_key")
+    some = F.coalesce("entities", F.array().cast("array<string>"))
+    points = points.withColumns({"memory_type": F.lit("semantic"), "vector": V.hash_embedding(F.col("content")), "entities": some, "entity_count": F.size(some), "relation_count": F.greatest(F.lit(0), F.size(some) - 1)})
+    return points, entities, relations
+
+
+def difference(before: DataFrame, after: DataFrame, key: str = "memory_id") -> DataFrame:
+    """What a snapshot had and a later one hasn't: the ids to remove from other stores, in order."""
+    return before.select(key).distinct().join(after.select(key), key, "left_anti").orderBy(key)
+
+
+def owned(snapshot: DataFrame, owner: str | int) -> DataFrame:
+    """A snapshot's rows if all are ``owner``'s; another user's row fails the job before anything is restored."""
+    return snapshot.withColumn("user_id", F.when(F.col("user_id") == F.lit(owner), F.col("user_id")).otherwise(F.raise_error(F.lit("the snapshot belongs to another user"))))
+
+
+def clear(memories: DataFrame, kind: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is left without one type of memories (or without all), and how many of each type go."""
+    gone = F.lit(True) if kind is None else F.coalesce(F.col("memory_type") == kind, F.lit(False))
+    return memories.where(~gone), memories.where(gone).groupBy("memory_type").agg(F.count("*").alias("removed"))
+
+
+def summary_lines(memories: DataFrame, types: tuple[str, ...] = ("working", "episodic", "semantic")) -> DataFrame:
+    """One line for each type, also those without memories: position, line."""
+    counts = [F.count(F.when(F.col("memory_type") == t, 1)).alias(t) for t in types]
+    lines = F.array(*[F.concat(F.lit(f"- {t}: "), F.col(t), F.lit(" 条记忆")) for t in types])
+    return memories.agg(*counts).select(F.posexplode(lines).alias("position", "line"))
+
+
+def retrieved_items(hits: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Hits (id, score, metadata MAP) as memories: ids and contents as the payload has them, else as the episodes do."""
+    m = lambda k: F.nullif(F.col("metadata")[k], F.lit(""))
+    rows = hits.withColumn("memory_id", F.coalesce(m("memory_id"), m("episode_id"), "id")).join(episodes.select("memory_id", F.col("content").alias("_content")), "memory_id", "left")
+    return rows.select("memory_id", F.coalesce(m("content"), "_content", F.lit("")).alias("content"), F.lit("episodic").alias("memory_type"), F.coalesce(m("importance").cast("double"), F.lit(0.5)).alias("importance"), F.coalesce("score", F.lit(0.0)).alias("retrieval_score"))

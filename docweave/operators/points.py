@@ -69,10 +69,12 @@ def scope(document_id: str | None = None, document_ids: Sequence[str] | None = N
     return out
 
 
-def in_scope(documents: Sequence[str] | None) -> Column:
+def in_scope(documents: Sequence[str] | None = None, namespace: str | None = None) -> Column:
+    """Rows of a namespace (None: of any) and of some documents (None: all of them)."""
     if documents is not None and not documents:
         raise ValueError("the document scope is empty")
-    return F.lit(True) if documents is None else F.col("document_id").isin(list(documents))
+    own = F.lit(True) if namespace is None else F.coalesce(F.col("namespace") == namespace, F.lit(False))
+    return own if documents is None else own & F.coalesce(F.col("document_id").isin(list(documents)), F.lit(False))
 
 
 def scroll(points: DataFrame, filters: Mapping[str, Any] | None = None, fields: Sequence[str] | None = None, with_vectors: bool = False) -> DataFrame:
@@ -81,6 +83,17 @@ def scroll(points: DataFrame, filters: Mapping[str, Any] | None = None, fields:
     return points.where(predicate(filters)).select(*kept)
 
 
+def remove(points: DataFrame, documents: Sequence[str] | None = None, namespace: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What is left without some documents of a namespace (None: the whole namespace), and how many points of each document go.
+
+    A namespace, documents or both must be named: nothing here empties a table that several namespaces share.
+    """
+    if documents is None and namespace is None:
+        raise ValueError("name a namespace or documents")
+    gone = in_scope(documents, namespace)
+    return points.where(~gone), points.where(gone).groupBy("document_id").agg(F.count("*").alias("removed"))
+
+
 def delete(points: DataFrame, filters: Mapping[str, Any] | None = None) -> DataFrame:
     """What is left; no filter deletes all."""
     return points.where(~predicate(filters))

@@ -63,7 +63,7 @@ def mmr(ranked: DataFrame, limit: int, tradeoff: float = 0.75, digits: int = 9)
     return out.select("query_id", (F.col("n") + 1).alias("rank"), "x.id", F.col("x.r").alias("score"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, mode: str = "vector", min_score: float = 0.0, profile: str = "json", diverse: bool | None = None, weight: float = 0.7, tradeoff: float = 0.75, documents: list[str] | None = None, digits: int | None = None) -> DataFrame:
+def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, mode: str = "vector", min_score: float = 0.0, profile: str = "json", diverse: bool | None = None, weight: float = 0.7, tradeoff: float = 0.75, documents: list[str] | None = None, digits: int | None = None, namespace: str | None = None) -> DataFrame:
     """The whole search over ``chunks`` (chunk_id, document_id, page_number, content, vector, seq).
 
     ``queries`` (query_id, query, query_vector). The pool of 3 * limit is cut before duplicates fall out, so
@@ -72,7 +72,7 @@ def search(chunks: DataFrame, queries: DataFrame, limit: int = 5, mode: str = "v
     """
     if mode not in ("vector", "hybrid"):
         raise ValueError(f"unknown mode {mode!r}")
-    within = chunks.where(P.in_scope(documents)).withColumn("id", F.col("chunk_id"))
+    within = chunks.where(P.in_scope(documents, namespace)).withColumn("id", F.col("chunk_id"))
     threshold = None if profile == "json" and min_score <= 0 else min_score
     told = ["document_id", "page_number", "content"]
     full = P.nearest(within.select("id", "seq", "vector", *told), queries, 3 * limit, threshold=threshold, digits=digits, payload=told)

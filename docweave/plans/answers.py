@@ -15,6 +15,7 @@ from docweave.functions import text as X
 from docweave.operators import chunks as C
 from docweave.operators import context as A
 from docweave.operators import graph as G
+from docweave.operators import points as P
 from docweave.operators import retrieval as R
 
 Generator = Callable[[list[str]], list[str]]
@@ -70,12 +71,10 @@ def compare(chunks: DataFrame, queries: DataFrame, generator: Generator, documen
 
     Adds missing, the documents without a hit.
     """
-    from docweave.operators.points import nearest
-
     rows = chunks.where(F.col("document_id").isin(documents)).withColumn("id", F.col("chunk_id"))
     near = None
     for d in documents:  # at most ten; each is pruned to its own rows
-        one = nearest(rows.where(F.col("document_id") == d).select("id", "seq", "vector"), queries, 5).withColumn("document_id", F.lit(d))
+        one = P.nearest(rows.where(F.col("document_id") == d).select("id", "seq", "vector"), queries, 5).withColumn("document_id", F.lit(d))
         near = one if near is None else near.unionByName(one)
     chosen = A.compare_candidates(near, limit)
     full = chosen.join(rows.select("id", "page_number", "content"), "id")
@@ -101,7 +100,7 @@ def summarise(chunks: DataFrame, queries: DataFrame, generator: Generator, docum
     anchors = numbered.withColumn("protected", F.col("k").isin(1) | (F.col("k") == F.col("n")) | (F.col("k") == F.ceil(F.col("n") / 2)))
     cited = _cited(anchors.withColumn("citation_id", X.source_citation(F.col("document_id"), X.page_number(F.col("page_number")), X.digest(F.col("content")))))
     asked = queries.select(F.col("query_id").alias("_q"), "query")
-    each = cited.join(F.broadcast(asked), F.lit(True)).select(F.concat_ws("\t", "_q", "document_id").alias("query_id"), F.col("k").alias("rank"), (1.0 / F.col("k")).alias("score"), "content", "protected", "query")
+    each = cited.join(P._broadcast(asked), F.lit(True)).select(F.concat_ws("\t", "_q", "document_id").alias("query_id"), F.col("k").alias("rank"), (1.0 / F.col("k")).alias("score"), "content", "protected", "query")
     fitted = A.fit(each.drop("query"), A.budget(len(SUMMARY), window))
     prompts = _prompts(each.select("query_id", "query").distinct(), fitted, SUMMARY, ["query_id"]).withColumn("key", F.sha2("prompt", 256))
     if cache is not None:

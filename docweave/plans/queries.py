@@ -12,12 +12,14 @@ from docweave.functions import vectors as V
 from docweave.operators import chunks as C
 from docweave.operators import context as A
 from docweave.operators import evaluation as E
+from docweave.operators import extraction as N
 from docweave.operators import graph as G
 from docweave.operators import history as H
 from docweave.operators import imports as T
 from docweave.operators import memory as M
 from docweave.operators import points as P
 from docweave.operators import retrieval as R
+from docweave.sources.tables import spread
 
 AS_OF = "2024-01-31 00:00:00"
 DIGITS = 6
@@ -34,16 +36,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "conversations") else rows
 
 
 def _windows(spark, d):
     return C.chunk_documents(_t(spark, d, "documents"), profile="windows")
 
 
-def _asked(spark, d, most: int = 10) -> DataFrame:
-    """The first benchmark texts as questions (the query set)."""
-    return _t(spark, d, "benchmark").where(F.col("item_id") < most).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def _asked(spark, d) -> DataFrame:
+    """The query set of searches: benchmark texts whose id is divisible by 20."""
+    return _t(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def _points(spark, d) -> DataFrame:
@@ -51,7 +54,7 @@ def _points(spark, d) -> DataFrame:
 
 
 def _vector_queries(spark, d) -> DataFrame:
-    return _points(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return _points(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
 
 
 def _memories(spark, d) -> DataFrame:
@@ -74,6 +77,14 @@ def _turns(spark, d) -> DataFrame:
     )
 
 
+def _remembered(spark, d) -> DataFrame:
+    return _turns(spark, d).withColumn("seq", F.col("memory_id")).withColumn("vector", V.hash_embedding(F.col("content")))
+
+
+def _remembered_asked(spark, d) -> DataFrame:
+    return _asked(spark, d).withColumn("query_vector", V.hash_embedding(F.col("query")))
+
+
 @query
 def chunk_windows(spark, d):
     return _windows(spark, d).select("document_id", "chunk_index", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("digest"))
@@ -173,29 +184,27 @@ def vector_dimension_fit(spark, d):
 
 
 def _pool(spark, d) -> DataFrame:
-    """A stand-in vector pool: the 15 documents next to each question's id, with falling scores."""
-    near = F.explode(F.sequence(F.col("query_id") * 20, F.col("query_id") * 20 + 14))
-    rows = _asked(spark, d).select("query_id", near.alias("id"))
-    return rows.withColumn("score", 0.9 - (F.col("id") % 20) / 40)
+    """The 15 documents nearest to each question by hash embeddings of whole texts, with their contents."""
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), V.hash_embedding(F.col("text")).alias("vector"), F.col("text").alias("content"))
+    return P.nearest(docs, _asked(spark, d).withColumn("query_vector", V.hash_embedding(F.col("query"))), 15, digits=DIGITS, payload=["content"])
 
 
 @query
 def hybrid_rank(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return R.hybrid_rank(_pool(spark, d), docs, _asked(spark, d), 15, digits=DIGITS)
+    return R.hybrid_rank(_pool(spark, d).drop("content"), docs, _asked(spark, d), 15, digits=DIGITS)
 
 
 @query
 def mmr_select(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    ranked = _pool(spark, d).join(docs, "id").withColumn("rank", F.col("id") % 20 + 1)
-    return R.mmr(ranked, 5).select("query_id", "rank", "id")
+    return R.mmr(_pool(spark, d), 5).select("query_id", "rank", "id")
 
 
 @query
 def source_dedupe(spark, d):
+    """Each source's documents as the ranked hits of one question."""
     docs = _t(spark, d, "documents")
-    rows = docs.select(F.lit(0).alias("query_id"), F.col("doc_id").alias("rank"), F.col("lang").alias("document_id"), F.lit(" 3 ").alias("page_number"), F.col("text").alias("content"), "doc_id")
+    rows = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("rank"), F.col("lang").alias("document_id"), F.lit(" 3 ").alias("page_number"), F.col("text").alias("content"), "doc_id")
     return R.dedupe_sources(rows).select("doc_id", "rank")
 
 
@@ -310,10 +319,28 @@ def episodic_keyword_fallback(spark, d):
 
 @query
 def semantic_fuse(spark, d):
-    near = P.nearest(_points(spark, d), _vector_queries(spark, d), 10, digits=DIGITS).select("query_id", F.col("id").alias("memory_id"), F.col("score").alias("vector_score"))
-    both = near.join(_memories(spark, d).select("memory_id", "importance"), "memory_id")
-    words = both.select("query_id", (F.col("memory_id") + 1).alias("memory_id"), F.lit(0.5).alias("importance"), (F.col("memory_id") % 5 / 4).alias("graph_score"))
-    return M.semantic_fuse(both, words, 8, DIGITS).select("query_id", "rank", "memory_id", "score")
+    """Turns near a question by their vectors, and turns that share its words."""
+    turns, asked = _remembered(spark, d), _remembered_asked(spark, d)
+    near = P.nearest(turns.withColumnRenamed("memory_id", "id"), asked, 10, digits=DIGITS, payload=["importance"])
+    vector = near.select("query_id", F.col("id").alias("memory_id"), "importance", F.col("score").alias("vector_score"))
+    words = M.keyword_search(turns, asked, 10, digits=DIGITS).select("query_id", "memory_id", "importance", F.col("score").alias("graph_score"))
+    return M.semantic_fuse(vector, words, 8, DIGITS).select("query_id", "rank", "memory_id", "score")
+
+
+@query
+def semantic_keyword_search(spark, d):
+    return M.keyword_search(_turns(spark, d), _asked(spark, d), 10, 0.5, DIGITS).select("query_id", "rank", "memory_id", "score")
+
+
+@query
+def semantic_retrieve(spark, d):
+    return M.semantic_retrieve(_remembered(spark, d), _remembered_asked(spark, d), 5, min_importance=0.8, digits=DIGITS)
+
+
+@query
+def semantic_add(spark, d):
+    points, _, _ = M.semantic_add(_turns(spark, d))
+    return points.select("memory_id", F.array_join("entities", " ").alias("entities"), "entity_count", "relation_count", F.size("vector").alias("dimension"))
 
 
 @query
@@ -475,12 +502,14 @@ def _tasks(spark, d):
 def import_batch_summary(spark, d):
     tasks = _tasks(spark, d)
     batches = tasks.select("batch_id", "user_id").distinct()
-    return T.batch_summary(batches, tasks.where("task_id % 9 <> 0"))
+    return T.batch_summary(batches, tasks)
 
 
 @query
 def import_claim_next(spark, d):
-    tasks = _tasks(spark, d).where("status <> 'running' OR user_id % 3 = 0")
+    """Users with running tasks are those whose id is divisible by 3; the others' have succeeded."""
+    over = (F.col("status") == "running") & (F.col("user_id") % 3 > 0)
+    tasks = _tasks(spark, d).withColumn("status", F.when(over, "succeeded").otherwise(F.col("status")))
     return T.claimable(tasks, "2024-01-20 00:00:00", blocked=[1, 2], limit=20).select("task_id", "user_id", "status")
 
 
@@ -535,7 +564,7 @@ def history_delete_cascade(spark, d):
 @query
 def history_recall(spark, d):
     c = _t(spark, d, "conversations").select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("position"), "text")
-    docs = _t(spark, d, "documents").select(F.col("source").alias("document_name"), F.lit(None).cast("string").alias("document_path"), F.col("doc_id").alias("position")).where("position < 40")
+    docs = _t(spark, d, "documents").select(F.col("source").alias("document_name"), F.lit(None).cast("string").alias("document_path"), F.col("doc_id").alias("position"))
     questions = c.where("role = 'user'").select(F.col("text").alias("question"), F.lit("").alias("answer"), "position")
     notes = c.where("role = 'assistant'").select(F.lit("").alias("concept"), F.col("text").alias("note"), F.lit("").alias("content"), "position")
     return H.recall(docs, questions, notes, "c1", 30).union(H.recall(docs, questions, notes, "eau", 30)).select("kind", "position", "text")
@@ -554,7 +583,7 @@ def session_expiry(spark, d):
 
 @query
 def golden_trace_eval(spark, d):
-    b = _t(spark, d, "benchmark").where("item_id < 20")
+    b = _t(spark, d, "benchmark")
     traces = b.select(
         F.concat(F.lit("case-"), "item_id").alias("case_id"), F.array(F.col("text"), F.lit("doc-1 the prompt")).alias("prompts"), F.concat(F.lit("doc-2 answer "), "text").alias("output"),
         F.array(F.lit("doc-1"), F.concat(F.lit("doc-"), F.col("item_id") % 4)).alias("required_document_ids"), F.array(F.lit("que")).alias("forbidden_document_ids"),
@@ -574,3 +603,334 @@ def error_redaction(spark, d):
 def tool_call_parse(spark, d):
     text = F.concat(F.col("event_type"), F.lit(" [TOOL_CALL:search:query="), F.col("user_id"), F.lit("] then [TOOL_CALL:calculator:1+"), F.col("event_id"), F.lit("]"))
     return _t(spark, d, "events").select("event_id", F.posexplode(X.tool_calls(text)).alias("n", "c")).select("event_id", "n", "c.name", "c.arguments")
+
+
+def _scoped(spark, d) -> DataFrame:
+    """Points of documents (their label) in two namespaces."""
+    return _points(spark, d).select("id", F.col("label").cast("string").alias("document_id"), F.concat(F.lit("ns"), F.col("id") % 2).alias("namespace"))
+
+
+@query
+def namespace_scope(spark, d):
+    return _scoped(spark, d).where(P.in_scope(P.scope(document_ids=["1", " 3 ", "1"]), "ns1"))
+
+
+@query
+def namespace_remove(spark, d):
+    left, removed = P.remove(_scoped(spark, d), ["1", "2"], "ns1")
+    whole, _ = P.remove(_scoped(spark, d), namespace="ns0")
+    kept = lambda rows, kind: rows.groupBy("namespace", "document_id").agg(F.count("*").alias("points")).select(F.lit(kind).alias("kind"), "namespace", "document_id", "points")
+    return kept(left, "left").union(removed.select(F.lit("removed"), F.lit("ns1"), "document_id", "removed")).union(kept(whole, "cleared"))
+
+
+@query
+def document_ids(spark, d):
+    return C.document_ids(_windows(spark, d))
+
+
+@query
+def ordered_chunks(spark, d):
+    own = Window.partitionBy("document_id").orderBy("chunk_index", "chunk_id")
+    return C.ordered_chunks(_windows(spark, d)).select("document_id", "chunk_id", F.row_number().over(own).alias("place"))
+
+
+@query
+def points_of_arrays(spark, d):
+    held = _points(spark, d).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias("x"))
+    rows = held.select("label", F.transform("x", lambda x: F.when(x["id"] % 2 == 0, x["id"].cast("string"))).alias("ids"), F.transform("x", lambda x: x["vector"]).alias("vectors"), F.transform("x", lambda x: F.col("label")).alias("metadata"))
+    return C.points_of_arrays(rows).select("id", F.round(F.element_at("vector", 1), DIGITS).alias("first"), "metadata")
+
+
+@query
+def cosine_neighbours(spark, d):
+    a, b = _points(spark, d).select("id", "vector"), _points(spark, d).select((F.col("id") - 1).alias("id"), F.col("vector").alias("other"))
+    return a.join(b, "id").select("id", F.round(V.cosine(F.col("vector"), F.col("other")), DIGITS).alias("score"))
+
+
+@query
+def vector_dimension_strict(spark, d):
+    return _points(spark, d).select("id", F.round(F.aggregate(V.fitted(F.col("vector"), 64, "error"), F.lit(0.0), lambda a, x: a + x), DIGITS).alias("total"))
+
+
+@query
+def segments_prepared(spark, d):
+    """Documents as two pages each."""
+    pages = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.array(F.col("text"), F.concat(F.lit("note on "), "source"))).alias("segment_index", "content"))
+    rows = C.prepare_segments(pages.withColumn("page_number", F.concat(F.lit(" "), F.col("segment_index") + 1)), "windows")
+    return rows.select("document_id", "chunk_index", "chunk_id", "page_number", F.length("content").alias("n_chars"))
+
+
+@query
+def headed_paragraphs(spark, d):
+    text = F.concat(F.lit("start\n# "), "source", F.lit("\none\ntwo\n\nthree\n## "), "lang", F.lit("\nfour\n# End\n"), F.col("doc_id").cast("string"))
+    return _t(spark, d, "documents").select("doc_id", F.posexplode(X.headed_paragraphs(text)).alias("position", "p")).select("doc_id", "position", "p.content", "p.heading_path", "p.level")
+
+
+@query
+def label_ids(spark, d):
+    label = F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit(" | x | "), "doc_id", F.lit(" "))).otherwise(F.concat(F.lit(" "), "source"))
+    return _t(spark, d, "documents").select("doc_id", X.label_id(label).alias("label_id"))
+
+
+@query
+def tool_arguments(spark, d):
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("kind= "), "event_type", F.lit(" ,user="), "user_id")).otherwise(F.concat(F.lit(" "), "event_type"))
+    return _t(spark, d, "events").select("event_id", F.explode(X.tool_arguments(text)).alias("name", "value"))
+
+
+@query
+def redacted_urls(spark, d):
+    url = F.concat(F.lit("https://me:pw@host/x?token="), "event_id", F.lit("&user="), "user_id", F.lit("&API_KEY=zz"))
+    return _t(spark, d, "events").select("event_id", X.redacted_url(url).alias("url"))
+
+
+@query
+def graph_redaction(spark, d):
+    kinds = F.array(F.lit("no route to bolt+s://h:7687"), F.lit("password = hush\nrefused"), F.lit("token:abc   NEO4J://h"), F.lit("fine"))
+    return _t(spark, d, "events").select("event_id", X.graph_redacted(F.concat(F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int")), F.lit(" #"), "event_id")).alias("message"))
+
+
+@query
+def transient_failures(spark, d):
+    status = F.when(F.col("event_id") % 3 == 0, F.element_at(F.array(*map(F.lit, [404, 429, 503, 200])), (F.col("event_id") % 4 + 1).cast("int")))
+    return _t(spark, d, "events").select("event_id", X.transient(status, F.when(F.col("event_id") % 2 == 0, "Read timed out").otherwise("bad key")).alias("transient"))
+
+
+@query
+def stable_point_ids(spark, d):
+    return _t(spark, d, "documents").select("doc_id", X.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("default:"), "doc_id", F.lit(":"), "source")).alias("point_id"))
+
+
+@query
+def graph_resolve(spark, d):
+    """Each document's entities related by name, every seventh to a name that no node has."""
+    nodes, _ = _graph(spark, d)
+    rel = G.rule_relations(_entities(spark, d)).withColumn("target", F.when(F.col("document_id").cast("long") % 7 == 3, "no such node").otherwise(F.upper("target")))
+    good, dangling = G.resolve(rel, nodes)
+    count = lambda rows, kind: rows.groupBy("document_id").agg(F.count("*").alias("relations")).select("document_id", F.lit(kind).alias("kind"), "relations")
+    return count(good, "edge").union(count(dangling, "dangling"))
+
+
+@query
+def graph_replace(spark, d):
+    """Documents ending in 3 get graphs of their first four words, those ending in 4 lose theirs."""
+    nodes, edges = _graph(spark, d)
+    fresh = G.rule_entities(_t(spark, d, "documents").where("doc_id % 10 = 3"), most=4)
+    asked = _t(spark, d, "documents").where("doc_id % 10 IN (3, 4)").select(F.col("doc_id").cast("string").alias("document_id"))
+    parts = G.replace_graph(nodes, G.dedupe_edges(edges), G.concept_nodes(fresh), G.dedupe_edges(G.concept_edges(G.rule_relations(fresh))), asked)
+    out = None
+    for kind, rows in zip(("nodes", "edges", "canonical", "orphans"), parts, strict=True):
+        one = rows.agg(F.count("*").alias("rows")).select(F.lit(kind).alias("kind"), "rows")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _builds(spark, d) -> DataFrame:
+    """Build states of four in five documents."""
+    kinds = F.array(*map(F.lit, ["building", "ready", "failed", "cleanup_pending"]))
+    rows = _t(spark, d, "documents").where("doc_id % 5 < 4")
+    return rows.select(F.col("doc_id").cast("string").alias("document_id"), F.element_at(kinds, (F.col("doc_id") % 5 + 1).cast("int")).alias("status"), F.concat(F.lit("b"), "doc_id").alias("build_id"), (F.col("doc_id") % 3).cast("int").alias("attempt_count"), F.lit(1).alias("llm_attempt_count"))
+
+
+def _ids(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"))
+
+
+@query
+def graph_status(spark, d):
+    return G.status(_ids(spark, d), _builds(spark, d))
+
+
+@query
+def graph_by_status(spark, d):
+    return G.by_status(_builds(spark, d), "failed").select("document_id", "build_id")
+
+
+@query
+def graph_deleted(spark, d):
+    asked = _ids(spark, d).where("document_id LIKE '%1'")
+    return G.deleted(_builds(spark, d), asked, asked.where("document_id LIKE '%11'")).select("document_id", "status")
+
+
+@query
+def graph_recovered(spark, d):
+    stored = _builds(spark, d).where("document_id LIKE '%0'").select("document_id", "build_id")
+    return G.recovered(_builds(spark, d), stored).select("document_id", "status")
+
+
+@query
+def graph_state_upsert(spark, d):
+    new = _ids(spark, d).where("document_id LIKE '%4' OR document_id LIKE '%5'").select("document_id", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("build_id"), F.lit(None).cast("int").alias("attempt_count"), F.lit(9).alias("llm_attempt_count"))
+    return N.upsert_state(_builds(spark, d), new)
+
+
+@query
+def graph_page(spark, d):
+    return G.page(_graph(spark, d)[0].select("document_id", "graph_id"), ["document_id", "graph_id"], 100, 200)
+
+
+@query
+def graph_chunks_normalized(spark, d):
+    """Chunks, some without an id or of another document's; the first chunk of each third document stands twice."""
+    w = _windows(spark, d)
+    rows = w.select("document_id", F.when(F.col("chunk_index") % 9 != 8, F.concat(F.lit(" "), "chunk_id")).alias("chunk_id"), "content", F.when(F.col("chunk_index") % 7 == 6, "other").alias("owner"), "chunk_index")
+    rows = rows.union(rows.where("chunk_index = 0 AND document_id % 3 = 0"))
+    good, bad = G.normalized_chunks(rows)
+    return good.select("document_id", "chunk_id", F.lit("").alias("problem")).union(bad)
+
+
+def _extracted(spark, d):
+    """An answer for each document that names its language and its source."""
+    item = lambda name: F.concat(F.lit('{"name":"'), name, F.lit('","chunk_id":"c0","description":"d","confidence":0.5}'))
+    link = F.concat(F.lit('{"source":"'), F.upper("source"), F.lit('","target":"'), F.when(F.col("doc_id") % 4 == 1, "nowhere").otherwise(F.col("lang")), F.lit('","type":"'), F.when(F.col("doc_id") % 4 == 2, "eats").otherwise("is_a"), F.lit('","chunk_id":"'), F.when(F.col("doc_id") % 4 == 3, "c9").otherwise("c0"), F.lit('","confidence":1.5}'))
+    head = F.concat(F.lit('```json\n{"concepts":['), item(F.col("lang")), F.lit(","), item(F.col("source")), F.lit(","), item(F.concat(F.lit(" "), F.upper("lang"))), F.lit('],"knowledge_points":[],"persons":['), item(F.lit("Ada")), F.lit('],"knowledge_relations":[],"person_relations":[],"concept_relations":['), link)
+    whole = F.concat(head, F.lit('],"mentions":[{"type":"concept","name":"'), F.col("lang"), F.lit('","chunk_id":"c0"},{"type":"person","name":"ada","chunk_id":"c9"}]}\n```'))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("c0").alias("chunk_id"), F.when(F.col("doc_id") % 10 == 9, F.lit('{"concepts":[]}')).otherwise(whole).alias("answer"))
+    return docs, docs.select("document_id", "chunk_id")
+
+
+@query
+def extraction_problems(spark, d):
+    return N.parsed(_extracted(spark, d)[0]).where("problem IS NOT NULL").select("document_id", "problem")
+
+
+@query
+def extraction_entities(spark, d):
+    return N.entities(N.parsed(_extracted(spark, d)[0]).where("problem IS NULL")).select("document_id", "label", "normalized_name")
+
+
+@query
+def extraction_relations(spark, d):
+    rows, chunks = _extracted(spark, d)
+    good = N.parsed(rows).where("problem IS NULL")
+    edges, problems = N.relations(good, N.entities(good), chunks)
+    return edges.select("document_id", "type", "confidence", F.lit("").alias("problem")).union(problems.select("document_id", "type", F.lit(None).cast("double"), "problem"))
+
+
+@query
+def extraction_mentions(spark, d):
+    rows, chunks = _extracted(spark, d)
+    good = N.parsed(rows).where("problem IS NULL")
+    return N.mentions(good, N.entities(good), chunks).groupBy("document_id", "source_id", "type").agg(F.count("*").alias("mentions"), F.min("confidence").alias("confidence"))
+
+
+@query
+def comparison_markdown(spark, d):
+    c = F.struct(
+        F.array(F.struct(F.col("lang").alias("text"), F.array(F.lit("S-1"), F.lit("S-2")).alias("citations"))).alias("common_points"),
+        F.array(F.struct(F.col("source").alias("topic"), F.array(F.struct(F.lit("a").alias("document_id"), F.lit("x").alias("text"), F.array().cast("array<string>").alias("citations"))).alias("documents"))).alias("differences"),
+        F.array().cast("array<struct<document_id:string,summary:string,citations:array<string>>>").alias("per_document_evidence"),
+        F.array(F.struct(F.col("doc_id").cast("string").alias("document_id"), F.lit("n").alias("note"))).alias("missing_information"),
+    )
+    return _t(spark, d, "documents").select("doc_id", A.comparison_markdown(c).alias("markdown"))
+
+
+@query
+def answer_text(spark, d):
+    source = lambda mark, shown: F.struct(mark.alias("citation_id"), shown.alias("shown"))
+    sources = F.array(source(F.lit("S-1"), F.col("source")), source(F.lit("S-1"), F.lit("again")), source(F.col("lang"), F.lit("")))
+    graph = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit("G-1").alias("citation_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("entity").alias("kind"), F.col("source").alias("name")))).otherwise(F.array().cast("array<struct<citation_id:string,document_id:string,kind:string,name:string>>"))
+    return _t(spark, d, "documents").select("doc_id", A.answer_text(F.col("lang"), sources, F.col("doc_id") % 3 == 0, graph).alias("answer"))
+
+
+@query
+def memory_snapshot_difference(spark, d):
+    rows = M.owned(_memories(spark, d).where("user_id = 3"), 3)
+    return M.difference(rows, M.forget(rows, "importance_based", AS_OF, threshold=0.6))
+
+
+@query
+def memory_clear(spark, d):
+    left, removed = M.clear(_memories(spark, d), "semantic")
+    return left.groupBy("memory_type").agg(F.count("*").alias("memories")).select(F.lit("left").alias("kind"), "memory_type", "memories").union(removed.select(F.lit("removed"), "memory_type", "removed"))
+
+
+@query
+def memory_summary(spark, d):
+    return M.summary_lines(_memories(spark, d))
+
+
+@query
+def memory_insert_once(spark, d):
+    rows = _memories(spark, d).select("memory_id", "user_id", "importance")
+    return M.insert_once(rows.where("memory_id % 3 = 0"), rows.where("memory_id % 2 = 0").union(rows.where("memory_id % 2 = 0")).withColumn("importance", F.lit(0.1)))
+
+
+@query
+def episodic_items(spark, d):
+    rows = _memories(spark, d).where("memory_type = 'episodic'").select(F.col("memory_id").cast("string").alias("memory_id"), "content", "importance")
+    payload = F.create_map(F.lit("episode_id"), F.when(F.col("memory_id") % 2 == 0, F.col("memory_id")).otherwise(""), F.lit("content"), F.when(F.col("memory_id") % 3 == 0, "told").otherwise(""), F.lit("importance"), F.when(F.col("memory_id") % 5 == 0, "0.9"))
+    return M.retrieved_items(rows.select(F.col("memory_id").alias("id"), F.lit(0.25).alias("score"), payload.alias("metadata")), rows)
+
+
+@query
+def history_upsert(spark, d):
+    rows = H.latest(_records(spark, d)).select("user_id", "document_id", "position", "name")
+    new = _records(spark, d).where("position % 26 = 4").groupBy("user_id", "document_id").agg((F.max("position") + 1_000_000).alias("position"), F.lit("new").alias("name"))
+    return H.upsert(rows, new)
+
+
+@query
+def history_clear(spark, d):
+    r = _records(spark, d)
+    return H.cleared(documents=r.where("position % 3 = 0"), questions=r.where("position % 3 = 1"))[1]
+
+
+@query
+def history_note(spark, d):
+    e = _t(spark, d, "events").select("user_id", F.col("event_id").alias("position"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("note"), F.when(F.col("event_id") % 2 == 0, F.lit("what")).alias("concept"))
+    none = _memories(spark, d).limit(0).select(F.col("memory_id").cast("string").alias("memory_id"), "user_id", "memory_type", "content", "importance", "ts")
+    memories, _ = H.with_note(none, e.limit(0), e)
+    return memories.select("memory_id", "content", "importance", "memory_type")
+
+
+@query
+def learning_stats(spark, d):
+    r = _records(spark, d)
+    return H.learning_stats(H.latest(r), r.where("position % 3 = 1"), r.where("position % 5 = 1"))
+
+
+@query
+def history_load(spark, d):
+    kinds = F.array(F.lit('{"documents":[1,2],"questions":[{}]}'), F.lit('{"documents":{},"notes":[]}'), F.lit("broken"), F.lit('{"notes":[1,2,3]}'), F.lit("[]"))
+    good, bad = H.load(_t(spark, d, "events").select(F.col("event_id").alias("user_id"), F.element_at(kinds, (F.col("event_id") % 5 + 1).cast("int")).alias("value")))
+    none = F.lit(None).cast("int")
+    return good.select("user_id", "documents", "questions", "notes").union(bad.select("user_id", none, none, none))
+
+
+@query
+def import_transitions(spark, d):
+    """Commit gate, success, cancel and release, each asked of every task."""
+    tasks = _tasks(spark, d).withColumn("cancel_requested_at", F.when(F.col("task_id") % 12 == 1, F.col("created_at")))
+    out = None
+    for kind, step in (("commit", T.begin_committing), ("succeed", T.mark_succeeded), ("cancel", T.mark_cancelled), ("release", T.release_claim)):
+        after, refused = step(tasks, F.lit(True))
+        rows = after.groupBy("status", "stage").agg(F.count("*").alias("tasks"), F.sum("auto_retry_count").alias("retries")).select(F.lit(kind).alias("kind"), "status", "stage", "tasks", "retries")
+        rows = rows.union(refused.agg(F.count("*").alias("n")).select(F.lit(kind), F.lit("refused"), F.lit(""), "n", F.lit(0).cast("long")))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query
+def import_manual_retry(spark, d):
+    return T.retry_failed(_tasks(spark, d), F.col("batch_id") % 2 == 0).select("task_id", "status", "auto_retry_count", "manual_retry_count")
+
+
+@query
+def import_recover(spark, d):
+    tasks = _tasks(spark, d)
+    return T.recover(tasks, tasks.where("task_id % 5 = 0").select("task_id")).select("task_id", "status", "error_code")
+
+
+@query
+def import_active_users(spark, d):
+    return T.active(_tasks(spark, d))
+
+
+@query
+def context_budgets(spark, d):
+    """The room that each question leaves for its sources, by the length of its words."""
+    tokens = X.approximate_tokens(F.col("text"))
+    left = A.WINDOW_TOKENS - A.OUTPUT_TOKENS - A.SAFETY_TOKENS - tokens
+    return _t(spark, d, "benchmark").select("item_id", tokens.alias("tokens"), left.alias("room"))
+

@@ -28,12 +28,12 @@ _DIGEST = "sha256(" + _strip("replace(replace({0}, chr(13) || chr(10), chr(10)),
 _TOK = "list_distinct(list_transform(regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9_]+|[一-鿿]'), lambda x: lower(x)))"
 _WTOK = "list_concat(regexp_extract_all(coalesce({0}, ''), '[一-鿿]'), regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9_]+'))"
 _LEX = f"""
-q AS (SELECT item_id AS query_id, unnest({_TOK.format("text")}) AS token, len({_TOK.format("text")}) AS n FROM benchmark WHERE item_id < 10),
+q AS (SELECT item_id AS query_id, unnest({_TOK.format("text")}) AS token, len({_TOK.format("text")}) AS n FROM benchmark WHERE item_id % 20 = 0),
 c AS (SELECT doc_id AS id, unnest({_TOK.format("text")}) AS token FROM documents),
 lex AS (SELECT query_id, id, count(*) / any_value(n) AS l FROM c JOIN q USING (token) GROUP BY query_id, id)"""
 _COS = """
 e AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-n AS (SELECT a.id AS query_id, b.id AS id, b.label AS label, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.id % 50 = 0)"""
+n AS (SELECT a.id AS query_id, b.id AS id, b.label AS label, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.id % 20 = 0)"""
 _NEAR = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)"
 _MEM = """
 m AS (SELECT event_id AS memory_id, user_id, event_type AS session_id, CAST(ts AS TIMESTAMP) AS ts, round(least(1.0, value / 100), 4) AS importance, event_type || ' ' || props AS content,
@@ -50,7 +50,7 @@ tf AS (SELECT memory_id, token, count(*) / any_value(n) AS tf FROM (SELECT memor
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
 nn AS (SELECT count(*) AS total FROM {memories}),
 dw AS (SELECT memory_id, tf.token, tf * (ln((total + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (token), nn),
-qt AS (SELECT item_id AS query_id, text AS query, {_WTOK.format("text")} AS t FROM benchmark WHERE item_id < 10),
+qt AS (SELECT item_id AS query_id, text AS query, {_WTOK.format("text")} AS t FROM benchmark WHERE item_id % 20 = 0),
 qf AS (SELECT query_id, token, count(*) / any_value(n) AS tf FROM (SELECT query_id, len(t) AS n, unnest(t) AS token FROM qt) GROUP BY query_id, token),
 qw AS (SELECT query_id, qf.token, tf * (ln((total + 1) / (coalesce(df, 0) + 1)) + 1) AS w FROM qf LEFT JOIN df USING (token), nn),
 tfidf AS (SELECT query_id, memory_id, dot / (a.l * b.l) AS s FROM (SELECT query_id, memory_id, sum(dw.w * qw.w) AS dot FROM dw JOIN qw USING (token) GROUP BY query_id, memory_id)
@@ -82,10 +82,6 @@ task AS (SELECT event_id AS task_id, CAST(floor(event_id / 8) AS BIGINT) AS batc
          event_id % 5 AS auto_retry_count FROM events)"""
 _REC = """
 r AS (SELECT user_id, CAST(event_id % 13 AS VARCHAR) AS document_id, event_id AS position, CASE WHEN event_id % 3 > 0 THEN CAST(ts AS TIMESTAMP) END AS loaded_at, event_type AS name FROM events)"""
-_POOL = """
-pool AS (SELECT query_id, id, 0.9::DOUBLE - (id % 20) / 40 AS score FROM (SELECT item_id AS query_id, unnest(range(item_id * 20, item_id * 20 + 15)) AS id FROM benchmark WHERE item_id < 10))"""
-
-
 def _forget(kind: str, keep: str) -> str:
     return f"WITH {_MEM} SELECT memory_id, user_id FROM m WHERE memory_type = '{kind}' AND {keep}"
 
@@ -99,6 +95,26 @@ raw AS (SELECT {ids}, idx, sum(x) AS x FROM (SELECT * FROM ch UNION ALL SELECT *
 nrm AS (SELECT {ids}, sqrt(sum(x * x)) AS n FROM raw GROUP BY ALL)"""
 
 
+def _near(source: str, limit: int, name: str = "pool") -> str:
+    """The ``limit`` rows of ``source`` (id, text) nearest to each question by hash embeddings, as (query_id, id, score, r)."""
+    return f"""pt AS (SELECT 'm' AS side, id AS key, text FROM {source} UNION ALL SELECT 'q', item_id, text FROM benchmark WHERE item_id % 20 = 0), {_embedding("side, key", "pt")},
+    unit AS (SELECT side, key, idx, x / n AS x FROM raw JOIN nrm USING (side, key)),
+    every AS (SELECT q.item_id AS query_id, m.id FROM benchmark q, {source} m WHERE q.item_id % 20 = 0 AND m.text IS NOT NULL),
+    dots AS (SELECT a.key AS query_id, b.key AS id, sum(a.x * b.x) AS dot FROM unit a JOIN unit b USING (idx) WHERE a.side = 'q' AND b.side = 'm' GROUP BY ALL),
+    {name} AS (SELECT query_id, id, round(coalesce(dot, 0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(dot, 0), 6) DESC, id) AS r FROM every LEFT JOIN dots USING (query_id, id) QUALIFY r <= {limit})"""
+
+
+_TERMS = r"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '\s+'), lambda x: x <> ''))"
+_WORDS = rf"""
+kq AS (SELECT item_id AS query_id, text AS query, {_TERMS.format("text")} AS t FROM benchmark WHERE item_id % 20 = 0),
+kp AS (SELECT query_id, memory_id, importance, len(list_intersect(t, {_TERMS.format("content")})) / len(t) AS part, contains(content, query) AS inside FROM kq, u),
+kw AS (SELECT query_id, memory_id, importance, round(CASE WHEN part > 0 THEN part WHEN inside THEN 1.0 ELSE 0 END, 6) AS g FROM kp)"""
+_BEST = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id)"
+_PTS = "pts AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS document_id, 'ns' || (vec_id % 2) AS namespace FROM embeddings)"
+_BLD = """bld AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, ['building', 'ready', 'failed', 'cleanup_pending'][CAST(doc_id % 5 + 1 AS INT)] AS status, 'b' || doc_id AS build_id, doc_id % 3 AS attempt_count, 1 AS llm_attempt_count FROM documents WHERE doc_id % 5 < 4),
+ids AS (SELECT CAST(doc_id AS VARCHAR) AS document_id FROM documents)"""
+_XNAMES = "xn AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id, lang, source FROM documents WHERE doc_id % 10 <> 9)"
+
 _SQL = {
     "chunk_windows": f"WITH {_W} SELECT document_id, chunk_index, length(content) AS n_chars, sha256(content) AS digest FROM w",
     "chunk_paragraphs": f"WITH {_P} SELECT document_id, chunk_index, length(content) AS n_chars, sha256(content) AS digest FROM p",
@@ -120,7 +136,7 @@ _SQL = {
     "point_upsert": "SELECT user_id AS id, min(event_id) AS seq, max_by(value, event_id) AS value FROM events GROUP BY user_id",
     "hash_embedding_components": f"WITH {_embedding('doc_id', 'documents')} SELECT doc_id, idx, round(x / n, 6) AS value FROM raw JOIN nrm USING (doc_id) WHERE x <> 0",
     "vector_dimension_fit": "SELECT vec_id AS id, round(list_sum(list_slice(CAST(embedding AS DOUBLE[]), 1, 48)), 6) AS total, 100 AS padded FROM embeddings",
-    "source_dedupe": f"""SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM (SELECT min(doc_id) AS doc_id FROM documents GROUP BY lang, {_DIGEST.format("text")})""",
+    "source_dedupe": f"""SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source, lang, {_DIGEST.format("text")})""",
     "citation_ids": f"SELECT doc_id, 'S-' || substr(sha256(doc_id || '|7|' || {_DIGEST.format('text')}), 1, 12) AS citation_id, 'G-' || substr(sha1(doc_id || '|entity|' || source), 1, 10) AS graph_citation_id FROM documents",
     "rag_stats": f"WITH {_W} SELECT count(DISTINCT document_id) AS document_count, count(*) AS chunk_count FROM w",
     "summary_sample_even": f"""WITH {_W}, c AS (SELECT document_id, chunk_index, count(*) OVER (PARTITION BY document_id) AS n FROM w)
@@ -154,10 +170,6 @@ _SQL = {
     "episodic_time_range": f"WITH {_MEM} SELECT memory_id, user_id, importance FROM m WHERE session_id = 'purchase' AND importance >= 0.3 AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-12 23:59:59'",
     "episodic_keyword_fallback": rf"""WITH {_TURNS}, k AS (SELECT memory_id, content, len(list_intersect(['the', 'de'], list_distinct(regexp_split_to_array(lower(content), '\s+')))) / 2 AS part FROM u)
         SELECT memory_id, round(CASE WHEN part > 0 THEN part ELSE 1.0 END, 6) AS score FROM k WHERE part > 0 OR contains(content, 'the de')""",
-    "semantic_fuse": f"""WITH {_COS}, {_MEM}, v AS (SELECT query_id, id AS memory_id, score AS v, importance FROM (SELECT *, {_NEAR} AS rank FROM n) JOIN m ON m.memory_id = id WHERE rank <= 10),
-        g AS (SELECT query_id, memory_id + 1 AS memory_id, 0.5 AS gi, (memory_id % 5) / 4 AS g FROM v),
-        s AS (SELECT query_id, memory_id, round((0.7 * coalesce(v, 0) + 0.3 * coalesce(g, 0)) * (0.8 + 0.4 * coalesce(importance, gi)), 6) AS score FROM v FULL JOIN g USING (query_id, memory_id))
-        SELECT query_id, rank, memory_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM s WHERE score > 0) WHERE rank <= 8""",
     "memory_union_rank": f"""WITH {_MEM}, t AS (SELECT user_id, memory_id, importance, CASE memory_type WHEN 'working' THEN 0 WHEN 'episodic' THEN 1 ELSE 2 END AS o, row_number() OVER (PARTITION BY user_id, memory_type ORDER BY ts DESC, memory_id) AS r FROM m),
         k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY importance DESC, o, r) AS rank FROM t WHERE r <= 5 AND importance >= 0.1) SELECT user_id AS query_id, rank, memory_id, importance FROM k WHERE rank <= 5""",
     "memory_consolidate": f"""WITH {_MEM} SELECT CASE WHEN memory_type = 'working' AND importance >= 0.7 THEN 'episodic' ELSE memory_type END AS memory_type, CASE WHEN memory_type = 'working' AND importance >= 0.7 THEN 'working' END AS consolidated_from,
@@ -191,8 +203,8 @@ _SQL = {
     "graph_lines_fit": f"WITH {_SRC} SELECT query_id, position, used FROM (SELECT query_id, rank AS position, sum(length(content) + 1) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM src) WHERE used <= 120",
     "comparison_validate": "SELECT item_id, item_id % 3 < 2 AND item_id % 4 < 3 AND item_id % 5 <> 0 AS valid FROM benchmark",
     "import_batch_summary": f"""WITH {_TASK} SELECT b.batch_id, b.user_id, count(t.task_id) AS total, {", ".join(f"count(*) FILTER (t.status = '{s}') AS {s}" for s in ("queued", "running", "retry_wait", "succeeded", "failed", "cancelled"))}
-        FROM (SELECT DISTINCT batch_id, user_id FROM task) b LEFT JOIN (SELECT * FROM task WHERE task_id % 9 <> 0) t USING (batch_id, user_id) GROUP BY b.batch_id, b.user_id""",
-    "import_claim_next": f"""WITH {_TASK}, x AS (SELECT * FROM task WHERE status <> 'running' OR user_id % 3 = 0),
+        FROM (SELECT DISTINCT batch_id, user_id FROM task) b LEFT JOIN task t USING (batch_id, user_id) GROUP BY b.batch_id, b.user_id""",
+    "import_claim_next": f"""WITH {_TASK}, x AS (SELECT * REPLACE (CASE WHEN status = 'running' AND user_id % 3 > 0 THEN 'succeeded' ELSE status END AS status) FROM task),
         y AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, task_id) AS k FROM x WHERE (status = 'queued' OR status = 'retry_wait' AND next_attempt_at <= TIMESTAMP '2024-01-20') AND user_id NOT IN (SELECT user_id FROM x WHERE status = 'running') AND user_id NOT IN (1, 2))
         SELECT task_id, user_id, status FROM y WHERE k = 1 ORDER BY created_at, task_id LIMIT 20""",
     "import_cancel_outcome": f"WITH {_TASK} SELECT task_id, CASE WHEN status IN ('queued', 'retry_wait') THEN 'cancelled' WHEN status = 'running' AND stage = 'committing' THEN 'not_cancellable' WHEN status = 'running' THEN 'cancel_requested' ELSE 'unchanged' END AS outcome FROM task",
@@ -207,11 +219,11 @@ _SQL = {
         SELECT user_id, document_id, row_number() OVER (PARTITION BY user_id ORDER BY loaded_at IS NOT NULL DESC, loaded_at DESC NULLS LAST, CASE WHEN loaded_at IS NOT NULL THEN document_id END DESC NULLS LAST, document_id) AS place, name FROM x""",
     "document_choices": f"WITH {_REC} SELECT user_id, document_id, min(position) AS position FROM r GROUP BY user_id, document_id",
     "history_delete_cascade": f"""WITH {_REC} SELECT count(*) AS rows, 'documents' AS kind FROM r WHERE document_id <> '4' UNION ALL SELECT count(*), 'questions' FROM r WHERE document_id <> '4' AND NOT (position % 2 = 0 AND position % 5 = 4)""",
-    "history_recall": """WITH c AS (SELECT role, conv_id * 1000 + turn AS position, text FROM conversations), a AS (SELECT 0 AS kind, doc_id AS position, source AS text FROM documents WHERE doc_id < 40 UNION ALL SELECT 1, position, text FROM c WHERE role = 'user' UNION ALL SELECT 2, position, text FROM c WHERE role = 'assistant')
+    "history_recall": """WITH c AS (SELECT role, conv_id * 1000 + turn AS position, text FROM conversations), a AS (SELECT 0 AS kind, doc_id AS position, source AS text FROM documents UNION ALL SELECT 1, position, text FROM c WHERE role = 'user' UNION ALL SELECT 2, position, text FROM c WHERE role = 'assistant')
         SELECT * FROM (SELECT * FROM a WHERE contains(text, 'c1') ORDER BY kind, position LIMIT 30) UNION ALL SELECT * FROM (SELECT * FROM a WHERE contains(text, 'eau') ORDER BY kind, position LIMIT 30)""",
     "report_recent": f"WITH {_REC} SELECT user_id, position, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY position DESC) AS place FROM r) WHERE place <= 5",
     "session_expiry": "SELECT user_id FROM events GROUP BY user_id HAVING max(CAST(ts AS TIMESTAMP)) <= TIMESTAMP '2024-01-30 10:00:00'",
-    "golden_trace_eval": """WITH b AS (SELECT item_id, text, text || chr(10) || chr(10) || 'doc-1 the prompt' AS prompt, 'doc-2 answer ' || text AS output FROM benchmark WHERE item_id < 20),
+    "golden_trace_eval": """WITH b AS (SELECT item_id, text, text || chr(10) || chr(10) || 'doc-1 the prompt' AS prompt, 'doc-2 answer ' || text AS output FROM benchmark),
         f AS (SELECT item_id, list_concat(CASE WHEN 2 < item_id % 3 + 1 THEN ['calls'] ELSE [] END,
             list_transform(list_filter(['doc-1', 'doc-' || (item_id % 4)], lambda x: NOT contains(prompt || chr(10) || chr(10) || output, x)), lambda x: 'document:' || x), list_transform(list_filter(['que'], lambda x: contains(prompt, x)), lambda x: 'leak:' || x),
             list_transform(list_filter(['answer', 'er'], lambda x: NOT contains(output, x)), lambda x: 'answer:' || x), list_transform(list_filter(['the'], lambda x: NOT contains(prompt, x)), lambda x: 'prompt:' || x)) AS fs FROM b)
@@ -219,16 +231,98 @@ _SQL = {
     "error_redaction": """SELECT event_id, ['GET https://***@host/x?api_key=***&x=1 failed', 'Authorization: ***, retry', '{"password": ***, "n": 1}', 'token=***; ok'][CAST(event_id % 4 + 1 AS INT)] || ' #' || event_id AS message FROM events""",
     "tool_call_parse": """SELECT event_id, 0 AS n, 'search' AS name, 'query=' || user_id AS arguments FROM events UNION ALL SELECT event_id, 1, 'calculator', '1+' || event_id FROM events""",
 }
-_SQL["hybrid_rank"] = f"""WITH {_LEX}, {_POOL}, ids AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark, documents WHERE item_id < 10),
-    b AS (SELECT query_id, id, round(0.7 * coalesce(score, 0) + (1 - 0.7::DOUBLE) * coalesce(l, 0), 6) AS score FROM ids LEFT JOIN pool USING (query_id, id) LEFT JOIN lex USING (query_id, id))
+_DOCS = "ds AS (SELECT doc_id AS id, text FROM documents)"
+_SQL["hybrid_rank"] = f"""WITH {_LEX}, {_DOCS}, {_near("ds", 15)}, ids AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark, documents WHERE item_id % 20 = 0),
+    b AS (SELECT query_id, id, round(0.7::DOUBLE * greatest(0, least(1, coalesce(score, 0))) + (1 - 0.7::DOUBLE) * coalesce(l, 0), 6) AS score FROM ids LEFT JOIN pool USING (query_id, id) LEFT JOIN lex USING (query_id, id))
     SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 15"""
-_SQL["mmr_select"] = f"""WITH RECURSIVE {_POOL}, c AS (SELECT query_id, id, score, {_TOK.format("text")} AS t FROM pool JOIN documents ON doc_id = id),
-    sim AS (SELECT a.query_id, a.id AS x, b.id AS y, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) AS j FROM c a JOIN c b USING (query_id)),
+_SQL["mmr_select"] = f"""WITH RECURSIVE {_DOCS}, {_near("ds", 15)}, c AS (SELECT query_id, id, greatest(0, least(1, score)) AS score, {_TOK.format("text")} AS t FROM pool JOIN documents ON doc_id = id),
+    sim AS (SELECT a.query_id, a.id AS x, b.id AS y, CASE WHEN len(a.t) > 0 AND len(b.t) > 0 THEN len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) ELSE 0 END AS j FROM c a JOIN c b USING (query_id)),
     s(query_id, k, ids) AS (SELECT DISTINCT query_id, 0, CAST([] AS BIGINT[]) FROM c UNION ALL
-      SELECT query_id, k + 1, list_append(ids, pick) FROM (SELECT s.query_id, s.k, s.ids, min_by(c.id, [-round(0.75 * c.score - 0.25 * coalesce((SELECT max(j) FROM sim WHERE sim.query_id = s.query_id AND sim.x = c.id AND list_contains(s.ids, sim.y)), 0), 9), c.id]) AS pick
+      SELECT query_id, k + 1, list_append(ids, pick) FROM (SELECT s.query_id, s.k, s.ids, min_by(c.id, [-round(0.75::DOUBLE * c.score - 0.25::DOUBLE * coalesce((SELECT max(j) FROM sim WHERE sim.query_id = s.query_id AND sim.x = c.id AND list_contains(s.ids, sim.y)), 0), 9), c.id]) AS pick
         FROM s JOIN c ON c.query_id = s.query_id WHERE s.k < 5 AND NOT list_contains(s.ids, c.id) GROUP BY s.query_id, s.k, s.ids))
     SELECT query_id, unnest(range(1, 6)) AS rank, unnest(ids) AS id FROM s WHERE k = 5"""
-_SQL["document_search"] = f"""WITH {_P}, pt AS (SELECT document_id || '_' || chunk_index AS key, content AS text FROM p UNION ALL SELECT 'q' || item_id, text FROM benchmark WHERE item_id < 10), {_embedding("key", "pt")},
+_TU = "tu AS (SELECT memory_id AS id, content AS text FROM u)"
+_FUSED = "round((0.7::DOUBLE * coalesce(v, 0) + 0.3::DOUBLE * coalesce(g, 0)) * (0.8::DOUBLE + 0.4::DOUBLE * importance), 6)"
+_SQL["semantic_fuse"] = f"""WITH {_TURNS}, {_TU}, {_near("tu", 10)}, {_WORDS}, k AS (SELECT query_id, memory_id, importance, g FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, memory_id) AS r FROM kw WHERE g > 0) WHERE r <= 10),
+    v AS (SELECT query_id, memory_id, score AS v, importance FROM pool JOIN u ON memory_id = id),
+    s AS (SELECT query_id, memory_id, {_FUSED} AS score FROM (SELECT query_id, memory_id, v, g, coalesce(v.importance, k.importance) AS importance FROM v FULL JOIN k USING (query_id, memory_id)))
+    SELECT query_id, rank, memory_id, score FROM (SELECT *, {_BEST} AS rank FROM s WHERE score > 0) WHERE rank <= 8"""
+_SQL["semantic_keyword_search"] = f"WITH {_TURNS}, {_WORDS} SELECT query_id, rank, memory_id, score FROM (SELECT query_id, memory_id, g AS score, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, memory_id) AS rank FROM kw WHERE g > 0 AND importance >= 0.5) WHERE rank <= 10"
+_SQL["semantic_retrieve"] = f"""WITH {_TURNS}, {_TU}, {_near("tu", 10)}, {_WORDS}, k AS (SELECT query_id, memory_id, importance, g FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g DESC, memory_id) AS r FROM kw WHERE g > 0 AND importance >= 0.8) WHERE r <= 10),
+    v0 AS (SELECT query_id, memory_id, importance, score AS v, 'vector' AS backend FROM pool JOIN u ON memory_id = id WHERE importance >= 0.8),
+    v AS (SELECT * FROM v0 UNION ALL SELECT query_id, memory_id, importance, g, 'fallback_keyword' FROM k WHERE query_id NOT IN (SELECT query_id FROM v0)),
+    s AS (SELECT query_id, memory_id, backend, {_FUSED} AS score FROM (SELECT query_id, memory_id, v, g, backend, coalesce(v.importance, k.importance) AS importance FROM v FULL JOIN k USING (query_id, memory_id)))
+    SELECT query_id, rank, memory_id, score, coalesce(backend, 'keyword') AS backend FROM (SELECT *, {_BEST} AS rank FROM s WHERE score > 0) WHERE rank <= 5"""
+_SQL["semantic_add"] = rf"""WITH {_TURNS}, e0 AS (SELECT memory_id, list_slice(regexp_extract_all(content, '[\x{{4e00}}-\x{{9fff}}A-Za-z0-9_]{{2,}}'), 1, 10) AS ws FROM u),
+    e1 AS (SELECT memory_id, string_agg(w, ' ' ORDER BY i) AS entities, count(*) AS n FROM (SELECT memory_id, w, min(i) AS i FROM (SELECT memory_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM e0) GROUP BY memory_id, w) GROUP BY memory_id)
+    SELECT memory_id, coalesce(entities, '') AS entities, coalesce(n, 0) AS entity_count, greatest(0, coalesce(n, 0) - 1) AS relation_count, 384 AS dimension FROM u LEFT JOIN e1 USING (memory_id)"""
+_SQL |= {
+    "namespace_scope": f"WITH {_PTS} SELECT * FROM pts WHERE namespace = 'ns1' AND document_id IN ('1', '3')",
+    "namespace_remove": f"""WITH {_PTS} SELECT 'left' AS kind, namespace, document_id, count(*) AS points FROM pts WHERE NOT (namespace = 'ns1' AND document_id IN ('1', '2')) GROUP BY ALL
+        UNION ALL SELECT 'removed', 'ns1', document_id, count(*) FROM pts WHERE namespace = 'ns1' AND document_id IN ('1', '2') GROUP BY ALL UNION ALL SELECT 'cleared', namespace, document_id, count(*) FROM pts WHERE namespace <> 'ns0' GROUP BY ALL""",
+    "document_ids": f"WITH {_W} SELECT DISTINCT document_id FROM w",
+    "ordered_chunks": f"WITH {_W} SELECT document_id, document_id || '_' || chunk_index AS chunk_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS place FROM w",
+    "points_of_arrays": "SELECT CASE WHEN vec_id % 2 = 0 THEN CAST(vec_id AS VARCHAR) ELSE CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS VARCHAR) END AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, label AS metadata FROM embeddings",
+    "cosine_neighbours": "WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON b.id = a.id + 1",
+    "vector_dimension_strict": "SELECT vec_id AS id, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings",
+    "segments_prepared": f"""WITH {_W}, a AS (SELECT document_id, 0 AS seg, chunk_index AS i, content FROM w UNION ALL SELECT CAST(doc_id AS VARCHAR), 1, 0, 'note on ' || source FROM documents WHERE source IS NOT NULL),
+        b AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seg, i) - 1 AS chunk_index FROM a) SELECT document_id, chunk_index, document_id || '_' || chunk_index AS chunk_id, CAST(seg + 1 AS VARCHAR) AS page_number, length(content) AS n_chars FROM b""",
+    "headed_paragraphs": r"""SELECT doc_id, position, content, heading_path, level FROM (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS position, unnest(['start', 'one' || chr(10) || 'two', 'three', 'four', CAST(doc_id AS VARCHAR)]) AS content,
+        unnest(['', source, source, source || ' > ' || lang, 'End']) AS heading_path, unnest([0, 1, 1, 2, 1]) AS level FROM documents)""",
+    "label_ids": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE source END AS label_id FROM documents",
+    "tool_arguments": """SELECT event_id, 'kind' AS name, event_type AS value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR) FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'input', event_type FROM events WHERE event_id % 2 = 1""",
+    "redacted_urls": "SELECT event_id, 'https://host/x?token=***&user=' || user_id || '&API_KEY=***' AS url FROM events",
+    "graph_redaction": """SELECT event_id, ['no route to [REDACTED_NEO4J_URI]', '[REDACTED_SECRET] refused', '[REDACTED_SECRET] [REDACTED_NEO4J_URI]', 'fine'][CAST(event_id % 4 + 1 AS INT)] || ' #' || event_id AS message FROM events""",
+    "transient_failures": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 4 IN (1, 2) ELSE event_id % 2 = 0 END AS transient FROM events""",
+    "stable_point_ids": """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('default:' || doc_id || ':' || source)) AS h FROM documents)
+        SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS INT)] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""",
+    "graph_resolve": f"""WITH {_GRAPH}, x AS (SELECT document_id, source, CAST(document_id AS BIGINT) % 7 = 3 AS lost FROM rel) SELECT document_id, CASE WHEN lost THEN 'dangling' ELSE 'edge' END AS kind, count(*) AS relations FROM x GROUP BY ALL""",
+    "graph_replace": rf"""WITH {_GRAPH}, 
+        f0 AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, list_slice(regexp_extract_all(coalesce(text, ''), '[\x{{4e00}}-\x{{9fff}}A-Za-z0-9_]{{2,}}'), 1, 4) AS ws FROM documents WHERE doc_id % 10 = 3),
+        f1 AS (SELECT document_id, name, min(i) AS i FROM (SELECT document_id, unnest(ws) AS name, generate_subscripts(ws, 1) AS i FROM f0) GROUP BY document_id, name), f2 AS (SELECT document_id, i, name, {_NORMAL.format("name")} AS normalized_name FROM f1),
+        f3 AS (SELECT DISTINCT document_id, a, b FROM (SELECT document_id, normalized_name AS a, lead(normalized_name) OVER (PARTITION BY document_id ORDER BY i) AS b FROM f2) WHERE b IS NOT NULL),
+        an AS (SELECT document_id, normalized_name FROM node WHERE CAST(document_id AS BIGINT) % 10 NOT IN (3, 4) UNION SELECT document_id, normalized_name FROM f2)
+        SELECT 'nodes' AS kind, count(*) AS rows FROM an UNION ALL SELECT 'edges', (SELECT count(*) FROM edge1 WHERE CAST(document_id AS BIGINT) % 10 NOT IN (3, 4)) + (SELECT count(*) FROM f3)
+        UNION ALL SELECT 'canonical', count(DISTINCT normalized_name) FROM an UNION ALL SELECT 'orphans', count(DISTINCT normalized_name) FROM node WHERE normalized_name NOT IN (SELECT normalized_name FROM an)""",
+    "graph_status": f"""WITH {_BLD} SELECT document_id, coalesce(status, 'pending') AS status, coalesce(status, '') NOT IN ('failed', 'cleanup_pending') AS success, build_id, coalesce(attempt_count, 0) AS attempt_count, coalesce(llm_attempt_count, 0) AS llm_attempt_count FROM ids LEFT JOIN bld USING (document_id)""",
+    "graph_by_status": f"WITH {_BLD} SELECT document_id, build_id FROM bld WHERE status = 'failed'",
+    "graph_deleted": f"WITH {_BLD} SELECT document_id, CASE WHEN document_id LIKE '%11' THEN 'cleanup_pending' WHEN document_id LIKE '%1' THEN 'deleted' ELSE status END AS status FROM bld",
+    "graph_recovered": f"WITH {_BLD} SELECT document_id, CASE WHEN status <> 'building' THEN status WHEN document_id LIKE '%0' THEN 'ready' ELSE 'failed' END AS status FROM bld",
+    "graph_state_upsert": f"""WITH {_BLD}, n AS (SELECT document_id FROM ids WHERE document_id LIKE '%4' OR document_id LIKE '%5') SELECT * FROM bld WHERE document_id NOT IN (SELECT document_id FROM n)
+        UNION ALL SELECT document_id, 'ready', build_id, coalesce(attempt_count, 0), 9 FROM n LEFT JOIN bld USING (document_id)""",
+    "graph_page": f"WITH {_GRAPH} SELECT document_id, graph_id FROM node ORDER BY document_id, graph_id LIMIT 201 OFFSET 100",
+    "graph_chunks_normalized": f"""WITH {_W}, x AS (SELECT document_id, chunk_index, document_id || '_' || chunk_index AS chunk_id, chunk_index % 7 = 6 AS other, chunk_index = 0 AND CAST(document_id AS BIGINT) % 3 = 0 AS twice FROM w WHERE chunk_index % 9 <> 8)
+        SELECT document_id, chunk_id, CASE WHEN other THEN 'belongs to another document' WHEN twice THEN 'duplicate chunk_id' ELSE '' END AS problem FROM x""",
+    "extraction_problems": "SELECT CAST(doc_id AS VARCHAR) AS document_id, 'not a graph answer' AS problem FROM documents WHERE doc_id % 10 = 9",
+    "extraction_entities": f"WITH {_XNAMES} SELECT document_id, 'Concept' AS label, lower(lang) AS normalized_name FROM xn UNION SELECT document_id, 'Concept', lower(source) FROM xn UNION SELECT document_id, 'Person', 'ada' FROM xn",
+    "extraction_relations": f"""WITH {_XNAMES} SELECT document_id, CASE WHEN doc_id % 4 = 2 THEN 'EATS' ELSE 'IS_A' END AS type, CASE WHEN doc_id % 4 = 0 THEN 1.0::DOUBLE END AS confidence, ['', 'dangling', 'unsupported', 'unknown chunk'][CAST(doc_id % 4 + 1 AS INT)] AS problem FROM xn""",
+    "extraction_mentions": f"WITH {_XNAMES} SELECT document_id, 'c0' AS source_id, 'MENTIONS' AS type, 1 AS mentions, 0.5::DOUBLE AS confidence FROM xn",
+    "comparison_markdown": """SELECT doc_id, '## 共同点' || chr(10) || '- ' || lang || ' [S-1, S-2]' || chr(10) || chr(10) || '## 差异点' || chr(10) || '- **' || source || '**' || chr(10) || '  - `a`: x' || chr(10) || chr(10) || '## 逐文档依据' || chr(10) || '- 暂无' || chr(10) || chr(10) || '## 信息缺失' || chr(10) || '- `' || doc_id || '`: n' AS markdown FROM documents""",
+    "answer_text": """SELECT doc_id, '🤖 RAG回答:' || chr(10) || lang || chr(10) || chr(10) || '📚 参考知识条数: 2' || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '⚠️ 上下文已截断。' ELSE '' END || chr(10) || '📌 参考来源:' || chr(10) || '[S-1] ' || source
+        || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '图谱参考：' || chr(10) || '[G-1] 文档 ' || doc_id || ' | entity: ' || source ELSE '' END AS answer FROM documents""",
+    "memory_snapshot_difference": f"WITH {_MEM} SELECT memory_id FROM m WHERE user_id = 3 AND importance < 0.6",
+    "memory_clear": f"WITH {_MEM} SELECT CASE WHEN memory_type = 'semantic' THEN 'removed' ELSE 'left' END AS kind, memory_type, count(*) AS memories FROM m GROUP BY ALL",
+    "memory_summary": f"""WITH {_MEM}, t AS (SELECT unnest([0, 1, 2]) AS position, unnest(['working', 'episodic', 'semantic']) AS memory_type) SELECT position, '- ' || memory_type || ': ' || (SELECT count(*) FROM m WHERE m.memory_type = t.memory_type) || ' 条记忆' AS line FROM t""",
+    "memory_insert_once": f"WITH {_MEM} SELECT memory_id, user_id, CASE WHEN memory_id % 3 = 0 THEN importance ELSE 0.1 END AS importance FROM m WHERE memory_id % 3 = 0 OR memory_id % 2 = 0",
+    "episodic_items": f"""WITH {_MEM} SELECT CAST(memory_id AS VARCHAR) AS memory_id, CASE WHEN memory_id % 3 = 0 THEN 'told' ELSE content END AS content, 'episodic' AS memory_type, CASE WHEN memory_id % 5 = 0 THEN 0.9::DOUBLE ELSE 0.5 END AS importance, 0.25::DOUBLE AS retrieval_score FROM m WHERE memory_type = 'episodic'""",
+    "history_upsert": f"""WITH {_REC}, l AS (SELECT user_id, document_id, max(position) AS position, max_by(name, position) AS name FROM r GROUP BY ALL), n AS (SELECT DISTINCT user_id, document_id FROM r WHERE position % 26 = 4)
+        SELECT l.user_id, l.document_id, position, CASE WHEN n.user_id IS NULL THEN name ELSE 'new' END AS name FROM l LEFT JOIN n ON n.user_id = l.user_id AND n.document_id = l.document_id""",
+    "history_clear": f"WITH {_REC} SELECT 'documents' AS kind, count(*) AS removed FROM r WHERE position % 3 = 0 UNION ALL SELECT 'questions', count(*) FROM r WHERE position % 3 = 1",
+    "history_note": "SELECT 'note-' || user_id || '-' || event_id AS memory_id, CASE WHEN event_id % 2 = 0 THEN 'what: ' ELSE '' END || event_type AS content, 0.85::DOUBLE AS importance, 'semantic' AS memory_type FROM events",
+    "learning_stats": f"WITH {_REC} SELECT user_id, count(DISTINCT document_id) AS documents, count(*) FILTER (position % 3 = 1) AS questions, count(*) FILTER (position % 5 = 1) AS notes FROM r GROUP BY user_id",
+    "history_load": """SELECT event_id AS user_id, CASE event_id % 5 WHEN 0 THEN 2 WHEN 3 THEN 0 END AS documents, CASE event_id % 5 WHEN 0 THEN 1 WHEN 3 THEN 0 END AS questions, CASE event_id % 5 WHEN 0 THEN 0 WHEN 3 THEN 3 END AS notes FROM events""",
+    "import_transitions": f"""WITH {_TASK}, x AS (SELECT *, CASE WHEN task_id % 12 = 1 THEN created_at END AS asked FROM task),
+        a AS (SELECT 'commit' AS kind, status, CASE WHEN status = 'running' AND stage <> 'committing' AND asked IS NULL THEN 'committing' ELSE stage END AS stage, auto_retry_count AS n, NOT (status = 'running' AND stage <> 'committing' AND asked IS NULL) AS no FROM x
+          UNION ALL SELECT 'succeed', CASE WHEN status = 'running' THEN 'succeeded' ELSE status END, stage, auto_retry_count, status <> 'running' FROM x
+          UNION ALL SELECT 'cancel', CASE WHEN status = 'running' AND asked IS NOT NULL THEN 'cancelled' ELSE status END, CASE WHEN status = 'running' AND asked IS NOT NULL THEN 'cancelled' ELSE stage END, auto_retry_count, NOT (status = 'running' AND asked IS NOT NULL) FROM x
+          UNION ALL SELECT 'release', CASE WHEN status = 'running' THEN 'queued' ELSE status END, stage, CASE WHEN status = 'running' THEN greatest(0, auto_retry_count - 1) ELSE auto_retry_count END, status <> 'running' FROM x)
+        SELECT kind, status, stage, count(*) AS tasks, CAST(sum(n) AS BIGINT) AS retries FROM a GROUP BY ALL UNION ALL SELECT kind, 'refused', '', count(*) FILTER (no), 0 FROM a GROUP BY kind""",
+    "import_manual_retry": f"WITH {_TASK} SELECT task_id, CASE WHEN batch_id % 2 = 0 AND status = 'failed' THEN 'queued' ELSE status END AS status, CASE WHEN batch_id % 2 = 0 AND status = 'failed' THEN 0 ELSE auto_retry_count END AS auto_retry_count, CAST(batch_id % 2 = 0 AND status = 'failed' AS INT) AS manual_retry_count FROM task",
+    "import_recover": f"WITH {_TASK} SELECT task_id, CASE WHEN status <> 'running' THEN status WHEN task_id % 5 = 0 THEN 'queued' ELSE 'failed' END AS status, CASE WHEN status = 'running' AND task_id % 5 <> 0 THEN 'staged_file_missing' END AS error_code FROM task",
+    "import_active_users": f"WITH {_TASK} SELECT DISTINCT user_id FROM task WHERE status IN ('queued', 'running', 'retry_wait')",
+    "context_budgets": r"""WITH t AS (SELECT item_id, length(regexp_replace(text, '[^\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]', '', 'g')) + len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS tokens FROM benchmark) SELECT item_id, tokens, 6656 - tokens AS room FROM t""",
+}
+_SQL["document_search"] = f"""WITH {_P}, pt AS (SELECT document_id || '_' || chunk_index AS key, content AS text FROM p UNION ALL SELECT 'q' || item_id, text FROM benchmark WHERE item_id % 20 = 0), {_embedding("key", "pt")},
     unit AS (SELECT key, idx, x / n AS x FROM raw JOIN nrm USING (key)),
     sc AS (SELECT q.key AS q, c.key AS id, round(sum(q.x * c.x), 6) AS score FROM unit q JOIN unit c ON q.idx = c.idx WHERE q.key[1] = 'q' AND c.key[1] <> 'q' GROUP BY ALL),
     pool AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(split_part(id, '_', 1) AS BIGINT), CAST(split_part(id, '_', 2) AS BIGINT)) AS r FROM sc QUALIFY r <= 15),
