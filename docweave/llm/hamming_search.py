@@ -21,8 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 64
-#: Entries in a part, and queries in a broadcast block (8 bytes each).
-PART = 1 << 15
+#: Entries in a part (some 50 bytes each in its tables), and queries in a broadcast block (8 bytes each).
+PART = 1 << 20
+#: While there are fewer parts than cores, parts may be as small as this.
+LEAST_PART = 1 << 15
 QUERY_BLOCK = 1 << 20
 _AT_A_TIME = 1 << 21
 _U = np.uint64
@@ -119,7 +121,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, part: int = PART, block:
     queries = queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
     first = index.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k)
     entries = first.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    parts = max(1, -(-index.agg(F.approx_count_distinct("code")).first()[0] // part))
+    n = index.agg(F.approx_count_distinct("code")).first()[0]
+    parts = max(1, -(-n // part), min(spark.sparkContext.defaultParallelism, -(-n // min(part, LEAST_PART))))
     dealt = entries.repartition(parts, "code")
 
     def run(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import bpe, decontamination, hamming_search, html_extraction, language_model, ngram_join, quality, sharding, token_counts, toxicity
+from docweave.sources.tables import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,5 +107,14 @@ SELECT query_id, rank, vec_id, CAST(distance AS BIGINT) AS distance FROM k WHERE
 """
 
 
+def _op9_sql() -> str:
+    """The lookup table as a list of shard numbers by slot, and a look into it for each document."""
+    table = sharding.lookup_table(SHARDS)
+    return f"""
+WITH t AS (SELECT {table.tolist()} AS shards), s AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(CAST(shards[slot + 1] AS VARCHAR), 3, '0') AS shard FROM s, t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op4_decontamination": OP4_SQL, "op10_top_k_search": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op4_decontamination": OP4_SQL, "op9_sharding": _op9_sql(), "op10_top_k_search": OP10_SQL}

@@ -55,16 +55,20 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(rows: DataFrame, key: str, shards: Sequence[str], weights: Sequence[int] | None = None, slots: int = SLOTS) -> DataFrame:
-    """``rows`` with ``slot`` and ``shard`` (columns of these names are replaced). Equal keys share a shard."""
+    """``rows`` with ``slot`` and ``shard`` (columns of these names are replaced, all others stay). Equal keys share a shard.
+
+    A null key counts as the text ''. An empty table gives an empty table; other columns are not read.
+    """
     table = lookup_table(shards, weights, slots)
     spark = rows.sparkSession
-    placed = spark.createDataFrame(list(zip(range(slots), (shards[k] for k in table.tolist()), strict=True)), "_slot long, shard string")
+    placed = spark.createDataFrame(list(zip(range(slots), (shards[k] for k in table.tolist()), strict=True)), "number long, shard string")
     kept = rows.select(*(c for c in rows.columns if c not in ("slot", "shard")), slot_of(F.col(key), slots).alias("slot"))
-    return kept.join(F.broadcast(placed), kept.slot == placed._slot).drop("_slot")  # the table has `slots` rows whatever the data
+    both = kept.join(F.broadcast(placed), kept["slot"] == placed["number"])  # the table has `slots` rows whatever the data
+    return both.select(*(kept[c] for c in kept.columns), placed["shard"])
 
 
 def write_shards(rows: DataFrame, path: str, key: str, shards: Sequence[str], weights: Sequence[int] | None = None, files: int = 1) -> None:
     """Write one folder for each shard, ``files`` files in each, rows dealt to them by their slot."""
     placed = place(rows, key, shards, weights)
     part = F.pmod(F.xxhash64("slot"), F.lit(files))
-    placed.withColumn("_part", part).repartition("shard", "_part").drop("_part").write.partitionBy("shard").parquet(path)
+    placed.repartition(F.col("shard"), part).write.partitionBy("shard").parquet(path)

@@ -46,10 +46,10 @@ def allocate(token_ends: np.ndarray, section_ends: np.ndarray, rule: str = "star
     return counts
 
 
-def line_sections(text: str) -> list[tuple[str, int]]:
-    """Lines with the bytes they cover, each with its newline."""
-    out = [("line", len(x.encode()) + 1) for x in text.split("\n")]
-    out[-1] = ("line", out[-1][1] - 1)
+def line_sizes(text: str) -> list[int]:
+    """The bytes that each line covers, with its newline."""
+    out = [len(x.encode()) + 1 for x in text.split("\n")]
+    out[-1] -= 1
     return out
 
 
@@ -57,22 +57,25 @@ def section_token_counts(docs: DataFrame, rule: str = "start", path: str | None
     """One row for each line of each document: doc_id, section, n_bytes, n_tokens, n_crossing.
 
     n_crossing counts the tokens that begin in the line and end in a later one. A null or empty text has one
-    empty section. Repeated rows give repeated sections.
+    empty section. Repeated rows give repeated sections; an empty table gives none. Very long texts are encoded
+    whole, in a batch of their own. Other columns are not read.
     """
-    return _counted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rule, path, lambda row: (row[0], line_sections(row[0])), ["text"])
+    return _counted(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"), F.lit(None).cast("array<long>").alias("sizes")), rule, path)
 
 
 def field_token_counts(rows: DataFrame, fields: list[str], separator: str = "\n", rule: str = "start", path: str | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Like ``section_token_counts`` for the text columns ``fields`` joined by ``separator`` (which counts to the field before it)."""
+    """Like ``section_token_counts`` for the text columns ``fields`` joined by ``separator`` (which counts to the field before it).
 
-    def sections(row: list[str]) -> tuple[str, list[tuple[str, int]]]:
-        whole = [x + separator for x in row[:-1]] + row[-1:]
-        return "".join(whole), [("field", len(x.encode())) for x in whole]
-
-    return _counted(rows.select(F.col(id_col).alias("doc_id"), *fields), rule, path, sections, fields)
+    Fields may have any names; batches are bounded by the bytes of all fields together.
+    """
+    parts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    parts = [F.concat(x, F.lit(separator)) for x in parts[:-1]] + parts[-1:]
+    sizes = F.array(*[F.octet_length(x).cast("long") for x in parts])
+    return _counted(rows.select(F.col(id_col).alias("doc_id"), F.concat(*parts).alias("text"), sizes.alias("sizes")), rule, path)
 
 
-def _counted(rows: DataFrame, rule: str, path: str | None, sections, fields: list[str]) -> DataFrame:
+def _counted(rows: DataFrame, rule: str, path: str | None) -> DataFrame:
+    """Counts of (doc_id, text, sizes): ``sizes`` are the bytes of the sections, null for lines."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     path = path or default_vocabulary()
@@ -80,16 +83,17 @@ def _counted(rows: DataFrame, rule: str, path: str | None, sections, fields: lis
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
-        cut = [sections([x or "" for x in row]) for row in zip(*(batch.column(f).to_pylist() for f in fields), strict=True)]
-        ids, bounds = c.encode([t for t, _ in cut])
+        texts = batch["text"].to_pylist()
+        ids, bounds = c.encode(texts)
         width = c.piece_bytes[ids]
         owner, number, size, tokens, crossing = [], [], [], [], []
-        for k, (_, spans) in enumerate(cut):
+        for k, (text, sizes) in enumerate(zip(texts, batch["sizes"].to_pylist(), strict=True)):
+            spans = np.array(line_sizes(text) if sizes is None else sizes, np.int64)
             ends = np.cumsum(width[bounds[k] : bounds[k + 1]])
-            section = np.cumsum([n for _, n in spans])
+            section = np.cumsum(spans)
             owner.append(np.full(len(spans), k))
             number.append(np.arange(len(spans)))
-            size.append(np.array([n for _, n in spans]))
+            size.append(spans)
             tokens.append(allocate(ends, section, rule))
             begin = np.append(0, ends[:-1]) if len(ends) else ends
             crosses = np.searchsorted(section, begin, "right") != np.searchsorted(section, ends - 1, "right")
@@ -97,4 +101,4 @@ def _counted(rows: DataFrame, rule: str, path: str | None, sections, fields: lis
         cat = np.concatenate
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cat(owner))), pa.array(cat(number), pa.int64()), pa.array(cat(size), pa.int64()), pa.array(cat(tokens), pa.float64()), pa.array(cat(crossing), pa.int64())], ["doc_id", "section", "n_bytes", "n_tokens", "n_crossing"])
 
-    return map_batches(rows, run, f"doc_id {kind}, section long, n_bytes long, n_tokens double, n_crossing long", fields[0])
+    return map_batches(rows, run, f"doc_id {kind}, section long, n_bytes long, n_tokens double, n_crossing long", "text")

@@ -117,3 +117,43 @@ def test_fields(spark, theirs):
 def test_token_count_query_agrees_with_encoding(spark):
     counted = {x.doc_id: x.n for x in queries.op5_token_counts(spark, "/root/testdata/sf0.001").groupBy("doc_id").agg({"n_tokens": "sum"}).toDF("doc_id", "n").collect()}
     assert counted == {x.doc_id: x.n_tokens for x in queries.op3_bpe(spark, "/root/testdata/sf0.001").collect()}
+
+
+def plain_counts(theirs, text, ends, rule="start"):
+    """Each section's tokens, one token and one byte at a time; tokens' bytes from their pieces in the vocabulary."""
+    width = [len(piece) for piece in theirs.encode(text, add_special_tokens=False).tokens]  # byte-level pieces: one character a byte
+    section = lambda byte: sum(byte >= e for e in ends)
+    counts, crossing, at = [0.0] * len(ends), [0] * len(ends), 0
+    for n in width:
+        own = [section(b) for b in range(at, at + n)]
+        crossing[own[0]] += own[0] != own[-1]
+        if rule == "start":
+            counts[own[0]] += 1
+        elif rule == "majority":
+            counts[max(sorted(set(own)), key=own.count)] += 1
+        else:
+            for s in own:
+                counts[s] += 1 / n
+        at += n
+    return counts, crossing
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_lines_against_a_plain_version(spark, theirs, rule):
+    rows = [(k, t) for k, t in enumerate(texts()) if t and len(t) < 4000 and "<|endoftext|>" not in t] + [(90, "a\n\n\n  b\n\n"), (91, "x  \n  y\n\n\n\nz\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {}
+    for x in sorted(token_counts.section_token_counts(docs, rule).collect(), key=lambda x: x.section):
+        got.setdefault(x.doc_id, []).append((x.n_bytes, x.n_tokens, x.n_crossing))
+    for k, text in rows:
+        size = [len(x.encode()) + 1 for x in text.split("\n")]
+        size[-1] -= 1
+        counts, crossing = plain_counts(theirs, text, np.cumsum(size).tolist(), rule)
+        assert [x[0] for x in got[k]] == size and [x[2] for x in got[k]] == crossing, text[:40]
+        assert np.allclose([x[1] for x in got[k]], counts), text[:40]
+
+
+def test_fields_of_any_name_and_length(spark):
+    rows = spark.createDataFrame([(1, "a", 5, "b" * 3_000_000), (2, None, None, "c")], "id long, doc_id string, sizes long, text string").repartition(1)
+    out = sorted((x.doc_id, x.section, x.n_bytes) for x in token_counts.field_token_counts(rows, ["doc_id", "sizes", "text"], id_col="id").collect())
+    assert out == [(1, 0, 2), (1, 1, 2), (1, 2, 3_000_000), (2, 0, 1), (2, 1, 1), (2, 2, 1)]

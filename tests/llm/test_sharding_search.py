@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -59,6 +60,23 @@ def test_sharding_edges(spark):
     assert sharding.place(df.limit(0), "id", ["a"]).collect() == []
 
 
+def test_columns_of_any_name_stay(spark, tmp_path):
+    df = spark.createDataFrame([(k, k, k, k) for k in range(20)], "id long, _slot long, number long, _part long")
+    got = sharding.place(df, "id", ["a", "b"])
+    assert got.columns == ["id", "_slot", "number", "_part", "slot", "shard"] and all(x.id == x._slot == x.number == x._part for x in got.collect())
+    sharding.write_shards(df, str(tmp_path / "out"), "id", ["a", "b"], files=2)
+    assert sorted(x._part for x in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(20))
+
+
+def test_sharding_sql_gives_the_querys_rows(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(f"SELECT doc_id, slot, shard FROM ({queries.oracle_sql()['op9_sharding']})").fetchall()
+    got = queries.op9_sharding(spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == ["doc_id", "shard", "slot"]
+    assert sorted(want) == sorted((x.doc_id, x.slot, x.shard) for x in got.collect())
+
+
 def brute(codes, wanted, k):
     out = []
     for q in wanted:
