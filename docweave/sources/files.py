@@ -1,4 +1,4 @@
-"""Text, Markdown, DOCX and paged files as segment rows; plug-in readers for other formats."""
+"""Text, Markdown, DOCX and PDF files as segment rows; plug-in readers for other formats."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.sources.pdf import read_pdf
+
 SEGMENTS = "document_id string, file_name string, segment_index int, page_number int, content string, error string"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: A reader turns a file's bytes into (page number or None, text) pairs.
@@ -34,13 +36,13 @@ def read_docx(raw: bytes) -> list[tuple[int | None, str]]:
     return [(None, "\n\n".join(t for t in texts if t.strip()))]
 
 
-READERS: dict[str, Reader] = {"txt": read_text, "md": read_text, "docx": read_docx}
+READERS: dict[str, Reader] = {"txt": read_text, "md": read_text, "docx": read_docx, "pdf": read_pdf}
 
 
 def read_documents(spark: SparkSession, path: str, readers: dict[str, Reader] | None = None) -> DataFrame:
     """One row for each segment of each file under ``path``; what can't be read has an ``error`` and no content.
 
-    ``readers`` adds formats by their ending (a PDF reader, say). Blank pages fall out; a file without
+    ``readers`` adds formats by their ending, or other readers for these. Blank pages fall out; a file without
     content is an error.
     """
     known = READERS | (readers or {})
