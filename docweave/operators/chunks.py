@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from docweave.functions import text as X
 
 
+#: Fixed value: the first line of a collection's statistics.
+STATS_HEAD = "📊 RAG知识库统计:"
+
+
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", profile: str = "packed", size: int = X.CHUNK_SIZE, overlap: int = X.CHUNK_OVERLAP) -> DataFrame:
     """One row for each chunk: document_id, chunk_index, chunk_id, content.
 
@@ -112,3 +116,11 @@ def points_of_arrays(rows: DataFrame) -> DataFrame:
     """(ids, vectors, metadata) arrays of one length as points; a missing id is the place in the array, a missing payload empty."""
     zipped = F.posexplode(F.arrays_zip("ids", "vectors", "metadata")).alias("place", "x")
     return rows.select(zipped).select(F.coalesce("x.ids", F.col("place").cast("string")).alias("id"), F.col("x.vectors").alias("vector"), F.col("x.metadata").alias("metadata"))
+
+
+def stats_line(chunks: DataFrame, collection: str, namespace: str, dimension: int) -> DataFrame:
+    """``stats`` of a collection as one text of lines."""
+    names = ["collection_name", "rag_namespace", "document_count", "chunk_count", "dimension"]
+    values = [F.lit(collection), F.lit(namespace), F.col("document_count").cast("string"), F.col("chunk_count").cast("string"), F.lit(str(dimension))]
+    lines = [F.concat(F.lit(f"- {n}: "), v) for n, v in zip(names, values, strict=True)]
+    return stats(chunks).select(F.concat_ws("\n", F.lit(STATS_HEAD), *lines).alias("text"))

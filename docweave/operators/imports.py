@@ -133,3 +133,27 @@ def release_claim(tasks: DataFrame, wanted: Column) -> tuple[DataFrame, DataFram
 def active(tasks: DataFrame) -> DataFrame:
     """Users with tasks that are queued, running or waiting."""
     return tasks.where(F.col("status").isin(*ACTIVE)).select("user_id").distinct()
+
+
+def submit(files: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New batches, their queued tasks, and the batches that are refused.
+
+    ``files`` (task_id, batch_id, user_id, document_id, original_name, size_bytes). A batch is refused with a
+    problem of ``batch_problems``, or if its files are of several users; then none of its tasks is made.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    users = files.groupBy("batch_id").agg(F.countDistinct("user_id").alias("_users"))
+    checked = batch_problems(files).join(users, "batch_id").withColumn("problem", F.when(F.col("_users") != 1, "several users").otherwise(F.col("problem")))
+    good = checked.where("problem IS NULL").select("batch_id")
+    kept = files.join(good, "batch_id", "left_semi")
+    suffix = F.lower(F.regexp_extract("original_name", r"(\.[^./\\]+)$", 1))
+    tasks = kept.select("task_id", "batch_id", "user_id", "document_id", "original_name", suffix.alias("file_suffix"), "size_bytes", F.lit("queued").alias("status"), F.lit("queued").alias("stage"), F.lit(0).alias("progress"), now.alias("created_at"), now.alias("updated_at"))
+    batches = kept.select("batch_id", "user_id", now.alias("created_at"), now.alias("updated_at")).distinct()
+    return batches, tasks, checked.where("problem IS NOT NULL").select("batch_id", "problem")
+
+
+def with_chunking_boundary(events: DataFrame) -> DataFrame:
+    """``events`` (task_id, position, stage, completed, total) with one event 'chunking' complete before each task's first 'embedding'."""
+    first = events.where("stage = 'embedding'").groupBy("task_id").agg(F.min_by("total", "position").alias("total"), F.min("position").alias("position"))
+    done = first.select("task_id", (F.col("position") - 0.5).alias("position"), F.lit("chunking").alias("stage"), F.col("total").alias("completed"), "total")
+    return events.withColumn("position", F.col("position").cast("double")).unionByName(done.withColumn("position", F.col("position").cast("double")), allowMissingColumns=True)

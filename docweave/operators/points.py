@@ -69,6 +69,14 @@ def scope(document_id: str | None = None, document_ids: Sequence[str] | None = N
     return out
 
 
+def single(documents: Sequence[str] | None) -> str | None:
+    """The one document of a selection (None for none); more than one is an error."""
+    chosen = scope(document_ids=documents) if documents is not None else None
+    if chosen and len(chosen) > 1:
+        raise ValueError("one document is asked for, several are selected")
+    return chosen[0] if chosen else None
+
+
 def in_scope(documents: Sequence[str] | None = None, namespace: str | None = None) -> Column:
     """Rows of a namespace (None: of any) and of some documents (None: all of them)."""
     if documents is not None and not documents:

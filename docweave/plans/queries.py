@@ -19,6 +19,7 @@ from docweave.operators import imports as T
 from docweave.operators import memory as M
 from docweave.operators import points as P
 from docweave.operators import retrieval as R
+from docweave.sources import scan
 from docweave.sources.tables import spread
 
 AS_OF = "2024-01-31 00:00:00"
@@ -934,3 +935,35 @@ def context_budgets(spark, d):
     left = A.WINDOW_TOKENS - A.OUTPUT_TOKENS - A.SAFETY_TOKENS - tokens
     return _t(spark, d, "benchmark").select("item_id", tokens.alias("tokens"), left.alias("room"))
 
+
+@query
+def rag_stats_text(spark, d):
+    return C.stats_line(_windows(spark, d), "rag", "default", V.DIMENSION)
+
+
+def _uploads(spark, d) -> DataFrame:
+    name = F.concat("source", F.when(F.col("doc_id") % 97 == 5, ".exe").otherwise(".MD"))
+    return _t(spark, d, "documents").select(F.col("doc_id").alias("task_id"), F.floor(F.col("doc_id") / 15).alias("batch_id"), F.when(F.col("doc_id") % 150 == 3, 9).otherwise(F.floor(F.col("doc_id") / 15) % 4).alias("user_id"), F.col("doc_id").cast("string").alias("document_id"), name.alias("original_name"), (F.col("n_chars") * 4096).alias("size_bytes"))
+
+
+@query
+def import_submit(spark, d):
+    batches, tasks, refused = T.submit(_uploads(spark, d), AS_OF)
+    counted = tasks.groupBy("batch_id", "user_id", "file_suffix", "status").agg(F.count("*").alias("tasks"))
+    rows = counted.join(batches.select("batch_id", "created_at"), "batch_id").select("batch_id", F.concat_ws(" ", "file_suffix", "status").alias("outcome"), "tasks", "created_at")
+    return rows.union(refused.select("batch_id", "problem", F.lit(0).cast("long"), F.lit(None).cast("timestamp_ntz")))
+
+
+@query
+def import_chunking_boundary(spark, d):
+    stages = F.array(*map(F.lit, ["parsing", "embedding", "persisting"]))
+    e = _t(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("position"), F.element_at(stages, (F.col("event_id") % 3 + 1).cast("int")).alias("stage"), (F.col("event_id") % 10).alias("completed"), (F.col("event_id") % 7 + 10).alias("total"))
+    return T.with_chunking_boundary(e).where("stage <> 'persisting'")
+
+
+@query
+def old_files_scan(spark, d):
+    """Documents as files of an older installation."""
+    places = F.array(*map(F.lit, ["x/Uploads/a.PDF", "memory_data/learning_history_user123.json", "data/rag_cache.json", "old/Reports/r.md", "data/memories.json", "misc/b.bin", "documents/deep/c.txt", "report/d.txt"]))
+    files = _t(spark, d, "documents").select(F.concat(F.lit("/home/"), "source", F.lit("/"), F.element_at(places, (F.col("doc_id") % 8 + 1).cast("int"))).alias("path"), F.col("n_chars").cast("long").alias("length"))
+    return scan.summary(files)

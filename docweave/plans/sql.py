@@ -321,6 +321,14 @@ _SQL |= {
     "import_recover": f"WITH {_TASK} SELECT task_id, CASE WHEN status <> 'running' THEN status WHEN task_id % 5 = 0 THEN 'queued' ELSE 'failed' END AS status, CASE WHEN status = 'running' AND task_id % 5 <> 0 THEN 'staged_file_missing' END AS error_code FROM task",
     "import_active_users": f"WITH {_TASK} SELECT DISTINCT user_id FROM task WHERE status IN ('queued', 'running', 'retry_wait')",
     "context_budgets": r"""WITH t AS (SELECT item_id, length(regexp_replace(text, '[^\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]', '', 'g')) + len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS tokens FROM benchmark) SELECT item_id, tokens, 6656 - tokens AS room FROM t""",
+    "rag_stats_text": f"""WITH {_W} SELECT '📊 RAG知识库统计:' || chr(10) || '- collection_name: rag' || chr(10) || '- rag_namespace: default' || chr(10) || '- document_count: ' || count(DISTINCT document_id) || chr(10) || '- chunk_count: ' || count(*) || chr(10) || '- dimension: 384' AS text FROM w""",
+    "import_submit": f"""WITH f AS (SELECT doc_id, doc_id // 15 AS batch_id, CASE WHEN doc_id % 150 = 3 THEN 9 ELSE (doc_id // 15) % 4 END AS user_id, doc_id % 97 = 5 AS bad, n_chars * 4096 AS n FROM documents),
+        b AS (SELECT batch_id, count(*) AS files, CASE WHEN count(DISTINCT user_id) <> 1 THEN 'several users' WHEN count(*) > 20 THEN 'too many files' WHEN bool_or(bad) THEN 'bad name' WHEN max(n) > 104857600 THEN 'file too large' WHEN sum(n) > 524288000 THEN 'batch too large' END AS problem FROM f GROUP BY batch_id)
+        SELECT batch_id, coalesce(problem, '.md queued') AS outcome, CASE WHEN problem IS NULL THEN files ELSE 0 END AS tasks, CASE WHEN problem IS NULL THEN {_AS_OF} END AS created_at FROM b""",
+    "import_chunking_boundary": """WITH e AS (SELECT user_id AS task_id, CAST(event_id AS DOUBLE) AS position, ['parsing', 'embedding', 'persisting'][CAST(event_id % 3 + 1 AS INT)] AS stage, event_id % 10 AS completed, event_id % 7 + 10 AS total FROM events),
+        f AS (SELECT task_id, min(position) AS position, min_by(total, position) AS total FROM e WHERE stage = 'embedding' GROUP BY task_id) SELECT * FROM e WHERE stage <> 'persisting' UNION ALL SELECT task_id, position - 0.5, 'chunking', total, total FROM f""",
+    "old_files_scan": """WITH k AS (SELECT unnest(['history', 'documents', 'rag_cache', 'reports', 'memory', 'skipped']) AS kind), f AS (SELECT ['documents', 'history', 'rag_cache', 'reports', 'memory', 'skipped', 'documents', 'skipped'][CAST(doc_id % 8 + 1 AS INT)] AS kind, n_chars FROM documents)
+        SELECT kind, count(n_chars) AS files, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes FROM k LEFT JOIN f USING (kind) GROUP BY kind""",
 }
 _SQL["document_search"] = f"""WITH {_P}, pt AS (SELECT document_id || '_' || chunk_index AS key, content AS text FROM p UNION ALL SELECT 'q' || item_id, text FROM benchmark WHERE item_id % 20 = 0), {_embedding("key", "pt")},
     unit AS (SELECT key, idx, x / n AS x FROM raw JOIN nrm USING (key)),
