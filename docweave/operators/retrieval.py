@@ -31,9 +31,10 @@ def hybrid_rank(pool: DataFrame, contents: DataFrame, queries: DataFrame, limit:
     score = weight * F.coalesce("v", F.lit(0.0)) + (1 - weight) * F.coalesce("l", F.lit(0.0))
     scored = vector.join(lexical, ["query_id", "id"], "full_outer").select("query_id", "id", (F.round(score, digits) if digits is not None else score).alias("score"))
     first = contents.select("id").orderBy("id").limit(limit)
-    zeros = P._broadcast(queries.select("query_id")).join(first, F.lit(True)).select("query_id", "id").join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    zeros = P._broadcast(queries.select("query_id")).join(first, F.lit(True)).select("query_id", "id").withColumn("score", F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = scored.union(zeros).withColumn("rank", F.row_number().over(order))
+    # no score is below 0, so a row that has one keeps it beside its zero
+    ranked = scored.union(zeros).groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
 
 
