@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import bpe, decontamination, hamming_search, html_extraction, language_model, ngram_join, quality, sharding, token_counts, toxicity
+from docweave.llm import bpe, decontamination, hamming_search, html_extraction, language_model, merkle, mixing, ngram_join, prefix_trie, quality, sharding, token_counts, toxicity
 from docweave.sources.tables import spread
 
 
@@ -66,8 +66,21 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.planned(mixing.measured(_table(spark, sf_dir, "documents")))
+    return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_bpe, op4_decontamination, op5_token_counts, op6_toxicity, op7_html_extraction, op8_quality_classifier, op9_sharding, op10_top_k_search)}
+    return {f.__name__: f for f in (op1_ngram_jaccard, op2_lm_scoring, op3_bpe, op4_decontamination, op5_token_counts, op6_toxicity, op7_html_extraction, op8_quality_classifier, op9_sharding, op10_top_k_search, op11_prefix_trie, op12_source_mix, op13_merkle_manifest)}
 
 
 OP1_SQL = r"""
@@ -116,5 +129,73 @@ SELECT doc_id, slot, 'shard-' || lpad(CAST(shards[slot + 1] AS VARCHAR), 3, '0')
 """
 
 
+def _op11_sql() -> str:
+    """Every prefix of every rebuilt conversation as a list of (role, text), grouped; a subtree is the nodes that a path begins."""
+    return f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS own FROM t GROUP BY c),
+h AS (SELECT c, own, {_crc("CAST(c AS VARCHAR)")} % 4 AS h FROM o),
+s AS (SELECT h.c, list_concat(list_slice(coalesce(b.own, []), 1, h.h), list_slice(h.own, h.h + 1, len(h.own))) AS seq FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+p AS (SELECT c, len(seq) AS n, d, list_slice(seq, 1, d) AS path FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM s)),
+n AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+             CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[d].text, '[^\x20\x09-\x0D]+')) END AS saved FROM p GROUP BY path, d),
+k AS (SELECT list_slice(path, 1, d - 1) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+a AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (SELECT list_slice(x.path, 1, d2) AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS d2 FROM a) x GROUP BY ALL)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, b.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM a JOIN u ON u.path = a.path LEFT JOIN a b ON a.d > 0 AND b.path = list_slice(a.path, 1, a.d - 1)
+"""
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight FROM d GROUP BY source),
+k AS (SELECT source, source_size, weight, sum(2 * source_size) OVER w - 2 * source_size AS full_before, sum(weight) OVER () - (sum(weight) OVER w - weight) AS rest
+      FROM s WINDOW w AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT max((1.5 * (SELECT sum(source_size) FROM s) - full_before) / rest) AS part FROM k),
+t AS (SELECT source, source_size, least(2 * source_size, weight * part) AS target FROM k, p),
+r AS (SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
+             CAST('0x' || substr(md5(coalesce('mix:' || CAST(doc_id AS VARCHAR), 'mix-' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS draw
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM r
+"""
+
+def _crc(text: str) -> str:
+    """SQL of the unsigned crc32 of an ASCII text: eight steps for each byte, from the reversed polynomial."""
+    byte = "list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _op13_sql() -> str:
+    """Levels from below by recursion; a node's siblings are the other nodes of its run; changed leaves are folded up level by level."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    leaf, changed = (f"sha256({' || '.join(_field(v) for v in ('doc_id', 'source', 'lang', 'n_chars', text))})" for text in ("text", f"translate(text, {letters})"))
+    return f"""
+WITH RECURSIVE l AS (SELECT doc_id, coalesce('=' || source, '-') AS g, {leaf} AS leaf, CASE WHEN {_crc("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {changed} ELSE {leaf} END AS other FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+up(k, g, i, n, h) AS (SELECT 0, g, i, n, leaf FROM o
+    UNION ALL SELECT k + 1, g, i // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY k, g, i // 16),
+sub AS (SELECT g, k AS top, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+above(k, i, n, h) AS (SELECT 0, i, n, subroot FROM sub
+    UNION ALL SELECT k + 1, i // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY k, i // 16),
+nodes AS (SELECT k, g, i, h FROM up WHERE n > 1 UNION ALL SELECT top + above.k, sub.g, above.i, above.h FROM above, sub WHERE above.n > 1),
+path(doc_id, g, leaf, j, k, i, f) AS (SELECT o.doc_id, o.g, leaf, o.i, 0, CASE WHEN o.n > 1 THEN o.i ELSE sub.i END, other FROM o JOIN sub USING (g)
+    UNION ALL SELECT p.doc_id, p.g, p.leaf, p.j, p.k + 1, any_value(CASE WHEN p.k + 1 = sub.top THEN sub.i ELSE p.i // 16 END),
+                     sha256(string_agg(CASE WHEN nodes.i = p.i THEN p.f ELSE nodes.h END, '' ORDER BY nodes.i))
+              FROM path p JOIN sub ON sub.g = p.g JOIN nodes ON nodes.g = p.g AND nodes.k = p.k AND nodes.i // 16 = p.i // 16
+              GROUP BY p.doc_id, p.g, p.leaf, p.j, p.k),
+proof AS (SELECT p.g, p.j, sha256(coalesce(string_agg(nodes.h, '' ORDER BY nodes.k, nodes.i) FILTER (nodes.i <> p.i), '')) AS proof
+          FROM path p LEFT JOIN nodes ON nodes.g = p.g AND nodes.k = p.k AND nodes.i // 16 = p.i // 16 GROUP BY p.g, p.j),
+folded AS (SELECT g, j, arg_max(f, k) AS f, any_value(doc_id) AS doc_id, any_value(leaf) AS leaf FROM path GROUP BY g, j)
+SELECT f.doc_id, leaf, subroot, above.h AS root, proof AS proof_sha256, f.f AS folded_root, f.f = above.h AS verified
+FROM folded f JOIN proof USING (g, j) JOIN sub USING (g) JOIN above ON above.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard": OP1_SQL, "op4_decontamination": OP4_SQL, "op9_sharding": _op9_sql(), "op10_top_k_search": OP10_SQL}
+    return {"op1_ngram_jaccard": OP1_SQL, "op4_decontamination": OP4_SQL, "op9_sharding": _op9_sql(), "op10_top_k_search": OP10_SQL, "op11_prefix_trie": _op11_sql(), "op12_source_mix": OP12_SQL, "op13_merkle_manifest": _op13_sql()}
