@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,26 +35,61 @@ def _pointers(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if n.startswith("CURRENT-"))
 
 
-def _pointed(spark: SparkSession, path: str, name: str) -> dict:
-    return json.loads("".join(r[0] for r in spark.read.text(f"{path}/{name}").collect()))
+def _pointed(spark: SparkSession, path: str, name: str) -> dict | None:
+    """What a pointer says; None where its writer stopped before it was whole."""
+    place, fs = _file(spark, f"{path}/{name}")
+    file = fs.open(place)
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    finally:
+        file.close()
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
+
+
+def _create(spark: SparkSession, path: str, text: str) -> None:
+    """Create a file that nobody has created before, or raise OSError.
+
+    On a local file system a whole file is linked to the name, which fails where the name is taken. Elsewhere
+    the file is created with overwrite off, which the store decides; a reader who comes before it is whole passes it over.
+    """
+    place, fs = _file(spark, path)
+    local = fs.getUri().getScheme() == "file"
+    fresh, _ = _file(spark, f"{path.rpartition('/')[0]}/.fresh-{uuid.uuid4().hex}")
+    try:
+        out = fs.create(fresh if local else place, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if local:
+            file = spark._jvm.java.io.File
+            spark._jvm.java.nio.file.Files.createLink(file(place.toUri().getPath()).toPath(), file(fresh.toUri().getPath()).toPath())
+    except Py4JJavaError as error:
+        if "AlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        raise OSError(f"{path} is taken: another writer was first") from None
+    finally:
+        if local:
+            fs.delete(fresh, False)
 
 
 def _point(spark: SparkSession, path: str, after: str | None, to: dict) -> None:
-    """Make ``to`` current if ``after`` still is; the new pointer appears whole, by a rename, or not at all."""
+    """Make ``to`` current if no pointer has come after ``after``; of two writers at once one gets an error."""
     number = int(after.rpartition("-")[2]) + 1 if after else 1
-    pointer, fs = _file(spark, f"{path}/CURRENT-{number:012d}")
-    fresh, _ = _file(spark, f"{path}/.fresh-{uuid.uuid4().hex}")
-    out = fs.create(fresh, True)
-    out.write(bytearray(json.dumps(to).encode()))
-    out.close()
-    if fs.exists(pointer) or not fs.rename(fresh, pointer):
-        fs.delete(fresh, False)
-        raise OSError(f"another writer has changed {path}")
+    place, fs = _file(spark, path)
+    fs.mkdirs(place)
+    _create(spark, f"{path}/CURRENT-{number:012d}", json.dumps(to))
 
 
 def _latest(spark: SparkSession, path: str) -> tuple[str | None, dict]:
+    """The highest pointer's name, and what the highest whole one says."""
     names = _pointers(spark, path)
-    return (names[-1], _pointed(spark, path, names[-1])) if names else (None, {})
+    for name in reversed(names):
+        to = _pointed(spark, path, name)
+        if to is not None:
+            return names[-1], to
+    return (names[-1] if names else None), {}
 
 
 def current(spark: SparkSession, path: str) -> str | None:
@@ -62,8 +99,8 @@ def current(spark: SparkSession, path: str) -> str | None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the current version."""
-    name, to = _latest(spark, path)
-    if name is None:
+    _, to = _latest(spark, path)
+    if not to:
         raise FileNotFoundError(path)
     folders = sorted(set(to["parts"].values())) if "parts" in to else [to["version"]]
     return spark.read.parquet(*(f"{path}/{f}" for f in folders))
@@ -76,10 +113,10 @@ def write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> st
     point leaves the table as it was; of two writers at once one gets an error.
     """
     spark = df.sparkSession
-    after = (_pointers(spark, path) or [None])[-1]
+    after, to = _latest(spark, path)
     name = f"v-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(f"{path}/{name}")
-    _point(spark, path, after, {"version": name})
+    _point(spark, path, after, {"version": name, "done": to.get("done", {})})
     return name
 
 
@@ -99,8 +136,16 @@ def read_parts(spark: SparkSession, path: str, touched: list[int]) -> DataFrame
     return spark.read.parquet(*folders) if folders else None
 
 
-def write_parts(df: DataFrame, path: str, key: str, parts: int, touched: list[int]) -> str:
-    """A version in which the ``touched`` parts (by a hash of ``key``) hold ``df``'s rows and all others are as before."""
+def done(spark: SparkSession, path: str, source: str) -> int | None:
+    """The last number that ``write_parts`` has marked as done for ``source``."""
+    return _latest(spark, path)[1].get("done", {}).get(source)
+
+
+def write_parts(df: DataFrame, path: str, key: str, parts: int, touched: list[int], mark: tuple[str, int] | None = None) -> str:
+    """A version in which the ``touched`` parts (by a hash of ``key``) hold ``df``'s rows and all others are as before.
+
+    ``mark`` (a source and a number) becomes true together with the rows: see ``done``.
+    """
     spark = df.sparkSession
     after, to = _latest(spark, path)
     name = f"v-{uuid.uuid4().hex}"
@@ -108,21 +153,37 @@ def write_parts(df: DataFrame, path: str, key: str, parts: int, touched: list[in
     place, fs = _file(spark, f"{path}/{name}")
     filled = {s.getPath().getName().removeprefix("part_=") for s in fs.listStatus(place) if s.getPath().getName().startswith("part_=")}
     kept = {p: f for p, f in to.get("parts", {}).items() if int(p) not in touched}
-    _point(spark, path, after, {"version": name, "parts": kept | {p: f"{name}/part_={p}" for p in filled}})
+    marks = to.get("done", {}) | (dict([mark]) if mark else {})
+    _point(spark, path, after, {"version": name, "parts": kept | {p: f"{name}/part_={p}" for p in filled}, "done": marks})
     return name
 
 
-def vacuum(spark: SparkSession, path: str) -> int:
-    """Remove what the current version doesn't need (old versions, pointers, a crashed writer's files); how many versions."""
+def _needed(to: dict) -> set[str]:
+    return {to.get("version"), *(f.partition("/")[0] for f in to.get("parts", {}).values())}
+
+
+def vacuum(spark: SparkSession, path: str, hours: float = 24.0) -> int:
+    """Remove what the current version doesn't need; how many versions.
+
+    Versions that an older pointer names go at once. Files that no pointer names may be a writer's who is still at
+    work: they go when they are ``hours`` old, which must be more than any writer takes.
+    """
     name, to = _latest(spark, path)
-    keep = {to.get("version"), *(f.partition("/")[0] for f in to.get("parts", {}).values())}
+    keep = _needed(to)
+    pointers = _pointers(spark, path)
+    past = set().union(*(_needed(_pointed(spark, path, p) or {}) for p in pointers)) - keep
     place, fs = _file(spark, path)
+    oldest = time.time() * 1000 - hours * 3_600_000
     gone = 0
     for status in fs.listStatus(place):
         found = status.getPath().getName()
-        if found.startswith("v-") and found not in keep:
+        stale = status.getModificationTime() < oldest
+        if found.startswith("v-") and found not in keep and (found in past or stale):
             gone += 1
             fs.delete(status.getPath(), True)
-        elif found.startswith(".fresh-") or found.startswith("CURRENT-") and found != name:
+        elif found.startswith(".fresh-") and stale:
             fs.delete(status.getPath(), False)
+    for p in pointers[:-1]:  # after the versions, so that a crash in between leaves none that no pointer names
+        if _pointed(spark, path, pointers[-1]) is not None:
+            fs.delete(_file(spark, f"{path}/{p}")[0], False)
     return gone

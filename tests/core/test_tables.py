@@ -1,5 +1,7 @@
 """Versions of tables: what readers see when a writer stops between any two of its steps."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from docweave.sources import tables
@@ -18,38 +20,24 @@ def filled(spark, k):
     return spark.createDataFrame([(k, f"v{k}"), (k + 1, "w")], "id int, v string")
 
 
-@pytest.mark.parametrize("step", ["before the pointer", "before the rename", "after the rename"])
+@pytest.mark.parametrize("step", ["before the pointer", "before the pointer is whole", "after the pointer"])
 def test_a_crash_at_any_step_leaves_a_whole_table(spark, tmp_path, monkeypatch, step):
     table = f"file://{tmp_path}/table"
-    point, file = tables._point, tables._file
+    create = tables._create
 
-    def crash(*args):
+    def crash(session, path, text):
         if step == "before the pointer":
             raise Stop
-        if step == "before the rename":
-
-            class Held:
-                def __init__(self, fs):
-                    self.fs = fs
-
-                def __getattr__(self, name):
-                    if name == "rename":
-                        raise Stop
-                    return getattr(self.fs, name)
-
-            with monkeypatch.context() as m:
-                m.setattr(tables, "_file", lambda *a: (file(*a)[0], Held(file(*a)[1])))
-                point(*args)
-        point(*args)
+        create(session, path, text[:5] if step == "before the pointer is whole" else text)
         raise Stop
 
     for k in (1, 10):  # the table's first version, then a later one
         before = rows(spark, table) if k == 10 else None
         with monkeypatch.context() as m:
-            m.setattr(tables, "_point", crash)
+            m.setattr(tables, "_create", crash)
             with pytest.raises(Stop):
                 tables.write(filled(spark, k), table)
-        if step == "after the rename":
+        if step == "after the pointer":
             assert rows(spark, table) == [(k, f"v{k}"), (k + 1, "w")]
         elif before is None:
             assert tables.current(spark, table) is None
@@ -65,12 +53,55 @@ def test_a_crash_at_any_step_leaves_a_whole_table(spark, tmp_path, monkeypatch,
     assert rows(spark, table) == [(5, "v5"), (6, "w")]
 
 
+def test_of_many_writers_in_threads_one_wins(spark, tmp_path):
+    table = f"file://{tmp_path}/table"
+    tables.write(filled(spark, 1), table)
+    for turn in range(5):
+        after = tables._pointers(spark, table)[-1]
+
+        def point(k, after=after):
+            try:
+                tables._point(spark, table, after, {"version": f"v-{k}"})
+                return k
+            except OSError:
+                return None
+
+        with ThreadPoolExecutor(8) as pool:
+            won = [k for k in pool.map(point, range(8)) if k is not None]
+        assert len(won) == 1 and tables.current(spark, table) == f"v-{won[0]}", turn
+
+
+def test_vacuum_leaves_what_a_writer_is_filling(spark, tmp_path):
+    table = f"file://{tmp_path}/table"
+    tables.write(filled(spark, 1), table)
+    tables.write(filled(spark, 2), table)
+    filled(spark, 3).write.parquet(f"{table}/v-unfinished")  # a writer that has not pointed yet
+    after = tables._pointers(spark, table)[-1]
+    assert tables.vacuum(spark, table) == 1 and rows(spark, table) == [(2, "v2"), (3, "w")]
+    tables._point(spark, table, after, {"version": "v-unfinished"})
+    assert rows(spark, table) == [(3, "v3"), (4, "w")]
+    filled(spark, 4).write.parquet(f"{table}/v-crashed")
+    assert tables.vacuum(spark, table, hours=0) == 2 and rows(spark, table) == [(3, "v3"), (4, "w")]
+
+
+def test_a_second_query_adds_its_own_batches(spark, tmp_path):
+    """Batch numbers begin anew with a new checkpoint; the rows that come with them are not dropped."""
+    schema, table = "doc_id long, text string", f"file://{tmp_path}/table"
+    for k, ids in enumerate((range(20), range(15, 50))):
+        source, checkpoint = f"file://{tmp_path}/in{k}", f"file://{tmp_path}/checkpoint{k}"
+        spark.createDataFrame([(i, f"text {k}") for i in ids], schema).coalesce(1).write.parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        ingest(stream, table, checkpoint, "2024-01-31 00:00:00", embed=False).awaitTermination(120)
+    got = {r.document_id: (r.content, r.document_version) for r in tables.read(spark, table).collect()}
+    assert len(got) == 50 and got["3"] == ("text 0", 1) and got["17"] == ("text 1", 2) and got["49"] == ("text 1", 1)
+
+
 def test_one_of_two_writers_gets_an_error(spark, tmp_path):
     table = f"file://{tmp_path}/table"
     tables.write(filled(spark, 1), table)
     after = tables._pointers(spark, table)[-1]
     tables.write(filled(spark, 2), table)
-    with pytest.raises(OSError, match="another writer"):
+    with pytest.raises(OSError, match="another writer was first"):
         tables._point(spark, table, after, {"version": "v-late"})
     assert rows(spark, table) == [(2, "v2"), (3, "w")]
 
@@ -106,8 +137,8 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path, monkeypatch):
     start = lambda: ingest(spark.readStream.schema(schema).parquet(source), table, checkpoint, "2024-01-31 00:00:00", embed=False)
     write = tables.write_parts
 
-    def stopped(*args):
-        write(*args)
+    def stopped(*args, **named):
+        write(*args, **named)
         raise Stop
 
     with monkeypatch.context() as m:
