@@ -188,54 +188,48 @@ def qa_mode(query: Column, mode: str = "auto", summary: bool = False) -> Column:
 
 
 #: Keys whose values are secrets in messages and addresses.
-SECRET_KEYS = ("api_key", "apikey", "api-key", "access_token", "token", "password", "secret", "authorization")
+SECRET_KEYS = ("api_key", "apikey", "api-key", "key", "access_token", "token", "authorization", "auth", "password", "passwd", "client_secret", "secret")
+#: Text between quotes, in which a quote may be escaped.
+_QUOTED = r"""(?:"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+')"""
+
+
+def _any_of(words: tuple[str, ...]) -> str:
+    return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
 
 
 def redacted(message: Column, secrets: tuple[str, ...] = ()) -> Column:
-    """A message without user info in addresses, bearer tokens, and values of secret keys."""
-    keys = "|".join(sorted(SECRET_KEYS, key=len, reverse=True))
+    """A message without user info in addresses, bearer tokens, and values of secret keys, wherever they stand in a word.
+
+    A quoted value goes up to its closing quote; one whose quote is never closed, and a bare one, up to the next
+    white space or mark that ends a value.
+    """
+    key = rf"(?is)((?:{_any_of(SECRET_KEYS)})[\"']?\s*[=:]\s*"
     m = F.regexp_replace(F.coalesce(message, F.lit("")), r"(?i)([a-z][a-z0-9+.-]*://)[^/@\s]+@", "$1***@")
+    m = F.regexp_replace(m, rf"{key}){_QUOTED}", "$1***")
     m = F.regexp_replace(m, r"(?i)(authorization\s*[:=]\s*)(?:bearer\s+)?[^\s,;]+", "$1***")
     m = F.regexp_replace(m, r"(?i)\b(bearer\s+)[^\s,;]+", "$1***")
-    m = F.regexp_replace(m, rf"(?i)([\"']?(?:{keys})[\"']?\s*[=:]\s*)(?:\"[^\"]*\"|'[^']*'|[^\"'&,;\s}}\]]+)", "$1***")
+    m = F.regexp_replace(m, rf"{key}[\"']?)[^\"'&,;\s}}\]]+", "$1***")
     for secret in secrets:
-        m = F.replace(m, F.lit(secret), F.lit("***"))
+        m = F.replace(m, F.lit(secret), F.lit("***")) if secret else m
     return m
 
 
 #: What stands for a graph store's address and for a secret, and the schemes of such addresses.
 GRAPH_ADDRESS, GRAPH_SECRET = "[REDACTED_NEO4J_URI]", "[REDACTED_SECRET]"
 GRAPH_SCHEMES = ("bolt", "bolt+s", "bolt+ssc", "neo4j", "neo4j+s", "neo4j+ssc")
+#: Short keys are common words in a graph's messages.
+GRAPH_KEYS = tuple(k for k in SECRET_KEYS if k not in ("key", "auth"))
 
 
 def graph_redacted(message: Column, most: int = 500) -> Column:
-    """A graph store's message on one line, word by word: its addresses and the values of SECRET_KEYS masked, cut with an ellipsis.
+    """A graph store's message on one line: its addresses masked, and secret keys with their values; cut with an ellipsis.
 
-    A key and its value may be one word (key=value), or the sign and the value may be words of their own.
+    A key may follow any mark that isn't part of a name, as in ``cfg.password=`` or ``(token=``.
     """
-    key = rf"(?i)^[^\w]*(?:{'|'.join(sorted(SECRET_KEYS, key=len, reverse=True))})"
-    address = rf"(?i)^\W*(?:{'|'.join(re.escape(s) for s in GRAPH_SCHEMES)})://"
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("wait"))
-
-    def word(a: Column, w: Column) -> Column:
-        def then(shown: Column, wait: str) -> Column:
-            return F.struct(shown.alias("out"), F.lit(wait).alias("wait"))
-
-        mask = F.array(F.lit(GRAPH_SECRET))
-        before = F.slice(a["out"], 1, F.greatest(F.lit(0), F.size(a["out"]) - 1))  # without the key that waits for its sign
-        return (
-            F.when(a["wait"] == "value", then(F.concat(a["out"], mask), ""))
-            .when((a["wait"] == "sign") & w.rlike(r"^[:=]\S"), then(F.concat(before, mask), ""))
-            .when((a["wait"] == "sign") & w.isin(":", "="), then(before, "value"))
-            .when(w.rlike(address), then(F.concat(a["out"], F.array(F.lit(GRAPH_ADDRESS))), ""))
-            .when(w.rlike(key + r"[\"']?[:=]\S"), then(F.concat(a["out"], mask), ""))
-            .when(w.rlike(key + r"[\"']?[:=]$"), then(a["out"], "value"))
-            .when(w.rlike(key + r"[\"']?$"), then(F.concat(a["out"], F.array(w)), "sign"))
-            .otherwise(then(F.concat(a["out"], F.array(w)), ""))
-        )
-
-    words = F.filter(F.split(strip(F.regexp_replace(F.coalesce(message, F.lit("")), r"(?U)\s+", " ")), " "), lambda w: w != "")
-    line = F.array_join(F.aggregate(words, start, word, lambda a: a["out"]), " ")
+    value = rf"(?:{_QUOTED}\S*|(?:bearer\s+)?\S+)"
+    m = F.regexp_replace(F.coalesce(message, F.lit("")), rf"(?i)\b(?:{_any_of(GRAPH_SCHEMES)})://\S+", GRAPH_ADDRESS)
+    m = F.regexp_replace(m, rf"(?is)[\"']?\b(?:{_any_of(GRAPH_KEYS)})[\"']?\s*[:=]\s*{value}", GRAPH_SECRET)
+    line = strip(F.regexp_replace(m, r"(?U)\s+", " "))
     return let(line, lambda m: F.when(F.length(m) > most, F.concat(F.substring(m, 1, most - 1), F.lit("…"))).otherwise(m))
 
 
@@ -282,8 +276,7 @@ def tool_arguments(arguments: Column, default: str = "input") -> Column:
 def redacted_url(url: Column) -> Column:
     """An address without user info; values of secret keys in its query masked."""
     bare = F.regexp_replace(F.coalesce(url, F.lit("")), r"^([a-zA-Z][\w+.-]*://)[^/@?#]*@", "$1")
-    keys = "|".join(sorted(SECRET_KEYS, key=len, reverse=True))
-    return F.regexp_replace(bare, rf"(?i)([?&](?:{keys})=)[^&#]*", "$1***")
+    return F.regexp_replace(bare, rf"(?i)([?&](?:{_any_of(SECRET_KEYS)})=)[^&#]*", "$1***")
 
 
 #: States of a remote store that pass by themselves, and words that say so.

@@ -595,8 +595,11 @@ def golden_trace_eval(spark, d):
 
 @query
 def error_redaction(spark, d):
-    kinds = F.array(F.lit("GET https://me:pw@host/x?api_key=abc&x=1 failed"), F.lit("Authorization: Bearer abc.def, retry"), F.lit('{"password": "p w", "n": 1}'), F.lit("token=zzz; ok"))
-    message = F.concat(F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int")), F.lit(" #"), "event_id")
+    kinds = [
+        "GET https://me:pw@host/x?api_key=abc&x=1 failed", "Authorization: Bearer abc.def, retry", '{"password": "p w", "n": 1}', "token=zzz; ok",
+        "auth=abc&passwd=def", r'{"client_secret": "a\"b c", "n": 2}', "db.password='it\\'s'; retry", "x_key:k1]", 'secret="never closed', "sent Bearer abc",
+    ]
+    message = F.concat(F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % len(kinds) + 1).cast("int")), F.lit(" #"), "event_id")
     return _t(spark, d, "events").select("event_id", X.redacted(message).alias("message"))
 
 
@@ -687,8 +690,12 @@ def redacted_urls(spark, d):
 
 @query
 def graph_redaction(spark, d):
-    kinds = F.array(F.lit("no route to bolt+s://h:7687"), F.lit("password = hush\nrefused"), F.lit("token:abc   NEO4J://h"), F.lit("fine"))
-    return _t(spark, d, "events").select("event_id", X.graph_redacted(F.concat(F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int")), F.lit(" #"), "event_id")).alias("message"))
+    kinds = [
+        "no route to bolt+s://h:7687", "password = hush\nrefused", "token:abc   NEO4J://h", "fine",
+        "url=bolt://me:pw@h:7687 down", "config:neo4j+s://u:p@h", "cfg.password=abc", "(user=x,token=abc)", "a=1;api_key=abc", '{"password": "p w"} x', "api-key:\tabc",
+    ]
+    message = F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % len(kinds) + 1).cast("int"))
+    return _t(spark, d, "events").select("event_id", X.graph_redacted(F.concat(message, F.lit(" #"), "event_id")).alias("message"))
 
 
 @query

@@ -228,7 +228,8 @@ _SQL = {
             list_transform(list_filter(['doc-1', 'doc-' || (item_id % 4)], lambda x: NOT contains(prompt || chr(10) || chr(10) || output, x)), lambda x: 'document:' || x), list_transform(list_filter(['que'], lambda x: contains(prompt, x)), lambda x: 'leak:' || x),
             list_transform(list_filter(['answer', 'er'], lambda x: NOT contains(output, x)), lambda x: 'answer:' || x), list_transform(list_filter(['the'], lambda x: NOT contains(prompt, x)), lambda x: 'prompt:' || x)) AS fs FROM b)
         SELECT 'case-' || item_id AS case_id, len(fs) = 0 AS passed, coalesce(array_to_string(fs, ';'), '') AS failures FROM f""",
-    "error_redaction": """SELECT event_id, ['GET https://***@host/x?api_key=***&x=1 failed', 'Authorization: ***, retry', '{"password": ***, "n": 1}', 'token=***; ok'][CAST(event_id % 4 + 1 AS INT)] || ' #' || event_id AS message FROM events""",
+    "error_redaction": """SELECT event_id, ['GET https://***@host/x?api_key=***&x=1 failed', 'Authorization: ***, retry', '{"password": ***, "n": 1}', 'token=***; ok',
+        'auth=***&passwd=***', '{"client_secret": ***, "n": 2}', 'db.password=***; retry', 'x_key:***]', 'secret="*** closed', 'sent Bearer ***'][CAST(event_id % 10 + 1 AS INT)] || ' #' || event_id AS message FROM events""",
     "tool_call_parse": """SELECT event_id, 0 AS n, 'search' AS name, 'query=' || user_id AS arguments FROM events UNION ALL SELECT event_id, 1, 'calculator', '1+' || event_id FROM events""",
 }
 _DOCS = "ds AS (SELECT doc_id AS id, text FROM documents)"
@@ -272,7 +273,8 @@ _SQL |= {
     "label_ids": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) ELSE source END AS label_id FROM documents",
     "tool_arguments": """SELECT event_id, 'kind' AS name, event_type AS value FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'user', CAST(user_id AS VARCHAR) FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'input', event_type FROM events WHERE event_id % 2 = 1""",
     "redacted_urls": "SELECT event_id, 'https://host/x?token=***&user=' || user_id || '&API_KEY=***' AS url FROM events",
-    "graph_redaction": """SELECT event_id, ['no route to [REDACTED_NEO4J_URI]', '[REDACTED_SECRET] refused', '[REDACTED_SECRET] [REDACTED_NEO4J_URI]', 'fine'][CAST(event_id % 4 + 1 AS INT)] || ' #' || event_id AS message FROM events""",
+    "graph_redaction": """SELECT event_id, ['no route to [REDACTED_NEO4J_URI]', '[REDACTED_SECRET] refused', '[REDACTED_SECRET] [REDACTED_NEO4J_URI]', 'fine',
+        'url=[REDACTED_NEO4J_URI] down', 'config:[REDACTED_NEO4J_URI]', 'cfg.[REDACTED_SECRET]', '(user=x,[REDACTED_SECRET]', 'a=1;[REDACTED_SECRET]', '{[REDACTED_SECRET] x', '[REDACTED_SECRET]'][CAST(event_id % 11 + 1 AS INT)] || ' #' || event_id AS message FROM events""",
     "transient_failures": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 4 IN (1, 2) ELSE event_id % 2 = 0 END AS transient FROM events""",
     "stable_point_ids": """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('default:' || doc_id || ':' || source)) AS h FROM documents)
         SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][CAST(('0x' || substr(h, 17, 1))::INT % 4 + 1 AS INT)] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM h""",
