@@ -20,7 +20,8 @@ from docweave.operators import memory as M
 from docweave.operators import points as P
 from docweave.operators import retrieval as R
 from docweave.sources import scan
-from docweave.sources.tables import spread
+from docweave.sources.tables import scratch, spread
+from docweave.streaming import tasks as S
 
 AS_OF = "2024-01-31 00:00:00"
 DIGITS = 6
@@ -974,3 +975,20 @@ def old_files_scan(spark, d):
     places = F.array(*map(F.lit, ["x/Uploads/a.PDF", "memory_data/learning_history_user123.json", "data/rag_cache.json", "old/Reports/r.md", "data/memories.json", "misc/b.bin", "documents/deep/c.txt", "report/d.txt"]))
     files = _t(spark, d, "documents").select(F.concat(F.lit("/home/"), "source", F.lit("/"), F.element_at(places, (F.col("doc_id") % 8 + 1).cast("int"))).alias("path"), F.col("n_chars").cast("long").alias("length"))
     return scan.summary(files)
+
+
+@query
+def import_stream(spark, d):
+    """Tasks (one for each user) that a stream of all events leaves behind, up to an hour before its end; held events and retries wake by timers."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    rows = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern: the table may be one file
+    of = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    n = F.col("event_id")
+    told = S.events(
+        rows, of(["parsing", "chunking", "embedding", "persisting"], n), n % 10, F.lit(10), task_id=F.col("user_id"), at=F.col("ts"), seq=n, retryable=n % 3 > 0, error_code=F.concat(F.lit("E"), n % 5),
+        kind=of(["submit", "claim", "claim", "progress", "progress", "progress", "commit", "succeed", "fail", "fail", "cancel", "retry", "claim", "release"], n * 5 + F.col("user_id")),
+    )
+    folder = scratch(spark)
+    S.keep(S.follow(told, late="1 hour"), f"{folder}/tasks", f"{folder}/checkpoint").awaitTermination()
+    last = S.latest(spark.read.schema(S.TASKS).parquet(f"{folder}/tasks/batch=*"))
+    return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("next_attempt_at", "cancel_requested_at", "updated_at")})

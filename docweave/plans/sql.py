@@ -341,5 +341,34 @@ _SQL["document_search"] = f"""WITH {_P}, pt AS (SELECT document_id || '_' || chu
     SELECT CAST(substr(q, 2) AS BIGINT) AS query_id, row_number() OVER (PARTITION BY q ORDER BY r) AS rank, id AS chunk_id, score, 'S-' || substr(sha256(document_id || '||' || digest), 1, 12) AS citation_id FROM one QUALIFY rank <= 5"""
 
 
+_SQL["import_stream"] = """WITH RECURSIVE e0 AS (SELECT CAST(user_id AS VARCHAR) AS task_id, epoch_us(ts) // 1000 AS tm, event_id AS seq, event_id % 3 > 0 AS retryable, 'E' || event_id % 5 AS code,
+        ['submit', 'claim', 'claim', 'progress', 'progress', 'progress', 'commit', 'succeed', 'fail', 'fail', 'cancel', 'retry', 'claim', 'release'][(event_id * 5 + user_id) % 14 + 1] AS kind,
+        ['parsing', 'chunking', 'embedding', 'persisting'][event_id % 4 + 1] AS to_stage, [10 + event_id % 10 * 15 // 10, 25 + event_id % 10 * 15 // 10, 40 + event_id % 10 * 4, 80 + event_id % 10 * 12 // 10][event_id % 4 + 1] AS percent FROM events),
+    u AS (SELECT max(tm) - 3600000 AS until FROM e0),
+    e AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY tm, seq) AS k FROM e0, u WHERE tm < until),
+    s(task_id, k, status, stage, progress, attempts, auto, manual, next, cancel, code, refused, updates, updated) AS (
+        SELECT DISTINCT task_id, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, 0, 0, 0, 0, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, 0, 0, NULL::BIGINT FROM e
+        UNION ALL SELECT task_id, k,
+            CASE WHEN NOT ok THEN st WHEN kind IN ('submit', 'release', 'retry') THEN 'queued' WHEN kind = 'claim' THEN 'running' WHEN kind = 'succeed' THEN 'succeeded' WHEN kind = 'fail' THEN fate WHEN kind = 'cancel' AND st <> 'running' THEN 'cancelled' ELSE st END,
+            CASE WHEN NOT ok THEN stage WHEN kind IN ('submit', 'release', 'retry') THEN 'queued' WHEN kind = 'progress' THEN to_stage WHEN kind = 'commit' THEN 'committing' WHEN kind = 'succeed' THEN 'succeeded'
+                 WHEN kind = 'fail' THEN CASE WHEN fate = 'retry_wait' THEN 'queued' ELSE fate END WHEN kind = 'cancel' AND st <> 'running' THEN 'cancelled' ELSE stage END,
+            CASE WHEN NOT ok THEN progress WHEN kind = 'claim' THEN greatest(progress, 10) WHEN kind = 'progress' THEN greatest(progress, percent) WHEN kind = 'commit' THEN 99 WHEN kind = 'succeed' THEN 100 ELSE progress END,
+            attempts + CASE WHEN ok AND kind = 'claim' THEN 1 WHEN ok AND kind = 'release' THEN -1 ELSE 0 END,
+            CASE WHEN ok AND kind = 'fail' AND fate = 'retry_wait' THEN auto + 1 WHEN ok AND kind = 'retry' THEN 0 ELSE auto END,
+            manual + CASE WHEN ok AND kind = 'retry' THEN 1 ELSE 0 END,
+            CASE WHEN ok AND kind = 'fail' AND fate = 'retry_wait' THEN tm + 1000 * [2, 10, 30][auto + 1] WHEN due OR ok AND kind IN ('claim', 'cancel') AND st <> 'running' THEN NULL ELSE next END,
+            CASE WHEN ok AND kind = 'cancel' THEN CASE WHEN st = 'running' THEN coalesce(cancel, tm) ELSE tm END ELSE cancel END,
+            CASE WHEN ok AND kind = 'succeed' THEN NULL WHEN ok AND kind = 'fail' AND fate <> 'cancelled' THEN new_code ELSE code END,
+            refused + CASE WHEN ok THEN 0 ELSE 1 END, updates + CASE WHEN due THEN 1 ELSE 0 END + CASE WHEN ok THEN 1 ELSE 0 END, CASE WHEN ok THEN tm WHEN due THEN next ELSE updated END
+        FROM (SELECT *, coalesce(CASE kind WHEN 'submit' THEN st IS NULL WHEN 'claim' THEN st = 'queued' WHEN 'retry' THEN st = 'failed' WHEN 'cancel' THEN st IN ('queued', 'retry_wait') OR st = 'running' AND stage <> 'committing'
+                                    WHEN 'commit' THEN st = 'running' AND stage <> 'committing' AND cancel IS NULL ELSE st = 'running' END, false) AS ok,
+                     CASE WHEN cancel IS NOT NULL AND stage <> 'committing' THEN 'cancelled' WHEN retryable AND auto < 3 THEN 'retry_wait' ELSE 'failed' END AS fate
+              FROM (SELECT s.* EXCLUDE (k), e.k, e.tm, e.kind, e.retryable, e.to_stage, CAST(e.percent AS INT) AS percent, e.code AS new_code, coalesce(next <= e.tm, false) AS due, CASE WHEN next <= e.tm THEN 'queued' ELSE status END AS st
+                    FROM s JOIN e ON e.task_id = s.task_id AND e.k = s.k + 1))),
+    f AS (SELECT s.*, coalesce(next < until, false) AS due FROM (SELECT * FROM s WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY k DESC) = 1) s, u)
+    SELECT task_id, CAST(updates + CASE WHEN due THEN 1 ELSE 0 END AS BIGINT) AS updates, CASE WHEN due THEN 'queued' ELSE status END AS status, stage, progress, attempts, auto AS auto_retry_count, manual AS manual_retry_count, CASE WHEN NOT due THEN make_timestamp(next * 1000) END AS next_attempt_at,
+           make_timestamp(cancel * 1000) AS cancel_requested_at, code AS error_code, refused, make_timestamp(CASE WHEN due THEN next ELSE updated END * 1000) AS updated_at FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)

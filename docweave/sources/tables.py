@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import time
 import uuid
 
@@ -21,6 +23,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if small and len(df.inputFiles()) < n else df
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, in spark.checkpoint.dir, removed when the JVM ends; in local mode a temporary one if that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='docweave-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root}/docweave-{uuid.uuid4().hex}"
+    place, fs = _file(spark, path)
+    fs.mkdirs(place)
+    fs.deleteOnExit(place)
+    return path
+
+
 def _file(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
