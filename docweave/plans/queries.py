@@ -19,6 +19,8 @@ from docweave.operators import imports as T
 from docweave.operators import memory as M
 from docweave.operators import points as P
 from docweave.operators import retrieval as R
+from docweave.plans import loading
+from docweave.sources import library as L
 from docweave.sources import scan
 from docweave.sources.tables import scratch, spread
 from docweave.streaming import tasks as S
@@ -992,3 +994,38 @@ def import_stream(spark, d):
     S.keep(S.follow(told, late="1 hour"), f"{folder}/tasks", f"{folder}/checkpoint").awaitTermination()
     last = S.latest(spark.read.schema(S.TASKS).parquet(f"{folder}/tasks/batch=*"))
     return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("next_attempt_at", "cancel_requested_at", "updated_at")})
+
+
+def _library(spark, d) -> str:
+    """A library of all documents, in which those in German were loaded once more, cut, and a source's were deleted."""
+    root = scratch(spark)
+    docs = _t(spark, d, "documents").withColumn("document_id", F.col("doc_id").cast("string"))
+    loading.load(docs.select("document_id", "text"), root, "u1", AS_OF, "first", profile="windows", embed=False)
+    again = docs.where("lang = 'de'").select("document_id", F.substring("text", 1, 900).alias("text"))
+    for _ in range(2):  # the second time does nothing
+        loading.load(again, root, "u1", "2024-02-01 00:00:00", "second", profile="windows", embed=False)
+    loading.delete(spark, root, docs.where("source = 'src3'"))
+    return root
+
+
+@query
+def document_load(spark, d):
+    """Each document left in the library with its version, chunks, events and last import."""
+    root = _library(spark, d)
+    chunks = L.read(spark, root, "chunks").groupBy("document_id").agg(F.count("*").alias("chunks"), F.max("document_version").alias("chunk_version"))
+    events = L.read(spark, root, "memories").groupBy("document_id").agg(F.count("*").alias("events"))
+    records = L.read(spark, root, "documents").join(chunks, "document_id", "left").join(events, "document_id", "left")
+    none = F.lit(0).cast("long")
+    return records.select("document_id", "document_version", "chunk_version", F.coalesce("chunks", none).alias("chunks"), F.coalesce("events", none).alias("events"), "import_task_id", "first_loaded_at")
+
+
+@query
+def documents_cleared(spark, d):
+    """Rows of each table that clearing a library removes, what is left, and what an older manifest still shows."""
+    root = _library(spark, d)
+    before = L.version(spark, root)
+    names = ("chunks", "documents", "memories")
+    removed = loading.clear(spark, root)
+    count = lambda rows: 0 if rows is None else rows.count()
+    rows = [(n, removed.get(n, 0), count(L.read(spark, root, n)), count(L.read(spark, root, n, before))) for n in names]
+    return spark.createDataFrame(rows, "kind string, removed long, remaining long, shown_before long")

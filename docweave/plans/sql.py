@@ -341,6 +341,12 @@ _SQL["document_search"] = f"""WITH {_P}, pt AS (SELECT document_id || '_' || chu
     SELECT CAST(substr(q, 2) AS BIGINT) AS query_id, row_number() OVER (PARTITION BY q ORDER BY r) AS rank, id AS chunk_id, score, 'S-' || substr(sha256(document_id || '||' || digest), 1, 12) AS citation_id FROM one QUALIFY rank <= 5"""
 
 
+_LIBRARY = f"""d0 AS (SELECT doc_id, lang, source, {_strip("CASE WHEN lang = 'de' THEN substr(coalesce(text, ''), 1, 900) ELSE coalesce(text, '') END")} AS t FROM documents),
+    d1 AS (SELECT doc_id, lang, source, (SELECT count(*) FROM (SELECT unnest(range(0, CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 800 THEN 1 ELSE CAST(ceil((length(t) - 800) / 680.0) AS BIGINT) + 1 END)) AS i) WHERE length({_strip("substr(t, i * 680 + 1, 800)")}) > 0) AS chunks FROM d0)"""
+_SQL["document_load"] = f"""WITH {_LIBRARY} SELECT CAST(doc_id AS VARCHAR) AS document_id, v AS document_version, CASE WHEN chunks > 0 THEN v END AS chunk_version, chunks, CAST(v AS BIGINT) AS events, CASE WHEN v = 2 THEN 'second' ELSE 'first' END AS import_task_id, {_AS_OF} AS first_loaded_at
+    FROM (SELECT *, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS v FROM d1 WHERE source IS DISTINCT FROM 'src3')"""
+_SQL["documents_cleared"] = f"""WITH {_LIBRARY}, k AS (SELECT count(*) AS n, sum(chunks) AS c FROM d1 WHERE source IS DISTINCT FROM 'src3'), m AS (SELECT count(*) + count(*) FILTER (lang = 'de') AS n FROM documents)
+    SELECT 'chunks' AS kind, CAST(c AS BIGINT) AS removed, 0::BIGINT AS remaining, CAST(c AS BIGINT) AS shown_before FROM k UNION ALL SELECT 'documents', n, 0, n FROM k UNION ALL SELECT 'memories', 0, n, n FROM m"""
 _SQL["import_stream"] = """WITH RECURSIVE e0 AS (SELECT CAST(user_id AS VARCHAR) AS task_id, epoch_us(ts) // 1000 AS tm, event_id AS seq, event_id % 3 > 0 AS retryable, 'E' || event_id % 5 AS code,
         ['submit', 'claim', 'claim', 'progress', 'progress', 'progress', 'commit', 'succeed', 'fail', 'fail', 'cancel', 'retry', 'claim', 'release'][(event_id * 5 + user_id) % 14 + 1] AS kind,
         ['parsing', 'chunking', 'embedding', 'persisting'][event_id % 4 + 1] AS to_stage, [10 + event_id % 10 * 15 // 10, 25 + event_id % 10 * 15 // 10, 40 + event_id % 10 * 4, 80 + event_id % 10 * 12 // 10][event_id % 4 + 1] AS percent FROM events),

@@ -176,7 +176,9 @@ def write_parts(df: DataFrame, path: str, key: str, parts: int, touched: list[in
 
 
 def _needed(to: dict) -> set[str]:
-    return {to.get("version"), *(f.partition("/")[0] for f in to.get("parts", {}).values())}
+    """Folders that a pointer names: a version, parts of versions, or the layers of tables."""
+    layers = [f for table in to.get("tables", {}).values() for layer in table for f in (layer["rows"], layer["gone"])]
+    return {to.get("version"), *(f.partition("/")[0] for f in to.get("parts", {}).values()), *layers}
 
 
 def vacuum(spark: SparkSession, path: str, hours: float = 24.0) -> int:
