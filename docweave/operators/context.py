@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.functions import text as X
+
 WINDOW_TOKENS, OUTPUT_TOKENS, SAFETY_TOKENS, LEAST_CHARS = 8192, 1024, 512, 200
 _SEPARATOR = 2
 
@@ -19,6 +21,12 @@ def budget(prompt_tokens: int, window: int = WINDOW_TOKENS, output: int = OUTPUT
     return left
 
 
+def room(prompt_tokens: Column, window: int = WINDOW_TOKENS, output: int = OUTPUT_TOKENS, safety: int = SAFETY_TOKENS) -> Column:
+    """``budget`` of each row; a prompt that leaves none fails the job."""
+    left = F.lit(window - output - safety) - prompt_tokens
+    return F.when(left > 0, left).otherwise(F.raise_error(F.lit("no capacity is left for context")))
+
+
 def drop_to_fit(rows: DataFrame, most: int) -> DataFrame:
     """The sources that stay when the lowest-scored unprotected ones fall out until all fit into ``most`` characters.
 
@@ -32,33 +40,56 @@ def drop_to_fit(rows: DataFrame, most: int) -> DataFrame:
     return sized.where(F.col("protected") | (F.col("_after") <= most) | (F.col("_k") == 1)).drop("_after", "_k")
 
 
+def common_cut(sizes: Column, most: Column, least: int = LEAST_CHARS) -> Column:
+    """The sizes after one ratio has shortened all: each keeps its first ``least`` characters and the ratio of the rest.
+
+    The ratio is 1 if all fit into ``most``, else the largest that does, by 24 halvings; 0 if not even that does.
+    """
+    floor = lambda n: F.least(n, F.lit(least))
+    cut = lambda all_, r: F.transform(all_, lambda n: (floor(n) + F.floor((n - floor(n)) * r)).cast("int"))
+    total = lambda all_: F.aggregate(all_, F.lit(0).cast("long"), lambda a, n: a + n)
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+
+    def halve(a: Column, _: Column) -> Column:
+        middle = (a["low"] + a["high"]) / 2
+        fits = total(cut(sizes, middle)) <= most
+        return F.struct(F.when(fits, middle).otherwise(a["low"]).alias("low"), F.when(fits, a["high"]).otherwise(middle).alias("high"))
+
+    ratio = F.when(total(sizes) <= most, F.lit(1.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, halve, lambda a: a["low"]))
+    return X.let(ratio, lambda r: cut(sizes, r))
+
+
+def _shortened(rows: DataFrame, key: str, order: str, kept: list[str], most: Column, least_chars: int) -> DataFrame:
+    """``rows`` (key, order, head, content and ``kept``) of each key cut by their common ratio, blank lines between them."""
+    item = F.struct(F.col(order).alias("order"), *kept, F.length(F.coalesce("head", F.lit(""))).alias("head"), F.coalesce("content", F.lit("")).alias("content"))
+    per = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("all"), most.alias("most"))
+    sizes = F.transform("all", lambda x: F.length(x["content"]))
+    fixed = F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["head"]) + _SEPARATOR * (F.size("all") - 1)
+    cut = per.withColumn("room", F.col("most") - fixed).withColumn("cut", common_cut(sizes, F.col("room"), least_chars))
+    fits = F.aggregate("cut", F.lit(0).cast("long"), lambda a, n: a + n) <= F.col("room")
+    out = cut.select(key, fits.alias("fits"), F.explode(F.arrays_zip("all", "cut")).alias("x"))
+    columns = [F.col(f"x.all.{c}").alias(c) for c in kept]
+    return out.select(key, F.col("x.all.order").alias(order), *columns, F.substring(F.col("x.all.content"), F.lit(1), F.col("x.cut")).alias("content"), (F.col("x.cut") < F.length("x.all.content")).alias("truncated"), "fits")
+
+
 def fit(rows: DataFrame, most: int, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``drop_to_fit``, then one common ratio that shortens what is left: query_id, rank, content, truncated, fits.
 
-    Each source keeps its first ``least_chars`` characters plus the ratio of the rest; the ratio is found by 24
-    halvings. Where even the least doesn't fit, ``fits`` is false.
+    Each source keeps its first ``least_chars`` characters plus the ratio of the rest. Where even the least doesn't
+    fit, ``fits`` is false. A question's sources are one row for a moment; their number is bounded by what was asked for.
     """
+    kept = drop_to_fit(rows, most).select("query_id", F.col("rank").cast("int").alias("rank"), "content", F.lit("").alias("head"))
+    return _shortened(kept, "query_id", "rank", [], F.lit(most).cast("long"), least_chars)
 
-    def shorten(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        texts = pdf["content"].fillna("").tolist()
-        gaps = _SEPARATOR * (len(texts) - 1)
-        floors = [min(len(t), least_chars) for t in texts]
-        cut = lambda r: [f + int((len(t) - f) * r) for t, f in zip(texts, floors, strict=True)]
-        ratio = 1.0
-        if sum(map(len, texts)) + gaps > most:
-            low, high = 0.0, 1.0
-            for _ in range(24):
-                middle = (low + high) / 2
-                low, high = (middle, high) if sum(cut(middle)) + gaps <= most else (low, middle)
-            ratio = low
-        sizes = cut(ratio)
-        fits = sum(sizes) + gaps <= most
-        return pd.DataFrame({"query_id": pdf["query_id"], "rank": pdf["rank"], "content": [t[:n] for t, n in zip(texts, sizes, strict=True)], "truncated": [n < len(t) for t, n in zip(texts, sizes, strict=True)], "fits": fits})
-
-    kept = drop_to_fit(rows, most).select("query_id", "rank", "content")
-    schema = f"query_id {rows.schema['query_id'].dataType.simpleString()}, rank int, content string, truncated boolean, fits boolean"
-    return kept.withColumn("rank", F.col("rank").cast("int")).groupBy("query_id").applyInPandas(shorten, schema)
+
+def fit_summaries(rows: DataFrame, most: int, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Summaries (query_id, document_id, head, content) of documents cut by one ratio; no document is dropped and no ``head`` is cut.
+
+    query_id, document_id, head, content, truncated, fits; false where even the least of each doesn't fit.
+    """
+    named = rows.select("query_id", "document_id", "head", "content", F.col("head").alias("_head"))
+    cut = _shortened(named, "query_id", "document_id", ["_head"], F.lit(most).cast("long"), least_chars)
+    return cut.select("query_id", "document_id", F.col("_head").alias("head"), "content", "truncated", "fits")
 
 
 def lines_that_fit(lines: DataFrame, most: int) -> DataFrame:

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from docweave.functions import text as X
 from docweave.functions import vectors as V
 from docweave.operators import graph as G
 from docweave.operators import points as P
+from docweave.sources.tables import scratch
 
 TTL_MINUTES, CAPACITY = 60, 50
+#: Pairs of memories and questions whose vectors are multiplied at a time.
+PAIRS = 1 << 14
 
 
 def _now(as_of: str) -> Column:
@@ -110,6 +120,105 @@ def episodic_rank(pool: DataFrame, as_of: str, limit: int = 5, digits: int | Non
     return _top(pool.withColumn("score", score), limit, digits)
 
 
+#: What a question may ask of the memories it wants; null asks nothing.
+ASKED = "query_id, query, query_vector, user_id, session_id, min_importance, start, end"
+
+
+def _applicable(memories: DataFrame, asked: DataFrame, whole: bool = True) -> DataFrame:
+    """``memories`` with ``asks``: the numbers ``_q`` of the questions (a block of them) whose conditions a memory meets.
+
+    Questions of one user are looked up by the user, so a memory sees its own user's and those that name none.
+    Without ``whole`` the user alone counts.
+    """
+    q = F.struct("_q", "session_id", F.coalesce("min_importance", F.lit(0.0)).alias("least"), F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
+    per_user = asked.where("user_id IS NOT NULL").groupBy(F.col("user_id").alias("_user")).agg(F.collect_list(q).alias("own"))
+    anyone = asked.where("user_id IS NULL").agg(F.collect_list(q).alias("any"))  # one row
+    met = memories.join(F.broadcast(per_user), memories["user_id"] == F.col("_user"), "left").join(F.broadcast(anyone), F.lit(True))
+    every = F.concat(F.coalesce("own", F.slice("any", 1, 0)), "any")
+
+    def holds(x: Column) -> Column:
+        ok = F.coalesce("importance", F.lit(0.5)) >= x["least"]
+        ok = ok & (x["session_id"].isNull() | F.coalesce(F.col("session_id") == x["session_id"], F.lit(False)))
+        return ok & (x["start"].isNull() | F.coalesce(F.col("ts") >= x["start"], F.lit(False))) & (x["end"].isNull() | F.coalesce(F.col("ts") <= x["end"], F.lit(False)))
+
+    wanted = F.filter(every, holds) if whole else every
+    return met.withColumn("asks", F.transform(wanted, lambda x: x["_q"])).where(F.size("asks") > 0).select(*memories.columns, "asks")
+
+
+def episodic_retrieve(memories: DataFrame, queries: DataFrame, as_of: str, limit: int = 5, digits: int | None = None) -> DataFrame:
+    """Episodic memories for questions that each ask for their own user, session, least importance and time range:
+    query_id, rank, memory_id, score, backend.
+
+    ``memories`` (memory_id, user_id, session_id, content, importance, ts, vector), ``queries`` (ASKED). The
+    conditions are met before the pool of max(5 * limit, 20) nearest is cut. A question for which no memory
+    that meets them has a vector takes the pool from its user's memories by words, and the conditions count
+    after the cut (backend 'fallback_keyword'). Null importance is 0.5; a null question has no rows.
+
+    Questions are a stated set, answered in blocks of ``points.QUERY_BLOCK``; memories are read once a block,
+    each is compared with the questions it applies to alone, and each batch keeps its own best.
+    """
+    rows = queries.where("query IS NOT NULL AND query_vector IS NOT NULL").toLocalIterator()
+    pool = max(5 * limit, 20)
+    found = [_episodes_of(memories, queries, block, as_of, pool, digits) for block in iter(lambda: list(islice(rows, P.QUERY_BLOCK)), [])]
+    if not found:
+        found = [_episodes_of(memories, queries, [], as_of, pool, digits)]
+    scored = reduce(DataFrame.unionAll, found)
+    score = (0.8 * F.col("v") + 0.2 * recency(as_of)) * weight()
+    return _top(scored.withColumn("score", score), limit, digits).select("query_id", "rank", "memory_id", "score", "backend")
+
+
+def _best(df: DataFrame, pool: int) -> DataFrame:
+    order = Window.partitionBy("_q").orderBy(F.desc("v"), "memory_id")
+    return df.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= pool).drop("_k")
+
+
+def _episodes_of(memories: DataFrame, queries: DataFrame, block: list[Row], as_of: str, pool: int, digits: int | None) -> DataFrame:
+    """The pools of one block of questions: query_id, memory_id, importance, ts, v, backend."""
+    spark = memories.sparkSession
+    names = [c.strip() for c in ASKED.split(",") if c.strip() not in ("query_vector",)]
+    schema = queries.select(*names).schema.add("_q", IntegerType())
+    asked = spark.createDataFrame([(*(r[c] for c in names), k) for k, r in enumerate(block)], schema)
+    matrix = np.array([list(r.query_vector) for r in block], float).reshape(len(block), -1)
+    length = np.linalg.norm(matrix, axis=1, keepdims=True)
+    shared = spark.sparkContext.broadcast(np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0))
+    places = 12 if digits is None else digits
+    keys = ["memory_id", "importance", "ts"]
+    kinds = ", ".join(f"`{c}` {memories.schema[c].dataType.simpleString()}" for c in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(wanted):
+                continue
+            vectors = batch.column("vector")
+            if (np.diff(vectors.offsets.to_numpy()) != wanted.shape[1]).any():
+                raise ValueError(f"vector size isn't {wanted.shape[1]}")
+            own = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            norm = np.linalg.norm(own, axis=1)
+            own = own / np.where(norm > 0, norm, 1)[:, None]
+            asks = batch.column("asks")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(asks.offsets.to_numpy()))
+            q = asks.flatten().to_numpy(zero_copy_only=False)
+            v = np.concatenate([np.einsum("ij,ij->i", own[row[a : a + PAIRS]], wanted[q[a : a + PAIRS]]) for a in range(0, len(q), PAIRS)])
+            v = np.round(v, places) + 0.0
+            best = np.lexsort((batch.column("memory_id").to_numpy(zero_copy_only=False)[row], -v, q))
+            keep = best[np.arange(len(q)) - np.searchsorted(q[best], q[best]) < pool]
+            yield pa.RecordBatch.from_arrays([pa.array(q[keep], pa.int32()), *(batch.column(c).take(pa.array(row[keep])) for c in keys), pa.array(v[keep])], ["_q", *keys, "v"])
+
+    lean = ["memory_id", "user_id", "session_id", "importance", "ts"]
+    with_vectors = _applicable(memories.where("vector IS NOT NULL").select(*lean, "vector"), asked).select(*keys, "vector", "asks")
+    path = f"{scratch(spark)}/near"  # a pool for each question; read twice below
+    _best(with_vectors.mapInArrow(run, f"_q int, {kinds}, v double"), pool).write.parquet(path)
+    near = spark.read.parquet(path)
+    none = asked.join(near.select("_q").distinct(), "_q", "left_anti")
+    words = _applicable(memories.select(*lean, "content"), none, whole=False).withColumn("_q", F.explode("asks")).drop("asks")
+    told = words.join(none.select("_q", F.col("query").alias("_query")), "_q").withColumn("v", term_score(F.col("_query"), F.col("content"))).where("v > 0")
+    told = told.withColumn("v", F.round("v", places))
+    kept = _applicable(_best(told, pool).drop("content", "_query").withColumnRenamed("_q", "_for"), none).where(F.array_contains("asks", F.col("_for")))
+    both = near.withColumn("backend", F.lit("vector")).unionByName(kept.select(F.col("_for").alias("_q"), *keys, "v", F.lit("fallback_keyword").alias("backend")))
+    return both.join(F.broadcast(asked.select("query_id", "_q")), "_q").select("query_id", *keys, "v", "backend")
+
+
 def semantic_fuse(vector: DataFrame, words: DataFrame, limit: int = 5, digits: int | None = None) -> DataFrame:
     """Full outer join of (query_id, memory_id, importance, vector_score) and (..., graph_score): (0.7 v + 0.3 g) * weight."""
     g = words.withColumnRenamed("importance", "_i")

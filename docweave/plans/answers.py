@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as X
+from docweave.operators import cache as K
 from docweave.operators import chunks as C
 from docweave.operators import context as A
 from docweave.operators import graph as G
@@ -87,11 +88,13 @@ def compare(chunks: DataFrame, queries: DataFrame, generator: Generator, documen
     return answered.join(met, "query_id").select("query_id", "answer", "sources", F.array_except(every, "met").alias("missing"), "truncated")
 
 
-def summarise(chunks: DataFrame, queries: DataFrame, generator: Generator, documents: list[str] | None = None, limit: int = 12, window: int = A.WINDOW_TOKENS, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def summarise(chunks: DataFrame, queries: DataFrame, generator: Generator, documents: list[str] | None = None, limit: int = 12, window: int = A.WINDOW_TOKENS, cache: DataFrame | None = None, namespace: str = "default", graph: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One summary for each question and document (the map step), and one for each question over those.
 
     Each document is sampled evenly; its first, middle and last chunks are protected. ``cache`` (key,
-    summary) spares the generator what was summarised before; the first result has the new keys.
+    summary) spares the generator what was summarised before; the first result has the new keys (put them in with
+    ``cache.put``). ``graph`` (query_id, document_id, context) is part of a key and of the prompt. The summaries of
+    a question are cut by one ratio where they don't fit together; none is dropped.
     """
     rows = chunks if documents is None else chunks.where(F.col("document_id").isin(documents))
     picked = C.sample_evenly(rows, ["document_id"], ["chunk_index"], max(3, limit))
@@ -100,9 +103,20 @@ def summarise(chunks: DataFrame, queries: DataFrame, generator: Generator, docum
     anchors = numbered.withColumn("protected", F.col("k").isin(1) | (F.col("k") == F.col("n")) | (F.col("k") == F.ceil(F.col("n") / 2)))
     cited = _cited(anchors.withColumn("citation_id", X.source_citation(F.col("document_id"), X.page_number(F.col("page_number")), X.digest(F.col("content")))))
     asked = queries.select(F.col("query_id").alias("_q"), "query")
-    each = cited.join(P._broadcast(asked), F.lit(True)).select(F.concat_ws("\t", "_q", "document_id").alias("query_id"), F.col("k").alias("rank"), (1.0 / F.col("k")).alias("score"), "content", "protected", "query")
-    fitted = A.fit(each.drop("query"), A.budget(len(SUMMARY), window))
-    prompts = _prompts(each.select("query_id", "query").distinct(), fitted, SUMMARY, ["query_id"]).withColumn("key", F.sha2("prompt", 256))
+    changed = F.col("document_version") if "document_version" in chunks.columns else F.lit(None).cast("int")
+    numbered_chunks = cited.withColumn("_revision", F.struct(F.col("k"), F.col("chunk_id").cast("string").alias("id"), changed.alias("version"), F.sha2("content", 256).alias("content")))
+    each = numbered_chunks.join(P._broadcast(asked), F.lit(True)).select(F.concat_ws("\t", "_q", "document_id").alias("query_id"), F.col("k").alias("rank"), (1.0 / F.col("k")).alias("score"), "content", "protected", "query", "document_id", "_revision")
+    fitted = A.fit(each.select("query_id", "rank", "score", "content", "protected"), A.budget(len(SUMMARY), window))
+    told = each.groupBy("query_id", "query", "document_id").agg(F.array_sort(F.collect_list("_revision")).alias("revision"))
+    prompts = _prompts(told.select("query_id", "query"), fitted, SUMMARY, ["query_id"]).join(told.select("query_id", "document_id", "revision"), "query_id")
+    none = F.lit(None).cast("string")
+    if graph is None:
+        prompts = prompts.withColumn("graph", none)
+    else:
+        known_graph = graph.select(F.concat_ws("\t", F.col("query_id").cast("string"), F.col("document_id")).alias("query_id"), F.col("context").alias("graph"))
+        prompts = prompts.join(known_graph, "query_id", "left").withColumn("prompt", F.concat_ws("\n\n", "prompt", "graph"))
+    key = K.summary_key(F.lit(namespace), F.col("document_id"), F.col("query"), F.lit(limit), F.col("revision"), F.lit("off" if graph is None else "auto"), F.col("graph"))
+    prompts = prompts.withColumn("key", key)
     if cache is not None:
         known = prompts.join(cache, "key").select("query_id", "key", F.col("summary").alias("answer"))
         prompts = prompts.join(cache, "key", "left_anti")
@@ -110,6 +124,9 @@ def summarise(chunks: DataFrame, queries: DataFrame, generator: Generator, docum
     mapped = new if cache is None else new.unionByName(known)
     parts = F.split("query_id", "\t")
     summaries = mapped.select(parts[0].alias("query_id"), parts[1].alias("document_id"), "key", F.col("answer").alias("summary"))
-    joined = summaries.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("document_id", "summary"))), lambda x: F.concat(x["document_id"], F.lit(": "), x["summary"])), "\n\n").alias("context"))
+    shares = summaries.select("query_id", "document_id", F.concat("document_id", F.lit(": ")).alias("head"), F.col("summary").alias("content"))
+    cut = A.fit_summaries(shares, A.budget(len(SUMMARY), window))
+    fits = F.when(F.col("fits"), F.concat("head", "content")).otherwise(F.raise_error(F.lit("the least of each summary doesn't fit")))
+    joined = cut.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("document_id", fits.alias("text")))), lambda x: x["text"]), "\n\n").alias("context"))
     reduced = joined.join(queries.select(F.col("query_id").cast("string").alias("query_id"), "query"), "query_id").withColumn("prompt", F.concat(F.lit(SUMMARY + "\n\n"), "context", F.lit("\n\nQuestion: "), "query"))
     return summaries, A.generate(reduced.select("query_id", "prompt"), generator).select("query_id", "answer")

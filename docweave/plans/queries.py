@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as X
 from docweave.functions import vectors as V
+from docweave.operators import cache as K
 from docweave.operators import chunks as C
 from docweave.operators import context as A
 from docweave.operators import evaluation as E
@@ -20,8 +21,9 @@ from docweave.operators import memory as M
 from docweave.operators import points as P
 from docweave.operators import retrieval as R
 from docweave.plans import loading
+from docweave.plans.background import Background
 from docweave.sources import library as L
-from docweave.sources import scan
+from docweave.sources import scan, vector_index
 from docweave.sources.tables import scratch, spread
 from docweave.streaming import tasks as S
 
@@ -137,6 +139,21 @@ def vector_topk(spark, d):
     return P.nearest(_points(spark, d), _vector_queries(spark, d), 5, digits=DIGITS)
 
 
+@query
+def vector_topk_indexed(spark, d):
+    """The same from a stored index of clusters."""
+    path = f"{scratch(spark)}/index"
+    vector_index.build(_points(spark, d), path)
+    return vector_index.search(spark, path, _vector_queries(spark, d), 5, digits=DIGITS)[0]
+
+
+@query
+def vector_threshold_indexed(spark, d):
+    path = f"{scratch(spark)}/index"
+    vector_index.build(_points(spark, d), path)
+    return vector_index.search(spark, path, _vector_queries(spark, d), 20, {"label": [1, 3, 5]}, 0.25, DIGITS)[0]
+
+
 @query
 def vector_topk_filtered_in(spark, d):
     return P.nearest(_points(spark, d), _vector_queries(spark, d), 5, {"label": [1, 3, 5]}, digits=DIGITS)
@@ -309,6 +326,20 @@ def episodic_rank(spark, d):
     return M.episodic_rank(pool, AS_OF, 5, DIGITS).select("query_id", "rank", "memory_id", "score")
 
 
+@query
+def episodic_retrieve(spark, d):
+    """Questions that each ask for other users, sessions, importances and times; some users' memories have no vectors."""
+    e = _memories(spark, d)
+    vectors = _t(spark, d, "embeddings").select(F.col("vec_id").alias("memory_id"), F.col("embedding").alias("vector"))
+    memories = e.join(vectors, "memory_id", "left").withColumn("vector", F.when(F.col("user_id") % 4 != 3, F.col("vector")))
+    n = F.col("memory_id")
+    asked = e.join(vectors, "memory_id").where("memory_id % 20 = 0").select(
+        n.alias("query_id"), F.col("session_id").alias("query"), F.col("vector").alias("query_vector"), F.when(n % 60 != 0, F.col("user_id")).alias("user_id"), F.when(n % 40 == 0, F.col("session_id")).alias("session_id"),
+        (n % 100 / 200).alias("min_importance"), F.when(n % 80 == 0, F.col("ts") - F.expr("INTERVAL 5 DAYS")).alias("start"), F.when(n % 160 == 0, F.col("ts") + F.expr("INTERVAL 5 DAYS")).alias("end"),
+    )
+    return M.episodic_retrieve(memories, asked, AS_OF, 5, DIGITS)
+
+
 @query
 def episodic_time_range(spark, d):
     return M.episodic_filter(_memories(spark, d), session="purchase", min_importance=0.3, start="2024-01-05 00:00:00", end="2024-01-12 23:59:59").select("memory_id", "user_id", "importance")
@@ -459,7 +490,7 @@ def compare_candidates(spark, d):
 def _sources(spark, d):
     """Each user's events as sources with distinct scores."""
     order = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
-    e = _t(spark, d, "events").withColumn("rank", F.row_number().over(order)).where("rank <= 12")
+    e = _t(spark, d, "events").withColumn("rank", F.row_number().over(order))
     return e.select(F.col("user_id").alias("query_id"), "rank", (F.col("value") - F.col("rank") / 1000).alias("score"), F.repeat("event_type", (F.col("event_id") % 9).cast("int") + 1).alias("content"), (F.col("rank") == 3).alias("protected"), "event_id")
 
 
@@ -470,7 +501,29 @@ def fit_context_drop(spark, d):
 
 @query
 def fit_context(spark, d):
-    return A.fit(_sources(spark, d), 40, least_chars=5)
+    """All sources of a user, every third protected, so that they have to be cut; for some users not even the least fits."""
+    return A.fit(_sources(spark, d).withColumn("protected", F.col("event_id") % 3 == 0), 300, least_chars=12)
+
+
+@query
+def fit_summaries(spark, d):
+    """The turns of a conversation as summaries that share a budget; none falls out."""
+    turns = _t(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("document_id"), F.concat(F.lit("["), "role", F.lit("] ")).alias("head"), F.col("text").alias("content"))
+    cut = A.fit_summaries(turns, 900)
+    return cut.select("query_id", "document_id", F.length("content").alias("kept"), F.sha2("content", 256).alias("digest"), "truncated", "fits")
+
+
+@query
+def summary_cache(spark, d):
+    """Summaries of documents put into a cache one source after the other, some again under their old key."""
+    docs = _t(spark, d, "documents").withColumn("order", F.col("doc_id"))
+    key = K.summary_key(F.lit("default"), F.col("lang"), F.lit("q"), F.lit(12), F.array(F.col("doc_id")), F.lit("off"), F.lit(None).cast("string"))
+    entries = docs.select(key.alias("key"), F.col("doc_id").cast("string").alias("summary"), "order", "doc_id")
+    cache = spark.createDataFrame([], K.ENTRIES)
+    for k in range(3):
+        part = entries.where(F.col("doc_id") % 3 <= k).withColumn("summary", F.concat(F.lit(f"{k}-"), "summary"))
+        cache = K.put(cache, part, "order")
+    return cache.select("key", "summary")
 
 
 @query
@@ -942,8 +995,7 @@ def import_active_users(spark, d):
 def context_budgets(spark, d):
     """The room that each question leaves for its sources, by the length of its words."""
     tokens = X.approximate_tokens(F.col("text"))
-    left = A.WINDOW_TOKENS - A.OUTPUT_TOKENS - A.SAFETY_TOKENS - tokens
-    return _t(spark, d, "benchmark").select("item_id", tokens.alias("tokens"), left.alias("room"))
+    return _t(spark, d, "benchmark").select("item_id", tokens.alias("tokens"), A.room(tokens).alias("room"))
 
 
 @query
@@ -1029,3 +1081,26 @@ def documents_cleared(spark, d):
     count = lambda rows: 0 if rows is None else rows.count()
     rows = [(n, removed.get(n, 0), count(L.read(spark, root, n)), count(L.read(spark, root, n, before))) for n in names]
     return spark.createDataFrame(rows, "kind string, removed long, remaining long, shown_before long")
+
+
+@query
+def summaries_in_background(spark, d):
+    """One run that summarises every document's chunks, and one that is cancelled while it waits or has just begun."""
+    folder = scratch(spark)
+
+    def run(progress):
+        chunks = _windows(spark, d)
+        progress(0, stage="mapping")
+        chunks.groupBy("document_id").agg(F.count("*").alias("chunks")).write.parquet(f"{folder}/summaries")
+        progress(1, stage="reducing")
+        return spark.read.parquet(f"{folder}/summaries").count()
+
+    pool = Background(spark, workers=1)
+    first = pool.start(run, 1)
+    second = pool.start(lambda progress: _windows(spark, d).write.parquet(f"{folder}/never"), 1)
+    pool.cancel(second)
+    documents = pool.result(first)
+    pool.wait()
+    rows = pool.table().withColumn("documents", F.when(F.col("task_id") == first, F.lit(documents).cast("long")))
+    pool.close()
+    return rows.select("status", "stage", "completed", "total", "documents")

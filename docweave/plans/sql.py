@@ -74,7 +74,7 @@ edge AS (SELECT document_id, {_gid("source")} AS source_id, {_gid("target")} AS
 edge1 AS (SELECT DISTINCT document_id, source_id, target_id FROM edge)"""
 _SRC = """
 s0 AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, value, event_id, event_type FROM events),
-src AS (SELECT query_id, rank, value - rank / 1000 AS score, repeat(event_type, CAST(event_id % 9 AS BIGINT) + 1) AS content, rank = 3 AS protected, event_id FROM s0 WHERE rank <= 12),
+src AS (SELECT query_id, rank, value - rank / 1000 AS score, repeat(event_type, CAST(event_id % 9 AS BIGINT) + 1) AS content, rank = 3 AS protected, event_id FROM s0),
 dropped AS (SELECT *, sum(length(content) + 2) OVER o - 2 AS after_, row_number() OVER o AS k FROM src WINDOW o AS (PARTITION BY query_id ORDER BY protected DESC, score DESC, rank ROWS UNBOUNDED PRECEDING))"""
 _TASK = """
 task AS (SELECT event_id AS task_id, CAST(floor(event_id / 8) AS BIGINT) AS batch_id, user_id, ['queued', 'running', 'retry_wait', 'succeeded', 'failed', 'cancelled'][CAST(event_id % 6 + 1 AS INT)] AS status,
@@ -347,6 +347,41 @@ _SQL["document_load"] = f"""WITH {_LIBRARY} SELECT CAST(doc_id AS VARCHAR) AS do
     FROM (SELECT *, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS v FROM d1 WHERE source IS DISTINCT FROM 'src3')"""
 _SQL["documents_cleared"] = f"""WITH {_LIBRARY}, k AS (SELECT count(*) AS n, sum(chunks) AS c FROM d1 WHERE source IS DISTINCT FROM 'src3'), m AS (SELECT count(*) + count(*) FILTER (lang = 'de') AS n FROM documents)
     SELECT 'chunks' AS kind, CAST(c AS BIGINT) AS removed, 0::BIGINT AS remaining, CAST(c AS BIGINT) AS shown_before FROM k UNION ALL SELECT 'documents', n, 0, n FROM k UNION ALL SELECT 'memories', 0, n, n FROM m"""
+
+
+def _cut(rows: str, most: int, least: int) -> str:
+    """Tables that cut the contents of ``rows`` (q, o, head, content) by one ratio for each q: low is the ratio after 24 halvings."""
+    total = lambda r: f"list_sum(list_transform(sizes, lambda x: least(x, {least}) + CAST(floor((x - least(x, {least})) * ({r})) AS BIGINT)))"
+    return f"""g AS (SELECT q, list(length(content)) AS sizes, {most} - sum(length(head)) - 2 * (count(*) - 1) AS room FROM {rows} GROUP BY q),
+    b(k, q, sizes, room, low, high) AS (SELECT 0, q, sizes, room, 0.0::DOUBLE, 1.0::DOUBLE FROM g
+        UNION ALL SELECT k + 1, q, sizes, room, CASE WHEN {total("(low + high) / 2")} <= room THEN (low + high) / 2 ELSE low END, CASE WHEN {total("(low + high) / 2")} <= room THEN high ELSE (low + high) / 2 END FROM b WHERE k < 24),
+    ratio AS (SELECT q, r, {total("r")} <= room AS fits FROM (SELECT q, sizes, room, CASE WHEN list_sum(sizes) <= room THEN 1.0::DOUBLE ELSE low END AS r FROM b WHERE k = 24)),
+    cut AS (SELECT q, o, substr(content, 1, least(length(content), {least}) + CAST(floor((length(content) - least(length(content), {least})) * r) AS BIGINT)) AS kept, length(content) AS whole, fits FROM {rows} JOIN ratio USING (q))"""
+
+
+_SQL["fit_context"] = f"""WITH RECURSIVE {_SRC.replace("rank = 3 AS protected", "event_id % 3 = 0 AS protected")}, rows_ AS (SELECT query_id AS q, rank AS o, '' AS head, content FROM dropped WHERE protected OR after_ <= 300 OR k = 1), {_cut("rows_", 300, 12)}
+    SELECT q AS query_id, CAST(o AS INT) AS rank, kept AS content, length(kept) < whole AS truncated, fits FROM cut"""
+_SQL["fit_summaries"] = f"""WITH RECURSIVE rows_ AS (SELECT conv_id AS q, turn AS o, '[' || role || '] ' AS head, coalesce(text, '') AS content FROM conversations), {_cut("rows_", 900, 200)}
+    SELECT q AS query_id, o AS document_id, CAST(length(kept) AS INT) AS kept, sha256(kept) AS digest, length(kept) < whole AS truncated, fits FROM cut"""
+_SQL["summary_cache"] = """WITH e AS (SELECT doc_id, sha256('{"prompt_version":1,"namespace":"default","document_id":"' || lang || '","query":"q","limit":12,"revision":[' || doc_id || '],"graph_mode":"off","graph_context":null}') AS key FROM documents),
+    a AS (SELECT key, doc_id, '0-' || doc_id AS summary, row_number() OVER (ORDER BY doc_id) AS place FROM e WHERE doc_id % 3 <= 0 QUALIFY row_number() OVER (ORDER BY doc_id DESC) <= 256),
+    b0 AS (SELECT key, doc_id, '1-' || doc_id AS summary, place FROM a UNION ALL SELECT key, doc_id, '1-' || doc_id, (SELECT max(place) FROM a) + row_number() OVER (ORDER BY doc_id) FROM e WHERE doc_id % 3 <= 1 AND key NOT IN (SELECT key FROM a)),
+    b AS (SELECT * FROM b0 QUALIFY row_number() OVER (ORDER BY place DESC) <= 256),
+    c0 AS (SELECT key, '2-' || doc_id AS summary, place FROM b UNION ALL SELECT key, '2-' || doc_id, (SELECT max(place) FROM b) + row_number() OVER (ORDER BY doc_id) FROM e WHERE key NOT IN (SELECT key FROM b))
+    SELECT key, summary FROM c0 QUALIFY row_number() OVER (ORDER BY place DESC) <= 256"""
+_SQL["episodic_retrieve"] = rf"""WITH {_MEM}, v AS (SELECT m.*, CASE WHEN user_id % 4 <> 3 THEN CAST(embedding AS DOUBLE[]) END AS v FROM m LEFT JOIN embeddings ON vec_id = memory_id),
+    q AS (SELECT memory_id AS query_id, session_id AS query, CAST(embedding AS DOUBLE[]) AS qv, CASE WHEN memory_id % 60 <> 0 THEN user_id END AS u, CASE WHEN memory_id % 40 = 0 THEN session_id END AS s, memory_id % 100 / 200 AS least_,
+                 CASE WHEN memory_id % 80 = 0 THEN ts - INTERVAL 5 DAY END AS start_, CASE WHEN memory_id % 160 = 0 THEN ts + INTERVAL 5 DAY END AS end_ FROM m JOIN embeddings ON vec_id = memory_id WHERE memory_id % 20 = 0),
+    p AS (SELECT q.*, v.*, (s IS NULL OR session_id = s) AND importance >= least_ AND (start_ IS NULL OR ts >= start_) AND (end_ IS NULL OR ts <= end_) AS ok FROM q JOIN v ON u IS NULL OR user_id = u),
+    near AS (SELECT query_id, memory_id, importance, ts, round(list_cosine_similarity(v, qv), 6) AS x, 'vector' AS backend FROM p WHERE ok AND v IS NOT NULL),
+    word AS (SELECT query_id, memory_id, importance, ts, ok, len(list_intersect([query], list_distinct(regexp_split_to_array(lower(content), '\s+')))) AS part, contains(content, query) AS inside FROM p WHERE query_id NOT IN (SELECT query_id FROM near)),
+    told AS (SELECT query_id, memory_id, importance, ts, ok, 1.0::DOUBLE AS x, 'fallback_keyword' AS backend FROM word WHERE part > 0 OR inside QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY memory_id) <= 25),
+    pool AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x DESC, memory_id) <= 25 UNION ALL SELECT * EXCLUDE (ok) FROM told WHERE ok),
+    z AS (SELECT query_id, memory_id, backend, round((0.8::DOUBLE * x + 0.2::DOUBLE * greatest(0.1, least(1.0, exp(-{_AGE} / 1440 / 7)))) * (0.8::DOUBLE + 0.4::DOUBLE * importance), 6) AS score FROM pool)
+    SELECT query_id, rank, memory_id, score, backend FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM z WHERE score > 0) WHERE rank <= 5"""
+_SQL["summaries_in_background"] = f"WITH {_W} SELECT 'succeeded' AS status, 'succeeded' AS stage, 1 AS completed, 1 AS total, (SELECT count(DISTINCT document_id) FROM w) AS documents UNION ALL SELECT 'cancelled', 'cancelled', 0, 1, NULL"
+_SQL["vector_topk_indexed"] = _SQL["vector_topk"]
+_SQL["vector_threshold_indexed"] = _SQL["vector_threshold"].replace("score >= 0.25", "score >= 0.25 AND label IN (1, 3, 5)")
 _SQL["import_stream"] = """WITH RECURSIVE e0 AS (SELECT CAST(user_id AS VARCHAR) AS task_id, epoch_us(ts) // 1000 AS tm, event_id AS seq, event_id % 3 > 0 AS retryable, 'E' || event_id % 5 AS code,
         ['submit', 'claim', 'claim', 'progress', 'progress', 'progress', 'commit', 'succeed', 'fail', 'fail', 'cancel', 'retry', 'claim', 'release'][(event_id * 5 + user_id) % 14 + 1] AS kind,
         ['parsing', 'chunking', 'embedding', 'persisting'][event_id % 4 + 1] AS to_stage, [10 + event_id % 10 * 15 // 10, 25 + event_id % 10 * 15 // 10, 40 + event_id % 10 * 4, 80 + event_id % 10 * 12 // 10][event_id % 4 + 1] AS percent FROM events),
