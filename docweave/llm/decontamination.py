@@ -29,7 +29,7 @@ WINDOW = 10
 SEGMENT_BYTES = 2 << 20
 #: Words of benchmark text in one broadcast block: about 16 MB of hashes and windows.
 BLOCK_WORDS = 1 << 20
-SEGMENT_SCHEMA = "seg long, doc_ids binary, n_words binary, terms binary, starts binary, positions binary"
+SEGMENT_SCHEMA = "seg long, doc_ids binary, no_id binary, n_words binary, terms binary, starts binary, positions binary"
 
 
 @dataclass
@@ -91,10 +91,6 @@ def _segment(batch: pa.RecordBatch, window: int) -> Segment:
     return Segment(n_words, base, terms, np.append(starts, len(hashes)), positions[order])
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy()
-
-
 def _pack(x: np.ndarray, kind: type) -> pa.Array:
     return pa.array([x.astype(kind).tobytes()], pa.binary())
 
@@ -102,8 +98,8 @@ def _pack(x: np.ndarray, kind: type) -> pa.Array:
 def index_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Index segments of the documents, each over about SEGMENT_BYTES of text; a longer document is a segment by itself.
 
-    Null and empty texts are in the index with no words. Ids must be whole numbers; null ids are kept as
-    the smallest long. Empty tables give no segments. ``seg`` numbers the segments of one table.
+    Null and empty texts are in the index with no words. Ids must be whole numbers; null ids stay null. Repeated
+    rows are documents of their own. Empty tables give no segments. ``seg`` numbers the segments of one table.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,21 +108,26 @@ def index_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for batch in text_slices(whole, "text", SEGMENT_BYTES):
                 if batch.num_rows:
                     s = _segment(batch, window)
-                    arrays = [_pack(_ids(batch), np.int64), _pack(s.n_words, np.int64), _pack(s.terms, np.uint64), _pack(s.starts, np.int64), _pack(s.positions, np.int32 if len(s.positions) < 1 << 30 else np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array([seg]), *arrays], ["seg", "doc_ids", "n_words", "terms", "starts", "positions"])
+                    ids = batch.column(0)
+                    arrays = [_pack(ids.fill_null(0).to_numpy(), np.int64), _pack(ids.is_null().to_numpy(zero_copy_only=False), np.bool_), _pack(s.n_words, np.int64), _pack(s.terms, np.uint64), _pack(s.starts, np.int64), _pack(s.positions, np.int32 if len(s.positions) < 1 << 30 else np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array([seg]), *arrays], ["seg", "doc_ids", "no_id", "n_words", "terms", "starts", "positions"])
                     seg += 1
             pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(build, SEGMENT_SCHEMA)
 
 
-def _open(row: pa.RecordBatch, i: int, window: int) -> tuple[np.ndarray, Segment]:
+def _opened_ids(ids: bytes, missing: bytes) -> pa.Array:
+    return pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(missing, np.bool_))
+
+
+def _open(row: pa.RecordBatch, i: int, window: int) -> tuple[pa.Array, Segment]:
     raw = {name: row.column(name)[i].as_buffer() for name in row.schema.names if name != "seg"}
     n = np.frombuffer(raw["n_words"], np.int64)
     starts = np.frombuffer(raw["starts"], np.int64)
     wide = len(raw["positions"]) > 4 * starts[-1]
     base = np.cumsum(n) - n + np.arange(len(n)) * window
-    return np.frombuffer(raw["doc_ids"], np.int64), Segment(n, base, np.frombuffer(raw["terms"], np.uint64), starts, np.frombuffer(raw["positions"], np.int64 if wide else np.int32))
+    return _opened_ids(raw["doc_ids"], raw["no_id"]), Segment(n, base, np.frombuffer(raw["terms"], np.uint64), starts, np.frombuffer(raw["positions"], np.int64 if wide else np.int32))
 
 
 def _windows(items: pa.Table, window: int) -> tuple[list, np.ndarray, np.ndarray]:
@@ -176,9 +177,9 @@ def _search(segment: Segment, block: tuple) -> dict[int, list[tuple[int, int, in
 
 
 def _merged(spans: list[tuple]) -> list[tuple]:
-    """Spans of one item, in order, run together where they overlap or touch."""
+    """Spans of one item, in order, run together where they overlap or touch; items without an id last."""
     out: list[list] = []
-    for item, a, b in sorted(spans):
+    for item, a, b in sorted(spans, key=lambda x: (x[0] is None, x[0] or "", *x[1:])):
         if out and out[-1][0] == item and a <= out[-1][2]:
             out[-1][2] = max(out[-1][2], b)
         else:
@@ -192,7 +193,7 @@ RESULT_SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spa
 FOUND_SCHEMA = "seg long, doc int, item string, first int, end int"
 
 
-def _results(doc_ids: np.ndarray, n_words: np.ndarray, spans_of: dict[int, list[tuple]]) -> pa.RecordBatch:
+def _results(doc_ids: pa.Array, n_words: np.ndarray, spans_of: dict[int, list[tuple]]) -> pa.RecordBatch:
     """A row for each document; ``spans_of`` has the matches of some."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("item", pa.string()), ("first", pa.int32()), ("end", pa.int32())])))])
     n = len(doc_ids)
@@ -200,12 +201,12 @@ def _results(doc_ids: np.ndarray, n_words: np.ndarray, spans_of: dict[int, list[
     for doc, spans in spans_of.items():
         hit[doc] = sum(b - a for _, a, b in _merged([("", a, b) for _, a, b in spans]))
         runs = _merged(spans)
-        items[doc] = sorted({x[0] for x in runs})
+        items[doc] = sorted({x[0] for x in runs if x[0] is not None})
         runs_of[doc] = [{"item": x, "first": a, "end": b} for x, a, b in runs]
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(n_words), pa.array(hit), pa.array(items, schema.field("items").type), pa.array(runs_of, schema.field("spans").type)], schema=schema)
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(n_words), pa.array(hit), pa.array(items, schema.field("items").type), pa.array(runs_of, schema.field("spans").type)], schema=schema)
 
 
-def _segments_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int, np.ndarray, Segment]]:
+def _segments_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[int, pa.Array, Segment]]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch["seg"][i].as_py(), *_open(batch, i, window)
@@ -233,13 +234,14 @@ def search_segments(segments: DataFrame, benchmark: DataFrame, id_col: str = "it
     A window is ``window`` consecutive words of an item, or the whole item if it has fewer (none: no window).
     Columns: doc_id, n_words, n_hit (words inside any occurrence), items (their ids as text, sorted, each
     once), spans (for each item the runs of words covered: first and end, counted from 0). Items that share
-    an id count as one item. Null item ids and texts match nothing. Documents without a match, and all
+    an id count as one item. The words of an item without an id are hit like others', but it is in no list of
+    ids (its spans have a null item); a null text matches nothing. Documents without a match, and all
     documents if the benchmark is empty, have n_hit 0 and empty lists. Equal documents have equal rows; very
     long ones are segments by themselves. Other columns are not read. A benchmark of one block is searched in
     the pass that gives the result; of several, each is a pass over the index, and the result another.
     """
     spark = segments.sparkSession
-    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
     parts: list[DataFrame] = []
     before = None
     for block in _blocks(items, block_words, window):
@@ -263,22 +265,26 @@ def search_segments(segments: DataFrame, benchmark: DataFrame, id_col: str = "it
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for seg, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                doc_ids, n_words = (np.frombuffer(x, np.int64) for x in packed)
-                n = len(doc_ids)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seg)), pa.array(np.arange(n, dtype=np.int32)), pa.array(doc_ids), pa.array(n_words)], ["seg", "doc", "doc_id", "n_words"])
+            for seg, ids, missing, words_of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n_words = np.frombuffer(words_of, np.int64)
+                n = len(n_words)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, seg)), pa.array(np.arange(n, dtype=np.int32)), _opened_ids(ids, missing), pa.array(n_words)], ["seg", "doc", "doc_id", "n_words"])
 
     def brought(batch: pa.RecordBatch) -> pa.RecordBatch:
         spans = {k: [(x["item"], x["first"], x["end"]) for x in s] for k, s in enumerate(batch["spans"].to_pylist()) if s}
-        return _results(batch["doc_id"].to_numpy(), batch["n_words"].to_numpy(), spans)
+        return _results(batch["doc_id"], batch["n_words"].to_numpy(), spans)
 
     spans = found.groupBy("seg", "doc").agg(F.collect_list(F.struct("item", "first", "end")).alias("spans"))
-    rows = segments.select("seg", "doc_ids", "n_words").mapInArrow(listed, "seg long, doc int, doc_id long, n_words long").join(spans, ["seg", "doc"], "left")
+    rows = segments.select("seg", "doc_ids", "no_id", "n_words").mapInArrow(listed, "seg long, doc int, doc_id long, n_words long").join(spans, ["seg", "doc"], "left")
     return map_batches(rows.select("doc_id", "n_words", "spans"), brought, RESULT_SCHEMA)
 
 
 def near_matches(segments: DataFrame, terms: list[str], slop: int, window: int = WINDOW) -> DataFrame:
-    """Documents where all ``terms`` stand within ``slop`` words of the rarest of them: doc_id and that term's word number."""
+    """Documents where all ``terms`` stand within ``slop`` words of the rarest of them: doc_id and that term's word number.
+
+    A document without an id has a null one, repeated rows each have their own; an empty index and terms that
+    are nowhere give no rows.
+    """
     raw, bounds = text_bytes(pa.array(terms, pa.string()))
     wanted, _, _, _ = words(raw, bounds, ALPHANUMERIC)
 
@@ -287,7 +293,7 @@ def near_matches(segments: DataFrame, terms: list[str], slop: int, window: int =
             at = segment.near(wanted, slop)
             d = segment.document(at)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[d]), as_long(at - segment.base[d])], ["doc_id", "word"])
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(d)), as_long(at - segment.base[d])], ["doc_id", "word"])
 
     return segments.mapInArrow(run, "doc_id long, word long")
 
