@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.functions import text as X
+
 
 def latest(records: DataFrame, last: bool = True) -> DataFrame:
     """One record of each (user_id, document_id): the last by position, or the first."""
@@ -84,6 +86,54 @@ def learning_stats(documents: DataFrame, questions: DataFrame, notes: DataFrame)
     return rows.groupBy("user_id").agg(*[F.sum(k).alias(k) for k in ("documents", "questions", "notes")])
 
 
+def projected(records: DataFrame, suffixes: tuple[str, ...] | None = None) -> DataFrame:
+    """Document records fit for display (user_id, document_id, name, file_suffix, loaded_at), malformed ones left out.
+
+    ``records`` (user_id, document_id, document_name, file_suffix, document_path, loaded_at as text): nothing may be
+    blank, the name must be a bare file name, the path's ending must be the suffix (without regard to case)
+    and stay below the user's folder. A time that can't be read is null.
+    """
+    blank = lambda c: X.strip(F.coalesce(c, F.lit(""))) == ""
+    names = ("document_id", "document_name", "file_suffix", "document_path")
+    bad = F.col("document_name").rlike(r"[/\\]|^\.{0,2}$") | F.col("document_path").rlike(r"(^|[/\\])\.\.([/\\]|$)")
+    for name in names:
+        bad = bad | blank(name)
+    ending = F.lower(F.regexp_extract("document_path", r"[^/\\](\.[^./\\]+)$", 1))
+    bad = bad | (ending != F.lower("file_suffix"))
+    if suffixes is not None:
+        bad = bad | ~F.lower("file_suffix").isin(*suffixes)
+    return records.where(~F.coalesce(bad, F.lit(True))).select("user_id", "document_id", F.col("document_name").alias("name"), "file_suffix", X.timestamp(F.col("loaded_at")).alias("loaded_at"))
+
+
+#: What a report says where there is nothing, and how it shows questions and notes.
+NO_DOCUMENTS, NO_QUESTIONS, NO_NOTES, NO_CONCEPT = "暂无导入记录", "暂无问答记录", "暂无学习笔记", "未命名概念"
+ASKED_HEAD, ANSWER_HEAD = "问题：", "回答："
+
+
+def report_sections(users: DataFrame, documents: DataFrame, questions: DataFrame, notes: DataFrame) -> DataFrame:
+    """For each of ``users`` (user_id): counts of documents, questions and notes, and their last 5, 10 and 10 as numbered texts, oldest first.
+
+    ``documents`` (user_id, position, document_name, loaded_at), ``questions`` (..., question, answer), ``notes``
+    (..., concept, note). Answers are cut to 300 characters and '...'.
+    """
+    none = F.lit("None")
+    some = lambda c: F.coalesce(F.col(c).cast("string"), none)
+    concept = F.coalesce(F.nullif(F.col("concept"), F.lit("")), F.lit(NO_CONCEPT))
+    parts = (
+        ("documents", documents, 5, F.concat(some("document_name"), F.lit(" | "), some("loaded_at")), "\n", NO_DOCUMENTS),
+        ("questions", questions, 10, F.concat(F.lit(ASKED_HEAD), some("question"), F.lit("\n" + ANSWER_HEAD), F.substring(some("answer"), 1, 300), F.lit("...")), "\n\n", NO_QUESTIONS),
+        ("notes", notes, 10, F.concat(F.lit("【"), concept, F.lit("】"), some("note")), "\n", NO_NOTES),
+    )
+    out = users.select("user_id").distinct()
+    for name, rows, most, line, between, empty in parts:
+        counts = rows.groupBy("user_id").agg(F.count("*").alias(f"{name}_count"))
+        last = recent(rows, most).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+        numbered = F.array_join(F.transform("lines", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), between)
+        out = out.join(counts, "user_id", "left").join(last.select("user_id", numbered.alias(f"{name}_text")), "user_id", "left")
+        out = out.withColumns({f"{name}_count": F.coalesce(f"{name}_count", F.lit(0)), f"{name}_text": F.coalesce(f"{name}_text", F.lit(empty))})
+    return out
+
+
 LISTS = ("documents", "questions", "notes")
 
 

@@ -32,6 +32,13 @@ def batch_summary(batches: DataFrame, tasks: DataFrame) -> DataFrame:
     return batches.join(per, ["batch_id", "user_id"], "left").select(*batches.columns, *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
 
 
+def listed(batches: DataFrame, tasks: DataFrame, limit: int = 50) -> DataFrame:
+    """Each user's newest batches with their counts, ``place`` from 1; of one time the larger id first. Only what is listed is counted."""
+    order = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("batch_id"))
+    newest = batches.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return batch_summary(newest, tasks.join(newest.select("batch_id", "user_id"), ["batch_id", "user_id"], "left_semi"))
+
+
 def claimable(tasks: DataFrame, as_of: str, blocked: list | None = None, limit: int = 4) -> DataFrame:
     """The next tasks to run: for each user without a running one the earliest that is due, ``limit`` in all."""
     now = F.lit(as_of).cast("timestamp_ntz")

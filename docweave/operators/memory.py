@@ -276,6 +276,26 @@ def stats(memories: DataFrame) -> DataFrame:
     return memories.groupBy("memory_type").agg(F.count("*").alias("memories"), F.countDistinct("user_id").alias("users"))
 
 
+def add(old: DataFrame, new: DataFrame, user: str | int, as_of: str, session: str | None = None) -> DataFrame:
+    """``old`` and the memories of ``new`` (memory_id, content; memory_type, importance, file_path, modality if there), all of one session.
+
+    Without a ``session`` it is named by the time, session_YYYYmmdd_HHMMSS. Type and importance are 'working' and 0.5
+    unless given; a perceptual memory of a file carries its modality and the file as raw data. Memories without
+    content are not added; user, session and time are stamped on all.
+    """
+    now = _now(as_of)
+    given = set(new.columns)
+    c = lambda name, kind="string": F.col(name) if name in given else F.lit(None).cast(kind)
+    kind = F.coalesce(c("memory_type"), F.lit("working"))
+    file = F.when((kind == "perceptual") & (F.length(F.coalesce(c("file_path"), F.lit(""))) > 0), c("file_path"))
+    stamp = F.lit(session) if session is not None else F.concat(F.lit("session_"), F.date_format(now, "yyyyMMdd_HHmmss"))
+    rows = new.where(F.length(F.coalesce("content", F.lit(""))) > 0).select(
+        "memory_id", F.lit(user).alias("user_id"), kind.alias("memory_type"), stamp.alias("session_id"), "content", F.coalesce(c("importance", "double"), F.lit(0.5)).alias("importance"), now.alias("ts"),
+        F.when(file.isNotNull(), F.coalesce(F.nullif(c("modality"), F.lit("")), X.modality(file))).alias("modality"), file.alias("raw_data"), file.alias("file_path"),
+    )
+    return old.unionByName(rows, allowMissingColumns=True)
+
+
 def insert_once(old: DataFrame, new: DataFrame, key: str = "memory_id") -> DataFrame:
     """Rows of ``new`` whose key isn't there yet join ``old``."""
     return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"), allowMissingColumns=True)

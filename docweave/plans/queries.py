@@ -12,12 +12,14 @@ from docweave.functions import vectors as V
 from docweave.operators import cache as K
 from docweave.operators import chunks as C
 from docweave.operators import context as A
+from docweave.operators import cross_document as D
 from docweave.operators import evaluation as E
 from docweave.operators import extraction as N
 from docweave.operators import graph as G
 from docweave.operators import history as H
 from docweave.operators import imports as T
 from docweave.operators import memory as M
+from docweave.operators import payload as Y
 from docweave.operators import points as P
 from docweave.operators import retrieval as R
 from docweave.plans import loading
@@ -1104,3 +1106,89 @@ def summaries_in_background(spark, d):
     rows = pool.table().withColumn("documents", F.when(F.col("task_id") == first, F.lit(documents).cast("long")))
     pool.close()
     return rows.select("status", "stage", "completed", "total", "documents")
+
+
+def _compared(spark, d):
+    """Each document asked together with the next two; graphs of every ninth are not ready."""
+    n = F.col("doc_id")
+    ids = F.array(*((n + k).cast("string") for k in range(3)))
+    docs = _t(spark, d, "documents")
+    return docs.select(n.alias("query_id"), F.lit("the que ber").alias("query"), ids.alias("document_ids")), docs.where("doc_id % 9 <> 4").select(n.cast("string").alias("document_id"), F.lit("ready").alias("status"))
+
+
+@query
+def graph_cross_document_evidence(spark, d):
+    ready, _ = D.selections(*_compared(spark, d))
+    return D.shared_evidence(ready, _graph(spark, d)[0]).drop("name")
+
+
+@query
+def graph_cross_document_problems(spark, d):
+    """Questions that fail before an answer where graphs are required."""
+    ready, problems = D.selections(*_compared(spark, d))
+    shared = D.shared_evidence(ready, _graph(spark, d)[0])
+    return D.gate(shared, ready, problems, "required")[1]
+
+
+@query
+def graph_sources(spark, d):
+    """Citations of shared entities and of every node and edge that a question's document has."""
+    nodes, edges = _graph(spark, d)
+    ready, _ = D.selections(*_compared(spark, d))
+    entities = nodes.select(F.col("document_id").alias("query_id"), "document_id", "graph_id", "label", "name")
+    relations = edges.select(F.col("document_id").alias("query_id"), "document_id", "source_id", "target_id", "type", F.lit("").alias("evidence"))
+    shared = D.shared_evidence(ready.withColumn("query_id", F.col("query_id").cast("string")), nodes)
+    return D.sources(entities, relations, shared).drop("name")
+
+
+def _payloads(spark, d):
+    e = _t(spark, d, "events")
+    more = F.struct(F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 7).alias("chunk_index"), (F.col("event_id") % 4).alias("document_version"), F.lit("hidden").alias("content"), F.col("event_type").alias("kind"), F.struct((F.col("event_id") % 10).alias("depth")).alias("place"))
+    text = F.when(F.col("event_id") % 11 == 5, F.lit("[1]")).otherwise(F.to_json(more))
+    return Y.stored(e.select(F.col("event_id").alias("id"), F.concat("event_type", F.lit("!")).alias("content"), F.col("user_id").cast("string").alias("document_id"), text.alias("metadata")), "ns")
+
+
+@query
+def payload_layout(spark, d):
+    rows = _payloads(spark, d)
+    flat = Y.flattened(rows)
+    return rows.select("id", "chunk_index", "document_version", F.array_join(F.array_sort(F.map_keys(flat)), ",").alias("keys"), F.try_variant_get(flat["content"], "$", "string").alias("content"), F.to_json("metadata").alias("nested"))
+
+
+@query
+def payload_nested_filter(spark, d):
+    """Filters on columns and on paths inside the metadata."""
+    return Y.matching(_payloads(spark, d), {"chunk_index": [1, 2, 4], "place.depth": P.Range(gte=3, lt=8), "kind": ["view", "click", "purchase"]}).select("id", "chunk_index")
+
+
+@query
+def memory_add(spark, d):
+    e = _t(spark, d, "events")
+    new = e.select((F.col("event_id") + 1_000_000).alias("memory_id"), F.when(F.col("event_id") % 5 > 0, F.col("props")).alias("content"), F.when(F.col("event_id") % 3 == 0, "perceptual").alias("memory_type"), F.concat(F.lit("f."), F.element_at(F.array(*map(F.lit, ["PNG", "mp3", "xyz"])), (F.col("event_id") % 3 + 1).cast("int"))).alias("file_path"))
+    return M.add(_memories(spark, d), new, 7, AS_OF).select("memory_id", "user_id", "memory_type", "session_id", "importance", "modality", "raw_data")
+
+
+@query
+def import_batches_listed(spark, d):
+    tasks = _tasks(spark, d)
+    batches = tasks.groupBy("batch_id", "user_id").agg(F.max("created_at").alias("created_at"))
+    return T.listed(batches, tasks, 3).select("batch_id", "user_id", "place", "total", "failed")
+
+
+@query
+def library_projection(spark, d):
+    n = F.col("event_id")
+    name = F.concat("event_type", F.when(n % 6 == 1, "/x.md").when(n % 6 == 2, ".PDF").otherwise(".md"))
+    rows = _t(spark, d, "events").select("user_id", n.cast("string").alias("document_id"), name.alias("document_name"), F.when(n % 10 == 3, " ").when(n % 6 == 2, ".pdf").otherwise(".md").alias("file_suffix"), F.concat(F.lit("u/"), F.when(n % 7 == 2, "../").otherwise(""), "event_type", F.when(n % 6 == 2, ".PDF").otherwise(".MD")).alias("document_path"), F.when(n % 2 == 0, F.date_format("ts", "yyyy/MM/dd HH:mm:ss")).otherwise("yesterday").alias("loaded_at"))
+    return H.projected(rows)
+
+
+@query
+def learning_report(spark, d):
+    e = _t(spark, d, "events").select("user_id", F.col("event_id").alias("position"), F.col("event_type"), "props")
+    of = lambda kind: e.where(F.col("event_type") == kind)
+    documents = of("view").select("user_id", "position", F.col("props").alias("document_name"), F.when(F.col("position") % 2 == 0, F.col("position").cast("string")).alias("loaded_at"))
+    questions = of("click").select("user_id", "position", F.col("props").alias("question"), F.repeat("props", 40).alias("answer"))
+    notes = of("purchase").select("user_id", "position", F.when(F.col("position") % 2 == 0, "idea").otherwise("").alias("concept"), F.col("props").alias("note"))
+    out = H.report_sections(e, documents, questions, notes)
+    return out.select("user_id", "documents_count", "questions_count", "notes_count", "documents_text", F.sha2("questions_text", 256).alias("questions_digest"), "notes_text")

@@ -382,6 +382,43 @@ _SQL["episodic_retrieve"] = rf"""WITH {_MEM}, v AS (SELECT m.*, CASE WHEN user_i
 _SQL["summaries_in_background"] = f"WITH {_W} SELECT 'succeeded' AS status, 'succeeded' AS stage, 1 AS completed, 1 AS total, (SELECT count(DISTINCT document_id) FROM w) AS documents UNION ALL SELECT 'cancelled', 'cancelled', 0, 1, NULL"
 _SQL["vector_topk_indexed"] = _SQL["vector_topk"]
 _SQL["vector_threshold_indexed"] = _SQL["vector_threshold"].replace("score >= 0.25", "score >= 0.25 AND label IN (1, 3, 5)")
+_ASKED_GRAPHS = """w0 AS (SELECT doc_id AS query_id, doc_id + k AS doc, k FROM documents, (SELECT unnest([0, 1, 2]) AS k)), ready_ AS (SELECT doc_id FROM documents WHERE doc_id % 9 <> 4),
+    bad AS (SELECT query_id, arg_min(doc || ': pending', k) AS problem FROM w0 WHERE doc NOT IN (SELECT doc_id FROM ready_) GROUP BY query_id),
+    asked AS (SELECT query_id, CAST(doc AS VARCHAR) AS document_id FROM w0 WHERE query_id NOT IN (SELECT query_id FROM bad))"""
+_EVIDENCE = """met AS (SELECT query_id, document_id, graph_id, normalized_name FROM node JOIN asked USING (document_id) WHERE contains(normalized_name, 'the') OR contains(normalized_name, 'que') OR contains(normalized_name, 'ber')),
+    sh AS (SELECT query_id, normalized_name, count(DISTINCT document_id) AS documents FROM met GROUP BY ALL HAVING count(DISTINCT document_id) >= 2),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY normalized_name) AS entity_rank FROM sh QUALIFY entity_rank <= 12),
+    ev AS (SELECT query_id, CAST(entity_rank AS INT) AS entity_rank, substr(sha256('default' || chr(0) || 'Concept' || chr(0) || normalized_name), 1, 24) AS canonical_id, 'Concept' AS label, normalized_name, documents,
+           CAST(row_number() OVER (PARTITION BY query_id, normalized_name ORDER BY document_id, graph_id) AS INT) AS member_rank, document_id, graph_id FROM met JOIN top USING (query_id, normalized_name))"""
+_SQL["graph_cross_document_evidence"] = f"WITH {_GRAPH}, {_ASKED_GRAPHS}, {_EVIDENCE} SELECT * FROM ev WHERE member_rank <= 40"
+_SQL["graph_cross_document_problems"] = f"WITH {_GRAPH}, {_ASKED_GRAPHS}, {_EVIDENCE} SELECT * FROM bad UNION ALL SELECT DISTINCT query_id, 'GraphContextEmpty' FROM asked WHERE query_id NOT IN (SELECT query_id FROM ev)"
+_SQL["graph_sources"] = f"""WITH {_GRAPH}, {_ASKED_GRAPHS}, {_EVIDENCE}, sc AS (SELECT query_id, list_sort(list(DISTINCT document_id)) AS ids FROM ev WHERE member_rank <= 40 GROUP BY query_id),
+    x AS (SELECT CAST(query_id AS VARCHAR) AS query_id, array_to_string(ids, '|') || '|canonical_entity|' || canonical_id AS key, array_to_string(ids, ', ') AS document_id, 'canonical_entity' AS kind, 'Concept' AS type FROM ev JOIN sc USING (query_id)
+        UNION SELECT document_id, document_id || '|entity|' || graph_id, document_id, 'entity', 'Concept' FROM node
+        UNION SELECT document_id, document_id || '|relation|' || source_id || '|' || target_id || '|RELATED_TO', document_id, 'relation', 'RELATED_TO' FROM edge)
+    SELECT query_id, 'G-' || substr(sha1(key), 1, 10) AS citation_id, document_id, kind, type FROM x"""
+_SQL["payload_layout"] = """SELECT event_id AS id, CAST(CASE WHEN event_id % 11 <> 5 AND event_id % 3 > 0 THEN event_id % 7 ELSE 0 END AS INT) AS chunk_index, CAST(CASE WHEN event_id % 11 = 5 THEN 1 ELSE event_id % 4 END AS INT) AS document_version,
+    'chunk_index,content,created_at,document_id,document_version,' || CASE WHEN event_id % 11 = 5 THEN '' ELSE 'kind,place,' END || 'rag_namespace,updated_at' AS keys, event_type || '!' AS content,
+    CASE WHEN event_id % 11 = 5 THEN '{}' ELSE '{"kind":"' || event_type || '","place":{"depth":' || event_id % 10 || '}}' END AS nested FROM events"""
+_SQL["payload_nested_filter"] = "SELECT event_id AS id, CAST(event_id % 7 AS INT) AS chunk_index FROM events WHERE event_id % 11 <> 5 AND event_id % 3 > 0 AND event_id % 7 IN (1, 2, 4) AND event_id % 10 BETWEEN 3 AND 7 AND event_type IN ('view', 'click', 'purchase')"
+_SQL["memory_add"] = f"""WITH {_MEM} SELECT memory_id, user_id, memory_type, session_id, importance, NULL AS modality, NULL AS raw_data FROM m
+    UNION ALL SELECT event_id + 1000000, 7, CASE WHEN event_id % 3 = 0 THEN 'perceptual' ELSE 'working' END, 'session_20240131_000000', 0.5, CASE WHEN event_id % 3 = 0 THEN 'image' END, CASE WHEN event_id % 3 = 0 THEN 'f.PNG' END FROM events WHERE event_id % 5 > 0 AND props <> ''"""
+_SQL["import_batches_listed"] = f"""WITH {_TASK}, b AS (SELECT batch_id, user_id, max(created_at) AS created_at, count(*) AS total, count(*) FILTER (status = 'failed') AS failed FROM task GROUP BY batch_id, user_id)
+    SELECT batch_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, batch_id DESC) AS INT) AS place, total, failed FROM b QUALIFY place <= 3"""
+_SQL["library_projection"] = """SELECT user_id, CAST(event_id AS VARCHAR) AS document_id, event_type || CASE WHEN event_id % 6 = 2 THEN '.PDF' ELSE '.md' END AS name, CASE WHEN event_id % 6 = 2 THEN '.pdf' ELSE '.md' END AS file_suffix,
+    CASE WHEN event_id % 2 = 0 THEN date_trunc('second', CAST(ts AS TIMESTAMP)) END AS loaded_at FROM events WHERE event_id % 6 <> 1 AND event_id % 10 <> 3 AND event_id % 7 <> 2"""
+
+
+def _last(kind: str, most: int, line: str, between: str, empty: str) -> str:
+    return f"""(SELECT user_id, count(*) AS n, string_agg(k || '. ' || line, {between} ORDER BY k) FILTER (k > 0) AS t FROM (SELECT user_id, line, CASE WHEN b <= {most} THEN least({most}, n) - b + 1 ELSE 0 END AS k FROM
+        (SELECT user_id, {line} AS line, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS b, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type = '{kind}')) GROUP BY user_id)"""
+
+
+_SQL["learning_report"] = f"""SELECT u.user_id, coalesce(a.n, 0) AS documents_count, coalesce(b.n, 0) AS questions_count, coalesce(c.n, 0) AS notes_count, coalesce(a.t, '暂无导入记录') AS documents_text, sha256(coalesce(b.t, '暂无问答记录')) AS questions_digest, coalesce(c.t, '暂无学习笔记') AS notes_text
+    FROM (SELECT DISTINCT user_id FROM events) u
+    LEFT JOIN {_last("view", 5, "coalesce(props, 'None') || ' | ' || CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'None' END", "chr(10)", "")} a USING (user_id)
+    LEFT JOIN {_last("click", 10, "'问题：' || coalesce(props, 'None') || chr(10) || '回答：' || substr(coalesce(repeat(props, 40), 'None'), 1, 300) || '...'", "chr(10) || chr(10)", "")} b USING (user_id)
+    LEFT JOIN {_last("purchase", 10, "'【' || CASE WHEN event_id % 2 = 0 THEN 'idea' ELSE '未命名概念' END || '】' || coalesce(props, 'None')", "chr(10)", "")} c USING (user_id)"""
 _SQL["import_stream"] = """WITH RECURSIVE e0 AS (SELECT CAST(user_id AS VARCHAR) AS task_id, epoch_us(ts) // 1000 AS tm, event_id AS seq, event_id % 3 > 0 AS retryable, 'E' || event_id % 5 AS code,
         ['submit', 'claim', 'claim', 'progress', 'progress', 'progress', 'commit', 'succeed', 'fail', 'fail', 'cancel', 'retry', 'claim', 'release'][(event_id * 5 + user_id) % 14 + 1] AS kind,
         ['parsing', 'chunking', 'embedding', 'persisting'][event_id % 4 + 1] AS to_stage, [10 + event_id % 10 * 15 // 10, 25 + event_id % 10 * 15 // 10, 40 + event_id % 10 * 4, 80 + event_id % 10 * 12 // 10][event_id % 4 + 1] AS percent FROM events),
