@@ -16,6 +16,7 @@ from docweave.functions import text as X
 from docweave.functions import vectors as V
 from docweave.operators import graph as G
 from docweave.operators import points as P
+from docweave.operators.lexical import best_by_words
 from docweave.sources.tables import scratch
 
 TTL_MINUTES, CAPACITY = 60, 50
@@ -304,17 +305,11 @@ def insert_once(old: DataFrame, new: DataFrame, key: str = "memory_id") -> DataF
 def keyword_search(memories: DataFrame, queries: DataFrame, limit: int, min_importance: float = 0.0, digits: int | None = None) -> DataFrame:
     """Each query's best memories by ``term_score``: query_id, rank, memory_id, importance, score.
 
-    ``queries`` (query_id, query) is a stated set. Shared words meet by an equi-join; that a whole query stands
-    in a content is tried for the broadcast set, where no word is shared.
+    ``queries`` (query_id, query) is a stated set, answered in one pass over the memories for each block of it.
     """
     rows = memories.where(F.coalesce("importance", F.lit(0.5)) >= min_importance).select("memory_id", "importance", "content")
-    asked = queries.select("query_id", "query", X.terms(F.col("query")).alias("t")).where("query <> ''")
-    have = rows.select("memory_id", "importance", F.explode(X.terms(F.col("content"))).alias("term"))
-    shared = have.join(asked.select("query_id", F.size("t").alias("n"), F.explode("t").alias("term")), "term")
-    part = shared.groupBy("query_id", "n", "memory_id", "importance").agg(F.count("*").alias("c")).select("query_id", "memory_id", "importance", (F.col("c") / F.col("n")).alias("score"))
-    inside = rows.join(P._broadcast(asked), F.contains("content", F.col("query"))).where(term_score(F.col("query"), F.col("content")) == 1.0)
-    whole = inside.select("query_id", "memory_id", "importance", F.lit(1.0).alias("score"))
-    return _top(part.union(whole).groupBy("query_id", "memory_id", "importance").agg(F.max("score").alias("score")), limit, digits)
+    found = best_by_words(rows, queries, limit, X.terms, "memory_id", ["importance"], digits, substring=True)
+    return found.select("query_id", "rank", "memory_id", "importance", "score")
 
 
 def semantic_retrieve(memories: DataFrame, queries: DataFrame, limit: int = 5, user: str | int | None = None, min_importance: float = 0.0, digits: int | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as X
 from docweave.functions import vectors as V
 from docweave.operators import points as P
+from docweave.operators.lexical import best_by_words
 
 
 def dedupe_sources(ranked: DataFrame, limit: int | None = None) -> DataFrame:
@@ -22,19 +23,24 @@ def dedupe_sources(ranked: DataFrame, limit: int | None = None) -> DataFrame:
 def hybrid_rank(pool: DataFrame, contents: DataFrame, queries: DataFrame, limit: int, weight: float = 0.7, digits: int | None = None) -> DataFrame:
     """w * vector + (1 - w) * lexical for all of ``contents``; vector scores count only in the pool, clamped to 0..1.
 
-    ``pool`` (query_id, id, score), ``contents`` (id, content), ``queries`` (query_id, query). Rows with
-    neither score all tie at 0; they come last by id, and only as many as are missing are looked at.
+    ``pool`` (query_id, id, score), at most ``limit`` rows a question; ``contents`` (id, content), ``queries`` (query_id,
+    query). Outside of the pool only the best by words can count, so they are all that one pass over the contents
+    keeps: twice ``limit``, since as many may be in the pool. Rows with neither score all tie at 0; they come last by
+    id, and only as many as could be missing are looked at.
     """
     weight = min(1.0, max(0.0, weight))
-    vector = pool.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("v"))
-    lexical = P.lexical_overlap(contents, queries).withColumnRenamed("score", "l")
-    score = weight * F.coalesce("v", F.lit(0.0)) + (1 - weight) * F.coalesce("l", F.lit(0.0))
-    scored = vector.join(lexical, ["query_id", "id"], "full_outer").select("query_id", "id", (F.round(score, digits) if digits is not None else score).alias("score"))
-    first = contents.select("id").orderBy("id").limit(limit)
-    zeros = P._broadcast(queries.select("query_id")).join(first, F.lit(True)).select("query_id", "id").withColumn("score", F.lit(0.0))
+    tokens = queries.select("query_id", X.lexical_tokens(F.col("query")).alias("_t"))
+    near = pool.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("v"))
+    told = near.join(contents.select("id", X.lexical_tokens(F.col("content")).alias("_c")), "id").join(tokens, "query_id").select("query_id", "id", "v", V.overlap_score(F.col("_t"), F.col("_c")).alias("l"))
+    words = best_by_words(contents, queries, 2 * limit, X.lexical_tokens).select("query_id", "id", F.lit(0.0).alias("v"), F.col("score").alias("l"))
+    first = F.array(*(F.lit(r.id) for r in contents.select("id").orderBy("id").limit(limit).collect()))
+    kind = contents.schema["id"].dataType.simpleString()
+    zeros = queries.select("query_id", F.explode(first.cast(f"array<{kind}>")).alias("id"), F.lit(0.0).alias("v"), F.lit(0.0).alias("l"))
+    # no part of a score is below 0, so of a row that comes from several sides the greatest parts are its own
+    both = told.unionByName(words).unionByName(zeros).groupBy("query_id", "id").agg(F.max("v").alias("v"), F.max("l").alias("l"))
+    score = weight * F.col("v") + (1 - weight) * F.col("l")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    # no score is below 0, so a row that has one keeps it beside its zero
-    ranked = scored.union(zeros).groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
+    ranked = both.withColumn("score", F.round(score, digits) if digits is not None else score).withColumn("rank", F.row_number().over(order))
     return ranked.where(F.col("rank") <= limit).select("query_id", "rank", "id", "score")
 
 

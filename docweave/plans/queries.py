@@ -22,6 +22,7 @@ from docweave.operators import memory as M
 from docweave.operators import payload as Y
 from docweave.operators import points as P
 from docweave.operators import retrieval as R
+from docweave.operators.lexical import best_by_words
 from docweave.plans import loading
 from docweave.plans.background import Background
 from docweave.sources import library as L
@@ -131,9 +132,8 @@ def qa_mode_route(spark, d):
 
 @query
 def lexical_overlap_topk(spark, d):
-    rows = P.lexical_overlap(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), _asked(spark, d), DIGITS)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return rows.withColumn("rank", F.row_number().over(best)).where("rank <= 5").select("query_id", "rank", "id", "score")
+    rows = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return best_by_words(rows, _asked(spark, d), 5, X.lexical_tokens, digits=DIGITS)
 
 
 @query
