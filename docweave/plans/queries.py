@@ -26,7 +26,8 @@ from docweave.operators.lexical import best_by_words
 from docweave.plans import loading
 from docweave.plans.background import Background
 from docweave.sources import library as L
-from docweave.sources import scan, vector_index
+from docweave.sources import format as document_format
+from docweave.sources import scan, snapshots, vector_index
 from docweave.sources.tables import scratch, spread
 from docweave.streaming import tasks as S
 
@@ -1192,3 +1193,73 @@ def learning_report(spark, d):
     notes = of("purchase").select("user_id", "position", F.when(F.col("position") % 2 == 0, "idea").otherwise("").alias("concept"), F.col("props").alias("note"))
     out = H.report_sections(e, documents, questions, notes)
     return out.select("user_id", "documents_count", "questions_count", "notes_count", "documents_text", F.sha2("questions_text", 256).alias("questions_digest"), "notes_text")
+
+
+def _pdf(pages: list[str]) -> bytes:
+    """A plain PDF file, a line of ASCII text on each page."""
+    kids = " ".join(f"{3 + 2 * k} 0 R" for k in range(len(pages)))
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /Kids [{kids}] >>"]
+    for k, text in enumerate(pages):
+        content = f"BT <{text.encode().hex()}> Tj ET"
+        objects += [f"<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * k} 0 R >>", f"<< /Length {len(content)} >>\nstream\n{content}\nendstream"]
+    return ("%PDF-1.4\n" + "".join(f"{n} 0 obj\n{body}\nendobj\n" for n, body in enumerate(objects, 1)) + "trailer << /Root 1 0 R >>\n%%EOF").encode()
+
+
+def _docx(lines: list[str]) -> bytes:
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        body = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in lines)
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+@query
+def files_read(spark, d):
+    """Every document written as a file, printable ones as PDF (a page for each line) and DOCX, and read by the file source: of PDF files pages 1 and 2."""
+    folder = scratch(spark)
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        for pdf in batches:
+            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                text = text or ""
+                plain = all(c == "\n" or " " <= c <= "~" for c in text)
+                kind = ("pdf" if i % 2 else "docx") if plain else ("txt" if i % 2 else "md")
+                lines = text.split("\n")
+                raw = _pdf(lines) if kind == "pdf" else _docx(lines) if kind == "docx" else text.encode()
+                with store.open_output_stream(f"{root}/{i}.{kind}") as out:
+                    out.write(raw)
+            yield pdf[["doc_id"]]
+
+    _t(spark, d, "documents").select("doc_id", "text").mapInPandas(write, "doc_id long").count()
+    document_format.register(spark)
+    rows = spark.read.format("docweave").option("pages", "1-2").option("bytesPerPartition", "200000").load(folder)
+    return rows.select("document_id", "file_name", "segment_index", "page_number", F.length("content").alias("chars"), F.sha2("content", 256).alias("digest"), F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def snapshot_round_trip(spark, d):
+    """Chunks saved as JSON lines and loaded again, among them blank ones, ones without an index and one line that is no record."""
+    folder = scratch(spark)
+    chunks = _windows(spark, d)
+    n = F.crc32("chunk_id") % 10
+    rows = chunks.select("chunk_id", "document_id", F.when(n == 1, " ").otherwise(F.col("content")).alias("content"), F.when(n != 2, F.col("chunk_index")).alias("chunk_index"), F.when(n == 3, " 7 ").alias("page_number"), F.when(n == 4, "2024-01-05 10:00:00").otherwise("never").alias("created_at"), F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    snapshots.save_chunks(rows, f"{folder}/chunks")
+    spark.range(1).select(F.lit("{broken").alias("value")).coalesce(1).write.text(f"{folder}/lines")
+    loaded, bad = snapshots.load_chunks(spark, f"{folder}/{{chunks,lines}}", 3)
+    good = loaded.select("chunk_id", "document_id", "chunk_index", F.sha2("content", 256).alias("digest"), "page_number", "created_at", F.array_join(F.transform("vector", lambda x: x.cast("int")), ",").alias("vector"))
+    none = F.lit(None)
+    return good.unionByName(bad.select(F.lit("bad").alias("chunk_id"), *(none.cast(good.schema[c].dataType).alias(c) for c in good.columns[1:3]), F.sha2("line", 256).alias("digest"), *(none.cast(good.schema[c].dataType).alias(c) for c in good.columns[4:])))
+
+
+@query
+def rag_stats_without_blank(spark, d):
+    """Statistics in which chunks without a document id are counted, but as no document."""
+    rows = _windows(spark, d).withColumn("document_id", F.when(F.crc32("document_id") % 4 == 0, " ").otherwise(F.col("document_id")))
+    return C.stats(rows, count_blank=False)

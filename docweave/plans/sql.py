@@ -419,6 +419,24 @@ _SQL["learning_report"] = f"""SELECT u.user_id, coalesce(a.n, 0) AS documents_co
     LEFT JOIN {_last("view", 5, "coalesce(props, 'None') || ' | ' || CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS VARCHAR) ELSE 'None' END", "chr(10)", "")} a USING (user_id)
     LEFT JOIN {_last("click", 10, "'问题：' || coalesce(props, 'None') || chr(10) || '回答：' || substr(coalesce(repeat(props, 40), 'None'), 1, 300) || '...'", "chr(10) || chr(10)", "")} b USING (user_id)
     LEFT JOIN {_last("purchase", 10, "'【' || CASE WHEN event_id % 2 = 0 THEN 'idea' ELSE '未命名概念' END || '】' || coalesce(props, 'None')", "chr(10)", "")} c USING (user_id)"""
+_SQL["files_read"] = r"""WITH k AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines, CASE WHEN regexp_full_match(coalesce(text, ''), '[\x20-\x7e\n]*') THEN CASE WHEN doc_id % 2 = 1 THEN 'pdf' ELSE 'docx' END WHEN doc_id % 2 = 1 THEN 'txt' ELSE 'md' END AS kind FROM documents),
+    p AS (SELECT doc_id, kind, i AS page, trim(regexp_replace(lines[i], ' +', ' ', 'g')) AS content FROM (SELECT *, unnest([1, 2]) AS i FROM k WHERE kind = 'pdf') WHERE i <= len(lines)
+        UNION ALL SELECT doc_id, kind, NULL, CASE WHEN kind = 'docx' THEN array_to_string(list_filter(lines, lambda x: trim(x) <> ''), chr(10) || chr(10)) ELSE text END FROM k WHERE kind <> 'pdf')
+    SELECT CAST(doc_id AS VARCHAR) AS document_id, doc_id || '.' || kind AS file_name, CAST(coalesce(page, 1) - 1 AS INT) AS segment_index, CAST(page AS INT) AS page_number, CASE WHEN full_ THEN CAST(length(content) AS INT) END AS chars, CASE WHEN full_ THEN sha256(content) END AS digest, NOT full_ AS failed
+    FROM (SELECT *, regexp_matches(content, '\S') AS full_ FROM p) WHERE full_ OR kind <> 'pdf'"""
+_CRC_BYTE = "list_reduce(list_prepend(xor(c, b), range(8)::BIGINT[]), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))"
+
+
+def _crc(text: str) -> str:
+    """SQL of the unsigned crc32 of an ASCII text: eight steps for each byte, from the reversed polynomial."""
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {_CRC_BYTE}), 4294967295)"
+
+
+_SQL["snapshot_round_trip"] = f"""WITH {_W}, x AS (SELECT document_id || '_' || chunk_index AS chunk_id, document_id, chunk_index, content, {_crc("document_id || '_' || chunk_index")} % 10 AS n FROM w)
+    SELECT chunk_id, document_id, CAST(CASE WHEN n = 2 THEN 0 ELSE chunk_index END AS INT) AS chunk_index, sha256(content) AS digest, CASE WHEN n = 3 THEN '7' END AS page_number, CASE WHEN n = 4 THEN TIMESTAMP '2024-01-05 10:00:00' END AS created_at, '1,2,0' AS vector FROM x WHERE n <> 1
+    UNION ALL SELECT 'bad', NULL, NULL, sha256('{{broken'), NULL, NULL, NULL"""
+_SQL["rag_stats_without_blank"] = f"WITH {_W} SELECT count(DISTINCT document_id) FILTER ({_crc('document_id')} % 4 <> 0) AS document_count, count(*) AS chunk_count FROM w"
 _SQL["import_stream"] = """WITH RECURSIVE e0 AS (SELECT CAST(user_id AS VARCHAR) AS task_id, epoch_us(ts) // 1000 AS tm, event_id AS seq, event_id % 3 > 0 AS retryable, 'E' || event_id % 5 AS code,
         ['submit', 'claim', 'claim', 'progress', 'progress', 'progress', 'commit', 'succeed', 'fail', 'fail', 'cancel', 'retry', 'claim', 'release'][(event_id * 5 + user_id) % 14 + 1] AS kind,
         ['parsing', 'chunking', 'embedding', 'persisting'][event_id % 4 + 1] AS to_stage, [10 + event_id % 10 * 15 // 10, 25 + event_id % 10 * 15 // 10, 40 + event_id % 10 * 4, 80 + event_id % 10 * 12 // 10][event_id % 4 + 1] AS percent FROM events),

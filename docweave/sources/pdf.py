@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"(.*?)\bstream\r?\n(.*?)\r?\n?endstream", re.S)
@@ -16,29 +17,40 @@ _TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<[0-9A-Fa-f\s]*
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 #: A shift to the left of so many thousandths between parts of one string is a space.
 _GAP = 200
+#: A stream that unpacks to more is an error, so that a small file can't fill a worker.
+MOST_BYTES = 256 << 20
 
 
 class _File:
     def __init__(self, raw: bytes) -> None:
         if b"/Encrypt" in raw:
             raise ValueError("the PDF is encrypted")
-        self.objects: dict[int, bytes] = {int(n): body for n, body in _OBJECT.findall(raw)}
-        for body in list(self.objects.values()):
+        self.objects: dict[int, bytes] = {}
+        for number, body in _OBJECT.findall(raw):  # in the order of the file: what an update brings later counts
+            self.objects[int(number)] = body
             if re.search(rb"/Type\s*/ObjStm\b", body):
                 count, first = (int(re.search(rb"/" + k + rb"\s+(\d+)", body)[1]) for k in (b"N", b"First"))
                 data = self.stream(body)
                 head = [int(x) for x in data[:first].split()[: 2 * count]]
                 ends = [*head[3::2], len(data) - first]
-                for number, start, end in zip(head[::2], head[1::2], ends, strict=True):
-                    self.objects.setdefault(number, data[first + start : first + end])
+                for held, start, end in zip(head[::2], head[1::2], ends, strict=True):
+                    self.objects[held] = data[first + start : first + end]
 
     def stream(self, body: bytes) -> bytes:
         m = _STREAM.match(body)
         if not m:
             return b""
-        if b"/FlateDecode" in m[1]:
-            return zlib.decompressobj().decompress(m[2])
-        return b"" if b"/Filter" in m[1] else m[2]
+        filters = re.search(rb"/Filter\s*(?:\[([^\]]*)\]|(/\w+))", m[1])
+        names = re.findall(rb"/(\w+)", filters[1] or filters[2]) if filters else []
+        if not names:
+            return m[2]
+        if names != [b"FlateDecode"]:
+            raise ValueError(f"a stream is coded in a way that isn't known: {b' '.join(names).decode()}")
+        unpacker = zlib.decompressobj()
+        data = unpacker.decompress(m[2], MOST_BYTES)
+        if unpacker.unconsumed_tail:
+            raise ValueError("a stream is too long")
+        return data
 
     def value(self, body: bytes, key: str) -> bytes:
         """What stands behind ``key`` in a dictionary, references followed: a dictionary, an array, or the rest."""
@@ -155,9 +167,9 @@ def _page_text(content: bytes, fonts: dict[bytes, tuple[int, dict[int, str]]]) -
     return "\n".join(x for x in lines if x)
 
 
-def read_pdf(raw: bytes) -> list[tuple[int | None, str]]:
-    """(page number from 1, text) of each page, blank ones included."""
+def read_pdf(raw: bytes, wanted: Callable[[int], bool] | None = None) -> list[tuple[int | None, str]]:
+    """(page number from 1, text) of each page (of those that are ``wanted``), blank ones included; other pages aren't unpacked."""
     if not raw.startswith(b"%PDF"):
         raise ValueError("not a PDF file")
     file = _File(raw)
-    return [(k, _page_text(file.contents(page), file.fonts(resources))) for k, (page, resources) in enumerate(file.pages(), 1)]
+    return [(k, _page_text(file.contents(page), file.fonts(resources))) for k, (page, resources) in enumerate(file.pages(), 1) if wanted is None or wanted(k)]

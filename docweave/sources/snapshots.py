@@ -17,9 +17,12 @@ def load_chunks(spark: SparkSession, path: str, dimension: int = V.DIMENSION) ->
     Blank contents fall out; missing or empty vectors are embedded anew, others padded or cut; a missing
     index is the chunk's place in its document, a missing document 'default'.
     """
-    raw = spark.read.schema(f"{SCHEMA}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    bad = raw.where("_corrupt IS NOT NULL").select("id", F.col("_corrupt").alias("line"))
-    good = raw.where(F.col("_corrupt").isNull() & (F.length(X.strip(F.coalesce("content", F.lit("")))) > 0))
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", f"{SCHEMA}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    broken = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    bad = parsed.where(broken).select("r.id", F.col("value").alias("line"))
+    good = parsed.where(~broken).select("r.*").drop("_corrupt")
+    good = good.where(F.length(X.strip(F.coalesce("content", F.lit("")))) > 0)
     usable = F.coalesce(F.size("vector") > 0, F.lit(False))
     document = F.coalesce("document_id", F.lit("default"))
     chunks = good.select(

@@ -45,3 +45,44 @@ def test_what_cannot_be_read(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     rows = sorted((x.document_id, x.segment_index, x.page_number, x.content, (x.error or "")[:10]) for x in files.read_documents(spark, str(tmp_path)).collect())
     assert rows == [("a", 0, 1, "one", ""), ("a", 1, 3, "three", ""), ("b", 0, None, None, "ValueError"), ("c", 0, None, None, "ValueError")]
+
+
+def test_updates_and_streams_that_cannot_be_unpacked():
+    plain = pdf([b"BT (old) Tj ET"])
+    newer = b"21 0 obj\n" + stream(b"BT (new) Tj ET") + b"\nendobj\n"
+    inner = b"20 0 " + b"<< /Type /Page /Contents 40 0 R >>"
+    packed = zlib.compress(inner)
+    holder = b"50 0 obj\n<< /Type /ObjStm /N 1 /First 5 /Filter /FlateDecode >>\nstream\n" + packed + b"\nendstream\nendobj\n40 0 obj\n" + stream(b"BT (newest) Tj ET") + b"\nendobj\n"
+    assert read_pdf(plain + newer) == [(1, "new")] and read_pdf(plain + newer + holder) == [(1, "newest")]
+    odd = pdf([b"x"], {21: b"<< /Filter /LZWDecode >>\nstream\nabc\nendstream"})
+    with pytest.raises(ValueError, match="LZWDecode"):
+        read_pdf(odd)
+    assert read_pdf(odd, lambda k: k > 1) == []  # what isn't asked for is not unpacked
+
+
+def test_a_stream_that_unpacks_to_too_much(monkeypatch):
+    from docweave.sources import pdf as module
+
+    monkeypatch.setattr(module, "MOST_BYTES", 1000)
+    with pytest.raises(ValueError, match="too long"):
+        read_pdf(pdf([b"BT (" + b"a" * 5000 + b") Tj ET"]))
+
+
+def test_file_source_plans_by_file_and_page(spark, tmp_path):
+    from docweave.sources import format as source
+
+    many = pdf([b"BT (page %d) Tj ET" % k for k in range(1, 41)])
+    for name, raw in (("big.pdf", many), ("note.md", "# Überschrift".encode()), ("empty.txt", b" "), ("odd.xyz", b"?"), (".hidden", b"x")):
+        (tmp_path / name).write_bytes(raw)
+    source.register(spark)
+    load = lambda **options: spark.read.format("docweave").options(**options).load(f"file://{tmp_path}")
+    rows = load(bytesPerPartition=str(len(many) // 4))
+    assert rows.rdd.getNumPartitions() >= 5
+    pages = sorted((r.page_number, r.segment_index, r.content) for r in rows.where("file_name = 'big.pdf'").collect())
+    assert pages == [(k, k - 1, f"page {k}") for k in range(1, 41)]
+    asked = load(pages="2-3, 39").where("error IS NULL").collect()
+    assert sorted((r.document_id, r.page_number or 0) for r in asked) == [("big", 2), ("big", 3), ("big", 39), ("note", 0)]
+    assert sorted(r.file_name for r in load().where("error IS NOT NULL").collect()) == ["empty.txt", "odd.xyz"]
+    assert spark.read.format("docweave").load(str(tmp_path / "note.md")).first().content == "# Überschrift"
+    with pytest.raises(ValueError, match="range"):
+        source.page_ranges("3-1")
