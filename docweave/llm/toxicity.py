@@ -171,12 +171,12 @@ def _sample(rows: DataFrame, most: int, share: float = 1.0) -> DataFrame:
     return map_batches(picked.select("doc_id", "text"), run, "doc_id long, words binary", "text").orderBy(F.xxhash64("doc_id"), "words").limit(most).select("words")
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, prior: float | None = None) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Toxicity:
     """A model from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), from labels of ids in ``train`` only.
 
     Positives are texts labelled 1; unlabelled ones are drawn from all texts of ids in ``train``, whatever
     their label. ``prior``, the toxic share of all texts, is by default the labels' own share (0.05 without
-    labels). The fit uses at most MOST_POSITIVE and MOST_UNLABELLED texts, those whose ids hash lowest, in one
+    labels). The fit uses at most ``most_positive`` and ``most_unlabelled`` texts, those whose ids hash lowest, in one
     task; only the model comes to the driver.
     """
     train = F.lit(True) if train is None else train
@@ -198,12 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, prior:
         yield pa.RecordBatch.from_arrays([pa.array([lean], pa.binary()), pa.array([len(sides[1])])], ["model", "n"])
 
     n = docs.count()
-    for share in (_share(n, MOST_UNLABELLED), 1.0):
-        p = _sample(positive, MOST_POSITIVE, _share(counts[1] or 0, MOST_POSITIVE) if share < 1 else 1.0)
-        u = _sample(docs, MOST_UNLABELLED, share)
+    for share in (_share(n, most_unlabelled), 1.0):
+        p = _sample(positive, most_positive, _share(counts[1] or 0, most_positive) if share < 1 else 1.0)
+        u = _sample(docs, most_unlabelled, share)
         both = p.select(F.lit(0).alias("side"), "words").union(u.select(F.lit(1).alias("side"), "words"))
         made = both.coalesce(1).mapInArrow(run, "model binary, n long").first()
-        if made.n >= min(n, MOST_UNLABELLED) or share == 1.0:  # few ids with very many rows can miss the share: then all rows are looked at
+        if made.n >= min(n, most_unlabelled) or share == 1.0:  # few ids with very many rows can miss the share: then all rows are looked at
             break
     at, weights, bias = pickle.loads(made.model)
     model = Toxicity(np.zeros(BUCKETS), bias)
