@@ -15,7 +15,7 @@ def load_chunks(spark: SparkSession, path: str, dimension: int = V.DIMENSION) ->
     """Chunks, and the lines that aren't records.
 
     Blank contents fall out; missing or empty vectors are embedded anew, others padded or cut; a missing
-    index is 0, a missing document the chunk's id, a missing id is made of the content.
+    index is 0, a missing document 'default', a missing id the document and the index.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
     parsed = lines.select("value", F.from_json("value", f"{SCHEMA}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
@@ -24,10 +24,9 @@ def load_chunks(spark: SparkSession, path: str, dimension: int = V.DIMENSION) ->
     good = parsed.where(~broken).select("r.*").drop("_corrupt")
     good = good.where(F.length(X.strip(F.coalesce("content", F.lit("")))) > 0)
     usable = F.coalesce(F.size("vector") > 0, F.lit(False))
-    own = F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("chunk-"), F.substring(F.sha2("content", 256), 1, 24)))
-    document = F.coalesce(F.nullif("document_id", F.lit("")), own)
+    document = F.coalesce("document_id", F.lit("default"))
     chunks = good.select(
-        own.alias("chunk_id"), document.alias("document_id"), F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), "content",
+        F.coalesce("id", F.concat_ws("_", document, F.coalesce("chunk_index", F.lit(0)))).alias("chunk_id"), document.alias("document_id"), F.coalesce("chunk_index", F.lit(0)).alias("chunk_index"), "content",
         X.page_number(F.col("page_number")).alias("page_number"), F.when(usable, V.fitted(F.col("vector"), dimension)).otherwise(V.hash_embedding(F.col("content"), dimension)).alias("vector"), X.timestamp(F.col("created_at")).alias("created_at"),
     )
     return chunks, bad
