@@ -31,7 +31,8 @@ def hybrid_rank(pool: DataFrame, contents: DataFrame, queries: DataFrame, limit:
     weight = min(1.0, max(0.0, weight))
     tokens = queries.select("query_id", X.lexical_tokens(F.col("query")).alias("_t"))
     near = pool.select("query_id", "id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")).alias("v"))
-    told = near.join(contents.select("id", X.lexical_tokens(F.col("content")).alias("_c")), "id").join(tokens, "query_id").select("query_id", "id", "v", V.overlap_score(F.col("_t"), F.col("_c")).alias("l"))
+    met = near.join(contents.select("id", "content"), "id").join(tokens, "query_id")  # only what is in a pool is taken apart
+    told = met.select("query_id", "id", "v", V.overlap_score(F.col("_t"), X.lexical_tokens(F.col("content"))).alias("l"))
     words = best_by_words(contents, queries, 2 * limit, X.lexical_tokens).select("query_id", "id", F.lit(0.0).alias("v"), F.col("score").alias("l"))
     first = F.array(*(F.lit(r.id) for r in contents.select("id").orderBy("id").limit(limit).collect()))
     kind = contents.schema["id"].dataType.simpleString()
