@@ -350,7 +350,7 @@ def episodic_time_range(spark, d):
 
 @query
 def episodic_keyword_fallback(spark, d):
-    """The turns that hold the question 'que de' as words or as a substring."""
+    """The turns that hold the question 'the de' as words or as a substring."""
     score = M.term_score(F.lit("the de"), F.col("content"))
     return _turns(spark, d).select("memory_id", F.round(score, DIGITS).alias("score")).where("score > 0")
 
