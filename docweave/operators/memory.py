@@ -179,7 +179,7 @@ def _episodes_of(memories: DataFrame, queries: DataFrame, block: list[Row], as_o
     names = [c.strip() for c in ASKED.split(",") if c.strip() not in ("query_vector",)]
     schema = queries.select(*names).schema.add("_q", IntegerType())
     asked = spark.createDataFrame([(*(r[c] for c in names), k) for k, r in enumerate(block)], schema)
-    matrix = np.array([list(r.query_vector) for r in block], float).reshape(len(block), -1)
+    matrix = np.array([list(r.query_vector) for r in block], float).reshape(len(block), -1) if block else np.zeros((0, 0))
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = spark.sparkContext.broadcast(np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0))
     places = 12 if digits is None else digits

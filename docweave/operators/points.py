@@ -134,7 +134,7 @@ def _nearest_of(points: DataFrame, queries: DataFrame, asked: list[Row], limit:
     kinds = ", ".join(f"`{c}` {lean.schema[c].dataType.simpleString()}" for c in carried)
     ids = queries.select("query_id").schema.add("_q", IntegerType())
     numbered = spark.createDataFrame([(r.query_id, k) for k, r in enumerate(asked)], ids)
-    matrix = np.array([list(r.query_vector) for r in asked], float).reshape(len(asked), -1)
+    matrix = np.array([list(r.query_vector) for r in asked], float).reshape(len(asked), -1) if asked else np.zeros((0, 0))
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     shared = spark.sparkContext.broadcast(np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0))
     places = 12 if digits is None else digits

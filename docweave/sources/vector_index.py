@@ -80,7 +80,7 @@ def build(points: DataFrame, path: str, clusters: int | None = None) -> None:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     placed = rows.mapInArrow(assign, f"{kinds}, cluster int, apart double")
-    name = tables.write(placed.repartition("cluster").sortWithinPartitions("cluster", "apart"), f"{path}/points", partition_by=["cluster"])
+    name = tables.write(placed.repartition("cluster").sortWithinPartitions("cluster", "apart"), f"{path}/points", partition_by=["cluster"] if n else None)  # no rows would leave no schema
     stored = tables.read(spark, f"{path}/points")
     sizes = {r.cluster: (r.n, r.radius) for r in stored.groupBy("cluster").agg(F.count("*").alias("n"), F.max("apart").alias("radius")).collect()}  # one row for each cluster
     rows = [(int(c), int(n), float(r), near[c].tolist() if c >= 0 else None) for c, (n, r) in sizes.items()]
