@@ -115,7 +115,7 @@ def _block(stored: DataFrame, clusters: list[Row], queries: DataFrame, block: li
     real = [r for r in clusters if r.cluster != ZERO]
     sizes = np.array([r.n for r in real])
     radius = np.array([r.radius for r in real])
-    around = np.array([r.centroid for r in real]).reshape(len(real), -1)
+    around = np.array([r.centroid for r in real]).reshape(len(real), -1) if real else np.zeros((0, wanted.shape[1]))
     if len(real) and around.shape[1] != wanted.shape[1]:
         raise ValueError(f"vector size isn't {wanted.shape[1]}")
     apart = np.sqrt(np.maximum(0, 2 - 2 * wanted @ around.T)) if len(real) else np.zeros((len(block), 0))
