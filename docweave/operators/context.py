@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -72,14 +73,14 @@ def _shortened(rows: DataFrame, key: str, order: str, kept: list[str], most: Col
     return out.select(key, F.col("x.all.order").alias(order), *columns, F.substring(F.col("x.all.content"), F.lit(1), F.col("x.cut")).alias("content"), (F.col("x.cut") < F.length("x.all.content")).alias("truncated"), "fits")
 
 
-def fit(rows: DataFrame, most: int, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``drop_to_fit``, then one common ratio that shortens what is left: query_id, rank, content, truncated, fits.
+def fit(rows: DataFrame, most: int, least_chars: int = LEAST_CHARS, kept: Sequence[str] = ()) -> DataFrame:
+    """``drop_to_fit``, then one common ratio that shortens what is left: query_id, rank, ``kept`` columns, content, truncated, fits.
 
     Each source keeps its first ``least_chars`` characters plus the ratio of the rest. Where even the least doesn't
     fit, ``fits`` is false. A question's sources are one row for a moment; their number is bounded by what was asked for.
     """
-    kept = drop_to_fit(rows, most).select("query_id", F.col("rank").cast("int").alias("rank"), "content", F.lit("").alias("head"))
-    return _shortened(kept, "query_id", "rank", [], F.lit(most).cast("long"), least_chars)
+    left = drop_to_fit(rows, most).select("query_id", F.col("rank").cast("int").alias("rank"), *kept, "content", F.lit("").alias("head"))
+    return _shortened(left, "query_id", "rank", list(kept), F.lit(most).cast("long"), least_chars)
 
 
 def fit_summaries(rows: DataFrame, most: int, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -173,6 +174,29 @@ def graph_source_lines(sources: Column) -> Column:
     return F.when(F.size(sources) > 0, F.array_join(F.concat(F.array(F.lit(GRAPH_HEAD)), F.transform(sources, line)), "\n")).otherwise("")
 
 
+#: Lines of a list of citations, of chunks found, and what stands for a missing file or page.
+CITATIONS, KEYWORDS, NO_FILE, NO_PAGE = "📌 可复制引用：", "检索关键词：", "未知文件", "未知页码"
+CITATION_LINES = {"normal": ("{n}. 《{file}》，第 {page} 页。", "相关度：{score}", "引用内容：{text}", ""), "markdown": ("> **引用 {n}**  ", "> **来源**：《{file}》，第 {page} 页  ", "> **相关度**：{score}  ", "> **内容**：{text}", "")}
+NO_CITATION = ("🔍 未找到与 '", "' 相关的引用内容")
+
+
+def citation_text(found: DataFrame, queries: DataFrame, style: str = "normal") -> DataFrame:
+    """For each question (query_id, query) its hits (query_id, rank, file_name, page_number, score, content) as quotable citations: query_id, text.
+
+    Contents are previews of up to 260 characters; a missing file or page is named as unknown. Questions
+    without hits are told so.
+    """
+    if style not in CITATION_LINES:
+        raise ValueError(f"unknown style {style!r}")
+    values = {"n": F.col("rank").cast("string"), "file": F.coalesce("file_name", F.lit(NO_FILE)), "page": F.coalesce(F.col("page_number").cast("string"), F.lit(NO_PAGE)), "score": F.format_number("score", 4), "text": X.preview(F.col("content"), 260)}
+    filled = [F.concat(F.lit(""), *(values[p] if k % 2 else F.lit(p) for k, p in enumerate(re.split(r"\{(\w+)\}", line)))) for line in CITATION_LINES[style]]
+    entries = found.select("query_id", F.struct("rank", F.concat_ws("\n", *filled).alias("entry")).alias("x")).groupBy("query_id").agg(F.array_sort(F.collect_list("x"))["entry"].alias("entries"))
+    head = F.array(F.lit(CITATIONS), F.lit(""), F.concat(F.lit(KEYWORDS), "query"), F.lit(""))
+    none = F.concat(F.lit(NO_CITATION[0]), "query", F.lit(NO_CITATION[1]))
+    text = F.when(F.col("entries").isNull(), none).otherwise(F.array_join(F.concat(head, "entries"), "\n"))
+    return queries.select("query_id", "query").join(entries, "query_id", "left").select("query_id", text.alias("text"))
+
+
 def answer_text(answer: Column, sources: Column, truncated: Column, graph_sources: Column | None = None) -> Column:
     """An answer with its sources (citation_id, shown), each once in order, their number, and a note if the context was cut."""
     ids = F.transform(sources, lambda s: s["citation_id"])

@@ -77,10 +77,9 @@ def context(nodes: DataFrame, edges: DataFrame, queries: DataFrame, node_limit:
         hit = (lambda prev, c: lambda t: prev(t) | F.contains(F.lower(F.coalesce(c, F.lit(""))), t))(hit, c)
     seeds = nodes.where(F.col("label").isin(*SEED_LABELS)).join(asked, "document_id").where(F.exists("terms", hit))
     seeds = seeds.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy("graph_id"))).where(F.col("_k") <= node_limit).select("query_id", "document_id", F.col("graph_id").alias("seed"))
-    e = edges.select("document_id", "source_id", "type", "target_id").distinct()
-    out = seeds.join(e.withColumn("seed", F.col("source_id")).withColumn("other", F.col("target_id")), ["document_id", "seed"])
-    into = seeds.join(e.withColumn("seed", F.col("target_id")).withColumn("other", F.col("source_id")), ["document_id", "seed"])
-    met = out.unionByName(into).groupBy("query_id", "source_id", "type", "target_id").agg(F.min(F.struct("seed", "type", "other")).alias("o"))
+    ends = F.array(*(F.struct(F.col(a).alias("seed"), F.col(b).alias("other")) for a, b in (("source_id", "target_id"), ("target_id", "source_id"))))
+    e = edges.select("document_id", "source_id", "type", "target_id", F.inline(ends))
+    met = seeds.join(e, ["document_id", "seed"]).groupBy("query_id", "source_id", "type", "target_id").agg(F.min(F.struct("seed", "type", "other")).alias("o"))
     ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("o.seed", "o.type", "o.other", "source_id", "target_id")))
     return ranked.where(F.col("rank") <= relation_limit).select("query_id", "source_id", "type", "target_id", "rank")
 

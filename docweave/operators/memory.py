@@ -256,6 +256,26 @@ def forget(memories: DataFrame, strategy: str, as_of: str, kind: str = "working"
     return memories
 
 
+def forget_all(memories: DataFrame, strategy: str, as_of: str, threshold: float = 0.1, max_age_days: float = 30, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """What is left of memories of all types, each forgotten by its own type's rules as in ``forget``, and how many of each type go.
+
+    One pass over all types; ranks are only needed where working memories are kept by capacity. A memory of no
+    known time is forgotten by age; one of no type by importance alone.
+    """
+    kind, important = F.coalesce("memory_type", F.lit("")), F.coalesce("importance", F.lit(0.5)) >= threshold
+    stays, rows = F.lit(True), memories
+    if strategy == "importance_based":
+        stays = important
+    elif strategy == "time_based":
+        stays = (kind == "semantic") | F.coalesce(age_minutes(as_of) <= max_age_days * 1440, F.lit(False))
+    elif strategy == "capacity_based":
+        best = Window.partitionBy("user_id", "memory_type").orderBy(F.coalesce("importance", F.lit(0.5)).desc(), F.desc("ts"), "memory_id")
+        rows = memories.withColumn("_k", F.row_number().over(best))
+        stays = F.when(kind == "working", F.col("_k") <= capacity).when(kind == "episodic", important).otherwise(True)
+    left = rows.where(stays).select(*memories.columns)
+    return left, rows.where(~stays).groupBy("memory_type").agg(F.count("*").alias("removed"))
+
+
 def evict(memories: DataFrame, as_of: str, capacity: int = CAPACITY, ttl: float = TTL_MINUTES) -> DataFrame:
     """The ``capacity`` memories of each user that outlast the others by importance * decay; of equals the earlier goes."""
     order = Window.partitionBy("user_id").orderBy((F.coalesce("importance", F.lit(0.5)) * decay(as_of, ttl)).desc(), F.desc("memory_id"))
@@ -364,6 +384,30 @@ def summary_lines(memories: DataFrame, types: tuple[str, ...] = ("working", "epi
     return memories.agg(*counts).select(F.posexplode(lines).alias("position", "line"))
 
 
+#: What the types are called in a list of memories found, and its first line with and without any.
+TYPE_NAMES = {"working": "工作记忆", "episodic": "情景记忆", "semantic": "语义记忆", "perceptual": "感知记忆"}
+FOUND, NOT_FOUND = ("🔍 找到 ", " 条相关记忆:"), ("🔍 未找到与 '", "' 相关的记忆")
+
+
+def found_text(found: DataFrame, queries: DataFrame) -> DataFrame:
+    """For each question (query_id, query) its memories (query_id, rank, memory_type, content, importance) as text: query_id, text.
+
+    A numbered line for each, with its type's name, the first 80 characters and the importance; questions
+    without memories are told so. Null contents are empty, null importance is 0.5.
+    """
+    content = F.coalesce("content", F.lit(""))
+    short = F.when(F.length(content) > 80, F.concat(F.substring(content, 1, 80), F.lit("..."))).otherwise(content)
+    names = F.create_map(*(F.lit(x) for pair in TYPE_NAMES.items() for x in pair))
+    named = F.coalesce(F.try_element_at(names, F.col("memory_type")), "memory_type")
+    line = F.concat(F.lit(". ["), named, F.lit("] "), short, F.lit(" (重要性: "), F.format_number(F.coalesce("importance", F.lit(0.5)), 2), F.lit(")"))
+    listed = found.select("query_id", F.struct("rank", F.concat(F.col("rank").cast("string"), line).alias("line")).alias("x"))
+    listed = listed.groupBy("query_id").agg(F.array_sort(F.collect_list("x"))["line"].alias("lines"))
+    head = F.concat(F.lit(FOUND[0]), F.size("lines").cast("string"), F.lit(FOUND[1]))
+    none = F.concat(F.lit(NOT_FOUND[0]), "query", F.lit(NOT_FOUND[1]))
+    text = F.when(F.col("lines").isNull(), none).otherwise(F.array_join(F.concat(F.array(head), "lines"), "\n"))
+    return queries.select("query_id", "query").join(listed, "query_id", "left").select("query_id", text.alias("text"))
+
+
 def retrieved_items(hits: DataFrame, episodes: DataFrame) -> DataFrame:
     """Hits (id, score, metadata MAP) as memories: ids and contents as the payload has them, else as the episodes do."""
     m = lambda k: F.nullif(F.col("metadata")[k], F.lit(""))

@@ -107,10 +107,6 @@ def delete(points: DataFrame, filters: Mapping[str, Any] | None = None) -> DataF
     return points.where(~predicate(filters))
 
 
-def _broadcast(queries: DataFrame) -> DataFrame:
-    return queries if queries.limit(QUERY_BLOCK + 1).count() > QUERY_BLOCK else F.broadcast(queries)
-
-
 def nearest(points: DataFrame, queries: DataFrame, limit: int, filters: Mapping[str, Any] | None = None, threshold: float | None = None, digits: int | None = None, payload: Sequence[str] = ()) -> DataFrame:
     """Each query's ``limit`` nearest points by cosine: query_id, rank, id, score, and the ``payload`` columns.
 

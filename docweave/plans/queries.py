@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +24,7 @@ from docweave.operators import payload as Y
 from docweave.operators import points as P
 from docweave.operators import retrieval as R
 from docweave.operators.lexical import best_by_words
-from docweave.plans import loading
+from docweave.plans import answers, loading
 from docweave.plans.background import Background
 from docweave.sources import library as L
 from docweave.sources import format as document_format
@@ -232,15 +233,49 @@ def source_dedupe(spark, d):
     return R.dedupe_sources(rows).select("doc_id", "rank")
 
 
+def _searchable(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Chunks of all documents and the benchmark's questions, with hash embeddings."""
+    rows = C.chunk_documents(_t(spark, d, "documents")).withColumn("vector", V.hash_embedding(F.col("content"))).withColumn("page_number", F.lit(None).cast("string"))
+    rows = rows.withColumn("seq", F.col("document_id").cast("long") * 100_000 + F.col("chunk_index"))
+    return rows, _asked(spark, d).withColumn("query_vector", V.hash_embedding(F.col("query")))
+
+
+def _digests(prompts: list[str]) -> list[str]:
+    """Stands for a generator of answers."""
+    return [hashlib.sha256(p.encode()).hexdigest() for p in prompts]
+
+
 @query
 def document_search(spark, d):
     """Benchmark questions over all chunks: embeddings, vector pool, source dedupe, citations."""
-    rows = C.chunk_documents(_t(spark, d, "documents")).withColumn("vector", V.hash_embedding(F.col("content"))).withColumn("page_number", F.lit(None).cast("string"))
-    rows = rows.withColumn("seq", F.col("document_id").cast("long") * 100_000 + F.col("chunk_index"))
-    asked = _asked(spark, d).withColumn("query_vector", V.hash_embedding(F.col("query")))
+    rows, asked = _searchable(spark, d)
     return R.search(rows, asked, 5, digits=DIGITS).select("query_id", "rank", F.col("id").alias("chunk_id"), "score", "citation_id")
 
 
+@query
+def joint_answer(spark, d):
+    """Benchmark questions asked whole: search, the sources that fit, prompt and cited answer, which is the prompt's digest."""
+    rows, asked = _searchable(spark, d)
+    told = answers.ask(rows, asked, _digests, window=4000, digits=DIGITS)
+    return told.select("query_id", "answer", F.array_join("sources", ",").alias("sources"), "truncated")
+
+
+@query
+def citation_list(spark, d):
+    """What a search finds as citations to copy."""
+    rows, asked = _searchable(spark, d)
+    found = R.search(rows, asked, 5, digits=DIGITS).withColumn("file_name", F.when(F.col("document_id").cast("long") % 2 == 0, F.concat("document_id", F.lit(".md"))))
+    both = [A.citation_text(found, asked, style).withColumn("style", F.lit(style)) for style in ("normal", "markdown")]
+    return both[0].unionByName(both[1])
+
+
+@query
+def document_summaries(spark, d):
+    """One summary of each document for each question, the digest of its prompt."""
+    chunks = C.chunk_documents(_t(spark, d, "documents")).withColumn("page_number", F.lit(None).cast("string"))
+    return answers.summarise(chunks, _asked(spark, d), _digests)[0].drop("key")
+
+
 @query
 def citation_ids(spark, d):
     page = X.page_number(F.lit(" 7 "))
@@ -322,6 +357,18 @@ _forget("episodic", "capacity_based", threshold=0.6)
 _forget("semantic", "time_based", max_age_days=1)
 
 
+@query
+def memory_forget_all(spark, d):
+    return M.forget_all(_memories(spark, d), "capacity_based", AS_OF, threshold=0.6, capacity=10)[0].select("memory_id", "memory_type")
+
+
+@query
+def memory_forgotten(spark, d):
+    rows = _memories(spark, d)
+    by_age = M.forget_all(rows, "time_based", AS_OF, max_age_days=12)[1].withColumn("strategy", F.lit("age"))
+    return by_age.unionByName(M.forget_all(rows, "importance_based", AS_OF, threshold=0.4)[1].withColumn("strategy", F.lit("importance")))
+
+
 @query
 def episodic_rank(spark, d):
     near = P.nearest(_points(spark, d), _vector_queries(spark, d), 20, digits=DIGITS).select("query_id", F.col("id").alias("memory_id"), F.col("score").alias("vector_score"))
@@ -381,8 +428,7 @@ def semantic_add(spark, d):
     return points.select("memory_id", F.array_join("entities", " ").alias("entities"), "entity_count", "relation_count", F.size("vector").alias("dimension"))
 
 
-@query
-def memory_union_rank(spark, d):
+def _best_of_types(spark, d) -> DataFrame:
     parts = []
     for kind in ("working", "episodic", "semantic"):
         own = Window.partitionBy("user_id").orderBy(F.desc("ts"), "memory_id")
@@ -391,6 +437,21 @@ def memory_union_rank(spark, d):
     return M.union_rank(parts, 5).select("query_id", "rank", "memory_id", "importance")
 
 
+@query
+def memory_union_rank(spark, d):
+    return _best_of_types(spark, d)
+
+
+@query
+def memory_found_text(spark, d):
+    """Each user's best memories as text, and some users who have none."""
+    rows = _memories(spark, d)
+    found = _best_of_types(spark, d).join(rows.select("memory_id", "memory_type", "content"), "memory_id")
+    users = rows.select("user_id").distinct()
+    users = users.unionByName(users.where("user_id % 10 = 0").select((F.col("user_id") + 1_000_000).alias("user_id")))
+    return M.found_text(found, users.select(F.col("user_id").alias("query_id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("query")))
+
+
 @query
 def memory_consolidate(spark, d):
     return M.consolidate(_memories(spark, d)).groupBy("memory_type", "consolidated_from").agg(F.count("*").alias("memories"), F.round(F.avg("importance"), DIGITS).alias("importance"))
@@ -463,6 +524,13 @@ def graph_one_hop_context(spark, d):
     return G.context(nodes, edges, asked, 4, 6)
 
 
+@query
+def graph_context_lines(spark, d):
+    """One-hop contexts of all documents as lines of a prompt, as far as they fit."""
+    asked = _t(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("the que ber").alias("query"))
+    return answers.graph_lines(*_graph(spark, d), asked, 200).select("query_id", "position", "line")
+
+
 @query
 def graph_typed_relations_page(spark, d):
     nodes, edges = _graph(spark, d)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from docweave.operators.context import CITATIONS, KEYWORDS, NO_FILE, NO_PAGE, budget
+from docweave.operators.memory import TYPE_NAMES
+from docweave.plans.answers import JOINT, SUMMARY
+
 _AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 
@@ -332,13 +336,52 @@ _SQL |= {
     "old_files_scan": """WITH k AS (SELECT unnest(['history', 'documents', 'rag_cache', 'reports', 'memory', 'skipped']) AS kind), f AS (SELECT ['documents', 'history', 'rag_cache', 'reports', 'memory', 'skipped', 'documents', 'skipped'][CAST(doc_id % 8 + 1 AS INT)] AS kind, n_chars FROM documents)
         SELECT kind, count(n_chars) AS files, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS bytes FROM k LEFT JOIN f USING (kind) GROUP BY kind""",
 }
-_SQL["document_search"] = f"""WITH {_P}, pt AS (SELECT document_id || '_' || chunk_index AS key, content AS text FROM p UNION ALL SELECT 'q' || item_id, text FROM benchmark WHERE item_id % 20 = 0), {_embedding("key", "pt")},
+def _search(least: float = -1) -> str:
+    """The five best chunks of each question that score at least ``least``, as ``hit``."""
+    return f"""{_P}, pt AS (SELECT document_id || '_' || chunk_index AS key, content AS text FROM p UNION ALL SELECT 'q' || item_id, text FROM benchmark WHERE item_id % 20 = 0), {_embedding("key", "pt")},
     unit AS (SELECT key, idx, x / n AS x FROM raw JOIN nrm USING (key)),
-    sc AS (SELECT q.key AS q, c.key AS id, round(sum(q.x * c.x), 6) AS score FROM unit q JOIN unit c ON q.idx = c.idx WHERE q.key[1] = 'q' AND c.key[1] <> 'q' GROUP BY ALL),
+    sc AS (SELECT q.key AS q, c.key AS id, round(sum(q.x * c.x), 6) AS score FROM unit q JOIN unit c ON q.idx = c.idx WHERE q.key[1] = 'q' AND c.key[1] <> 'q' GROUP BY ALL HAVING score >= {least}),
     pool AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(split_part(id, '_', 1) AS BIGINT), CAST(split_part(id, '_', 2) AS BIGINT)) AS r FROM sc QUALIFY r <= 15),
-    full_ AS (SELECT q, r, id, score, document_id, {_DIGEST.format("content")} AS digest FROM pool JOIN p ON id = document_id || '_' || chunk_index),
-    one AS (SELECT * FROM full_ QUALIFY row_number() OVER (PARTITION BY q, document_id, digest ORDER BY r) = 1)
-    SELECT CAST(substr(q, 2) AS BIGINT) AS query_id, row_number() OVER (PARTITION BY q ORDER BY r) AS rank, id AS chunk_id, score, 'S-' || substr(sha256(document_id || '||' || digest), 1, 12) AS citation_id FROM one QUALIFY rank <= 5"""
+    full_ AS (SELECT q, r, id, score, document_id, content, {_DIGEST.format("content")} AS digest FROM pool JOIN p ON id = document_id || '_' || chunk_index),
+    one AS (SELECT * FROM full_ QUALIFY row_number() OVER (PARTITION BY q, document_id, digest ORDER BY r) = 1),
+    hit AS (SELECT CAST(substr(q, 2) AS BIGINT) AS query_id, row_number() OVER (PARTITION BY q ORDER BY r) AS rank, id, document_id, content, score, 'S-' || substr(sha256(document_id || '||' || digest), 1, 12) AS citation_id FROM one QUALIFY rank <= 5)"""
+
+
+def _prompt(instruction: str, context: str, query: str) -> str:
+    return f"'{instruction}' || chr(10) || chr(10) || {context} || chr(10) || chr(10) || 'Question: ' || coalesce({query}, '')"
+
+
+_SQL["document_search"] = f"WITH {_search()} SELECT query_id, rank, id AS chunk_id, score, citation_id FROM hit"
+_CITED = "'[' || citation_id || ' | ' || document_id || ']' || chr(10) || content"
+_SQL["joint_answer"] = f"""WITH {_search(0.12)}, c AS (SELECT query_id, rank, score, citation_id, {_CITED} AS content FROM hit),
+    f AS (SELECT *, sum(length(content) + 2) OVER o - 2 AS after_, row_number() OVER o AS k FROM c WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, rank ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT query_id, string_agg(content, chr(10) || chr(10) ORDER BY rank) AS context, list_sort(list(DISTINCT citation_id)) AS sources FROM f WHERE after_ <= {budget(len(JOINT), 4000)} OR k = 1 GROUP BY query_id)
+    SELECT query_id, sha256({_prompt(JOINT, "context", "text")}) AS answer, array_to_string(sources, ',') AS sources, false AS truncated FROM g JOIN benchmark ON item_id = query_id"""
+_SQL["citation_list"] = f"""WITH {_search()}, v AS (SELECT query_id, rank, CASE WHEN CAST(document_id AS BIGINT) % 2 = 0 THEN document_id || '.md' ELSE '{NO_FILE}' END AS file, format('{{:.4f}}', score) AS score,
+        regexp_replace(array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: {_strip("x")}), lambda x: length(x) > 0), ' '), ' {{2,}}', ' ', 'g') AS t FROM hit),
+    w AS (SELECT *, CASE WHEN length(t) > 260 THEN t[1:260] || '...' ELSE t END AS text FROM v),
+    s AS (SELECT query_id, 'normal' AS style, string_agg(rank || '. 《' || file || '》，第 {NO_PAGE} 页。' || chr(10) || '相关度：' || score || chr(10) || '引用内容：' || text || chr(10), chr(10) ORDER BY rank) AS entries FROM w GROUP BY query_id
+          UNION ALL SELECT query_id, 'markdown', string_agg('> **引用 ' || rank || '**  ' || chr(10) || '> **来源**：《' || file || '》，第 {NO_PAGE} 页  ' || chr(10) || '> **相关度**：' || score || '  ' || chr(10) || '> **内容**：' || text || chr(10), chr(10) ORDER BY rank) FROM w GROUP BY query_id),
+    k AS (SELECT item_id, text, style FROM benchmark, (SELECT unnest(['normal', 'markdown']) AS style) WHERE item_id % 20 = 0)
+    SELECT item_id AS query_id, k.style, CASE WHEN entries IS NULL THEN '🔍 未找到与 ' || chr(39) || text || chr(39) || ' 相关的引用内容' ELSE '{CITATIONS}' || chr(10) || chr(10) || '{KEYWORDS}' || text || chr(10) || chr(10) || entries END AS text
+    FROM k LEFT JOIN s ON s.query_id = item_id AND s.style = k.style"""
+_SQL["document_summaries"] = f"""WITH {_P}, c0 AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) - 1 AS i, count(*) OVER (PARTITION BY document_id) AS n FROM p),
+    c1 AS (SELECT document_id, chunk_index, content FROM c0 WHERE n <= 12 OR list_contains(list_transform(range(12), lambda j: CAST(round_even(j * (n - 1) / 11.0, 0) AS BIGINT)), i)),
+    c2 AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index) AS k, count(*) OVER (PARTITION BY document_id) AS m, content, 'S-' || substr(sha256(document_id || '||' || {_DIGEST.format("content")}), 1, 12) AS citation_id FROM c1),
+    c3 AS (SELECT document_id, k, {_CITED} AS content, k = 1 OR k = m OR k = (m + 1) // 2 AS protected FROM c2),
+    c4 AS (SELECT *, sum(length(content) + 2) OVER o - 2 AS after_, row_number() OVER o AS r FROM c3 WINDOW o AS (PARTITION BY document_id ORDER BY protected DESC, k ROWS UNBOUNDED PRECEDING)),
+    c5 AS (SELECT document_id, string_agg(content, chr(10) || chr(10) ORDER BY k) AS context FROM c4 WHERE protected OR after_ <= {budget(len(SUMMARY))} OR r = 1 GROUP BY document_id)
+    SELECT CAST(item_id AS VARCHAR) AS query_id, document_id, sha256({_prompt(SUMMARY, "context", "text")}) AS summary FROM c5, benchmark WHERE item_id % 20 = 0"""
+_SQL["graph_context_lines"] = _SQL["graph_one_hop_context"].replace("k <= 4", "k <= 8").rsplit("SELECT CAST(document_id AS BIGINT)", 1)[0] + """, ln AS (SELECT rk.document_id, rank, a.name || ' RELATED_TO ' || b.name AS line FROM rk JOIN node a ON a.graph_id = source_id JOIN node b ON b.graph_id = target_id WHERE rank <= 16)
+    SELECT CAST(document_id AS BIGINT) AS query_id, rank AS position, line FROM ln QUALIFY sum(length(line) + 1) OVER (PARTITION BY document_id ORDER BY rank) <= 200"""
+_SQL["memory_forget_all"] = f"""WITH {_MEM} SELECT memory_id, memory_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, memory_type ORDER BY importance DESC, ts DESC, memory_id) AS k FROM m)
+    WHERE CASE memory_type WHEN 'working' THEN k <= 10 WHEN 'episodic' THEN importance >= 0.6 ELSE true END"""
+_SQL["memory_forgotten"] = f"""WITH {_MEM} SELECT memory_type, count(*) AS removed, 'age' AS strategy FROM m WHERE memory_type <> 'semantic' AND {_AGE} > 12 * 1440 GROUP BY memory_type
+    UNION ALL SELECT memory_type, count(*), 'importance' FROM m WHERE importance < 0.4 GROUP BY memory_type"""
+_SQL["memory_found_text"] = f"""{_SQL["memory_union_rank"].rsplit("SELECT user_id AS query_id", 1)[0]}, b AS (SELECT k.user_id, rank, MAP {TYPE_NAMES}[memory_type] AS kind, content, m.importance FROM k JOIN m USING (memory_id) WHERE rank <= 5),
+    l AS (SELECT user_id, count(*) AS n, string_agg(rank || '. [' || kind || '] ' || CASE WHEN length(content) > 80 THEN content[1:80] || '...' ELSE content END || ' (重要性: ' || format('{{:.2f}}', importance::DOUBLE) || ')', chr(10) ORDER BY rank) AS lines FROM b GROUP BY user_id),
+    q AS (SELECT DISTINCT user_id FROM m UNION ALL SELECT DISTINCT user_id + 1000000 FROM m WHERE user_id % 10 = 0)
+    SELECT q.user_id AS query_id, CASE WHEN n IS NULL THEN '🔍 未找到与 ' || chr(39) || 'user ' || q.user_id || chr(39) || ' 相关的记忆' ELSE '🔍 找到 ' || n || ' 条相关记忆:' || chr(10) || lines END AS text FROM q LEFT JOIN l ON l.user_id = q.user_id"""
 
 
 _LIBRARY = f"""d0 AS (SELECT doc_id, lang, source, {_strip("CASE WHEN lang = 'de' THEN substr(coalesce(text, ''), 1, 900) ELSE coalesce(text, '') END")} AS t FROM documents),
