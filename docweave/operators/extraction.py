@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docweave.functions import text as X
 from docweave.operators import graph as G
+from docweave.sources.tables import scratch
 
 _ITEM = "struct<name:string,description:string,chunk_id:string,confidence:double>"
 _LINK = "struct<source:string,target:string,type:string,relation_name:string,chunk_id:string,evidence:string,confidence:double>"
@@ -81,6 +82,44 @@ def structural_edges(chunks: DataFrame) -> DataFrame:
     return top.union(held)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = f"{scratch(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def assembled(good: DataFrame, chunks: DataFrame, namespace: str = "default") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole graph of each document with good answers: nodes, edges, and relations that are left out.
+
+    Nodes (document_id, graph_id, label, name): the document, its chapters, chunks and entities. Edges (document_id,
+    source_id, type, target_id, evidence, confidence): relations, mentions and structure; of several between the
+    same ends one stays, a relation before a mention, then by chunk and evidence. ``chunks`` (document_id,
+    chunk_id, chunk_index, heading_path) of other documents are left out. Parsed answers and entities are
+    written to the shared folder, since every part reads them. Documents are never gathered.
+    """
+    good = _stored(good.select("document_id", "graph"))
+    own = chunks.join(good.select("document_id").distinct(), "document_id", "left_semi")
+    named = _stored(entities(good, namespace))
+    tree = G.chapters(own)
+    ids = own.select("document_id").distinct()
+    nodes = (
+        ids.select("document_id", F.col("document_id").alias("graph_id"), F.lit("Document").alias("label"), F.col("document_id").alias("name"))
+        .unionByName(tree.select("document_id", F.col("path").alias("graph_id"), F.lit("Chapter").alias("label"), F.col("path").alias("name")))
+        .unionByName(own.select("document_id", F.col("chunk_id").alias("graph_id"), F.lit("Chunk").alias("label"), F.col("chunk_id").alias("name")).distinct())
+        .unionByName(named.select("document_id", "graph_id", "label", "name"))
+    )
+    related, problems = relations(good, named, own)
+    ends = ["document_id", "source_id", "type", "target_id"]
+    parts = [
+        related.select(*ends, "evidence", "confidence", F.struct(F.lit(0).alias("kind"), "chunk_id", "evidence").alias("position")),
+        mentions(good, named, own).select(*ends, "evidence", "confidence", F.struct(F.lit(1).alias("kind"), F.col("source_id").alias("chunk_id"), "evidence").alias("position")),
+    ]
+    none = F.lit(None).cast("string")
+    parts.append(structural_edges(own).select(*ends, none.alias("evidence"), F.lit(None).cast("double").alias("confidence"), F.struct(F.lit(2).alias("kind"), none.alias("chunk_id"), none.alias("evidence")).alias("position")))
+    edges = G.dedupe_edges(parts[0].unionByName(parts[1]).unionByName(parts[2])).drop("position")
+    return nodes, edges, problems
+
+
 def upsert_state(state: DataFrame, new: DataFrame) -> DataFrame:
     """Build states by document: new rows replace old ones, counters that a new row leaves null carry on."""
     was = state.select("document_id", F.col("attempt_count").alias("_a"), F.col("llm_attempt_count").alias("_l"), F.col("build_id").alias("_b"))

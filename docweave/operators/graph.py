@@ -97,6 +97,16 @@ def typed_relations(nodes: DataFrame, edges: DataFrame, label: str, types: tuple
     return page.offset(cursor).limit(limit)
 
 
+def knowledge_dependencies(nodes: DataFrame, edges: DataFrame, name: str | None = None, cursor: int = 0, limit: int = 100) -> DataFrame:
+    """A page of what knowledge points depend on."""
+    return typed_relations(nodes, edges, "KnowledgePoint", KNOWLEDGE_TYPES, name, cursor, limit)
+
+
+def person_relations(nodes: DataFrame, edges: DataFrame, name: str | None = None, cursor: int = 0, limit: int = 100) -> DataFrame:
+    """A page of relations between persons."""
+    return typed_relations(nodes, edges, "Person", ("RELATED_TO",), name, cursor, limit)
+
+
 def shared_entities(nodes: DataFrame, documents: list[str] | None = None, namespace: str = "default", limit: int | None = None) -> DataFrame:
     """Names that two or more documents have: canonical_id, label, normalized_name, name, documents, members."""
     rows = nodes if documents is None else nodes.where(F.col("document_id").isin(documents))

@@ -317,6 +317,22 @@ def add(old: DataFrame, new: DataFrame, user: str | int, as_of: str, session: st
     return old.unionByName(rows, allowMissingColumns=True)
 
 
+def episodic_add(old: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
+    """``old`` with the episodes of ``new`` (memory_id, user_id, session_id, content, importance, timestamp, seq) put in.
+
+    An id that is there already gets its new content and moves to its new session; of several new rows of an id
+    the last by ``seq`` counts. A timestamp is text in any accepted spelling, ``as_of`` where none fits; no
+    session is 'default', null importance 0.5. Rows without an id are not added.
+    """
+    last = Window.partitionBy("memory_id").orderBy(F.desc("seq"))
+    fresh = new.where("memory_id IS NOT NULL").withColumn("_k", F.row_number().over(last)).where("_k = 1")
+    rows = fresh.select(
+        "memory_id", "user_id", F.lit("episodic").alias("memory_type"), F.coalesce("session_id", F.lit("default")).alias("session_id"), "content",
+        F.coalesce("importance", F.lit(0.5)).alias("importance"), X.timestamp(F.col("timestamp"), _now(as_of)).alias("ts"),
+    )
+    return old.join(rows.select("memory_id"), "memory_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+
+
 def insert_once(old: DataFrame, new: DataFrame, key: str = "memory_id") -> DataFrame:
     """Rows of ``new`` whose key isn't there yet join ``old``."""
     return old.unionByName(new.dropDuplicates([key]).join(old.select(key), key, "left_anti"), allowMissingColumns=True)

@@ -709,15 +709,23 @@ def session_expiry(spark, d):
     return H.expired(seen, "2024-01-30 22:00:00").select("user_id")
 
 
-@query
-def golden_trace_eval(spark, d):
+def _traces(spark, d) -> DataFrame:
     b = _t(spark, d, "benchmark")
-    traces = b.select(
+    return b.select(
         F.concat(F.lit("case-"), "item_id").alias("case_id"), F.array(F.col("text"), F.lit("doc-1 the prompt")).alias("prompts"), F.concat(F.lit("doc-2 answer "), "text").alias("output"),
         F.array(F.lit("doc-1"), F.concat(F.lit("doc-"), F.col("item_id") % 4)).alias("required_document_ids"), F.array(F.lit("que")).alias("forbidden_document_ids"),
         F.array(F.lit("answer"), F.lit("er")).alias("required_answer_markers"), F.array(F.lit("the")).alias("required_prompt_markers"), (F.col("item_id") % 3 + 1).cast("int").alias("minimum_llm_calls"),
     )
-    return E.evaluate(traces).select("case_id", "passed", F.array_join("failures", ";").alias("failures"))
+
+
+@query
+def golden_trace_eval(spark, d):
+    return E.evaluate(_traces(spark, d)).select("case_id", "passed", F.array_join("failures", ";").alias("failures"))
+
+
+@query
+def golden_report(spark, d):
+    return E.report(E.evaluate(_traces(spark, d)))
 
 
 @query
@@ -949,6 +957,42 @@ def extraction_mentions(spark, d):
     return N.mentions(good, N.entities(good), chunks).groupBy("document_id", "source_id", "type").agg(F.count("*").alias("mentions"), F.min("confidence").alias("confidence"))
 
 
+@query
+def graph_assembled(spark, d):
+    """What each document's whole graph has of each kind of node and edge."""
+    rows, chunks = _extracted(spark, d)
+    told = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit(0).alias("chunk_index"), F.array("source", "lang").alias("heading_path"))
+    nodes, edges, _ = N.assembled(N.parsed(rows).where("problem IS NULL"), chunks.join(told, "document_id"))
+    kinds = nodes.select("document_id", F.col("label").alias("kind")).unionByName(edges.select("document_id", F.col("type").alias("kind")))
+    return kinds.groupBy("document_id", "kind").agg(F.count("*").alias("n"))
+
+
+def _dependent(spark, d):
+    """Answers in which a document's source depends on its language, and is someone whom Ada knows."""
+    item = lambda name: F.struct(name.alias("name"), F.lit("d").alias("description"), F.lit("c0").alias("chunk_id"), F.lit(0.5).alias("confidence"))
+    link = lambda a, b, kind: F.struct(a.alias("source"), b.alias("target"), kind.alias("type"), F.lit("c0").alias("chunk_id"), F.lit("e").alias("evidence"))
+    source, lang, ada, none = F.col("source"), F.col("lang"), F.lit("Ada"), F.array()
+    kind = F.when(F.col("doc_id") % 2 == 0, "depends_on").otherwise("prerequisite_of")
+    graph = F.struct(
+        none.alias("concepts"), F.array(item(source), item(lang)).alias("knowledge_points"), F.array(item(ada), item(source)).alias("persons"), none.alias("concept_relations"),
+        F.array(link(source, lang, kind)).alias("knowledge_relations"), F.array(link(ada, source, F.lit("knows"))).alias("person_relations"), none.alias("mentions"),
+    )
+    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.lit("c0").alias("chunk_id"), F.to_json(graph).alias("answer"))
+    good = N.parsed(docs).where("problem IS NULL")
+    nodes = N.entities(good)
+    return nodes, N.relations(good, nodes, docs)[0]
+
+
+@query
+def graph_dependencies(spark, d):
+    return G.knowledge_dependencies(*_dependent(spark, d), cursor=5).select("document_id", "type", "source_name", "target_name")
+
+
+@query
+def graph_person_relations(spark, d):
+    return G.person_relations(*_dependent(spark, d), name=" ADA ").select("document_id", "type", "source_name", "target_name")
+
+
 @query
 def comparison_markdown(spark, d):
     c = F.struct(
@@ -1237,6 +1281,16 @@ def memory_add(spark, d):
     return M.add(_memories(spark, d), new, 7, AS_OF).select("memory_id", "user_id", "memory_type", "session_id", "importance", "modality", "raw_data")
 
 
+@query
+def memory_episodic_add(spark, d):
+    """Every third event told anew, some ids several times."""
+    e, at = _t(spark, d, "events"), F.col("event_id")
+    ts = F.col("ts").cast("timestamp_ntz")
+    spelled = F.when(at % 4 == 0, F.date_format(ts, "yyyy/MM/dd HH:mm:ss")).when(at % 4 == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(at % 4 == 2, F.date_format(ts, "yyyy/MM/dd")).otherwise("never")
+    new = e.select((at - at % 3).alias("memory_id"), "user_id", F.when(at % 2 == 0, F.col("event_type")).alias("session_id"), F.col("props").alias("content"), F.lit(None).cast("double").alias("importance"), spelled.alias("timestamp"), at.alias("seq"))
+    return M.episodic_add(_memories(spark, d).where("memory_type = 'episodic'"), new, AS_OF).select("memory_id", "session_id", "content", "importance", "ts")
+
+
 @query
 def import_batches_listed(spark, d):
     tasks = _tasks(spark, d)

@@ -508,6 +508,15 @@ _SQL["import_stream"] = """WITH RECURSIVE e0 AS (SELECT CAST(user_id AS VARCHAR)
     SELECT task_id, CAST(updates + CASE WHEN due THEN 1 ELSE 0 END AS BIGINT) AS updates, CASE WHEN due THEN 'queued' ELSE status END AS status, stage, progress, attempts, auto AS auto_retry_count, manual AS manual_retry_count, CASE WHEN NOT due THEN make_timestamp(next * 1000) END AS next_attempt_at,
            make_timestamp(cancel * 1000) AS cancel_requested_at, code AS error_code, refused, make_timestamp(CASE WHEN due THEN next ELSE updated END * 1000) AS updated_at FROM f"""
 
+_SQL["golden_report"] = f"""SELECT case_id, CASE WHEN passed THEN 'PASS ' || case_id ELSE 'FAIL ' || case_id || ': ' || replace(failures, ';', '; ') END AS line FROM ({_SQL["golden_trace_eval"]})"""
+_SQL["graph_assembled"] = f"""WITH {_XNAMES}, k AS (SELECT document_id, unnest(list_concat(['Document', 'Chapter', 'Chapter', 'Chunk', 'Concept', 'Concept', 'Person', 'HAS_CHAPTER', 'PARENT_OF', 'HAS_CHUNK', 'MENTIONS'], CASE WHEN doc_id % 4 = 0 THEN ['IS_A'] ELSE [] END)) AS kind FROM xn)
+    SELECT document_id, kind, count(*) AS n FROM k GROUP BY document_id, kind"""
+_SQL["graph_dependencies"] = """SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN doc_id % 2 = 0 THEN 'DEPENDS_ON' ELSE 'PREREQUISITE_OF' END AS type, source AS source_name, lang AS target_name FROM documents ORDER BY document_id LIMIT 100 OFFSET 5"""
+_SQL["graph_person_relations"] = "SELECT CAST(doc_id AS VARCHAR) AS document_id, 'RELATED_TO' AS type, 'Ada' AS source_name, source AS target_name FROM documents ORDER BY document_id LIMIT 100"
+_SQL["memory_episodic_add"] = f"""WITH {_MEM}, n AS (SELECT event_id - event_id % 3 AS memory_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'default' END AS session_id, props AS content, 0.5::DOUBLE AS importance, t.ts
+        FROM events JOIN ({_SQL["timestamp_canonical"]}) t USING (event_id) QUALIFY row_number() OVER (PARTITION BY event_id - event_id % 3 ORDER BY event_id DESC) = 1)
+    SELECT * FROM n UNION ALL SELECT memory_id, session_id, content, importance, ts FROM m WHERE memory_type = 'episodic' AND memory_id NOT IN (SELECT memory_id FROM n)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
