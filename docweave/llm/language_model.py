@@ -1,12 +1,14 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-P(word | history) = P(class | history) * P(slot | class, history) * P(word | slot). The first two factors are
+P(word | history) = P(class | history) * P(slot | class, history) * P(word | slot, history). The first two factors are
 softmaxes over hashed features of the history: the last word, the last two, and (for classes) the one before
 the last, a skip; the second one's features are joined with the class. The most frequent words are classes of their own; the
 others go by their ending, and endings that follow alike words share a class. Of each such class the most
 frequent words have slots of their own, so for them the second factor is a softmax over words; the class's
-other words share GROUPS slots, again by endings that follow alike words. P(word | slot) is the word's share of its slot, less what words
-seen once suggest for unseen ones.
+other words share GROUPS slots, again by endings that follow alike words. There the third factor tells them apart, however
+many and however rare they are: the word's share of its slot, less what words seen once suggest for unseen ones,
+times a weight of the feature that joins the word with the class of the last word. These weights are counted for
+every pair met, not learnt, and so is each sum they are divided by (``Shared``); no bound leaves out a word or a pair.
 
 The weights are learnt by distributed gradient updates: in each round every training text is run over, each
 partition starts from the weights of the last round, and the rows that partitions touched are averaged by
@@ -14,9 +16,9 @@ how often they did. Only touched rows travel. The table's size follows the numbe
 (``table_rows``) up to MOST_BUCKETS, which bounds what a worker holds; the number of training partitions is
 such that their tables are a small part of the text (``train_parts``), whatever the input is dealt into.
 
-Everything is learnt from all training documents. Word counts meet the texts in two ways: the most
-frequent words (a table of bounded size) by broadcast, all others by a shuffled join, so no vocabulary has
-to fit in memory.
+Everything is learnt from all training documents. Word counts, with those after each class, meet the texts in
+two ways: the most frequent words (a table of bounded size) by broadcast, all others by a shuffled join, so no
+vocabulary has to fit in memory.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.common import SPACED, fold_of, map_batches, mix64, staged, text_bytes, text_slices, words
@@ -40,6 +43,12 @@ CLASSES = OWN_CLASSES + END_CLASSES
 WORDS = 24
 GROUPS = 8
 SLOTS = WORDS + GROUPS
+#: What stands before a word: one of the classes, or the start.
+BEFORE = CLASSES + 1
+#: A word of a shared slot that was met so often goes half by its own counts after each class, half by its share.
+TRUST = 20
+#: Pairs of a word and the class before it that a task sums at a time.
+PAIRS = 1 << 20
 #: Bounds of the rows of a factor's weight table, 4 * CLASSES (or SLOTS) bytes each.
 LEAST_BUCKETS = 1 << 15
 MOST_BUCKETS = 1 << 18
@@ -47,7 +56,7 @@ TOKENS_A_ROW = 512
 ROUNDS = 1
 BATCH = 4096
 RATE = 0.3
-#: Words whose counts are broadcast, 16 bytes each; the rest are joined.
+#: Words whose counts are broadcast, 16 bytes each and 4 for each class before them; the rest are joined.
 FREQUENT = 1 << 17
 #: Rows of the weight table that travel together when partitions' tables are averaged.
 CHUNK = 1 << 10
@@ -158,6 +167,78 @@ def _gathered(train: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "word", "ending").agg(F.sum("n").alias("n"))
 
 
+def _before(kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The class of the word before each token, CLASSES at a text's start."""
+    before = np.append(CLASSES, kind[:-1])[: len(kind)]
+    before[bounds[:-1]] = CLASSES
+    return before
+
+
+def _summed(word: np.ndarray, ending: np.ndarray, before: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One entry for each word and class before it."""
+    key, first, group = np.unique(word + mix64(before), return_index=True, return_inverse=True)
+    return word[first], ending[first], before[first], np.bincount(group, n, len(key)).astype(np.int64)
+
+
+def _counts(train: DataFrame, classes: Classes) -> DataFrame:
+    """Each word of the training texts with its ending, count, and how often it was ``met`` after which classes (``before``)."""
+    known = train.sparkSession.sparkContext.broadcast(classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            word, ending, before, n = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(ending, pa.int32()), pa.array(before, pa.int32()), pa.array(n)], ["word", "ending", "before", "n"])
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for whole in batches:
+            for batch in text_slices(whole, "text"):
+                hashes, ending, bounds = tokens(batch.column(0))
+                held.append(_summed(hashes, ending, _before(known.value(hashes, ending)[0], bounds), np.ones(len(hashes), np.int64)))
+                if sum(len(x[0]) for x in held) > PAIRS:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
+        pa.default_memory_pool().release_unused()
+
+    rows = train.select("text").mapInArrow(run, "word long, ending int, before int, n long")
+    pairs = rows.repartition("word").groupBy("word", "ending", "before").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("word", "ending").agg(F.sum("n").alias("n"), F.collect_list("before").alias("before"), F.collect_list("n").alias("met"))
+
+
+@dataclass
+class Shared:
+    """The third factor in the slots that words share.
+
+    After class c, a word met n times, and n_c times after c, has its share of the slot times
+    (trust * (n_c / n) / (N_c / N) + 1 - trust) / norm, where trust = n / (n + TRUST), and N and N_c are the sums of
+    n and n_c over the slot. ``norm`` is the sum of that over the slot's words, so that they keep what the shares leave them.
+    """
+
+    scale: np.ndarray  # N / N_c at each place (a shared slot after a class); 0 at place 0: the slot has one word
+    norm: np.ndarray
+
+    def places(self, kind: np.ndarray, slot: np.ndarray, before: np.ndarray) -> np.ndarray:
+        shared = (kind >= OWN_CLASSES) & (slot >= WORDS)
+        return np.where(shared, ((kind - OWN_CLASSES) * GROUPS + slot - WORDS) * BEFORE + before + 1, 0)
+
+    def weight(self, place, n, met):
+        return (met * self.scale[place] + TRUST) / ((n + TRUST) * self.norm[place])
+
+
+def _shared(others: DataFrame, kind: Column, group: Column) -> Shared:
+    """Sums over the words of ``others``, those without a slot of their own; at most BEFORE for each shared slot come back."""
+    slot = ((kind - OWN_CLASSES) * GROUPS + group).alias("slot")
+    each = others.select(slot, (F.col("n") / (F.col("n") + TRUST)).alias("trust"), F.explode(F.arrays_zip("before", "met")).alias("pair"))
+    met, trusted = np.zeros((2, END_CLASSES * GROUPS, BEFORE))
+    for r in each.groupBy("slot", "pair.before").agg(F.sum("pair.met").alias("met"), F.sum(F.col("trust") * F.col("pair.met")).alias("trusted")).collect():
+        met[r.slot, r.before], trusted[r.slot, r.before] = r.met, r.trusted
+    all_met, all_trusted = met.sum(1, keepdims=True), trusted.sum(1, keepdims=True)
+    scale = np.where(met > 0, all_met / np.maximum(met, 1), 0)
+    norm = 1 + trusted / np.maximum(met, 1) - all_trusted / np.maximum(all_met, 1)
+    return Shared(np.append(0, scale), np.append(1, norm))
+
+
 def _logits(weights: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     z = weights.take(at[:, 0], axis=0)
     for k in range(1, at.shape[1]):
@@ -287,6 +368,7 @@ class Model:
     weights: np.ndarray
     slot_tokens: np.ndarray
     unseen: np.ndarray
+    shared: Shared
     tokens: int
     distinct: int
     counts: DataFrame
@@ -306,12 +388,12 @@ def _log_bias(held: np.ndarray) -> np.ndarray:
 def fit(train: DataFrame, rounds: int = ROUNDS) -> Model:
     """Learn from all rows of ``train`` (doc_id, text). No row: every class is equally likely, all words unseen."""
     gathered = staged(_gathered(train))
-    counts = gathered.where("kind = 0").select("word", "ending", "n")
+    found = gathered.where("kind = 0").select("word", "ending", "n")
     follows = np.zeros(ENDINGS * ENDINGS)
     for r in gathered.where("kind = 1").collect():  # at most ENDINGS ** 2 rows
         follows[r.word] = r.n
     follows = follows.reshape(ENDINGS, ENDINGS)
-    top = counts.orderBy(F.desc("n"), "word").limit(OWN_CLASSES).collect()
+    top = found.orderBy(F.desc("n"), "word").limit(OWN_CLASSES).collect()
     of_ending, group_of_ending = OWN_CLASSES + _group_endings(follows, follows.sum(1), END_CLASSES), np.zeros(ENDINGS, np.int64)
     for k in range(OWN_CLASSES, CLASSES):
         mine = np.flatnonzero(of_ending == k)
@@ -319,7 +401,7 @@ def fit(train: DataFrame, rounds: int = ROUNDS) -> Model:
             group_of_ending[mine] = _group_endings(follows[mine], follows[mine].sum(1), GROUPS)
     of = lambda numbers: F.element_at(F.array(*[F.lit(int(k)) for k in numbers]), F.col("ending") + 1)
     kind = of(of_ending)
-    rest = counts.where(~F.col("word").isin([r.word for r in top])).withColumn("class", kind) if top else counts.withColumn("class", kind)
+    rest = found.where(~F.col("word").isin([r.word for r in top])).withColumn("class", kind) if top else found.withColumn("class", kind)
     rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n"), "word"))
     slots = rest.withColumn("slot", rank - 1).where(F.col("slot") < WORDS).select("word", "n", "class", "slot").collect()  # at most END_CLASSES * WORDS rows
     own = np.array([r.word for r in [*top, *slots]], np.int64).view(_U)
@@ -340,12 +422,14 @@ def fit(train: DataFrame, rounds: int = ROUNDS) -> Model:
     slot_bias[:, :WORDS][held[:, :WORDS] == 0] = _IMPOSSIBLE
     bias = _log_bias(held.sum(1)).astype(np.float32)
     total = int(held.sum())
+    counts = staged(_counts(train, classes))
+    shared = _shared(counts.where(~F.col("word").isin(own.view(np.int64).tolist())), kind, of(group_of_ending))
     weights = _train(train, classes, bias, slot_bias.astype(np.float32), table_rows(total), train_parts(total, table_rows(total)), rounds)
-    return Model(classes, bias, slot_bias.astype(np.float32), weights, held, unseen, total, int(distinct.sum()), counts)
+    return Model(classes, bias, slot_bias.astype(np.float32), weights, held, unseen, shared, total, int(distinct.sum()), counts)
 
 
-def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The words with counts above a cut that leaves at most ``most`` of them, sorted by hash, and the cut."""
+def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with counts above a cut that leaves at most ``most`` of them, sorted by hash: hashes, counts, and those after each class."""
     step = F.floor(F.log2("n") * 8)
     total, cut = 0, None
     for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
@@ -354,15 +438,17 @@ def _frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int
             break
         cut = r.least
     if cut is None:
-        return np.zeros(0, _U), np.zeros(0, np.int64), 1 << 62
-    got = counts.where(F.col("n") >= cut).select("word", "n").toArrow()
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros((0, BEFORE), np.float32)
+    got = counts.where(F.col("n") >= cut).select("word", "n", "before", "met").toArrow()
     word, n = got["word"].to_numpy().view(_U), got["n"].to_numpy()
+    met = np.zeros((len(word), BEFORE), np.float32)
+    met[np.repeat(np.arange(len(word)), pc.list_value_length(got["before"]).to_numpy()), pc.list_flatten(got["before"]).to_numpy()] = pc.list_flatten(got["met"]).to_numpy()
     order = np.argsort(word)
-    return word[order], n[order], cut
+    return word[order], n[order], met[order]
 
 
-def token_logs(model: Model, hashes: np.ndarray, ending: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 P(class | history) * P(slot | class, history) of each token, and its slot's number among all."""
+def token_logs(model: Model, hashes: np.ndarray, ending: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 P(class | history) * P(slot | class, history) of each token, its slot's number among all, and its place among the shared ones."""
     history, (kind, slot) = features(hashes, bounds), model.classes(hashes, ending)
     logs = np.zeros(len(hashes))
     for k in range(0, len(hashes), BATCH):
@@ -372,7 +458,7 @@ def token_logs(model: Model, hashes: np.ndarray, ending: np.ndarray, bounds: np.
     for k in range(0, len(shared), BATCH):
         part = shared[k : k + BATCH]
         logs[part] += _log_true(model.weights, model.slot_bias[kind[part]], slot_rows(history[part], kind[part], model.buckets), slot[part])
-    return logs / np.log(10), kind * SLOTS + slot
+    return logs / np.log(10), kind * SLOTS + slot, model.shared.places(kind, slot, _before(kind, bounds))
 
 
 def score(docs: DataFrame, model: Model, frequent: int = FREQUENT) -> DataFrame:
@@ -382,52 +468,58 @@ def score(docs: DataFrame, model: Model, frequent: int = FREQUENT) -> DataFrame:
     arrays of some hundred bytes a word.
     """
     spark = docs.sparkSession
-    word, n, _ = _frequent(model.counts, frequent)
+    word, n, met = _frequent(model.counts, frequent)
     with np.errstate(divide="ignore", invalid="ignore"):
         seen_in = np.log10((1 - model.unseen) / model.slot_tokens).ravel()
         unseen_in = np.log10(np.maximum(model.unseen, 1e-300)).ravel()
     seen_in = np.where(np.isfinite(seen_in), seen_in, 0.0)
     lean = replace(model, counts=None)
-    shared = spark.sparkContext.broadcast((lean, word, n, model.base(n), seen_in))
+    shared = spark.sparkContext.broadcast((lean, word, n, met, model.base(n), seen_in))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, word, count, base, seen_in = shared.value
+        model, word, count, met, base, seen_in = shared.value
         ids, texts = batch.column(0), batch.column(1)
         hashes, ending, bounds = tokens(texts)
-        logs, leaf = token_logs(model, hashes, ending, bounds)
+        logs, leaf, place = token_logs(model, hashes, ending, bounds)
         i = np.minimum(np.searchsorted(word, hashes), max(len(word) - 1, 0))
         hot = word[i] == hashes if len(word) else np.zeros(len(hashes), bool)
         base_logs = np.zeros(len(hashes))
         base_logs[hot] = base[i[hot]]
         logs[hot] += seen_in[leaf[hot]] + np.log10(count[i[hot]])
+        told = np.flatnonzero(hot & (place > 0))
+        at = place[told]
+        logs[told] += np.log10(model.shared.weight(at, count[i[told]], met[i[told], (at - 1) % BEFORE]))
         sums = lambda x: np.add.reduceat(x, bounds[:-1])
         docs = len(bounds) - 1
         mark = mix64(sums(mix64(hashes + np.arange(len(hashes), dtype=_U) - np.repeat(bounds[:-1], np.diff(bounds)).astype(_U))) ^ mix64(ids.fill_null(-1).to_numpy().view(_U)) ^ ids.is_null().to_numpy(zero_copy_only=False).astype(_U))
-        # a row for each text, then one for each word of it that isn't frequent; the first have their mark for a word, to spread in the join
+        # a row for each text, then one for each word and place of it that isn't frequent; the first have their mark for a word, to spread in the join
         cold = np.flatnonzero(~hot)
         owner = np.repeat(np.arange(docs), np.diff(bounds))[cold]
-        order = np.lexsort((hashes[cold], owner))
-        o, h, c = owner[order], hashes[cold][order], leaf[cold][order]
-        new = np.append(True, (o[1:] != o[:-1]) | (h[1:] != h[:-1])) if len(o) else np.zeros(0, bool)
+        order = np.lexsort((place[cold], hashes[cold], owner))
+        o, h, c, p = owner[order], hashes[cold][order], leaf[cold][order], place[cold][order]
+        new = np.append(True, (o[1:] != o[:-1]) | (h[1:] != h[:-1]) | (p[1:] != p[:-1])) if len(o) else np.zeros(0, bool)
         start = np.flatnonzero(new)
         times = np.diff(np.append(start, len(o)))
-        o, h, c = o[start], h[start], c[start]
+        o, h, c, p = o[start], h[start], c[start], p[start]
         m = len(o)
         none = lambda kind, k: pa.nulls(k, kind)
         both = lambda a, b, kind: pa.concat_arrays([pa.array(a, kind) if not isinstance(a, pa.Array) else a, pa.array(b, kind) if not isinstance(b, pa.Array) else b])
         arrays = [
             both(mark.view(np.int64), mark[o].view(np.int64), pa.int64()), both(ids, none(pa.int64(), m), pa.int64()), both(np.ones(docs), np.zeros(m), pa.int32()),
             both(np.diff(bounds), np.zeros(m), pa.int64()), both(sums(hot.astype(np.int64)), np.zeros(m), pa.int64()), both(sums(base_logs), np.zeros(m), pa.float64()), both(sums(logs), np.zeros(m), pa.float64()),
-            both(mark.view(np.int64), h.view(np.int64), pa.int64()), both(np.zeros(docs), c, pa.int32()), both(np.zeros(docs), times, pa.int32()),
+            both(mark.view(np.int64), h.view(np.int64), pa.int64()), both(np.zeros(docs), c, pa.int32()), both(np.zeros(docs), p, pa.int32()), both(np.zeros(docs), times, pa.int32()),
         ]
-        return pa.RecordBatch.from_arrays(arrays, ["mark", "doc_id", "rows", "n_tokens", "n_known", "base_score", "score", "word", "leaf", "times"])
+        return pa.RecordBatch.from_arrays(arrays, ["mark", "doc_id", "rows", "n_tokens", "n_known", "base_score", "score", "word", "leaf", "place", "times"])
 
-    rows = map_batches(docs, run, "mark long, doc_id long, rows int, n_tokens long, n_known long, base_score double, score double, word long, leaf int, times int", "text")
-    pick = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("leaf") + 1)
+    rows = map_batches(docs, run, "mark long, doc_id long, rows int, n_tokens long, n_known long, base_score double, score double, word long, leaf int, place int, times int", "text")
+    pick = lambda values, at="leaf": F.element_at(F.lit(values), F.col(at) + 1)
     total = F.lit(model.tokens + 0.5 * (model.distinct + 1))
     n = F.coalesce("n", F.lit(0))
     own = F.col("rows") == 1
-    joined = rows.join(model.counts.select("word", "n"), "word", "left")
+    after = F.coalesce(F.get("met", (F.array_position("before", (F.col("place") - 1) % BEFORE) - 1).cast("int")), F.lit(0))
+    weight = (after * pick(model.shared.scale, "place") + TRUST) / ((n + TRUST) * pick(model.shared.norm, "place"))
+    told = F.when(F.col("place") > 0, F.log10(weight)).otherwise(0)
+    joined = rows.join(model.counts.select("word", "n", "before", "met"), "word", "left")
     # identical rows share a mark and each adds its rare words: sums are divided by how many rows there are
     summed = joined.groupBy("mark").agg(
         F.sum("rows").alias("copies"),
@@ -435,7 +527,7 @@ def score(docs: DataFrame, model: Model, frequent: int = FREQUENT) -> DataFrame:
         F.max("n_tokens").alias("n_tokens"),
         F.sum(F.when(own, F.col("n_known")).when(n > 0, F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.when(own, F.col("base_score")).otherwise(F.col("times") * F.log10((n + 0.5) / total))).alias("base_score"),
-        F.sum(F.when(own, F.col("score")).when(n > 0, F.col("times") * (pick(seen_in) + F.log10(F.greatest(n, F.lit(1))))).otherwise(F.col("times") * pick(unseen_in))).alias("score"),
+        F.sum(F.when(own, F.col("score")).when(n > 0, F.col("times") * (pick(seen_in) + F.log10(F.greatest(n, F.lit(1))) + told)).otherwise(F.col("times") * pick(unseen_in))).alias("score"),
     )
     each = [(F.col(c) / F.col("copies")).cast(kind).alias(c) for c, kind in (("n_known", "long"), ("base_score", "double"), ("score", "double"))]
     return summed.select("doc_id", "n_tokens", *each, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")

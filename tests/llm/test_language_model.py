@@ -143,3 +143,52 @@ def test_learning_lowers_the_loss():
     for _ in range(20):
         M._learn(weights, squares, touched, bias, at, true)
     assert loss() < before / 3
+
+
+def _crowded():
+    """More words of one ending than a class has slots: most of them share one, half met after 'left', half after 'right'."""
+    lines = [f"left l{k}xaz on right r{k}xaz on" for k in range(120)]
+    r = np.random.default_rng(3)
+    return [" ".join(lines[j] for j in r.permutation(120)) for _ in range(25)] + ["left r7xaz on Right l9xaz l11xaz", "right l7xaz on"]
+
+
+def test_words_that_share_a_slot_are_told_apart_by_what_stands_before(spark):
+    """Rare words of one slot with equal counts: none keeps the same share after every history."""
+    docs = spark.createDataFrame(list(enumerate(_crowded())), "doc_id long, text string")
+    model = M.fit(docs)
+    pairs = [(k, j) for k in range(20, 100) for j in range(20, 100, 9) if k != j]
+    words_of = {w: M.tokens(pa.array([w])) for k in range(120) for w in (f"l{k}xaz", f"r{k}xaz")}
+    place = {w: tuple(x[0] for x in model.classes(h[:1], e[:1])) for w, (h, e, _) in words_of.items()}
+    k = next(k for k, j in pairs if place[f"l{k}xaz"] == place[f"r{k}xaz"] and place[f"l{k}xaz"][1] >= M.WORDS)
+    asked = spark.createDataFrame([(1, f"on left l{k}xaz on"), (2, f"on left r{k}xaz on"), (3, f"on right r{k}xaz on"), (4, f"on right l{k}xaz on")], "doc_id long, text string")
+    got = {f: {x.doc_id: x.score for x in M.score(asked, model, frequent=f).collect()} for f in (1, 1 << 17)}
+    assert all(got[f][1] > got[f][2] + 0.5 and got[f][3] > got[f][4] + 0.5 for f in got)
+    assert all(math.isclose(got[1][d], got[1 << 17][d], rel_tol=1e-6) for d in got[1])
+
+
+def test_shared_slots_against_counts_by_hand_and_sums_of_one(spark):
+    texts = _crowded()
+    model = M.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    met, n, at = Counter(), Counter(), {}
+    for text in texts:
+        hashes, ending, bounds = M.tokens(pa.array([text]))
+        kind, slot = model.classes(hashes, ending)
+        for h, k, s, b in zip(hashes, kind, slot, [M.CLASSES, *kind[:-1]], strict=True):
+            met[h, int(b)] += 1
+            n[h] += 1
+            at[h] = int(k), int(s)
+    stored = {(np.int64(r.word).astype(np.uint64), b): m for r in model.counts.collect() for b, m in zip(r.before, r.met, strict=True)}
+    assert stored == met
+    groups = {x for x in at.values() if x[0] >= M.OWN_CLASSES and x[1] >= M.WORDS}
+    assert groups and sum(x in groups for x in at.values()) > 100
+    for k, s in groups:
+        mine = [h for h in n if at[h] == (k, s)]
+        whole = sum(n[h] for h in mine)
+        for b in range(M.BEFORE):
+            part = sum(met[h, b] for h in mine)
+            trust = {h: n[h] / (n[h] + M.TRUST) for h in mine}
+            raw = {h: n[h] / whole * (trust[h] * (met[h, b] / n[h] * whole / part if part else 0) + 1 - trust[h]) for h in mine}
+            place = model.shared.places(np.array([k]), np.array([s]), np.array([b]))
+            got = {h: n[h] / whole * model.shared.weight(place, n[h], met[h, b])[0] for h in mine}
+            assert math.isclose(sum(got.values()), 1, rel_tol=1e-9)
+            assert all(math.isclose(got[h], raw[h] / sum(raw.values()), rel_tol=1e-9) for h in mine)
